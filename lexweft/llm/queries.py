@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, sharding
+from . import quality, sharding, spm, token_counts, toxicity
 from .common import table
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -17,5 +23,18 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op9_quality)}
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.digest(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, before and after two edits: a cut in its middle, words put at its front."""
+    middle = F.expr("cast(char_length(text) div 2 as int)")
+    cut = F.struct(middle.alias("start"), (middle + 12).alias("stop"), F.lit(" - ").alias("new"))
+    put = F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("Revised edition. ").alias("new"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(cut, put).alias("edits"))
+    return token_counts.count(docs, "edits")
+
+
+QUERIES = {f.__name__: f for f in (op3_toxicity, op5_sharding, op8_sentencepiece, op9_quality, op10_token_counts)}
 ORACLES: dict[str, str] = {}
