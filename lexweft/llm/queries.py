@@ -5,15 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sharding, spm, token_counts, toxicity
+from . import decontam, quality, sharding, spm, token_counts, toxicity, url_filters
 from .common import table
 
 
+#: The stated rules of op1, as (verdict, rule).
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.match(pages, URL_RULES, url_filters.mine(pages, table(spark, sf_dir, "labels")))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -36,5 +49,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(docs, "edits")
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op5_sharding, op8_sentencepiece, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_toxicity, op4_decontamination, op5_sharding, op8_sentencepiece, op9_quality, op10_token_counts)}
 ORACLES: dict[str, str] = {}

@@ -239,10 +239,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, max_bytes: in
         top = counts.where((F.col("toxic") >= 4) & (odds >= least) & (F.col("toxic") >= 30 * F.col("clean"))).orderBy(F.desc("toxic"), "entry").limit(max_entries)
         pure = {r["entry"]: (r["toxic"] + 1) / (r["toxic"] + r["clean"] + 1.1) for r in top.collect()}
         begins = {k for k in pure if k.endswith("*")}
-        for k, p in pure.items():
-            stem = k.rstrip("*")
-            if not any(f"{stem[:n]}*" in begins for n in range(4, len(stem) + (not k.endswith("*")))):
-                entries[k] = p
+        pure = {k: p for k, p in pure.items() if not any(f"{k[:n]}*" in begins for n in range(4, len(k) + 1 - 2 * k.endswith("*")))}
+        entries |= _cover(sample.where("y = 1"), pure, 2 if totals[1] >= 200 else 1)
     patterns = dict(PRIORS)
     if totals:
         matched = _pattern_counts(sample, entries)
@@ -252,6 +250,34 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, max_bytes: in
     return ToxicityModel(entries, patterns)
 
 
+def _cover(toxic: DataFrame, pure: dict[str, float], least: int) -> dict[str, float]:
+    """The entries that explain toxic documents: greedily by size, those with ``least`` not explained before
+    and, in samples of some size, those nearly as frequent as the most frequent one.
+
+    Words that merely belong to a much-copied toxic document explain nothing new and stay out.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = []
+            for text in batch["text"]:
+                words = set(LETTERS.findall(text.lower()))
+                held.append(sorted(k for w in words for k in (w, *(f"{w[:n]}*" for n in range(4, min(8, len(w)) + 1))) if k in pure))
+            yield pd.DataFrame({"held": held})
+
+    docs_of: dict[str, set[int]] = {k: set() for k in pure}
+    for i, r in enumerate(toxic.mapInPandas(run, "held array<string>").collect()):
+        for k in r["held"]:
+            docs_of[k].add(i)
+    chosen, explained = {}, set()
+    most = max(map(len, docs_of.values()), default=0)
+    for k in sorted(docs_of, key=lambda k: (-len(docs_of[k]), k)):
+        if len(docs_of[k] - explained) >= least or 10 * len(docs_of[k]) >= most >= 200:
+            chosen[k] = pure[k]
+            explained |= docs_of[k]
+    return chosen
+
+
 def _pattern_counts(sample: DataFrame, entries: dict[str, float]) -> dict[str, tuple[int, int]]:
     """By pattern: toxic documents and all documents among those whose matches all have it."""
 
