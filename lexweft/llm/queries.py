@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, sharding, spm, token_counts, toxicity, url_filters
+from . import decontam, line_dedup, quality, sharding, spm, token_counts, toxicity, url_filters
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digest(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(docs, "edits")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_toxicity, op4_decontamination, op5_sharding, op8_sentencepiece, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_toxicity, op4_decontamination, op5_sharding, op6_line_dedup, op8_sentencepiece, op9_quality, op10_token_counts)}
 ORACLES: dict[str, str] = {}
