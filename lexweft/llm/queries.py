@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, quality, sharding, spm, token_counts, toxicity, url_filters
+from . import decontam, line_dedup, ngram_join, quality, sharding, spm, token_counts, toxicity, url_filters
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.match(pages, URL_RULES, url_filters.mine(pages, table(spark, sf_dir, "labels")))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.groups(table(spark, sf_dir, "documents"), ngram_join.Join(n=4, percent=85)).drop("text_hash")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -53,5 +57,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(docs, "edits")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_toxicity, op4_decontamination, op5_sharding, op6_line_dedup, op8_sentencepiece, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_toxicity, op4_decontamination, op5_sharding, op6_line_dedup, op8_sentencepiece, op9_quality, op10_token_counts)}
 ORACLES: dict[str, str] = {}
