@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, ngram_join, quality, sharding, spm, token_counts, toxicity, url_filters
+from . import ann, decontam, line_dedup, ngram_join, quality, sharding, spm, token_counts, toxicity, url_filters
 from .common import table
 
 
@@ -44,6 +44,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digest(table(spark, sf_dir, "documents"))
 
@@ -57,5 +61,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(docs, "edits")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_toxicity, op4_decontamination, op5_sharding, op6_line_dedup, op8_sentencepiece, op9_quality, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_toxicity, op4_decontamination, op5_sharding, op6_line_dedup, op7_nearest_neighbours, op8_sentencepiece, op9_quality, op10_token_counts)}
 ORACLES: dict[str, str] = {}
