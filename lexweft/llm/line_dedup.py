@@ -27,63 +27,60 @@ def _keys() -> list:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """A row for each selected line: its key (did, th, p), its line number, its k-gram's hash, and its neighbours.
+    """A row for each selected line: its key (did, th, pos), its k-gram's hash g, and its neighbours.
 
-    p counts lines with words. before: hashes of the lines within GRAM + WINDOW words before, nearest first;
-    after: its own hash and those that start within twice GRAM + WINDOW words behind.
+    pos counts all lines of the text from 0. before: hashes of the lines within GRAM + WINDOW words before,
+    nearest first; after: its own hash and those that start within twice GRAM + WINDOW words behind; both leave
+    out lines without words. before_pos, after_pos: where those lines stand.
     """
     split = docs.where("text is not null").select(*_keys(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    line = F.trim(F.regexp_replace("line", r"[\t\r ]+", " "))
-    lines = split.withColumn("line", line).where("line != ''")
+    lines = split.withColumn("line", F.trim(F.translate("line", "\t\r", "  "))).where("line != ''")
     lines = lines.select("did", "th", "pos", F.xxhash64("line").alias("lh"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("nw"))
     lines = lines.repartition("did", "th").dropDuplicates(["did", "th", "pos"])
     doc = Window.partitionBy("did", "th")
     run = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumns({"s": F.coalesce(F.sum("nw").over(run), F.lit(0)), "p": F.row_number().over(doc.orderBy("pos"))})
+    lines = lines.withColumn("s", F.coalesce(F.sum("nw").over(run), F.lit(0)))
     by = doc.orderBy("s")
     gram, reach = by.rangeBetween(0, GRAM - 1), GRAM + WINDOW
     grams = lines.withColumns({"g": F.xxhash64(F.collect_list("lh").over(gram)), "gw": F.sum("nw").over(gram)})
     grams = grams.withColumns({
-        "least": F.min(F.when(F.col("gw") >= GRAM, F.struct("g", "p"))).over(by.rangeBetween(0, WINDOW - 1)),
+        "least": F.min(F.when(F.col("gw") >= GRAM, F.struct("g", "pos"))).over(by.rangeBetween(0, WINDOW - 1)),
         "before": F.reverse(F.collect_list("lh").over(by.rangeBetween(-reach, -1))),
         "after": F.collect_list("lh").over(by.rangeBetween(0, 2 * reach)),
+        "before_pos": F.reverse(F.collect_list("pos").over(by.rangeBetween(-reach, -1))),
+        "after_pos": F.collect_list("pos").over(by.rangeBetween(0, 2 * reach)),
     })
-    chosen = F.collect_list("least.p").over(by.rangeBetween(1 - WINDOW, 0))
-    return grams.withColumn("chosen", chosen).where(F.array_contains("chosen", F.col("p"))).select("did", "th", "p", "g", "before", "after")
+    chosen = F.collect_list("least.pos").over(by.rangeBetween(1 - WINDOW, 0))
+    return grams.withColumn("chosen", chosen).where(F.array_contains("chosen", F.col("pos"))).select("did", "th", "pos", "g", "before", "after", "before_pos", "after_pos")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """did, th, p of every line that belongs to a later repeat of a run of lines."""
+    """did, th, pos of every line that belongs to a later repeat of a run of lines."""
     marks = scratch(fingerprints(docs), "winnow")
-    first = marks.groupBy("g").agg(F.min(F.struct("did", "th", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first")
+    first = marks.groupBy("g").agg(F.min(F.struct("did", "th", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first")
     shared = scratch(marks.join(first, "g"), "shared")
-    own = F.struct("did", "th", "p")
+    own = F.struct("did", "th", "pos")
     earliest = shared.where(own == F.col("first")).select("g", F.col("before").alias("before0"), F.col("after").alias("after0"))
     later = shared.where(own != F.col("first")).join(earliest, "g")
-    same = "zip_with({0}, {0}0, (x, y) -> coalesce(x = y, false))"
-    reach = "if(array_position({0}, false) = 0, size({0}), array_position({0}, false) - 1)"
+    same = "array_position(zip_with({0}, {0}0, (x, y) -> coalesce(x = y, false)), false)"
     later = later.withColumns({"l": F.expr(same.format("before")), "r": F.expr(same.format("after"))})
-    later = later.select("did", "th", (F.col("p") - F.expr(reach.format("l"))).alias("lo"), (F.col("p") + F.expr(reach.format("r")) - 1).alias("hi"))
-    return later.distinct().select("did", "th", F.explode(F.expr("sequence(lo, hi)")).alias("p")).distinct()
+    alike = "if({1} = 0, {0}_pos, slice({0}_pos, 1, cast({1} - 1 as int)))"  # up to the first line that differs
+    alike = F.concat(F.expr(alike.format("before", "l")), F.expr(alike.format("after", "r")))
+    return later.select("did", "th", F.explode(alike).alias("pos")).distinct()
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs``, all columns kept, with repeated runs cut from text, and n_lines and n_removed added.
 
     Order: doc_id (nulls first), then a hash of the text, then the line; the earliest stays. Lines are compared
-    with white space squeezed; lines without words are neither compared nor deleted. Null text stays null, with
+    trimmed, tabs and carriage returns as blanks; lines without words are neither compared nor deleted. Null text stays null, with
     0 lines. Rows equal in doc_id and text are one document and get the same result. Existing columns n_lines
     and n_removed are replaced. An empty table gives no rows.
     """
-    gone = repeated(docs).groupBy("did", "th").agg(F.collect_set("p").alias("_gone")).withColumnsRenamed({"did": "_did", "th": "_th"})
+    gone = repeated(docs).groupBy("did", "th").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"did": "_did", "th": "_th"})
     did, th = _keys()
-    lines = F.split("text", "\n")
     out = docs.drop("n_lines", "n_removed").join(gone, (did == F.col("_did")) & (th == F.col("_th")), "left").drop("_did", "_th")
-    # Lines with words are numbered from 1 in the order they stand.
-    worded = "transform(split(text, '\\n'), x -> if(regexp_replace(x, '[\\t\\r ]+', '') = '', 0, 1))"
-    number = f"transform(sequence(0, size(_lines) - 1), i -> if(get(_worded, i) = 0, 0, aggregate(slice(_worded, 1, i + 1), 0, (s, x) -> s + x)))"
     hit = F.col("_gone").isNotNull()
-    out = out.withColumn("_lines", F.when(hit, lines)).withColumn("_worded", F.when(hit, F.expr(worded))).withColumn("_number", F.when(hit, F.expr(number)))
-    kept = F.expr("array_join(filter(_lines, (x, i) -> not array_contains(_gone, get(_number, i))), '\\n')")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    return out.withColumns({"n_lines": n_lines, "n_removed": F.when(hit, F.size("_gone")).otherwise(0), "text": F.when(hit, kept).otherwise(F.col("text"))}).drop("_gone", "_lines", "_worded", "_number")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
+    return out.withColumns({"n_lines": n_lines, "n_removed": F.when(hit, F.size("_gone")).otherwise(0), "text": F.when(hit, kept).otherwise(F.col("text"))}).drop("_gone")
