@@ -202,7 +202,7 @@ def search(embeddings: DataFrame, settings: Settings = Settings(), every: int =
                 for i, query in enumerate(qid):
                     limit = np.partition(d[i], k)[k] if len(x) > k else np.inf
                     for j in np.flatnonzero(d[i] <= limit * (1 + 1e-9) + 1e-12):  # the k + 1 nearest and ties
-                        score = float(np.sqrt(((q[i] - x[j]) ** 2).sum()))
+                        score = float(np.sqrt(np.cumsum((q[i] - x[j]) ** 2)[-1]))  # summed in order, as any plain loop does
                         found += [(int(query), int(c), score) for c in ids[start[j] : start[j + 1]] if c != query]
                 if found:
                     yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])

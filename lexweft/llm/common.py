@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Used only where the session names no spark.checkpoint.dir (tests, laptops).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
@@ -64,3 +68,38 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     ids = picked[0].unionByName(picked[1])
     texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes))
     return texts.join(F.broadcast(ids), "doc_id").select("text", "y")
+
+
+def add_columns(df: DataFrame, column: str, added: str, factory: Callable[[], Callable[[list], dict[str, list]]], keep: bool = False) -> DataFrame:
+    """``df`` with columns computed from ``column``, which goes unless ``keep``.
+
+    ``added`` is their schema; ``factory`` makes, once for each task, the function from a list of values to lists
+    by name. Other columns pass through as Arrow arrays, so that null and large integers stay exact.
+    """
+    new = T._parse_datatype_string(added)
+    left = [f for f in df.schema.fields if keep or f.name != column]
+    at = df.columns.index(column)
+    places = [i for i, f in enumerate(df.schema.fields) if keep or f.name != column]
+    kinds = to_arrow_schema(new)
+    names = [f.name for f in left] + new.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = factory()
+        for batch in batches:
+            made = make(batch.column(at).to_pylist())
+            arrays = [pa.array(made[f.name], type=f.type) for f in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in places] + arrays, names=names)
+
+    return df.mapInArrow(run, T.StructType(left + new.fields))
+
+
+def keep_rows(df: DataFrame, column: str, factory: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The rows of ``df`` whose value in ``column`` the function keeps, all columns as they are."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = factory()
+        for batch in batches:
+            yield batch.filter(pa.array(make(batch.column(at).to_pylist()), type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

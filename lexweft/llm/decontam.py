@@ -87,6 +87,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, partial
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns kept, that overlap no benchmark item (null-safe in doc_id)."""
-    leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
-    on = F.col("doc_id").eqNullSafe(F.col("_leak_id")) & (F.xxhash64("text") == F.col("_leak_hash"))
+    leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias("__lexweft_leak_id"), F.col("text_hash").alias("__lexweft_leak_hash")).distinct()
+    on = F.col("doc_id").eqNullSafe(F.col("__lexweft_leak_id")) & (F.xxhash64("text") == F.col("__lexweft_leak_hash"))
     return docs.join(leaks, on, "left_anti")

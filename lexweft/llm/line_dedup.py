@@ -77,10 +77,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     0 lines. Rows equal in doc_id and text are one document and get the same result. Existing columns n_lines
     and n_removed are replaced. An empty table gives no rows.
     """
-    gone = repeated(docs).groupBy("did", "th").agg(F.collect_set("pos").alias("_gone")).withColumnsRenamed({"did": "_did", "th": "_th"})
+    gone = repeated(docs).groupBy("did", "th").agg(F.collect_set("pos").alias("__lexweft_gone")).withColumnsRenamed({"did": "__lexweft_did", "th": "__lexweft_th"})
     did, th = _keys()
-    out = docs.drop("n_lines", "n_removed").join(gone, (did == F.col("_did")) & (th == F.col("_th")), "left").drop("_did", "_th")
-    hit = F.col("_gone").isNotNull()
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    out = docs.drop("n_lines", "n_removed").join(gone, (did == F.col("__lexweft_did")) & (th == F.col("__lexweft_th")), "left").drop("__lexweft_did", "__lexweft_th")
+    hit = F.col("__lexweft_gone").isNotNull()
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__lexweft_gone", i)), "\n")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
-    return out.withColumns({"n_lines": n_lines, "n_removed": F.when(hit, F.size("_gone")).otherwise(0), "text": F.when(hit, kept).otherwise(F.col("text"))}).drop("_gone")
+    return out.withColumns({"n_lines": n_lines, "n_removed": F.when(hit, F.size("__lexweft_gone")).otherwise(0), "text": F.when(hit, kept).otherwise(F.col("text"))}).drop("__lexweft_gone")

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, training_sample
+from .common import add_columns, held_out, training_sample
 
 
 @dataclass(frozen=True)
@@ -92,8 +91,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: in
 
 
 def zlib_crc(text: str) -> int:
-    import zlib
-
     return zlib.crc32(text.encode("utf-8", "replace"))
 
 
@@ -104,11 +101,11 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataF
     not read; an empty table gives no rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+
+    def factory():
         scorer = Scorer(model)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": scorer.scores(batch["text"].tolist())})
+        return lambda texts: {"score": scorer.scores(texts).tolist()}
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = own.mapInPandas(run, "doc_id long, held_out boolean, score double")
+    scored = add_columns(own, "text", "score double", factory)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import ann, decontam, line_dedup, ngram_join, quality, sharding, spm, token_counts, toxicity, url_filters
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 
 #: The stated rules of op1, as (verdict, rule).
@@ -19,7 +20,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.groups(table(spark, sf_dir, "documents"), ngram_join.Join(n=4, percent=85)).drop("text_hash")
+    return ngram_join.groups(table(spark, sf_dir, "documents"), ngram_join.Join(n=4, percent=85)).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,3 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_toxicity, op4_decontamination, op5_sharding, op6_line_dedup, op7_nearest_neighbours, op8_sentencepiece, op9_quality, op10_token_counts)}
-ORACLES: dict[str, str] = {}

@@ -18,10 +18,11 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import add_columns
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
@@ -308,32 +309,27 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "text", out: str =
     All other columns pass through, whatever their names; an existing ``out`` is replaced. Repeated rows are
     encoded alike; an empty table gives no rows.
     """
-    kept = docs.drop(out)
-    schema = kept.withColumn(out, F.lit(None).cast("array<int>")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def factory():
         model = load(path)
-        for batch in batches:
-            texts = batch[column].tolist()
-            ids = encode_batch(model, texts)
-            yield batch.assign(**{out: [None if t is None else np.frombuffer(b, dtype="<i4") for t, b in zip(texts, ids, strict=True)]})
+        return lambda texts: {out: [None if t is None else np.frombuffer(b, dtype="<i4") for t, b in zip(texts, encode_batch(model, texts), strict=True)]}
 
-    return kept.mapInPandas(run, schema)
+    return add_columns(docs.drop(out), column, f"`{out}` array<int>", factory, keep=True)
 
 
 def decode(frame: DataFrame, path: str = MODEL, column: str = "ids", out: str = "text") -> DataFrame:
     """Adds ``out``, the text of the ids in ``column``; null ids give null."""
-    kept = frame.drop(out)
-    schema = kept.withColumn(out, F.lit(None).cast("string")).schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def factory():
         model = load(path)
-        for batch in batches:
-            ids = batch[column].tolist()
+
+        def make(ids: list) -> dict[str, list]:
             texts = decode_batch(model, [np.asarray([] if i is None else i, dtype="<i4").tobytes() for i in ids])
-            yield batch.assign(**{out: [None if i is None else t for i, t in zip(ids, texts, strict=True)]})
+            return {out: [None if i is None else t for i, t in zip(ids, texts, strict=True)]}
 
-    return kept.mapInPandas(run, schema)
+        return make
+
+    return add_columns(frame.drop(out), column, f"`{out}` string", factory, keep=True)
 
 
 def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -343,20 +339,23 @@ def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
     and round_trip, no tokens.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def factory():
         model = load(path)
-        for batch in batches:
-            for lo in range(0, len(batch), 1000):
-                part = batch.iloc[lo : lo + 1000]
-                texts = part["text"].tolist()
-                ids = encode_batch(model, texts)
-                back = decode_batch(model, ids)
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].array, "n_tokens": [len(b) // 4 for b in ids],
-                    "ids_crc32": pd.array([None if t is None else zlib.crc32(b) for t, b in zip(texts, ids, strict=True)], dtype="Int64"),
-                    "decoded_crc32": pd.array([None if t is None else zlib.crc32(b.encode()) for t, b in zip(texts, back, strict=True)], dtype="Int64"),
-                    "round_trip": pd.array([None if t is None else t == b for t, b in zip(texts, back, strict=True)], dtype="boolean"),
-                })
+
+        def make(texts: list) -> dict[str, list]:
+            out: dict[str, list] = {"n_tokens": [], "ids_crc32": [], "decoded_crc32": [], "round_trip": []}
+            for lo in range(0, len(texts), 1000):
+                part = texts[lo : lo + 1000]
+                ids = encode_batch(model, part)
+                for t, b, back in zip(part, ids, decode_batch(model, ids), strict=True):
+                    null = t is None
+                    out["n_tokens"].append(len(b) // 4)
+                    out["ids_crc32"].append(None if null else zlib.crc32(b))
+                    out["decoded_crc32"].append(None if null else zlib.crc32(back.encode()))
+                    out["round_trip"].append(None if null else t == back)
+            return out
+
+        return make
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return own.mapInPandas(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean")
+    return add_columns(own, "text", "n_tokens long, ids_crc32 long, decoded_crc32 long, round_trip boolean", factory)

@@ -8,16 +8,16 @@ boundaries meet the old ones again, re-encodes those, and updates the sums on th
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import add_columns
+
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
 # Fixed value: the pre-token pattern that belongs to the vocabulary file.
@@ -121,6 +121,7 @@ class TokenTree:
         text = self.text[:start] + new + self.text[stop:]
         if not self.n_pretokens or not text:
             self._build(text)
+            self.encoded += self.n_pretokens
             return self.n_pretokens
         # A pre-token depends on the text up to two characters past its end, so two steps back are unaffected.
         k, i, at = self._back(*self._locate(max(0, start - 2)), 2)
@@ -202,22 +203,28 @@ def count(docs: DataFrame, edits: str | None = None, folder: str = TOKENIZERS) -
     are none. Repeated rows are counted alike; an empty table gives no rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = "array<struct<start:int,stop:int,new:string>>"
+    both = F.struct("text", (F.col(edits).cast(kind) if edits else F.lit(None).cast(kind)).alias("edits"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), both.alias("both"))
+
+    def factory():
         counts = Counts(encoding(folder))
-        for batch in batches:
-            rows = []
-            for doc_id, text, changes in zip(batch["doc_id"], batch["text"], batch["edits"], strict=True):
-                tree = TokenTree(text or "", counts)
-                before = tree.n_tokens, tree.n_pretokens
-                again = 0
-                for e in changes if changes is not None else ():
-                    start = min(max(0, int(e["start"] or 0)), len(tree.text))
-                    stop = min(max(start, int(e["stop"] or 0)), len(tree.text))
-                    again += tree.edit(start, stop, e["new"] or "")
-                rows.append((doc_id, *before, tree.n_tokens, again))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_pretokens", "n_tokens_edited", "n_reencoded"])
 
-    kind = "array<struct<start:int,stop:int,new:string>>"
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col(edits).cast(kind) if edits else F.lit(None).cast(kind)).alias("edits"))
-    out = own.mapInPandas(run, "doc_id long, n_tokens long, n_pretokens long, n_tokens_edited long, n_reencoded long")
+        def make(values: list) -> dict[str, list]:
+            out: dict[str, list] = {"n_tokens": [], "n_pretokens": [], "n_tokens_edited": [], "n_reencoded": []}
+            for v in values:
+                tree = TokenTree(v["text"] or "", counts)
+                out["n_tokens"].append(tree.n_tokens)
+                out["n_pretokens"].append(tree.n_pretokens)
+                for e in v["edits"] or ():
+                    if e is not None:
+                        start = min(max(0, e["start"] or 0), len(tree.text))
+                        tree.edit(start, min(max(start, e["stop"] or 0), len(tree.text)), e["new"] or "")
+                out["n_tokens_edited"].append(tree.n_tokens)
+                out["n_reencoded"].append(tree.encoded)
+            return out
+
+        return make
+
+    out = add_columns(own, "both", "n_tokens long, n_pretokens long, n_tokens_edited long, n_reencoded long", factory)
     return out if edits else out.drop("n_tokens_edited", "n_reencoded")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, training_sample
+from .common import add_columns, held_out, keep_rows, training_sample
 
 # Word classes that don't depend on labels.
 TARGETS = frozenset("you your yours yourself u ur they them he she him her du dich dir ihr euch sie er tu te toi vous il elle ils usted ustedes él ella ellos".split())
@@ -304,25 +304,26 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> Data
     are not read; an empty table gives no rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+
+    def factory():
         matcher = Matcher(model.entries)
-        for batch in batches:
-            found = [matcher.matches(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": [combine(m, model.patterns) for m in found], "n_matches": [len(m) for m in found]})
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = own.mapInPandas(run, "doc_id long, held_out boolean, score double, n_matches int")
+        def make(texts: list) -> dict[str, list]:
+            found = [matcher.matches(t) for t in texts]
+            return {"score": [combine(m, model.patterns) for m in found], "n_matches": [len(m) for m in found]}
+
+        return make
+
+    scored = add_columns(own, "text", "score double, n_matches int", factory)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_matches")
 
 
 def reject(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns kept, whose text scores below ``threshold``."""
-    schema = docs.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def factory():
         matcher = Matcher(model.entries)
-        for batch in batches:
-            keep = [combine(matcher.matches(t), model.patterns) < threshold for t in batch["text"]]
-            yield batch[keep]
+        return lambda texts: [combine(matcher.matches(t), model.patterns) < threshold for t in texts]
 
-    return docs.mapInPandas(run, schema)
+    return keep_rows(docs, "text", factory)
