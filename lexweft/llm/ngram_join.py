@@ -30,8 +30,6 @@ from .common import partitions, scratch
 #: blocks of BLOCK members, only where members are not yet known to hang together.
 SMALL = 8
 BLOCK = 2048
-#: Bins of the count sketch; the sum of bin differences of two sets never exceeds their symmetric difference.
-BINS = 32
 #: Parts with at most this many shingles are weak.
 WEAK = 1
 NO_ID = -(2**63)
@@ -101,8 +99,24 @@ def set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def bins(n: int) -> int:
+    """Bins of the sketch of a set of n shingles: the power of two that holds two to four of them each."""
+    return 1 << max(4, (max(n, 1) - 1).bit_length() - 2)
+
+
 def sketch(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=BINS), 65535).astype("<u2").tobytes()
+    """Counts of hashes by their leading bits, up to 255 each.
+
+    The sum of bin differences of two sets never exceeds their symmetric difference, at whatever number of bins
+    they are compared; so pairs too far apart are told without their sets.
+    """
+    n = bins(len(s))
+    return np.minimum(np.bincount((s >> np.uint64(65 - n.bit_length())).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def folded(sk: bytes, n: int) -> np.ndarray:
+    """A sketch at fewer bins."""
+    return np.frombuffer(sk, dtype=np.uint8).reshape(n, -1).sum(axis=1, dtype=np.int32)
 
 
 class PartEnum:
@@ -165,10 +179,20 @@ def _blocks(key: np.ndarray, n: int, columns: list[np.ndarray]) -> Iterator[tupl
     start = 0
     for p, stop in enumerate(ends.tolist()):
         if stop > start:
-            yield p, [c[start:stop].tobytes() for c in columns]
+            yield p, [b"".join(c[start:stop]) if c.dtype == object else c[start:stop].tobytes() for c in columns]
         start = stop
 
 
+def _sketches(packed: pd.Series, sizes: pd.Series) -> np.ndarray:
+    """Unpacks sketches, whose lengths follow from the sets' sizes."""
+    data, size = b"".join(packed), np.frombuffer(b"".join(sizes), dtype=np.int64)
+    ends = np.cumsum([bins(n) for n in size.tolist()]).tolist()
+    out = np.empty(len(size), dtype=object)
+    for i, (start, stop) in enumerate(zip([0, *ends], ends)):  # noqa: B905
+        out[i] = data[start:stop]
+    return out
+
+
 def describe(docs: DataFrame, join: Join) -> DataFrame:
     """did, th (hash of the text), sid (null for an empty set), n, sketch of every row."""
 
@@ -254,6 +278,17 @@ def _pairs(packed: DataFrame) -> DataFrame:
     return packed.where("length(a) > 0").mapInPandas(run, "a long, b long").distinct()
 
 
+def _members(packed: DataFrame) -> DataFrame:
+    """Distinct members of the lists of common signatures."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"sid": np.unique(np.frombuffer(b"".join(batch["b"]), dtype=np.int64))})
+
+    return packed.where("length(a) = 0").select("b").mapInPandas(run, "sid long")
+
+
 def _possible(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """Pairs whose sizes and sketches allow a link."""
     one = sets.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
@@ -262,10 +297,11 @@ def _possible(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                ka, kb = (np.frombuffer(b"".join(batch[c]), dtype="<u2").reshape(-1, BINS).astype(np.int64) for c in ("ka", "kb"))
-                most = (100 - join.percent) * (batch["na"] + batch["nb"]).to_numpy() // (100 + join.percent)
-                yield batch.loc[np.abs(ka - kb).sum(axis=1) <= most, ["a", "b"]]
+            near = []
+            for na, nb, ka, kb in zip(batch["na"], batch["nb"], batch["ka"], batch["kb"], strict=True):
+                n = min(len(ka), len(kb))
+                near.append(np.abs(folded(ka, n) - folded(kb, n)).sum() <= (100 - join.percent) * (na + nb) // (100 + join.percent))
+            yield batch.loc[near, ["a", "b"]]
 
     return both.select("a", "b", "na", "nb", "ka", "kb").mapInPandas(run, "a long, b long")
 
@@ -328,7 +364,7 @@ def _across(packed: DataFrame, sets: DataFrame, comps: DataFrame, join: Join, n:
         for batch in batches:
             if len(batch):
                 sid, comp, size = (batch[c].to_numpy(dtype=np.int64) for c in ("sid", "comp", "n"))
-                sk = np.frombuffer(b"".join(batch["sketch"]), dtype="<u2").reshape(-1, BINS)
+                sk = batch["sketch"].to_numpy()
                 rows = [*_blocks(sid.view(np.uint64), n, [sid, comp, size, sk])]
                 yield pd.DataFrame({"p": [p for p, _ in rows], "lid": None, **{name: [c[i] for _, c in rows] for i, name in enumerate(("sid", "comp", "n", "sketch"))}})
 
@@ -339,7 +375,7 @@ def _across(packed: DataFrame, sets: DataFrame, comps: DataFrame, join: Join, n:
         ids = np.frombuffer(b"".join(known["sid"]), dtype=np.int64)
         order = np.argsort(ids)
         comp, size = (np.frombuffer(b"".join(known[c]), dtype=np.int64)[order] for c in ("comp", "n"))
-        sk = np.frombuffer(b"".join(known["sketch"]), dtype="<u2").reshape(-1, BINS)[order]
+        sk = _sketches(known["sketch"], known["n"])[order]
         lid, sid = (np.frombuffer(b"".join(asked[c]), dtype=np.int64) for c in ("lid", "sid"))
         at = np.searchsorted(ids[order], sid)
         rows = [*_blocks(lid.view(np.uint64) >> np.uint64(8), n, [lid, sid, comp[at], size[at], sk[at]])]
@@ -347,19 +383,21 @@ def _across(packed: DataFrame, sets: DataFrame, comps: DataFrame, join: Join, n:
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         lid, sid, comp, size = (np.frombuffer(b"".join(frame[c]), dtype=np.int64) for c in ("lid", "sid", "comp", "n"))
-        sk = np.frombuffer(b"".join(frame["sketch"]), dtype="<u2").reshape(-1, BINS)
+        sk = _sketches(frame["sketch"], frame["n"])
         left, right = [], []
         order = np.argsort(lid, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(lid[order])) + 1):
             if (comp[own] == comp[own[0]]).all():
                 continue
             own = own[np.argsort(size[own], kind="stable")]
+            least = min(map(len, sk[own]))
+            matrix = np.stack([folded(sk[m], least) for m in own])
+            stops = np.searchsorted(size[own], size[own] * 100 // join.percent, side="right")
             for i, x in enumerate(own[:-1]):
-                rest = own[i + 1 : np.searchsorted(size[own], size[x] * 100 // join.percent, side="right")]
-                rest = rest[comp[rest] != comp[x]]
-                if len(rest):
-                    most = (100 - join.percent) * (size[x] + size[rest]) // (100 + join.percent)
-                    rest = rest[np.abs(sk[rest].astype(np.int32) - sk[x].astype(np.int32)).sum(axis=1) <= most]
+                at = i + 1 + np.flatnonzero(comp[own[i + 1 : stops[i]]] != comp[x])
+                if len(at):
+                    most = (100 - join.percent) * (size[x] + size[own[at]]) // (100 + join.percent)
+                    rest = own[at[np.abs(matrix[at] - matrix[i]).sum(axis=1) <= most]]
                     left.append(np.minimum(sid[x], sid[rest]))
                     right.append(np.maximum(sid[x], sid[rest]))
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0) if left else np.empty((0, 2), dtype=np.int64)
@@ -388,18 +426,16 @@ def groups(docs: DataFrame, join: Join) -> DataFrame:
     packed = scratch(_candidates(_signed(docs, join, count)), "candidates")
     slim = sets.select("sid", "n", "sketch")
 
-    def check(pairs: DataFrame, tag: str) -> DataFrame:
-        pairs = scratch(_possible(pairs, slim, join), f"{tag}-pairs")
-        needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-        where = sets.select("sid", "did", "th").join(needed, "sid", "left_semi")
-        texts = scratch(_keyed(docs).join(where, ["did", "th"]).select("sid", "text").dropDuplicates(["sid"]), f"{tag}-texts")
-        return scratch(_verified(pairs, texts, join), f"{tag}-links")
-
-    links = check(_pairs(packed), "first")
+    # One fetch of the texts that either round may need.
+    pairs = scratch(_possible(_pairs(packed), slim, join), "pairs")
+    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(_members(packed)).distinct()
+    where = sets.select("sid", "did", "th").join(needed, "sid", "left_semi")
+    texts = scratch(_keyed(docs).join(where, ["did", "th"]).select("sid", "text").dropDuplicates(["sid"]), "texts")
+    links = scratch(_verified(pairs, texts, join), "links")
     comps = components(links)
     more = scratch(_across(packed, slim, comps, join, count), "across")
     if not more.limit(1).isEmpty():
-        extra = check(more, "second")
+        extra = scratch(_verified(more, texts, join), "more-links")
         if not extra.limit(1).isEmpty():
             links = links.union(extra)
             comps = components(links)
