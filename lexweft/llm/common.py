@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Used only where the session names no spark.checkpoint.dir (tests, laptops).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
+#: Rows that a Python stage works on at once.
+SLICE = 1000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -28,12 +31,23 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     checkpoint it is columnar and carries its size, so that Spark can size joins by it.
     """
     spark = df.sparkSession
+    release(spark)
     path = f"{checkpoint_root(spark)}/lexweft/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files behind tables written before.
+
+    Spark's cleaner deletes a shuffle once its plan is garbage on the driver; a driver with a roomy heap seldom
+    collects, and files would pile up on the executors until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -86,9 +100,11 @@ def add_columns(df: DataFrame, column: str, added: str, factory: Callable[[], Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = factory()
         for batch in batches:
-            made = make(batch.column(at).to_pylist())
-            arrays = [pa.array(made[f.name], type=f.type) for f in kinds]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in places] + arrays, names=names)
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                made = make(part.column(at).to_pylist())
+                arrays = [pa.array(made[f.name], type=f.type) for f in kinds]
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in places] + arrays, names=names)
 
     return df.mapInArrow(run, T.StructType(left + new.fields))
 

@@ -4,8 +4,8 @@ A document is the set of its word shingles. Jaccard similarity of at least J bou
 difference by k = (1 - J) / (1 + J) * (|A| + |B|). Sets are put in bands of size; within a band, and between
 neighbouring bands, the shingle domain is cut into k + 1 + spare parts, so that two similar sets agree wholly in
 spare + 1 parts at least. The projection on one part is a signature (the enumerated subsets of PartEnum's second
-level are those of one part here). Parts with next to no shingles say little; a set leaves out the signatures of
-up to ``spare`` such parts, which can't hide a pair, and only sets with more of them emit all.
+level are those of one part here). Empty parts say nothing; a set leaves out the signatures of up to ``spare``
+empty parts, which can't hide a pair, and only sets with more of them sign those too.
 
 Python sees Arrow batches of numpy arrays; what travels between stages are packed blocks, hashed by signature.
 Sets are named by a hash of their content, so copies are one set from the start, and no pair of copies arises.
@@ -30,8 +30,6 @@ from .common import partitions, scratch
 #: blocks of BLOCK members, only where members are not yet known to hang together.
 SMALL = 8
 BLOCK = 2048
-#: Parts with at most this many shingles are weak.
-WEAK = 1
 NO_ID = -(2**63)
 PRIME = 0x9E3779B97F4A7C15
 
@@ -130,17 +128,19 @@ class PartEnum:
             self.lows.append(max(self.lows[-1] + 1, math.floor(self.lows[-1] * self.ratio) + 1))
 
     @lru_cache(maxsize=None)  # noqa: B019 - one instance lives as long as its worker
-    def parts(self, largest: int, typical: int) -> tuple[int, int]:
-        """(parts, spare) for pairs whose sizes sum up to ``largest`` at most."""
+    def parts(self, largest: int, smallest: int) -> tuple[int, int]:
+        """(parts, spare) for pairs whose sizes sum up to ``largest`` at most.
+
+        Spare parts are as many as a set of the ``smallest`` size will seldom leave empty; fewer would do too.
+        """
         k = math.floor((100 - self.join.percent) * largest / (100 + self.join.percent))
         if k == 0:
             return 1, 0
         spare = 0
         while True:
             n = k + 1 + spare
-            rate = typical / n
-            weak = n * sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(WEAK + 1))
-            if weak + 2 * math.sqrt(weak) <= spare or spare >= k + 4:
+            empty = n * math.exp(-smallest / n)
+            if empty + 2 * math.sqrt(empty) <= spare or spare >= k + 4:
                 return n, spare
             spare += 1
 
@@ -148,11 +148,11 @@ class PartEnum:
         """(tag, parts, spare) under which a set of this size is signed: its band, and the borders in reach."""
         band = int(np.searchsorted(self.lows, size, side="right")) - 1
         low, high = self.lows[band], self.lows[band + 1] - 1
-        out = [(2 * band, *self.parts(2 * high, (low + high) // 2))]
+        out = [(2 * band, *self.parts(2 * high, low))]
         for border, near in ((band, size * self.j <= low - 1), (band + 1, size >= self.j * (high + 1))):
             if near and border:
                 below = self.lows[border] - 1  # the largest set below the border; its partner has at most below / J
-                out.append((2 * border - 1, *self.parts(below + math.floor(below / self.j), below)))
+                out.append((2 * border - 1, *self.parts(below + math.floor(below / self.j), max(1, math.floor(below * self.j)))))
         return out
 
     def sign(self, s: np.ndarray) -> np.ndarray:
@@ -165,8 +165,7 @@ class PartEnum:
             held = np.bincount(part, minlength=n)
             sums = [np.bincount(part, weights=(half).astype(np.float64), minlength=n).astype(np.uint64) for half in (s & np.uint64(0xFFFFFFFF), s >> np.uint64(32))]
             own = _mix(_mix(sums[0] + salt) * np.uint64(PRIME) + sums[1] + (np.arange(n, dtype=np.uint64) << np.uint64(40)) + salt)
-            strong = held > WEAK
-            out.append(own if n - strong.sum() > spare else own[strong])
+            out.append(own if n - np.count_nonzero(held) > spare else own[held > 0])
         return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
@@ -267,15 +266,22 @@ def _candidates(signed: DataFrame) -> DataFrame:
     return signed.groupBy("p").applyInPandas(run, "a binary, b binary")
 
 
-def _pairs(packed: DataFrame) -> DataFrame:
-    """Distinct pairs of packed columns a, b."""
+def _pairs(packed: DataFrame, n: int) -> DataFrame:
+    """Distinct pairs of packed columns a, b: dealt by pair and made distinct while packed."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for a, b in zip(batch["a"], batch["b"], strict=True):
-                yield pd.DataFrame({"a": np.frombuffer(a, dtype=np.int64), "b": np.frombuffer(b, dtype=np.int64)})
+            a, b = (np.frombuffer(b"".join(batch[c]), dtype=np.int64) for c in ("a", "b"))
+            rows = [*_blocks(_mix(a.view(np.uint64) * np.uint64(3) + b.view(np.uint64)), n, [a, b])]
+            yield pd.DataFrame({"p": [p for p, _ in rows], "a": [c[0] for _, c in rows], "b": [c[1] for _, c in rows]})
 
-    return packed.where("length(a) > 0").mapInPandas(run, "a long, b long").distinct()
+    def distinct(frame: pd.DataFrame) -> pd.DataFrame:
+        pairs = np.stack([np.frombuffer(b"".join(frame[c]), dtype=np.int64) for c in ("a", "b")], axis=1)
+        pairs = np.unique(pairs, axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    dealt = packed.where("length(a) > 0").mapInPandas(deal, "p int, a binary, b binary")
+    return dealt.groupBy("p").applyInPandas(distinct, "a long, b long")
 
 
 def _members(packed: DataFrame) -> DataFrame:
@@ -354,9 +360,10 @@ def _across(packed: DataFrame, sets: DataFrame, comps: DataFrame, join: Join, n:
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for own in batch["b"]:
-                sid = np.frombuffer(own, dtype=np.int64)
-                lid = np.full(len(sid), xxhash.xxh3_64_intdigest(own) - (1 << 63), dtype=np.int64)
+            if len(batch):
+                lists = [np.frombuffer(own, dtype=np.int64) for own in batch["b"]]
+                lid = np.repeat([xxhash.xxh3_64_intdigest(own) - (1 << 63) for own in batch["b"]], [*map(len, lists)])
+                sid = np.concatenate(lists)
                 rows = [*_blocks(sid.view(np.uint64), n, [lid, sid])]
                 yield pd.DataFrame({"p": [p for p, _ in rows], "lid": [c[0] for _, c in rows], "sid": [c[1] for _, c in rows], "comp": None, "n": None, "sketch": None})
 
@@ -407,7 +414,7 @@ def _across(packed: DataFrame, sets: DataFrame, comps: DataFrame, join: Join, n:
     lists = packed.where("length(a) = 0").select("b").distinct().mapInPandas(spread, packing)
     joined = sets.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), "n", "sketch")
     known = joined.mapInPandas(pack, packing)
-    return _pairs(lists.unionByName(known).groupBy("p").applyInPandas(meet, packing).groupBy("p").applyInPandas(compare, "a binary, b binary"))
+    return _pairs(lists.unionByName(known).groupBy("p").applyInPandas(meet, packing).groupBy("p").applyInPandas(compare, "a binary, b binary"), n)
 
 
 def groups(docs: DataFrame, join: Join) -> DataFrame:
@@ -427,7 +434,7 @@ def groups(docs: DataFrame, join: Join) -> DataFrame:
     slim = sets.select("sid", "n", "sketch")
 
     # One fetch of the texts that either round may need.
-    pairs = scratch(_possible(_pairs(packed), slim, join), "pairs")
+    pairs = scratch(_possible(_pairs(packed, count), slim, join), "pairs")
     needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(_members(packed)).distinct()
     where = sets.select("sid", "did", "th").join(needed, "sid", "left_semi")
     texts = scratch(_keyed(docs).join(where, ["did", "th"]).select("sid", "text").dropDuplicates(["sid"]), "texts")
@@ -455,8 +462,9 @@ def keep_one(docs: DataFrame, join: Join) -> DataFrame:
     the smaller text hash stays; rows equal in doc_id and text stay or go together. A group of null doc_ids only
     keeps its rows of the smallest text hash.
     """
-    found = groups(docs, join).where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_did"), F.col("text_hash").alias("_th"), F.coalesce("component_id", F.lit(NO_ID)).alias("_comp")).distinct()
-    best = found.where("_did = _comp").groupBy("_did").agg(F.min("_th").alias("_best"))
-    gone = found.join(best, "_did", "left").where("_did != _comp or (_th != _best and _did != {0})".format(NO_ID)).select("_did", "_th")
-    did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.join(gone, (did == F.col("_did")) & (F.xxhash64("text") == F.col("_th")), "left_anti")
+    did, th = "__lexweft_did", "__lexweft_th"
+    found = groups(docs, join).where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(did), F.col("text_hash").alias(th), F.coalesce("component_id", F.lit(NO_ID)).alias("comp")).distinct()
+    best = found.where(F.col(did) == F.col("comp")).groupBy(did).agg(F.min(th).alias("best"))
+    gone = found.join(best, did, "left").where((F.col(did) != F.col("comp")) | ((F.col(th) != F.col("best")) & (F.col(did) != NO_ID))).select(did, th)
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return docs.join(gone, (own == F.col(did)) & (F.xxhash64("text") == F.col(th)), "left_anti")
