@@ -36,7 +36,17 @@ def read_documents(spark: SparkSession, folder: str, glob: str, fields: tuple[st
     """
     if not _exists(spark, folder):
         raise InvalidConfig(f"no such folder: {folder}")
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True).select(_stem().alias(key), F.col("_metadata.file_path").alias("path"), "value")
+    return parse(files(spark.read, folder, glob, key), fields, key, strict)
+
+
+def files(reader, folder: str, glob: str, key: str) -> DataFrame:
+    """key (the file's stem), path and whole text of files at any depth, by a batch or a stream reader."""
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": glob, "wholetext": "true"}
+    return reader.options(**options).format("text").load(folder).select(_stem().alias(key), F.col("_metadata.file_path").alias("path"), "value")
+
+
+def parse(files: DataFrame, fields: tuple[str, ...], key: str, strict: bool = True) -> DataFrame:
+    """Documents of files read as text; see ``read_documents``."""
     latest = Window.partitionBy(key).orderBy(F.desc("path"))
     files = files.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
     entry = ", ".join(f"{f}: string" for f in fields)

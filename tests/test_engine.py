@@ -180,3 +180,17 @@ def test_config_is_checked():
         Config(top_k=0)
     with pytest.raises(InvalidConfig):
         Config(scope="other")
+
+
+def test_arriving_files(spark, folders, tmp_path):
+    from lexweft.streaming.incremental import align_arriving
+
+    config = Config(*folders, dim=32)
+    elements = documents.read_reference(spark, folders[0])
+    out, check = str(tmp_path / "reports"), str(tmp_path / "check")
+    for name, text in (("first_processed.json", "waves on the sea"), ("second_processed.json", "the red fox")):
+        put(folders[1], name, [block("1", text)])
+        align_arriving(AlignmentEngine(spark, config), elements, out, check).awaitTermination()
+    reports = {r.pdf_document_id: r.best_match.xml_document_id for r in spark.read.parquet(out).collect()}
+    assert reports == {"red-fox_processed": "red fox", "nothing_processed": "blue-sea", "first_processed": "blue-sea", "second_processed": "red fox"}
+    assert len([d for d in os.listdir(out) if d.startswith("batch=")]) == 2
