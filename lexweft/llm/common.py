@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +86,35 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return texts.join(F.broadcast(ids), "doc_id").select("text", "y")
 
 
+def tidy() -> None:
+    """Gives memory that a Python stage has freed back to the system; idle workers would keep it beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A batch function that tidies up when its task ends."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
+def sliced(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """The batches in pieces of up to ``rows`` rows."""
+    for batch in batches:
+        for lo in range(0, len(batch), rows):
+            yield batch.iloc[lo : lo + rows]
+
+
 def add_columns(df: DataFrame, column: str, added: str, factory: Callable[[], Callable[[list], dict[str, list]]], keep: bool = False) -> DataFrame:
     """``df`` with columns computed from ``column``, which goes unless ``keep``.
 
@@ -106,7 +137,7 @@ def add_columns(df: DataFrame, column: str, added: str, factory: Callable[[], Ca
                 arrays = [pa.array(made[f.name], type=f.type) for f in kinds]
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in places] + arrays, names=names)
 
-    return df.mapInArrow(run, T.StructType(left + new.fields))
+    return df.mapInArrow(tidied(run), T.StructType(left + new.fields))
 
 
 def keep_rows(df: DataFrame, column: str, factory: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
@@ -118,4 +149,4 @@ def keep_rows(df: DataFrame, column: str, factory: Callable[[], Callable[[list],
         for batch in batches:
             yield batch.filter(pa.array(make(batch.column(at).to_pylist()), type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)

@@ -1,11 +1,12 @@
 """N-gram Jaccard join by PartEnum signatures, and the groups of documents that its links form.
 
 A document is the set of its word shingles. Jaccard similarity of at least J bounds the size of the symmetric
-difference by k = (1 - J) / (1 + J) * (|A| + |B|). Sets are put in bands of size; within a band, and between
-neighbouring bands, the shingle domain is cut into k + 1 + spare parts, so that two similar sets agree wholly in
-spare + 1 parts at least. The projection on one part is a signature (the enumerated subsets of PartEnum's second
-level are those of one part here). Empty parts say nothing; a set leaves out the signatures of up to ``spare``
-empty parts, which can't hide a pair, and only sets with more of them sign those too.
+difference by k = (1 - J) / (1 + J) * (|A| + |B|). Sets are put in bands of size. Within a band, and between
+neighbouring bands, the shingle domain is cut into first-level parts, so many that in some of them two similar
+sets differ in at most ``differences`` shingles; each is cut into ``subparts``, and all subsets of them that leave
+out ``differences`` are enumerated: at least one holds no difference, and its projection is a signature that both
+sets have. Empty projections say nothing; a set leaves them out while at most ``spare`` first-level parts have any,
+which can't hide a pair as that many more parts are cut, and only sets with more of them sign those too.
 
 Python sees Arrow batches of numpy arrays; what travels between stages are packed blocks, hashed by signature.
 Sets are named by a hash of their content, so copies are one set from the start, and no pair of copies arises.
@@ -13,6 +14,7 @@ Sets are named by a hash of their content, so copies are one set from the start,
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,22 +26,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch
+from .common import partitions, scratch, sliced, tidied
 
 #: Signature groups up to this size are compared in all pairs; larger ones with their first member, then, by
 #: blocks of BLOCK members, only where members are not yet known to hang together.
 SMALL = 8
 BLOCK = 2048
+#: Rows that a Python stage works on at once.
+CHUNK = 2000
 NO_ID = -(2**63)
 PRIME = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
 class Join:
-    """Shingles of ``n`` words; links at 100 * intersection >= ``percent`` * union."""
+    """Shingles of ``n`` words; links at 100 * intersection >= ``percent`` * union.
+
+    differences and subparts shape the second level of the signatures; results don't depend on them.
+    """
 
     n: int = 5
     percent: int = 80
+    differences: int = 1
+    subparts: int = 3
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -126,20 +135,24 @@ class PartEnum:
         self.lows = [1]
         while self.lows[-1] < 1 << 40:
             self.lows.append(max(self.lows[-1] + 1, math.floor(self.lows[-1] * self.ratio) + 1))
+        chosen = [*itertools.combinations(range(join.subparts), join.subparts - join.differences)]
+        self.subsets = np.array([[i in c for c in chosen] for i in range(join.subparts)], dtype=np.float64)
 
     @lru_cache(maxsize=None)  # noqa: B019 - one instance lives as long as its worker
     def parts(self, largest: int, smallest: int) -> tuple[int, int]:
-        """(parts, spare) for pairs whose sizes sum up to ``largest`` at most.
+        """(first-level parts, spare) for pairs whose sizes sum up to ``largest`` at most; no parts if none can link.
 
-        Spare parts are as many as a set of the ``smallest`` size will seldom leave empty; fewer would do too.
+        Spare parts are as many as a set of the ``smallest`` size will seldom have with an empty projection; fewer
+        would do too.
         """
         k = math.floor((100 - self.join.percent) * largest / (100 + self.join.percent))
-        if k == 0:
-            return 1, 0
+        if k == 0:  # such sets link only if they are equal, and then they are one set
+            return 0, 0
+        share = 1 - self.join.differences / self.join.subparts
         spare = 0
         while True:
-            n = k + 1 + spare
-            empty = n * math.exp(-smallest / n)
+            n = k // (self.join.differences + 1) + 1 + spare
+            empty = n * min(1, self.subsets.shape[1] * math.exp(-share * smallest / n))
             if empty + 2 * math.sqrt(empty) <= spare or spare >= k + 4:
                 return n, spare
             spare += 1
@@ -153,19 +166,23 @@ class PartEnum:
             if near and border:
                 below = self.lows[border] - 1  # the largest set below the border; its partner has at most below / J
                 out.append((2 * border - 1, *self.parts(below + math.floor(below / self.j), max(1, math.floor(below * self.j)))))
-        return out
+        return [t for t in out if t[1]]
 
     def sign(self, s: np.ndarray) -> np.ndarray:
         """The signatures of a set."""
         out = []
-        for tag, n, spare in self.tags(len(s)):
+        for tag, parts, spare in self.tags(len(s)):
             salt = np.uint64((tag * 2 + 1) * PRIME & (1 << 64) - 1)
-            mixed = _mix(s + salt)
-            part = ((mixed >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-            held = np.bincount(part, minlength=n)
-            sums = [np.bincount(part, weights=(half).astype(np.float64), minlength=n).astype(np.uint64) for half in (s & np.uint64(0xFFFFFFFF), s >> np.uint64(32))]
-            own = _mix(_mix(sums[0] + salt) * np.uint64(PRIME) + sums[1] + (np.arange(n, dtype=np.uint64) << np.uint64(40)) + salt)
-            out.append(own if n - np.count_nonzero(held) > spare else own[held > 0])
+            n = parts * self.join.subparts
+            part = ((_mix(s + salt) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+            # Counts and sums of halves (exact in doubles) by subpart, then by enumerated subset.
+            held, low, high = (
+                np.bincount(part, weights=w, minlength=n).reshape(parts, -1) @ self.subsets
+                for w in (None, (s & np.uint64(0xFFFFFFFF)).astype(np.float64), (s >> np.uint64(32)).astype(np.float64))
+            )
+            place = np.arange(held.size, dtype=np.uint64).reshape(held.shape) << np.uint64(40)
+            own = _mix(_mix(low.astype(np.uint64) + salt) * np.uint64(PRIME) + high.astype(np.uint64) + place + salt)
+            out.append(own.ravel() if (held == 0).any(axis=1).sum() > spare else own[held > 0])
         return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
@@ -196,12 +213,12 @@ def describe(docs: DataFrame, join: Join) -> DataFrame:
     """did, th (hash of the text), sid (null for an empty set), n, sketch of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in sliced(batches, CHUNK):
             sets = [shingles(t, join.n) for t in batch["text"]]
             sid = pd.array([set_id(s) if len(s) else None for s in sets], dtype="Int64")
             yield pd.DataFrame({"did": batch["did"], "th": batch["th"], "sid": sid, "n": [len(s) for s in sets], "sketch": [sketch(s) for s in sets]})
 
-    return _keyed(docs).mapInPandas(run, "did long, th long, sid long, n long, sketch binary")
+    return _keyed(docs).mapInPandas(tidied(run), "did long, th long, sid long, n long, sketch binary")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -213,7 +230,7 @@ def _signed(docs: DataFrame, join: Join, n: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scheme = PartEnum(join)
-        for batch in batches:
+        for batch in sliced(batches, CHUNK):
             signs, sids = [], []
             seen: set[int] = set()
             for text in batch["text"]:
@@ -228,7 +245,7 @@ def _signed(docs: DataFrame, join: Join, n: int) -> DataFrame:
                 rows = [*_blocks(sign & np.uint64(0xFFFFFFFF), n, [short, sid])]
                 yield pd.DataFrame({"p": [p for p, _ in rows], "sign": [c[0] for _, c in rows], "sid": [c[1] for _, c in rows]})
 
-    return docs.select("text").mapInPandas(run, "p int, sign binary, sid binary")
+    return docs.select("text").mapInPandas(tidied(run), "p int, sign binary, sid binary")
 
 
 def _candidates(signed: DataFrame) -> DataFrame:
@@ -280,7 +297,7 @@ def _pairs(packed: DataFrame, n: int) -> DataFrame:
         pairs = np.unique(pairs, axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    dealt = packed.where("length(a) > 0").mapInPandas(deal, "p int, a binary, b binary")
+    dealt = packed.where("length(a) > 0").mapInPandas(tidied(deal), "p int, a binary, b binary")
     return dealt.groupBy("p").applyInPandas(distinct, "a long, b long")
 
 
@@ -292,7 +309,7 @@ def _members(packed: DataFrame) -> DataFrame:
             if len(batch):
                 yield pd.DataFrame({"sid": np.unique(np.frombuffer(b"".join(batch["b"]), dtype=np.int64))})
 
-    return packed.where("length(a) = 0").select("b").mapInPandas(run, "sid long")
+    return packed.where("length(a) = 0").select("b").mapInPandas(tidied(run), "sid long")
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -309,7 +326,7 @@ def _possible(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
                 near.append(np.abs(folded(ka, n) - folded(kb, n)).sum() <= (100 - join.percent) * (na + nb) // (100 + join.percent))
             yield batch.loc[near, ["a", "b"]]
 
-    return both.select("a", "b", "na", "nb", "ka", "kb").mapInPandas(run, "a long, b long")
+    return both.select("a", "b", "na", "nb", "ka", "kb").mapInPandas(tidied(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
@@ -335,7 +352,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
 
     one = texts.select(F.col("sid").alias("a"), F.col("text").alias("ta"))
     two = texts.select(F.col("sid").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInPandas(tidied(run), "a long, b long")
 
 
 def components(edges: DataFrame, tag: str = "labels") -> DataFrame:
@@ -411,9 +428,9 @@ def _across(packed: DataFrame, sets: DataFrame, comps: DataFrame, join: Join, n:
         return pd.DataFrame({"a": [pairs[:, 0].tobytes()], "b": [pairs[:, 1].tobytes()]})
 
     packing = "p int, lid binary, sid binary, comp binary, n binary, sketch binary"
-    lists = packed.where("length(a) = 0").select("b").distinct().mapInPandas(spread, packing)
+    lists = packed.where("length(a) = 0").select("b").distinct().mapInPandas(tidied(spread), packing)
     joined = sets.join(comps.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp"), "n", "sketch")
-    known = joined.mapInPandas(pack, packing)
+    known = joined.mapInPandas(tidied(pack), packing)
     return _pairs(lists.unionByName(known).groupBy("p").applyInPandas(meet, packing).groupBy("p").applyInPandas(compare, "a binary, b binary"), n)
 
 

@@ -28,10 +28,10 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BASE = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 500_000
+CACHE = 200_000
 #: Words beyond this many characters are merged one by one with a heap.
 LONG = 1024
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -270,9 +270,9 @@ def normalise(model: Model, text: str) -> str:
     return (SPACE if model.prefix and text else "") + text.replace(" ", SPACE)
 
 
-def encode_batch(model: Model, texts: list[str | None]) -> list[bytes]:
-    """Ids of whole texts, as little-endian 32-bit numbers. Words seen before come from a bounded cache."""
-    words = model.cache.setdefault("words", {})
+def encode_batch(model: Model, texts: list[str | None], words: dict[str, bytes] | None = None) -> list[bytes]:
+    """Ids of whole texts, as little-endian 32-bit numbers. ``words`` keeps words seen before, up to CACHE."""
+    words = {} if words is None else words
     out: list[bytes] = []
     chunk: list[list[str]] = []
     size = 0
@@ -311,8 +311,8 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "text", out: str =
     """
 
     def factory():
-        model = load(path)
-        return lambda texts: {out: [None if t is None else np.frombuffer(b, dtype="<i4") for t, b in zip(texts, encode_batch(model, texts), strict=True)]}
+        model, words = load(path), {}
+        return lambda texts: {out: [None if t is None else np.frombuffer(b, dtype="<i4") for t, b in zip(texts, encode_batch(model, texts, words), strict=True)]}
 
     return add_columns(docs.drop(out), column, f"`{out}` array<int>", factory, keep=True)
 
@@ -340,13 +340,13 @@ def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """
 
     def factory():
-        model = load(path)
+        model, words = load(path), {}
 
         def make(texts: list) -> dict[str, list]:
             out: dict[str, list] = {"n_tokens": [], "ids_crc32": [], "decoded_crc32": [], "round_trip": []}
             for lo in range(0, len(texts), 1000):
                 part = texts[lo : lo + 1000]
-                ids = encode_batch(model, part)
+                ids = encode_batch(model, part, words)
                 for t, b, back in zip(part, ids, decode_batch(model, ids), strict=True):
                     null = t is None
                     out["n_tokens"].append(len(b) // 4)

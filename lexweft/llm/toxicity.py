@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, held_out, keep_rows, training_sample
+from .common import add_columns, held_out, keep_rows, tidied, training_sample
 
 # Word classes that don't depend on labels.
 TARGETS = frozenset("you your yours yourself u ur they them he she him her du dich dir ihr euch sie er tu te toi vous il elle ils usted ustedes él ella ellos".split())
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, max_bytes: in
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     entries = {k: 0.9 for k in INSULTS}
     if 0 < share < 1:
-        counts = sample.mapInPandas(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        counts = sample.mapInPandas(tidied(count), "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         odds = F.col("toxic") * -math.log(share) - F.col("clean") * 8
         top = counts.where((F.col("toxic") >= 4) & (odds >= least) & (F.col("toxic") >= 30 * F.col("clean"))).orderBy(F.desc("toxic"), "entry").limit(max_entries)
         pure = {r["entry"]: (r["toxic"] + 1) / (r["toxic"] + r["clean"] + 1.1) for r in top.collect()}
@@ -266,7 +266,7 @@ def _cover(toxic: DataFrame, pure: dict[str, float], least: int) -> dict[str, fl
             yield pd.DataFrame({"held": held})
 
     docs_of: dict[str, set[int]] = {k: set() for k in pure}
-    for i, r in enumerate(toxic.mapInPandas(run, "held array<string>").collect()):
+    for i, r in enumerate(toxic.mapInPandas(tidied(run), "held array<string>").collect()):
         for k in r["held"]:
             docs_of[k].add(i)
     chosen, explained = {}, set()
@@ -291,7 +291,7 @@ def _pattern_counts(sample: DataFrame, entries: dict[str, float]) -> dict[str, t
         yield pd.DataFrame([(p, y, n) for (p, y), n in found.items()], columns=["pattern", "y", "n"])
 
     out: dict[str, tuple[int, int]] = {}
-    for r in sample.mapInPandas(run, "pattern string, y int, n long").groupBy("pattern", "y").agg(F.sum("n").alias("n")).collect():
+    for r in sample.mapInPandas(tidied(run), "pattern string, y int, n long").groupBy("pattern", "y").agg(F.sum("n").alias("n")).collect():
         toxic, n = out.get(r["pattern"], (0, 0))
         out[r["pattern"]] = (toxic + r["n"] * r["y"], n + r["n"])
     return out
