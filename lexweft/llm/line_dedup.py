@@ -1,9 +1,11 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
-Lines are weighed by their words. A k-gram at a line is that line and the next ones up to GRAM words; a window
-holds the k-grams that start within WINDOW words, and its least hash is a fingerprint. Two documents that share
-a run of lines of GRAM + WINDOW words share one of its windows whole, hence a fingerprint. Each fingerprint is
-joined to its earliest position, the match is extended line by line both ways, and all but the earliest go.
+Lines are cut at sentence ends too, so that a passage that stands within a line is found as well; a piece is called
+a line here. Lines are weighed by their bytes. The k-gram at a line is that line and the next ones up to GRAM
+bytes; as many k-grams as start within those bytes form a window, and the window's least hash is a fingerprint. Two
+documents that share a run of lines of 2 * GRAM bytes share a window whole, hence a fingerprint. Each fingerprint
+is joined to its earliest position, matches on one diagonal are extended line by line both ways, and all but the
+earliest go.
 """
 
 from __future__ import annotations
@@ -14,10 +16,14 @@ from pyspark.sql.window import Window
 
 from .common import scratch
 
-#: Words of a k-gram: no repeated run shorter than this is deleted (runs that match are at least a k-gram long).
-GRAM = 25
-#: Words of a winnowing window; repeated runs of GRAM + WINDOW words and more are always found.
-WINDOW = 25
+#: Bytes of a k-gram (some 17 words): no repeated run shorter than this is deleted; runs of twice as many bytes
+#: are always found, so every repeated run of 50 words of three letters and more.
+GRAM = 100
+#: A mark put behind line ends: line feeds, and stops with a blank. Should a text hold it, it ends a line as well.
+MARK = "\x01"
+ENDS = ("\n", ". ", "! ", "? ")
+#: Lines of a k-gram whose bytes are summed up term by term; the rest of a longer one is summed up in a loop.
+TERMS = 8
 #: Stands for a null doc_id in keys.
 NO_ID = -(2**63)
 
@@ -26,61 +32,100 @@ def _keys() -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("th")]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """A row for each selected line: its key (did, th, pos), its k-gram's hash g, and its neighbours.
+def _once(df: DataFrame, **columns: str) -> DataFrame:
+    """Adds columns that are computed once for each row.
+
+    Without the generator in between, the optimizer would copy them into the lambdas of later steps, which would
+    compute whole arrays again for each element.
+    """
+    made = ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
+    out = df.select(*df.columns, F.explode(F.expr(f"array(struct({made}))")).alias("_made"))
+    return out.select(*df.columns, *[F.col(f"_made.{c}").alias(c) for c in columns])
+
+
+def _lines(text: str = "text"):
+    """The lines of a text, line ends included."""
+    marked = F.col(text)
+    for end in ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
+    return F.split(marked, MARK)
 
-    pos counts all lines of the text from 0. before: hashes of the lines within GRAM + WINDOW words before,
-    nearest first; after: its own hash and those that start within twice GRAM + WINDOW words behind; both leave
-    out lines without words. before_pos, after_pos: where those lines stand.
+
+def _reach() -> str:
+    """SQL: how many lines from line i (of w bytes) on make GRAM bytes; 0 where the text ends before.
+
+    Up to TERMS lines, the usual case, are tried one by one; a loop sums up longer runs.
     """
-    split = docs.where("text is not null").select(*_keys(), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = split.withColumn("line", F.trim(F.translate("line", "\t\r", "  "))).where("line != ''")
-    lines = lines.select("did", "th", "pos", F.xxhash64("line").alias("lh"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("nw"))
-    lines = lines.repartition("did", "th").dropDuplicates(["did", "th", "pos"])
-    doc = Window.partitionBy("did", "th")
-    run = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("s", F.coalesce(F.sum("nw").over(run), F.lit(0)))
-    by = doc.orderBy("s")
-    gram, reach = by.rangeBetween(0, GRAM - 1), GRAM + WINDOW
-    grams = lines.withColumns({"g": F.xxhash64(F.collect_list("lh").over(gram)), "gw": F.sum("nw").over(gram)})
-    grams = grams.withColumns({
-        "least": F.min(F.when(F.col("gw") >= GRAM, F.struct("g", "pos"))).over(by.rangeBetween(0, WINDOW - 1)),
-        "before": F.reverse(F.collect_list("lh").over(by.rangeBetween(-reach, -1))),
-        "after": F.collect_list("lh").over(by.rangeBetween(0, 2 * reach)),
-        "before_pos": F.reverse(F.collect_list("pos").over(by.rangeBetween(-reach, -1))),
-        "after_pos": F.collect_list("pos").over(by.rangeBetween(0, 2 * reach)),
-    })
-    chosen = F.collect_list("least.pos").over(by.rangeBetween(1 - WINDOW, 0))
-    return grams.withColumn("chosen", chosen).where(F.array_contains("chosen", F.col("pos"))).select("did", "th", "pos", "g", "before", "after", "before_pos", "after_pos")
+    loop = f"aggregate(slice(nw, i + 1, {GRAM}), struct(0 AS w, 0 AS n), (a, x) -> if(a.w >= {GRAM}, a, struct(a.w + x AS w, a.n + 1 AS n)), a -> if(a.w >= {GRAM}, a.n, 0))"
+    cases = f"WHEN w >= {GRAM} THEN 1"
+    for k in range(1, TERMS):
+        cases += f" WHEN w + {' + '.join(f'get(nw, i + {j})' for j in range(1, k + 1))} >= {GRAM} THEN {k + 1}"
+    return f"CASE {cases} WHEN get(nw, i + {TERMS}) IS NULL THEN 0 ELSE {loop} END"
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """A row for each document: did, th, lh (hashes of its lines with words), pos (where they stand among all lines),
+    and marks (array of (i, n, g): first line, number of lines and hash of each fingerprint's k-gram)."""
+    text = docs.where("text is not null").select(*_keys(), _lines().alias("lines"))
+    clean = "transform(lines, x -> trim(BOTH ' \\t\\r\\n' FROM x))"
+    cut = _once(text, u=f"filter(transform({clean}, (x, i) -> struct(xxhash64(x) AS h, octet_length(x) AS w, i AS i)), s -> s.w > 0)").drop("lines")
+    cut = _once(cut, lh="u.h", nw="u.w", pos="u.i").drop("u")
+    cut = _once(cut.where("size(lh) > 0"), k=f"transform(nw, (w, i) -> {_reach()})").drop("nw")
+    cut = _once(cut, g="transform(k, (n, i) -> CASE n WHEN 0 THEN null WHEN 1 THEN xxhash64(get(lh, i)) WHEN 2 THEN xxhash64(get(lh, i), get(lh, i + 1)) ELSE xxhash64(slice(lh, i + 1, n)) END)")
+    # The window at line i holds the k-grams that start within its k-gram; a null stands for one cut off by the end.
+    least = "i + cast(array_position(slice(g, i + 1, n), array_min(slice(g, i + 1, n))) as int) - 1"
+    cut = _once(cut, at=f"array_distinct(filter(transform(k, (n, i) -> CASE n WHEN 0 THEN null WHEN 1 THEN i WHEN 2 THEN if(get(g, i + 1) < get(g, i), i + 1, i) ELSE {least} END), x -> x is not null))")
+    return cut.select("did", "th", "lh", "pos", F.expr("transform(at, i -> struct(i, get(k, i) AS n, get(g, i) AS g))").alias("marks"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """did, th, pos of every line that belongs to a later repeat of a run of lines."""
-    marks = scratch(fingerprints(docs), "winnow")
-    first = marks.groupBy("g").agg(F.min(F.struct("did", "th", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("g", "first")
-    shared = scratch(marks.join(first, "g"), "shared")
-    own = F.struct("did", "th", "pos")
-    earliest = shared.where(own == F.col("first")).select("g", F.col("before").alias("before0"), F.col("after").alias("after0"))
-    later = shared.where(own != F.col("first")).join(earliest, "g")
-    same = "array_position(zip_with({0}, {0}0, (x, y) -> coalesce(x = y, false)), false)"
-    later = later.withColumns({"l": F.expr(same.format("before")), "r": F.expr(same.format("after"))})
-    alike = "if({1} = 0, {0}_pos, slice({0}_pos, 1, cast({1} - 1 as int)))"  # up to the first line that differs
-    alike = F.concat(F.expr(alike.format("before", "l")), F.expr(alike.format("after", "r")))
-    return later.select("did", "th", F.explode(alike).alias("pos")).distinct()
+    """did, th, gone (first and last line of later repeats of runs, counting all lines from 0) and n (lines with words
+    in them) of every document with some."""
+    lines = scratch(fingerprints(docs), "winnow")
+    marks = lines.select("did", "th", F.explode("marks").alias("m")).select("did", "th", "m.i", "m.n", "m.g").distinct()
+    first = marks.groupBy("g").agg(F.min(F.struct("did", "th", "i")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("g", "first")
+    later = marks.join(first, "g").where(F.struct("did", "th", "i") != F.col("first"))
+    # Matched k-grams cover each other within a run; where nothing does, they are extended.
+    doc = Window.partitionBy("did", "th").orderBy("i")
+    later = later.withColumns({"open_left": F.coalesce(F.lag(F.col("i") + F.col("n")).over(doc) < F.col("i"), F.lit(True)), "open_right": F.coalesce(F.lead("i").over(doc) > F.col("i") + F.col("n"), F.lit(True))})
+    later = scratch(later.drop("g"), "matches")
+    own = lines.select("did", "th", "lh").dropDuplicates(["did", "th"])
+    there = own.select(F.col("did").alias("did0"), F.col("th").alias("th0"), F.col("lh").alias("lh0"))
+    ends = later.where("open_left or open_right").select("did", "th", "i", "n", "open_left", "open_right", F.col("first.did").alias("did0"), F.col("first.th").alias("th0"), F.col("first.i").alias("i0"))
+    both = ends.join(own, ["did", "th"]).join(there, ["did0", "th0"])
+    alike = "zip_with({0}, {1}, (x, y) -> coalesce(x = y, false))"
+    left = alike.format("reverse(slice(lh, 1, i))", "reverse(slice(lh0, 1, i0))")
+    right = alike.format("slice(lh, i + n + 1, size(lh))", "slice(lh0, i0 + n + 1, size(lh0))")
+    both = _once(both, same_left=f"if(open_left, {left}, array(false))", same_right=f"if(open_right, {right}, array(false))")
+    steps = "if(array_position({0}, false) = 0, size({0}), cast(array_position({0}, false) - 1 as int))"
+    longer = both.select("did", "th", F.expr(f"i - {steps.format('same_left')}").alias("lo"), F.expr(f"i + n + {steps.format('same_right')} - 1").alias("hi"))
+    runs = later.select("did", "th", F.col("i").alias("lo"), F.expr("i + n - 1").alias("hi")).unionByName(longer)
+    # Runs that meet become one; there are few of them in a document, however many k-grams matched.
+    last = "element_at(a, -1)"
+    join = f"concat(slice(a, 1, size(a) - 1), array(struct({last}.lo AS lo, greatest({last}.hi, r.hi) AS hi)))"
+    merge = f"aggregate(array_sort(collect_set(struct(lo, hi))), cast(array() AS array<struct<lo: int, hi: int>>), (a, r) -> if(size(a) > 0 AND {last}.hi >= r.lo - 1, {join}, concat(a, array(r))))"
+    gone = runs.groupBy("did", "th").agg(F.expr(merge).alias("at"))
+    stand = lines.select("did", "th", "pos").dropDuplicates(["did", "th"])
+    return gone.join(stand, ["did", "th"]).select("did", "th", F.expr("transform(at, r -> struct(get(pos, r.lo) AS lo, get(pos, r.hi) AS hi))").alias("gone"), F.expr("aggregate(at, 0, (n, r) -> n + r.hi - r.lo + 1)").alias("n"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns kept, with repeated runs cut from text, and n_lines and n_removed added.
+    """``docs``, all columns kept, with repeated runs cut from text, and n_lines, n_removed and share_left added.
 
     Order: doc_id (nulls first), then a hash of the text, then the line; the earliest stays. Lines are compared
-    trimmed, tabs and carriage returns as blanks; lines without words are neither compared nor deleted. Null text stays null, with
-    0 lines. Rows equal in doc_id and text are one document and get the same result. Existing columns n_lines
-    and n_removed are replaced. An empty table gives no rows.
+    trimmed of blanks, tabs, line feeds and carriage returns; lines without words aren't compared, and go only within runs. Where
+    lines went, blanks at the end of the text go too. share_left: the share of bytes that is left. n_lines counts line feeds, n_removed the lines cut. Null text stays null, with 0 lines. Rows equal in doc_id and text are one document and get the
+    same result. Existing columns of the added names are replaced. An empty table gives no rows.
     """
-    gone = repeated(docs).groupBy("did", "th").agg(F.collect_set("pos").alias("__lexweft_gone")).withColumnsRenamed({"did": "__lexweft_did", "th": "__lexweft_th"})
+    gone = repeated(docs).withColumnsRenamed({c: f"__lexweft_{c}" for c in ("did", "th", "gone", "n")})
     did, th = _keys()
-    out = docs.drop("n_lines", "n_removed").join(gone, (did == F.col("__lexweft_did")) & (th == F.col("__lexweft_th")), "left").drop("__lexweft_did", "__lexweft_th")
+    out = docs.drop("n_lines", "n_removed", "share_left").join(gone, (did == F.col("__lexweft_did")) & (th == F.col("__lexweft_th")), "left").drop("__lexweft_did", "__lexweft_th")
     hit = F.col("__lexweft_gone").isNotNull()
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__lexweft_gone", i)), "\n")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
-    return out.withColumns({"n_lines": n_lines, "n_removed": F.when(hit, F.size("__lexweft_gone")).otherwise(0), "text": F.when(hit, kept).otherwise(F.col("text"))}).drop("__lexweft_gone")
+    kept = F.array_join(F.filter(_lines(), lambda x, i: ~F.exists("__lexweft_gone", lambda r: i.between(r["lo"], r["hi"]))), "")
+    kept = F.when(hit, F.rtrim(kept, F.lit(" \n\t\r"))).otherwise(F.col("text"))
+    # The generator keeps the optimizer from computing the text again wherever it is used.
+    out = out.select("*", F.explode(F.array(F.struct(kept.alias("text")))).alias("__lexweft_kept"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    left = F.when(hit, F.octet_length("__lexweft_kept.text") / F.octet_length("text")).otherwise(1.0)
+    out = out.withColumns({"n_lines": n_lines, "n_removed": F.coalesce("__lexweft_n", F.lit(0)), "share_left": left})
+    return out.withColumn("text", F.col("__lexweft_kept.text")).drop("__lexweft_gone", "__lexweft_n", "__lexweft_kept")

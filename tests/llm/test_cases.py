@@ -207,11 +207,21 @@ def test_line_dedup(spark, odd, none):
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup(rows).collect()}
     # A null id comes first, so that c stays there.
     assert got[1] == (f"{a}\nshort one\n{b}", 3, 0) and got[2] == ("new line\nother", 3, 1) and got[None][0] == c
-    assert got[3] == ("\nmine", 4, 2) and got[4] == ("x", 3, 2) and got[5] == ("short one\nshort one", 2, 0) and got[6] == ("", 2, 2)
+    assert got[3] == ("mine", 4, 2) and got[4] == ("x", 3, 2) and got[5] == ("short one\nshort one", 2, 0) and got[6] == ("", 2, 2)
     out = line_dedup.dedup(odd)
     assert ids(out) == ALL and {r.n_lines for r in out.where("doc_id = 1").collect()} == {0} and line_dedup.dedup(none).isEmpty()
 
 
+def test_line_dedup_within_lines(spark):
+    """Passages behind sentence ends within lines; a sentence repeated many times over."""
+    sentence = lambda k, n: " ".join(f"s{k}w{i}" for i in range(n)) + "."
+    passage = " ".join(sentence(k, 9) for k in range(7))
+    rows = [(1, f"First own words. {passage} Then more."), (2, f"Quite other text! {passage}\nand a line"), (3, passage), (4, "Say it. " * 40 + "the end"), (5, "Begin. " + "Say it. " * 40), (6, f"{sentence(0, 9)} {sentence(1, 9)} only eighteen words")]
+    got = {r.doc_id: (r.text, r.share_left) for r in line_dedup.dedup(docs(spark, rows)).collect()}
+    assert got[1][0] == rows[0][1] and got[2][0] == "Quite other text! and a line" and got[3] == ("", 0.0) and got[6] == (rows[5][1], 1.0)
+    assert got[4][0] == "Say it. the end" and got[5][0] == "Begin."  # overlapping repeats leave the first sentence
+
+
 def brute(rows, n, percent):
     import re
 
