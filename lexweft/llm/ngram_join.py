@@ -372,8 +372,11 @@ def components(edges: DataFrame, tag: str = "labels") -> DataFrame:
             return labels
 
 
-def _across(packed: DataFrame, sets: DataFrame, comps: DataFrame, join: Join, n: int) -> DataFrame:
-    """Pairs within the lists of common signatures whose members aren't yet connected and may link."""
+def _across(packed: DataFrame, sets: DataFrame, comps: DataFrame, join: Join, n: int, nearest: bool) -> DataFrame:
+    """Pairs within the lists of common signatures whose members aren't yet connected and may link.
+
+    nearest: of each two components in a list, only the pair whose sketches differ least.
+    """
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -408,7 +411,7 @@ def _across(packed: DataFrame, sets: DataFrame, comps: DataFrame, join: Join, n:
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         lid, sid, comp, size = (np.frombuffer(b"".join(frame[c]), dtype=np.int64) for c in ("lid", "sid", "comp", "n"))
         sk = _sketches(frame["sketch"], frame["n"])
-        left, right = [], []
+        left, right, apart = [], [], []
         order = np.argsort(lid, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(lid[order])) + 1):
             if (comp[own] == comp[own[0]]).all():
@@ -419,12 +422,20 @@ def _across(packed: DataFrame, sets: DataFrame, comps: DataFrame, join: Join, n:
             stops = np.searchsorted(size[own], size[own] * 100 // join.percent, side="right")
             for i, x in enumerate(own[:-1]):
                 at = i + 1 + np.flatnonzero(comp[own[i + 1 : stops[i]]] != comp[x])
-                if len(at):
-                    most = (100 - join.percent) * (size[x] + size[own[at]]) // (100 + join.percent)
-                    rest = own[at[np.abs(matrix[at] - matrix[i]).sum(axis=1) <= most]]
-                    left.append(np.minimum(sid[x], sid[rest]))
-                    right.append(np.maximum(sid[x], sid[rest]))
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0) if left else np.empty((0, 2), dtype=np.int64)
+                far = np.abs(matrix[at] - matrix[i]).sum(axis=1)
+                near = far <= (100 - join.percent) * (size[x] + size[own[at]]) // (100 + join.percent)
+                rest = own[at[near]]
+                left.append(np.full(len(rest), x))
+                right.append(rest)
+                apart.append(far[near] / (size[x] + size[rest]))
+        left, right, apart = (np.concatenate(v) if v else np.empty(0, dtype=kind) for v, kind in ((left, np.int64), (right, np.int64), (apart, np.float64)))
+        if nearest and len(left):
+            low, high = np.minimum(comp[left], comp[right]), np.maximum(comp[left], comp[right])
+            order = np.lexsort((apart, high, low, lid[left]))
+            key = np.stack([lid[left], low, high])[:, order]
+            order = order[np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])]
+            left, right = left[order], right[order]
+        pairs = np.unique(np.stack([np.minimum(sid[left], sid[right]), np.maximum(sid[left], sid[right])], axis=1), axis=0)
         return pd.DataFrame({"a": [pairs[:, 0].tobytes()], "b": [pairs[:, 1].tobytes()]})
 
     packing = "p int, lid binary, sid binary, comp binary, n binary, sketch binary"
@@ -457,11 +468,13 @@ def groups(docs: DataFrame, join: Join) -> DataFrame:
     texts = scratch(_keyed(docs).join(where, ["did", "th"]).select("sid", "text").dropDuplicates(["sid"]), "texts")
     links = scratch(_verified(pairs, texts, join), "links")
     comps = components(links)
-    more = scratch(_across(packed, slim, comps, join, count), "across")
-    if not more.limit(1).isEmpty():
+    for nearest in (True, False):  # the likeliest pairs first, as they connect most of what is left
+        more = scratch(_across(packed, slim, comps, join, count, nearest), "across")
+        if more.limit(1).isEmpty():
+            break
         extra = scratch(_verified(more, texts, join), "more-links")
         if not extra.limit(1).isEmpty():
-            links = links.union(extra)
+            links = scratch(links.union(extra).distinct(), "links")
             comps = components(links)
     degree = links.select(F.col("a").alias("sid")).union(links.select("b")).groupBy("sid").agg(F.count("*").alias("n_linked"))
     named = sets.select("sid", F.when(F.col("did") != NO_ID, F.col("did")).alias("did")).join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
