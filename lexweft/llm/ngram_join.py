@@ -469,7 +469,7 @@ def groups(docs: DataFrame, join: Join) -> DataFrame:
     links = scratch(_verified(pairs, texts, join), "links")
     comps = components(links)
     for nearest in (True, False):  # the likeliest pairs first, as they connect most of what is left
-        more = scratch(_across(packed, slim, comps, join, count, nearest), "across")
+        more = scratch(_across(packed, slim, comps, join, partitions(spark), nearest), "across")
         if more.limit(1).isEmpty():
             break
         extra = scratch(_verified(more, texts, join), "more-links")
