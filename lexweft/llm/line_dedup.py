@@ -6,6 +6,10 @@ bytes; as many k-grams as start within those bytes form a window, and the window
 documents that share a run of lines of 2 * GRAM bytes share a window whole, hence a fingerprint. Each fingerprint
 is joined to its earliest position, matches on one diagonal are extended line by line both ways, and all but the
 earliest go.
+
+Passages also start and end within lines, or hold no line end at all. So words are winnowed too: the k-gram at a word
+is that word and the next ones up to WORDS, the least word of each SPAN positions starts a fingerprint, and matches
+are extended word by word both ways.
 """
 
 from __future__ import annotations
@@ -19,6 +23,17 @@ from .common import scratch
 #: Bytes of a k-gram (some 17 words): no repeated run shorter than this is deleted; runs of twice as many bytes
 #: are always found, so every repeated run of 50 words of three letters and more.
 GRAM = 100
+#: Words of a word k-gram, and positions of a window: a run of WORDS + SPAN - 1 = 50 words is always found, wherever it
+#: starts and ends, and no shorter run is cut within lines.
+WORDS, SPAN = 25, 26
+#: Words that a match is extended by to each side; a run that goes on for longer holds a further match.
+EXTEND = 50
+#: What separates words, as a class of a regular expression.
+BLANK = "[ \\t\\r\\n]"
+#: Bits of a word's key that hold its position; the others hold its hash.
+PLACE = (1 << 30) - 1
+#: Put in front of words to be cut while lines are rebuilt.
+FLAG = "\x02\x03\x02"
 #: A mark put behind line ends: line feeds, and stops with a blank. Should a text hold it, it ends a line as well.
 MARK = "\x01"
 ENDS = ("\n", ". ", "! ", "? ")
@@ -43,9 +58,9 @@ def _once(df: DataFrame, **columns: str) -> DataFrame:
     return out.select(*df.columns, *[F.col(f"_made.{c}").alias(c) for c in columns])
 
 
-def _lines(text: str = "text"):
+def _lines(marked=None):
     """The lines of a text, line ends included."""
-    marked = F.col(text)
+    marked = F.col("text") if marked is None else marked
     for end in ENDS:
         marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
     return F.split(marked, MARK)
@@ -101,31 +116,113 @@ def repeated(docs: DataFrame) -> DataFrame:
     longer = both.select("did", "th", F.expr(f"i - {steps.format('same_left')}").alias("lo"), F.expr(f"i + n + {steps.format('same_right')} - 1").alias("hi"))
     runs = later.select("did", "th", F.col("i").alias("lo"), F.expr("i + n - 1").alias("hi")).unionByName(longer)
     # Runs that meet become one; there are few of them in a document, however many k-grams matched.
-    last = "element_at(a, -1)"
-    join = f"concat(slice(a, 1, size(a) - 1), array(struct({last}.lo AS lo, greatest({last}.hi, r.hi) AS hi)))"
-    merge = f"aggregate(array_sort(collect_set(struct(lo, hi))), cast(array() AS array<struct<lo: int, hi: int>>), (a, r) -> if(size(a) > 0 AND {last}.hi >= r.lo - 1, {join}, concat(a, array(r))))"
-    gone = runs.groupBy("did", "th").agg(F.expr(merge).alias("at"))
+    gone = runs.groupBy("did", "th").agg(F.expr(_merged()).alias("at"))
     stand = lines.select("did", "th", "pos").dropDuplicates(["did", "th"])
     return gone.join(stand, ["did", "th"]).select("did", "th", F.expr("transform(at, r -> struct(get(pos, r.lo) AS lo, get(pos, r.hi) AS hi))").alias("gone"), F.expr("aggregate(at, 0, (n, r) -> n + r.hi - r.lo + 1)").alias("n"))
 
 
+def _hashed(texts: DataFrame) -> DataFrame:
+    """Replaces text by wh, the hashes of its words."""
+    words = F.split(F.trim(F.col("text"), F.lit(" \t\r\n")), BLANK + "+")
+    made = F.explode(F.array(F.struct(F.transform(words, lambda w: F.xxhash64(w)).alias("wh"))))
+    return texts.select("*", made.alias("_made")).select(*[c for c in texts.columns if c != "text"], F.col("_made.wh").alias("wh"))
+
+
+def word_fingerprints(docs: DataFrame) -> DataFrame:
+    """did, th, i (word at which it starts) and g (hash) of each fingerprint of words.
+
+    A word's key is a hash of it and the next word with its position in the low bits, so that the least key tells the
+    first of the least pairs. A window whose least pair is that of the window before isn't listed again.
+    """
+    own = _hashed(docs.where("text is not null").select(*_keys(), "text"))
+    own = _once(own.where(f"size(wh) >= {WORDS + SPAN - 1}"), key=f"transform(wh, (h, i) -> (xxhash64(h, get(wh, i + 1)) & {~PLACE}) | i)", n="size(wh)")
+    at = own.withColumn("at", F.explode(F.expr(f"sequence(0, n - {WORDS + SPAN - 1})")))
+    inner = f"array_min(slice(key, at + 1, {SPAN - 1}))"  # loops, as long chains of terms wouldn't be compiled
+    new = at.where(f"at = 0 OR least(get(key, at - 1), get(key, at + {SPAN - 1})) < {inner}")
+    new = new.select("did", "th", "wh", F.expr(f"cast(least({inner}, get(key, at + {SPAN - 1})) & {PLACE} as int)").alias("i"))
+    return new.select("did", "th", "i", F.expr(f"xxhash64(slice(wh, i + 1, {WORDS}))").alias("g"))
+
+
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """did, th and cut (first and last word of later repeats of runs of words) of every document with some."""
+    marks = scratch(word_fingerprints(docs), "word-marks")
+    # Most fingerprints stand once; they go before places are compared.
+    again = scratch(marks.groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1").select("g"), "word-repeats")
+    marks = scratch(marks.join(again, "g"), "word-repeated")
+    first = marks.groupBy("g").agg(F.min(F.struct("did", "th", "i")).alias("first"))
+    later = marks.join(first, "g").where(F.struct("did", "th", "i") != F.col("first")).select("did", "th", "i", "first").distinct()
+    doc = Window.partitionBy("did", "th").orderBy("i")
+    later = later.withColumns({"open_left": F.coalesce(F.lag("i").over(doc) + WORDS < F.col("i"), F.lit(True)), "open_right": F.coalesce(F.lead("i").over(doc) > F.col("i") + WORDS, F.lit(True))})
+    later = scratch(later, "word-matches")
+    ends = scratch(later.where("open_left or open_right").select("did", "th", "i", "open_left", "open_right", F.col("first.did").alias("did0"), F.col("first.th").alias("th0"), F.col("first.i").alias("i0")), "word-ends")
+    # The words around both places of each open end, nearest first; each document's words are hashed once.
+    places = ends.select("did", "th", "i").union(ends.select("did0", "th0", "i0")).groupBy("did", "th").agg(F.collect_set("i").alias("at"))
+    texts = docs.where("text is not null").select(*_keys(), "text").join(places, ["did", "th"]).dropDuplicates(["did", "th"])
+    around = _hashed(texts).withColumn("i", F.explode("at"))
+    around = around.select("did", "th", "i", F.expr(f"reverse(slice(wh, greatest(i - {EXTEND}, 0) + 1, least(i, {EXTEND})))").alias("before"), F.expr(f"slice(wh, i + {WORDS} + 1, {EXTEND})").alias("behind"))
+    around = scratch(around, "word-ends-around")
+    there = around.withColumnsRenamed({c: f"{c}0" for c in around.columns})
+    both = ends.join(around, ["did", "th", "i"]).join(there, ["did0", "th0", "i0"])
+    alike = "zip_with({0}, {0}0, (x, y) -> coalesce(x = y, false))"
+    both = _once(both, left=f"if(open_left, {alike.format('before')}, array(false))", right=f"if(open_right, {alike.format('behind')}, array(false))")
+    steps = "if(array_position({0}, false) = 0, size({0}), cast(array_position({0}, false) - 1 as int))"
+    longer = both.select("did", "th", F.expr(f"i - {steps.format('left')}").alias("lo"), F.expr(f"i + {WORDS - 1} + {steps.format('right')}").alias("hi"))
+    runs = later.select("did", "th", F.col("i").alias("lo"), F.expr(f"i + {WORDS - 1}").alias("hi")).unionByName(longer)
+    # Shorter runs are found by luck only, and stay, whatever their hashes are.
+    cut = F.filter(F.expr(_merged()), lambda r: r["hi"] - r["lo"] + 1 >= WORDS + SPAN - 1)
+    return runs.groupBy("did", "th").agg(cut.alias("cut")).where("size(cut) > 0")
+
+
+def _merged() -> str:
+    """SQL: the runs lo to hi of a group; those that meet become one."""
+    last = "element_at(a, -1)"
+    join = f"concat(slice(a, 1, size(a) - 1), array(struct({last}.lo AS lo, greatest({last}.hi, r.hi) AS hi)))"
+    return f"aggregate(array_sort(collect_set(struct(lo, hi))), cast(array() AS array<struct<lo: int, hi: int>>), (a, r) -> if(size(a) > 0 AND {last}.hi >= r.lo - 1, {join}, concat(a, array(r))))"
+
+
+def _cut_lines():
+    """Array of (t, c) for a text's lines: what is left of each (null if it goes), and whether words of it were cut.
+
+    Words to go are flagged first, so that lines are cut where they are in the whole text. A line of flagged words
+    only goes whole; other lines keep their ends.
+    """
+    bare = F.ltrim(F.col("text"), F.lit(" \t\r\n"))
+    tokens = F.split(bare, f"(?<={BLANK})(?!{BLANK})")  # words with the blanks behind them
+    flagged = F.transform(tokens, lambda t, j: F.when(F.exists("__lexweft_cut", lambda r: j.between(r["lo"], r["hi"])), F.concat(F.lit(FLAG), t)).otherwise(t))
+    ahead = F.left("text", F.char_length("text") - F.char_length(bare))
+    marked = F.when(F.col("__lexweft_cut").isNull(), F.col("text")).otherwise(F.concat(ahead, F.array_join(flagged, "")))
+
+    def line(x, i):
+        gone = F.coalesce(F.exists("__lexweft_gone", lambda r: i.between(r["lo"], r["hi"])), F.lit(False))
+        part = F.contains(x, F.lit(FLAG)) & ~gone
+        rest = F.regexp_replace(x, f"{FLAG}[^ \\t\\r\\n]+[ \\t]*", "")
+        kept = F.when(gone, None).when(~part, x).when(F.trim(rest, F.lit(" \t\r\n")) != "", rest)
+        return F.struct(kept.alias("t"), part.alias("c"))
+
+    return F.transform(_lines(marked), line)
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs``, all columns kept, with repeated runs cut from text, and n_lines, n_removed and share_left added.
 
     Order: doc_id (nulls first), then a hash of the text, then the line; the earliest stays. Lines are compared
-    trimmed of blanks, tabs, line feeds and carriage returns; lines without words aren't compared, and go only within runs. Where
-    lines went, blanks at the end of the text go too. share_left: the share of bytes that is left. n_lines counts line feeds, n_removed the lines cut. Null text stays null, with 0 lines. Rows equal in doc_id and text are one document and get the
+    trimmed of blanks, tabs, line feeds and carriage returns; lines without words aren't compared, and go only within runs. Words of repeated
+    runs that share a line with others go without it. Where lines went, blanks at the end of the text go too. share_left: the share of bytes that is left. n_lines counts line feeds, n_removed the lines cut whole or in part. Null text stays null, with 0 lines. Rows equal in doc_id and text are one document and get the
     same result. Existing columns of the added names are replaced. An empty table gives no rows.
     """
-    gone = repeated(docs).withColumnsRenamed({c: f"__lexweft_{c}" for c in ("did", "th", "gone", "n")})
+    gone = scratch(repeated(docs), "gone").withColumnsRenamed({c: f"__lexweft_{c}" for c in ("gone", "n")})
+    cut = scratch(repeated_words(docs), "cut").withColumnRenamed("cut", "__lexweft_cut")
+    both = gone.join(cut, ["did", "th"], "full").withColumnsRenamed({c: f"__lexweft_{c}" for c in ("did", "th")})
     did, th = _keys()
-    out = docs.drop("n_lines", "n_removed", "share_left").join(gone, (did == F.col("__lexweft_did")) & (th == F.col("__lexweft_th")), "left").drop("__lexweft_did", "__lexweft_th")
-    hit = F.col("__lexweft_gone").isNotNull()
-    kept = F.array_join(F.filter(_lines(), lambda x, i: ~F.exists("__lexweft_gone", lambda r: i.between(r["lo"], r["hi"]))), "")
+    out = docs.drop("n_lines", "n_removed", "share_left").join(both, (did == F.col("__lexweft_did")) & (th == F.col("__lexweft_th")), "left")
+    hit = F.col("__lexweft_did").isNotNull()
+    # The generators keep the optimizer from computing lines and text again wherever they are used.
+    out = out.select("*", F.explode(F.array(F.struct(F.when(hit, _cut_lines()).alias("lines")))).alias("__lexweft_cut_lines"))
+    kept = F.expr("array_join(transform(__lexweft_cut_lines.lines, s -> s.t), '')")
     kept = F.when(hit, F.rtrim(kept, F.lit(" \n\t\r"))).otherwise(F.col("text"))
-    # The generator keeps the optimizer from computing the text again wherever it is used.
     out = out.select("*", F.explode(F.array(F.struct(kept.alias("text")))).alias("__lexweft_kept"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+    n_removed = F.coalesce("__lexweft_n", F.lit(0)) + F.coalesce(F.expr("size(filter(__lexweft_cut_lines.lines, s -> s.c))"), F.lit(0))
     left = F.when(hit, F.octet_length("__lexweft_kept.text") / F.octet_length("text")).otherwise(1.0)
-    out = out.withColumns({"n_lines": n_lines, "n_removed": F.coalesce("__lexweft_n", F.lit(0)), "share_left": left})
-    return out.withColumn("text", F.col("__lexweft_kept.text")).drop("__lexweft_gone", "__lexweft_n", "__lexweft_kept")
+    out = out.withColumns({"n_lines": n_lines, "n_removed": F.when(hit, n_removed).otherwise(0), "share_left": left})
+    return out.withColumn("text", F.col("__lexweft_kept.text")).drop(*[f"__lexweft_{c}" for c in ("did", "th", "gone", "n", "cut", "cut_lines", "kept")])

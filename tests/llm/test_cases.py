@@ -222,6 +222,28 @@ def test_line_dedup_within_lines(spark):
     assert got[4][0] == "Say it. the end" and got[5][0] == "Begin."  # overlapping repeats leave the first sentence
 
 
+def test_line_dedup_mid_sentence(spark):
+    """Passages of 50 words that start and end anywhere: within sentences, over line ends, without any stop."""
+    import random
+
+    rnd = random.Random(3)
+    text = lambda n: [f"{rnd.choice('bcdfg')}{rnd.randrange(10**5)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(40):
+        passage, n = text(50 + k % 8), rnd.randrange(1, 30)
+        if k % 2:  # stops and line ends at random places
+            passage = [w + rnd.choice(["", "", "", "", ".", "!\n", "\n"]) for w in passage[:-1]] + passage[-1:]
+        for i, (a, b) in enumerate(((text(n), text(40)), (text(25), text(n)))):
+            rows.append((2 * k + i, " ".join(a + passage + b)))
+            want[2 * k + i] = " ".join(a + b) if i else rows[-1][1]
+    short = " ".join(text(49))
+    rows += [(1000, f"own {short} words"), (1001, f"other {short} text")]  # of under 50 words nothing goes within lines
+    got = {r.doc_id: r for r in line_dedup.dedup(docs(spark, rows)).collect()}
+    assert {d: r.text.split() for d, r in got.items()} == {d: t.split() for d, t in (want | dict(rows[-2:])).items()}
+    assert all(got[d].text == t for d, t in want.items() if d % 2 == 0 or d % 4 == 1)
+    assert all(got[2 * k].n_removed == 0 and got[2 * k + 1].n_removed > 0 for k in range(40)) and got[1001].n_removed == 0
+
+
 def brute(rows, n, percent):
     import re
 
