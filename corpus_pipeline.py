@@ -14,14 +14,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-#: Of a document of which no more than this share of bytes is left after line dedup, the rest goes too.
-REST = 1 / 3
-
-
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are cut from texts; documents that were little else go. n_chars follows."""
+    """Later repeats of runs of lines are cut from texts; documents of which no words are left go. n_chars follows."""
     cut = line_dedup.dedup(docs)
-    left = cut.where((F.col("n_removed") == 0) | (F.col("share_left") > REST))
+    left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return left.withColumn("n_chars", n_chars).select(docs.columns)
 

@@ -244,6 +244,15 @@ def test_line_dedup_mid_sentence(spark):
     assert all(got[2 * k].n_removed == 0 and got[2 * k + 1].n_removed > 0 for k in range(40)) and got[1001].n_removed == 0
 
 
+def test_remnants_of_line_dedup_stay(spark, small):
+    """A document keeps its own words however little of it they are; one without own words goes."""
+    text = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    a, b, own = text("a", 110), text("b", 110), text("own", 30)
+    rows = docs(spark, [(1, a), (2, b), (3, f"{a}\n{own}\n{b}"), (4, f"{b}\n--\n{a}")])
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.dedup_lines(spark, rows, small).collect()}
+    assert got == {1: (a, len(a)), 2: (b, len(b)), 3: (own, len(own))}
+
+
 def brute(rows, n, percent):
     import re
 
