@@ -28,7 +28,8 @@ class Settings:
     """k neighbours; ``sample`` distinct vectors at most fit the centroids, ``lists`` of them at most, of about
     ``per_list`` vectors each while ``lists`` allows. ``closure``: a vector is posted to centroids within that
     ratio of its nearest distance, ``copies`` at most. ``reach``: lists within that ratio of the nearest one are
-    searched, ``least`` at least and ``most`` at most. ``beam``, ``degree``: of the centroid graph."""
+    searched, ``least`` at least; ``most`` at most, or ``share`` of all lists where that is more, so that recall doesn't
+    fall as lists get many. ``beam``, ``degree``: of the centroid graph; the beam is widened to the lists searched."""
 
     k: int = 10
     sample: int = 20_000
@@ -39,6 +40,7 @@ class Settings:
     reach: float = 1.3
     least: int = 16
     most: int = 64
+    share: float = 0.25
     beam: int = 96
     degree: int = 24
 
@@ -84,6 +86,7 @@ class CentroidGraph:
 
     def __init__(self, centres: np.ndarray, settings: Settings):
         self.centres, self.settings = centres.astype(np.float64), settings
+        self.most = max(settings.most, int(np.ceil(settings.share * len(centres))))
         degree = min(settings.degree, len(centres) - 1)
         d = squared(self.centres, self.centres)
         np.fill_diagonal(d, np.inf)
@@ -98,7 +101,7 @@ class CentroidGraph:
 
     def search(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Centroids near q, nearest first, and their distances."""
-        beam = self.settings.beam
+        beam = max(self.settings.beam, self.most * 3 // 2)
         dist = ((self.centres[self.entries] - q) ** 2).sum(axis=1)
         seen = set(self.entries.tolist())
         todo = [(d, int(c)) for d, c in zip(dist, self.entries, strict=True)]
@@ -126,7 +129,7 @@ class CentroidGraph:
         """The lists to search: those within ``reach`` of the nearest one."""
         ids, dist = self.search(q)
         n = int((dist <= self.settings.reach * dist[0]).sum())
-        return ids[: min(max(n, self.settings.least), self.settings.most)]
+        return ids[: min(max(n, self.settings.least), self.most)]
 
 
 def _postings(x: np.ndarray, centres: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
