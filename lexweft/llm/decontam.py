@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-#: Fixed masks: eight of twelve words each; every position is ignored by one of them at least.
-MASKS = ("110110110011", "111001011101", "101111100110", "011011101101")
-#: Added where an item has fewer words than the masks span; items with fewer words than this can't be told from chance.
-SHORT = "11111"
+#: Fixed masks. Of n words with at most a quarter replaced, three in a row are left, or with n = 5 and n = 8, where runs may
+#: be shorter, two pairs around one word. So every overlap of the default ``least`` is hit.
+MASKS = ("111", "11011")
+#: Items with fewer words than this can't be told from chance.
+FEWEST = 5
 #: Rows of the benchmark's index up to which it is broadcast (24 bytes each); a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
-#: Words compared before and behind a hit's window for a partial leak.
-MARGIN = 6
+#: Words of an item that a partial leak is counted in.
+SPAN = 24
 
 
 def words(text: Column) -> Column:
@@ -55,31 +56,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, partial
     """doc_id, text_hash, item_id, offset, matched, item_words: the best overlap of each document with each item.
 
     An overlap counts if, along the alignment of a hit, at least ``least`` of the item's words stand in the
-    document, or at least ``partial`` of the 24 words around the hit. offset: the word of the document at which
+    document, or at least ``partial`` of 24 words in a row. offset: the word of the document at which
     the item would begin (negative if cut off). Null texts are empty and match nothing; items under five words
     match nothing. Rows equal in doc_id and text are one document; repeated items are one. Other columns aren't
     read. Either table may be empty.
     """
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("wh")).distinct()
-    items = items.withColumns({"n": F.size("wh"), "item": F.xxhash64("item_id", "wh")}).where(F.col("n") >= len(SHORT))
+    items = items.withColumns({"n": F.size("wh"), "item": F.xxhash64("item_id", "wh")}).where(F.col("n") >= FEWEST)
     items = scratch(items, "items")
-    least_n = items.agg(F.min("n")).first()[0] or len(MASKS[0])
-    masks = MASKS + ((SHORT,) if least_n < len(MASKS[0]) else ())
-    index = scratch(_windows(items, masks, "item", "n").withColumnsRenamed({"at": "item_at", "n": "item_words"}), "seeds")
+    index = scratch(_windows(items, MASKS, "item", "n").withColumnsRenamed({"at": "item_at", "n": "item_words"}), "seeds")
     index = _bounded(index, index.count())
     whole = _bounded(items.select("item", "item_id", F.col("wh").alias("item_wh")), items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("wh")).withColumn("n", F.size("wh"))
-    hits = _windows(own, masks, "doc_id", "text_hash", "wh").join(index, "h")
-    span = len(MASKS[0]) + 2 * MARGIN
-    hits = hits.withColumns({"offset": F.col("at") - F.col("item_at"), "cut": F.greatest(F.lit(0), F.least(F.col("item_at") - MARGIN, F.col("item_words") - span))})
-    # The aligned stretch of the document, with -1 where the item reaches over its ends.
-    hits = hits.withColumn("stretch", F.expr("transform(sequence(0, item_words - 1), p -> coalesce(get(wh, offset + p), -1))")).drop("wh")
-    # One row for each alignment and place of the partial window, before words are compared.
-    hits = hits.groupBy("doc_id", "text_hash", "item", "item_words", "offset", "cut").agg(F.first("stretch").alias("stretch")).join(whole, "item")
-    same = F.expr("zip_with(stretch, item_wh, (x, y) -> if(x = y, 1, 0))")
-    hits = hits.withColumn("same", same).withColumns({"matched": F.expr("aggregate(same, 0, (s, x) -> s + x)"), "near": F.expr(f"aggregate(slice(same, cut + 1, {span}), 0, (s, x) -> s + x)")})
-    found = hits.where((F.col("matched") >= least * F.col("item_words")) | (F.col("near") >= partial))
+    hits = _windows(own, MASKS, "doc_id", "text_hash", "wh").join(index, "h").withColumn("offset", F.col("at") - F.col("item_at")).join(whole, "item")
+    # Each hit is compared where it is found: short seeds hit often by chance, and such hits aren't shuffled.
+    same = "transform(item_wh, (w, p) -> if(coalesce(get(wh, offset + p), -1) = w, 1, 0))"
+    hits = hits.select("doc_id", "text_hash", "item_id", "item_words", "offset", F.explode(F.expr(f"array({same})")).alias("same"))
+    hits = hits.withColumn("matched", F.expr("aggregate(same, 0, (s, x) -> s + x)"))
+    near = F.expr(f"exists(sequence(0, greatest(item_words - {SPAN}, 0)), c -> aggregate(slice(same, c + 1, {SPAN}), 0, (s, x) -> s + x) >= {partial})")
+    found = hits.where((F.col("matched") >= least * F.col("item_words")) | F.when(F.col("matched") >= partial, near).otherwise(False))
     best = F.max(F.struct("matched", (-F.col("offset")).alias("back"), "item_words")).alias("best")
     out = found.groupBy("doc_id", "text_hash", "item_id").agg(best)
     return out.select("doc_id", "text_hash", "item_id", (-F.col("best.back")).alias("offset"), F.col("best.matched").alias("matched"), F.col("best.item_words").alias("item_words"))

@@ -200,6 +200,30 @@ def test_decontamination(spark, odd, none, item):
     assert ids(decontam.decontaminate(odd, item)) == ALL and decontam.overlaps(none, item).isEmpty() and decontam.overlaps(odd, item.where("false")).isEmpty()
 
 
+def test_decontamination_equals_brute_force(spark):
+    """Against all alignments, with a quarter of an item's words replaced at random places."""
+    import random
+
+    rnd = random.Random(6)
+    texts = {i: [f"w{rnd.randrange(4000)}" for _ in range(n)] for i, n in enumerate([*range(5, 56)] * 2)}
+    rows = {}
+    for i, words in texts.items():
+        own = [*words]
+        for at in rnd.sample(range(len(own)), len(own) // 4 + i % 7 // 6):  # every seventh has one too many
+            own[at] = "other"
+        rows[i] = [f"a{k}" for k in range(rnd.randrange(9))] + own + ["z"] * rnd.randrange(9)
+    want = set()
+    for d, doc in rows.items():
+        for i, words in texts.items():
+            for off in range(1 - len(words), len(doc)):
+                same = [0 <= off + p < len(doc) and doc[off + p] == w for p, w in enumerate(words)]
+                if sum(same) >= 0.75 * len(words) or sum(same) >= 21 and any(sum(same[c : c + 24]) >= 21 for c in range(len(same))):
+                    want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(docs(spark, [(d, " ".join(w)) for d, w in rows.items()]), bench).collect()}
+    assert got == want and len(want) >= len(texts) * 3 // 4
+
+
 def test_line_dedup(spark, odd, none):
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(30))
     c = " ".join(f"c{i}" for i in range(30))
