@@ -373,7 +373,7 @@ def components(edges: DataFrame, tag: str = "labels") -> DataFrame:
 
 
 def _across(packed: DataFrame, sets: DataFrame, comps: DataFrame, join: Join, n: int, nearest: bool) -> DataFrame:
-    """Pairs within the lists of common signatures whose members aren't yet connected and may link.
+    """Pairs within the lists of common signatures whose members aren't in one component of ``comps`` and may link.
 
     nearest: of each two components in a list, only the pair whose sketches differ least.
     """
@@ -445,11 +445,11 @@ def _across(packed: DataFrame, sets: DataFrame, comps: DataFrame, join: Join, n:
     return _pairs(lists.unionByName(known).groupBy("p").applyInPandas(meet, packing).groupBy("p").applyInPandas(compare, "a binary, b binary"), n)
 
 
-def groups(docs: DataFrame, join: Join) -> DataFrame:
+def groups(docs: DataFrame, join: Join, count: bool = False) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (least doc_id reachable by links) and n_linked of every row.
 
-    n_linked: how many other distinct sets the document's set is known to link with (pairs compared; members of
-    large groups are compared until they hang together). Documents without words are alone. Null doc_ids take
+    n_linked: how many other distinct sets the document's set links with; null unless ``count``, as components need
+    only pairs that aren't connected yet, and a count all pairs of large groups that sketches allow. Documents without words are alone. Null doc_ids take
     part but don't name a component unless all in it are null. Repeated rows and equal texts are in one
     component. Other columns aren't read. An empty table gives no rows.
     """
@@ -476,13 +476,16 @@ def groups(docs: DataFrame, join: Join) -> DataFrame:
         if not extra.limit(1).isEmpty():
             links = scratch(links.union(extra).distinct(), "links")
             comps = components(links)
+    if count:  # no set is connected with another, so that every pair is compared
+        more = scratch(_across(packed, slim, comps.where("false"), join, partitions(spark), False).join(links, ["a", "b"], "left_anti"), "across")
+        links = scratch(links.union(_verified(more, texts, join)).distinct(), "links")
     degree = links.select(F.col("a").alias("sid")).union(links.select("b")).groupBy("sid").agg(F.count("*").alias("n_linked"))
     named = sets.select("sid", F.when(F.col("did") != NO_ID, F.col("did")).alias("did")).join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = named.groupBy("comp").agg(F.min("did").alias("component_id"))
     named = scratch(named.join(least, "comp").join(degree, "sid", "left").select("sid", "component_id", F.coalesce("n_linked", F.lit(0)).alias("n_linked")), "named")
     own = F.when(F.col("did") != NO_ID, F.col("did"))
     out = rows.join(named, "sid", "left")
-    return out.select(own.alias("doc_id"), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), own).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
+    return out.select(own.alias("doc_id"), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), own).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("n_linked", F.lit(0)) if count else F.lit(None).cast("long")).alias("n_linked"))
 
 
 def keep_one(docs: DataFrame, join: Join) -> DataFrame:

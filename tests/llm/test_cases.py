@@ -321,6 +321,24 @@ def test_ngram_join_equals_brute_force(spark, n, percent):
     assert {r.doc_id for r in kept.collect()} == {d for d, (size, c) in got.items() if d == c or not size}
 
 
+def test_links_of_large_groups_are_counted(spark):
+    """n_linked by brute force, among more near copies than are compared in pairs."""
+    import random
+
+    rnd, rows = random.Random(8), []
+    for size in (40, 90):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+        for _ in range(25):
+            words = [*base]
+            for at in rnd.sample(range(size - 9, size), rnd.randrange(3)):
+                words[at] = f"v{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = {d: frozenset(zip(*(t.split()[i:] for i in range(4)), strict=False)) for d, t in rows}
+    want = {d: len({y for y in sets.values() if y != x and 100 * len(x & y) >= 85 * len(x | y)}) for d, x in sets.items()}
+    got = {r.doc_id: r.n_linked for r in ngram_join.groups(docs(spark, rows), ngram_join.Join(4, 85), count=True).collect()}
+    assert got == want and max(want.values()) > 8
+
+
 def test_ngram_join_cases(odd, none):
     join = ngram_join.Join(4, 85)
     got = [(r.doc_id, r.n_shingles > 0, r.component_id) for r in ngram_join.groups(odd, join).collect()]
