@@ -8,7 +8,7 @@ from .errors import InvalidConfig
 
 SCOPES = ("corpus", "best_document")
 METRICS = ("dot", "cosine")
-MODES = ("composite", "cosine", "mean_pairwise", "jaccard")
+MODES = ("composite", "cosine")
 
 
 @dataclass(frozen=True)

@@ -194,3 +194,9 @@ def test_arriving_files(spark, folders, tmp_path):
     reports = {r.pdf_document_id: r.best_match.xml_document_id for r in spark.read.parquet(out).collect()}
     assert reports == {"red-fox_processed": "red fox", "nothing_processed": "blue-sea", "first_processed": "blue-sea", "second_processed": "red fox"}
     assert len([d for d in os.listdir(out) if d.startswith("batch=")]) == 2
+
+
+@pytest.mark.parametrize("mode", ["mean_pairwise", "jaccard"])
+def test_modes_that_ranking_has_not_raise(mode):
+    with pytest.raises(InvalidConfig):
+        Config(mode=mode)
