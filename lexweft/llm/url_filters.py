@@ -56,12 +56,12 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return named.where("doc_id is not null").join(known, "doc_id").select("url", "host", "path", "block")
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.001, min_count: int = 20, min_confidence: float = 0.7, max_tokens: int = 3) -> DataFrame:
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.001, min_count: int = 20, min_confidence: float = 0.7) -> DataFrame:
     """Mined rules: rule (text), needs (array of tokens), support, confidence, lift.
 
     A rule says: a page with all its tokens is blocked. It needs at least ``min_support`` of the labelled pages
-    and ``min_count`` of them, ``min_confidence``, at most ``max_tokens`` tokens, and no shorter rule within it
-    that is as confident. Without labelled pages there are no rules.
+    and ``min_count`` of them, ``min_confidence``, and no shorter rule within it that is as confident; it may
+    have any number of tokens. Without labelled pages there are no rules.
     """
     rows = labelled(pages, labels).select(tokens().alias("tokens"), "block")
     items = F.when(F.col("block"), F.array_append("tokens", F.lit(BLOCK))).otherwise(F.col("tokens"))
@@ -73,7 +73,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.001, min_co
     # Tokens that hold less often than a rule may, or in all pages, can be in no useful rule.
     support = max(min_support, min_count / n)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.size("antecedent") <= max_tokens))
+    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
     rules = rules.select(F.array_sort("antecedent").alias("needs"), "support", "confidence", "lift")
     rules = scratch(rules.withColumn("rule", F.array_join("needs", "&")), "rules")
     inner = rules.select(F.col("needs").alias("less"), F.col("confidence").alias("less_confidence"), F.col("rule").alias("less_rule"), F.explode("needs").alias("token"))

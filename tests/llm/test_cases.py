@@ -189,6 +189,28 @@ def test_mined_rules_equal_counts(spark):
     assert want and got == pytest.approx(want)
 
 
+def test_mined_rules_of_four_tokens(spark):
+    """A pattern that only host, path, extension and query key tell together, against counts of all lengths."""
+    import itertools
+
+    rows = [(i, f"http://{'ab'[i & 1]}.org/{'pq'[i >> 1 & 1]}/{i}.{('htm', 'php')[i >> 2 & 1]}?{'uv'[i >> 3 & 1]}k=1") for i in range(480)]
+    bad = {i for i, _ in rows if i % 16 == 15}
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i not in bad), 0) for i, _ in rows], "doc_id long, quality int, toxic int")
+    got = {r.rule: r.confidence for r in url_filters.mine(pages, labels).collect()}
+    counts = {}
+    for r in url_filters.judged(pages).select("url", url_filters.tokens().alias("t"), "path").collect():
+        i = int(r.path.split("/")[2].split(".")[0])
+        for n in range(1, len(r.t) + 1):
+            for c in itertools.combinations(sorted(r.t), n):
+                k = counts.setdefault(c, [0, 0])
+                k[0] += 1
+                k[1] += i in bad
+    rules = {c: b / n for c, (n, b) in counts.items() if b >= 20 and b / n >= 0.7}
+    want = {"&".join(c): p for c, p in rules.items() if not any(set(s) < set(c) and rules[s] >= p for s in rules)}
+    assert got == pytest.approx(want) and min(r.count("&") for r in want) == 3
+
+
 def test_decontamination(spark, odd, none, item):
     words = [f"alpha{i}" for i in range(20)]
     swapped = [w if i not in (4, 13) else "other" for i, w in enumerate(words)]
