@@ -1,15 +1,13 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
-
-Lines are cut at sentence ends too, so that a passage that stands within a line is found as well; a piece is called
-a line here. Lines are weighed by their bytes. The k-gram at a line is that line and the next ones up to GRAM
-bytes; as many k-grams as start within those bytes form a window, and the window's least hash is a fingerprint. Two
-documents that share a run of lines of 2 * GRAM bytes share a window whole, hence a fingerprint. Each fingerprint
-is joined to its earliest position, matches on one diagonal are extended line by line both ways, and all but the
-earliest go.
-
-Passages also start and end within lines, or hold no line end at all. So words are winnowed too: the k-gram at a word
-is that word and the next ones up to WORDS, the least word of each SPAN positions starts a fingerprint, and matches
-are extended word by word both ways.
+"""Line dedup by winnowing, in DataFrame functions only.
+
+Repeated passages start and end anywhere, so lines are wrapped at every word: the k-gram at a word is the line of GRAM
+words that begins there. The least of each SPAN neighbouring k-grams, by a hash of their first two words, is a
+fingerprint, so two documents that share GRAM + SPAN - 1 words share a window whole, hence a fingerprint. Fingerprints
+are joined by hash, and each but the earliest place of one is a match. Matched k-grams cover a repeated run up to less
+than SPAN words at both ends, as SPAN <= GRAM. There, matches are extended both ways, word by word.
+
+What is cut from a run follows the text's own lines (ended by line feeds and by sentence ends): runs of LONG words and
+more go whole; of shorter ones, lines that lie in them whole.
 """
 
 from __future__ import annotations
@@ -20,25 +18,19 @@ from pyspark.sql.window import Window
 
 from .common import scratch
 
-#: Bytes of a k-gram (some 17 words): no repeated run shorter than this is deleted; runs of twice as many bytes
-#: are always found, so every repeated run of 50 words of three letters and more.
-GRAM = 100
-#: Words of a word k-gram, and positions of a window: a run of WORDS + SPAN - 1 = 50 words is always found, wherever it
-#: starts and ends, and no shorter run is cut within lines.
-WORDS, SPAN = 25, 26
-#: Words that a match is extended by to each side; a run that goes on for longer holds a further match.
-EXTEND = 50
-#: What separates words, as a class of a regular expression.
-BLANK = "[ \\t\\r\\n]"
-#: Bits of a word's key that hold its position; the others hold its hash.
-PLACE = (1 << 30) - 1
-#: Put in front of words to be cut while lines are rebuilt.
-FLAG = "\x02\x03\x02"
-#: A mark put behind line ends: line feeds, and stops with a blank. Should a text hold it, it ends a line as well.
-MARK = "\x01"
-ENDS = ("\n", ". ", "! ", "? ")
-#: Lines of a k-gram whose bytes are summed up term by term; the rest of a longer one is summed up in a loop.
-TERMS = 8
+#: Words of a k-gram, and positions of a window. Repeated runs of GRAM + SPAN - 1 = 29 words are always found, and words that
+#: aren't in a repeated run of GRAM words never go.
+GRAM = SPAN = 15
+#: Words from which a run is cut wherever it starts and ends.
+LONG = 50
+#: Bytes of whole lines from which a shorter run is cut.
+LEAST = 100
+#: What separates words, as members of a class of a regular expression.
+BLANK = " \\t\\r\\n"
+#: Hashes of pairs under this are a sixth of all, and nearly always one of them is in a window.
+SMALL = -(1 << 63) + (1 << 64) // 6
+#: Bytes of found places up to which they are broadcast to the texts; more are joined by shuffle.
+BROADCAST = 32 << 20
 #: Stands for a null doc_id in keys.
 NO_ID = -(2**63)
 
@@ -58,171 +50,153 @@ def _once(df: DataFrame, **columns: str) -> DataFrame:
     return out.select(*df.columns, *[F.col(f"_made.{c}").alias(c) for c in columns])
 
 
-def _lines(marked=None):
-    """The lines of a text, line ends included."""
-    marked = F.col("text") if marked is None else marked
-    for end in ENDS:
-        marked = F.replace(marked, F.lit(end), F.lit(end + MARK))
-    return F.split(marked, MARK)
+def _hashed(texts: DataFrame) -> DataFrame:
+    """Replaces text by wh, the hashes of its words."""
+    words = "split(trim(BOTH ' \\t\\r\\n' FROM text), '[ \\\\t\\\\r\\\\n]+')"
+    return _once(texts, wh=f"transform({words}, w -> xxhash64(w))").drop("text")
+
 
+def _pairs(hashed: DataFrame) -> DataFrame:
+    """Replaces wh by p, a hash of the pair of words at each position but the last."""
+    return _once(hashed, p="zip_with(slice(wh, 1, size(wh) - 1), slice(wh, 2, size(wh) - 1), (x, y) -> x ^ shiftleft(y, 1))").drop("wh")
 
-def _reach() -> str:
-    """SQL: how many lines from line i (of w bytes) on make GRAM bytes; 0 where the text ends before.
 
-    Up to TERMS lines, the usual case, are tried one by one; a loop sums up longer runs.
-    """
-    loop = f"aggregate(slice(nw, i + 1, {GRAM}), struct(0 AS w, 0 AS n), (a, x) -> if(a.w >= {GRAM}, a, struct(a.w + x AS w, a.n + 1 AS n)), a -> if(a.w >= {GRAM}, a.n, 0))"
-    cases = f"WHEN w >= {GRAM} THEN 1"
-    for k in range(1, TERMS):
-        cases += f" WHEN w + {' + '.join(f'get(nw, i + {j})' for j in range(1, k + 1))} >= {GRAM} THEN {k + 1}"
-    return f"CASE {cases} WHEN get(nw, i + {TERMS}) IS NULL THEN 0 ELSE {loop} END"
+def _gram(at: str) -> str:
+    """SQL: the hash of the k-gram at a position, from pairs that cover it."""
+    steps = sorted({*range(0, GRAM - 1, 2), GRAM - 2})
+    return f"xxhash64({', '.join(f'get(p, {at} + {k})' for k in steps)})"
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """A row for each document: did, th, lh (hashes of its lines with words), pos (where they stand among all lines),
-    and marks (array of (i, n, g): first line, number of lines and hash of each fingerprint's k-gram)."""
-    text = docs.where("text is not null").select(*_keys(), _lines().alias("lines"))
-    clean = "transform(lines, x -> trim(BOTH ' \\t\\r\\n' FROM x))"
-    cut = _once(text, u=f"filter(transform({clean}, (x, i) -> struct(xxhash64(x) AS h, octet_length(x) AS w, i AS i)), s -> s.w > 0)").drop("lines")
-    cut = _once(cut, lh="u.h", nw="u.w", pos="u.i").drop("u")
-    cut = _once(cut.where("size(lh) > 0"), k=f"transform(nw, (w, i) -> {_reach()})").drop("nw")
-    cut = _once(cut, g="transform(k, (n, i) -> CASE n WHEN 0 THEN null WHEN 1 THEN xxhash64(get(lh, i)) WHEN 2 THEN xxhash64(get(lh, i), get(lh, i + 1)) ELSE xxhash64(slice(lh, i + 1, n)) END)")
-    # The window at line i holds the k-grams that start within its k-gram; a null stands for one cut off by the end.
-    least = "i + cast(array_position(slice(g, i + 1, n), array_min(slice(g, i + 1, n))) as int) - 1"
-    cut = _once(cut, at=f"array_distinct(filter(transform(k, (n, i) -> CASE n WHEN 0 THEN null WHEN 1 THEN i WHEN 2 THEN if(get(g, i + 1) < get(g, i), i + 1, i) ELSE {least} END), x -> x is not null))")
-    return cut.select("did", "th", "lh", "pos", F.expr("transform(at, i -> struct(i, get(k, i) AS n, get(g, i) AS g))").alias("marks"))
+    """did, th, i (word at which it starts) and g (hash) of each fingerprint.
 
+    A window's minimum is its first pair of the least hash. Minima are sought among the few pairs under a threshold: those
+    that lie between two lesser ones less than a window apart are none. Windows without any such pair are
+    searched one by one.
+    """
+    own = _hashed(docs.where("text is not null").select(*_keys(), "text"))
+    own = _once(_pairs(own.where(f"size(wh) >= {GRAM + SPAN - 1}")), n=f"size(p) - {GRAM - 2}")
+    own = _once(own, low=f"filter(sequence(0, n - 1), i -> get(p, i) < {SMALL}L)")
+    inner = f"get(low, j + 1) - get(low, j - 1) <= {SPAN} AND get(p, get(low, j - 1)) <= get(p, i) AND get(p, get(low, j + 1)) < get(p, i)"
+    gaps = f"filter(transform(sequence(0, size(low)), j -> struct(coalesce(get(low, j - 1) + 1, 0) AS lo, coalesce(get(low, j), n) - {SPAN} AS hi)), s -> s.lo <= s.hi)"
+    window = f"slice(p, a + 1, {SPAN})"
+    rest = f"flatten(transform({gaps}, s -> array_distinct(transform(sequence(s.lo, s.hi), a -> a + cast(array_position({window}, array_min({window})) AS int) - 1))))"
+    own = _once(own, marks=f"concat(filter(low, (i, j) -> NOT coalesce({inner}, false)), {rest})").drop("low", "n")
+    return own.select("did", "th", F.expr(f"inline(transform(marks, i -> struct(i, {_gram('i')} AS g)))"))
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """did, th, gone (first and last line of later repeats of runs, counting all lines from 0) and n (lines with words
-    in them) of every document with some."""
-    lines = scratch(fingerprints(docs), "winnow")
-    marks = lines.select("did", "th", F.explode("marks").alias("m")).select("did", "th", "m.i", "m.n", "m.g").distinct()
-    first = marks.groupBy("g").agg(F.min(F.struct("did", "th", "i")).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("g", "first")
-    later = marks.join(first, "g").where(F.struct("did", "th", "i") != F.col("first"))
-    # Matched k-grams cover each other within a run; where nothing does, they are extended.
-    doc = Window.partitionBy("did", "th").orderBy("i")
-    later = later.withColumns({"open_left": F.coalesce(F.lag(F.col("i") + F.col("n")).over(doc) < F.col("i"), F.lit(True)), "open_right": F.coalesce(F.lead("i").over(doc) > F.col("i") + F.col("n"), F.lit(True))})
-    later = scratch(later.drop("g"), "matches")
-    own = lines.select("did", "th", "lh").dropDuplicates(["did", "th"])
-    there = own.select(F.col("did").alias("did0"), F.col("th").alias("th0"), F.col("lh").alias("lh0"))
-    ends = later.where("open_left or open_right").select("did", "th", "i", "n", "open_left", "open_right", F.col("first.did").alias("did0"), F.col("first.th").alias("th0"), F.col("first.i").alias("i0"))
-    both = ends.join(own, ["did", "th"]).join(there, ["did0", "th0"])
-    alike = "zip_with({0}, {1}, (x, y) -> coalesce(x = y, false))"
-    left = alike.format("reverse(slice(lh, 1, i))", "reverse(slice(lh0, 1, i0))")
-    right = alike.format("slice(lh, i + n + 1, size(lh))", "slice(lh0, i0 + n + 1, size(lh0))")
-    both = _once(both, same_left=f"if(open_left, {left}, array(false))", same_right=f"if(open_right, {right}, array(false))")
-    steps = "if(array_position({0}, false) = 0, size({0}), cast(array_position({0}, false) - 1 as int))"
-    longer = both.select("did", "th", F.expr(f"i - {steps.format('same_left')}").alias("lo"), F.expr(f"i + n + {steps.format('same_right')} - 1").alias("hi"))
-    runs = later.select("did", "th", F.col("i").alias("lo"), F.expr("i + n - 1").alias("hi")).unionByName(longer)
-    # Runs that meet become one; there are few of them in a document, however many k-grams matched.
-    gone = runs.groupBy("did", "th").agg(F.expr(_merged()).alias("at"))
-    stand = lines.select("did", "th", "pos").dropDuplicates(["did", "th"])
-    return gone.join(stand, ["did", "th"]).select("did", "th", F.expr("transform(at, r -> struct(get(pos, r.lo) AS lo, get(pos, r.hi) AS hi))").alias("gone"), F.expr("aggregate(at, 0, (n, r) -> n + r.hi - r.lo + 1)").alias("n"))
 
+def _met(docs: DataFrame, found: DataFrame, size: str, how: str) -> DataFrame:
+    """Rows of ``docs`` joined with ``found`` by did and th; texts are shuffled only if found is over BROADCAST bytes.
 
-def _hashed(texts: DataFrame) -> DataFrame:
-    """Replaces text by wh, the hashes of its words."""
-    words = F.split(F.trim(F.col("text"), F.lit(" \t\r\n")), BLANK + "+")
-    made = F.explode(F.array(F.struct(F.transform(words, lambda w: F.xxhash64(w)).alias("wh"))))
-    return texts.select("*", made.alias("_made")).select(*[c for c in texts.columns if c != "text"], F.col("_made.wh").alias("wh"))
+    size: SQL for the elements in a row of found.
+    """
+    held = found.agg(F.sum(F.expr(f"40 + 24 * {size}"))).first()[0] or 0
+    return docs.join(F.broadcast(found) if held <= BROADCAST else found.hint("shuffle_hash"), ["did", "th"], how)
 
 
-def word_fingerprints(docs: DataFrame) -> DataFrame:
-    """did, th, i (word at which it starts) and g (hash) of each fingerprint of words.
+def _earliest(marks: DataFrame) -> DataFrame:
+    """g and first (did, th, i), the earliest place, of k-grams that stand at several places."""
+    made = marks.groupBy("g").agg(F.min(F.struct("did", "th", "i")).alias("first"), F.count("*").alias("copies"))
+    return made.where("copies > 1").drop("copies")
 
-    A word's key is a hash of it and the next word with its position in the low bits, so that the least key tells the
-    first of the least pairs. A window whose least pair is that of the window before isn't listed again.
+
+def _matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints (i, g) of each document that stand earlier, sorted in ``at``, and the earliest place of each g.
+
+    Most fingerprints stand once, and go by a count before places are compared. Both joins meet written tables, so that
+    Spark can split a fingerprint with very many places.
     """
-    own = _hashed(docs.where("text is not null").select(*_keys(), "text"))
-    own = _once(own.where(f"size(wh) >= {WORDS + SPAN - 1}"), key=f"transform(wh, (h, i) -> (xxhash64(h, get(wh, i + 1)) & {~PLACE}) | i)", n="size(wh)")
-    at = own.withColumn("at", F.explode(F.expr(f"sequence(0, n - {WORDS + SPAN - 1})")))
-    inner = f"array_min(slice(key, at + 1, {SPAN - 1}))"  # loops, as long chains of terms wouldn't be compiled
-    new = at.where(f"at = 0 OR least(get(key, at - 1), get(key, at + {SPAN - 1})) < {inner}")
-    new = new.select("did", "th", "wh", F.expr(f"cast(least({inner}, get(key, at + {SPAN - 1})) & {PLACE} as int)").alias("i"))
-    return new.select("did", "th", "i", F.expr(f"xxhash64(slice(wh, i + 1, {WORDS}))").alias("g"))
-
-
-def repeated_words(docs: DataFrame) -> DataFrame:
-    """did, th and cut (first and last word of later repeats of runs of words) of every document with some."""
-    marks = scratch(word_fingerprints(docs), "word-marks")
-    # Most fingerprints stand once; they go before places are compared.
-    again = scratch(marks.groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1").select("g"), "word-repeats")
-    marks = scratch(marks.join(again, "g"), "word-repeated")
-    first = marks.groupBy("g").agg(F.min(F.struct("did", "th", "i")).alias("first"))
-    later = marks.join(first, "g").where(F.struct("did", "th", "i") != F.col("first")).select("did", "th", "i", "first").distinct()
-    doc = Window.partitionBy("did", "th").orderBy("i")
-    later = later.withColumns({"open_left": F.coalesce(F.lag("i").over(doc) + WORDS < F.col("i"), F.lit(True)), "open_right": F.coalesce(F.lead("i").over(doc) > F.col("i") + WORDS, F.lit(True))})
-    later = scratch(later, "word-matches")
-    ends = scratch(later.where("open_left or open_right").select("did", "th", "i", "open_left", "open_right", F.col("first.did").alias("did0"), F.col("first.th").alias("th0"), F.col("first.i").alias("i0")), "word-ends")
-    # The words around both places of each open end, nearest first; each document's words are hashed once.
-    places = ends.select("did", "th", "i").union(ends.select("did0", "th0", "i0")).groupBy("did", "th").agg(F.collect_set("i").alias("at"))
-    texts = docs.where("text is not null").select(*_keys(), "text").join(places, ["did", "th"]).dropDuplicates(["did", "th"])
-    around = _hashed(texts).withColumn("i", F.explode("at"))
-    around = around.select("did", "th", "i", F.expr(f"reverse(slice(wh, greatest(i - {EXTEND}, 0) + 1, least(i, {EXTEND})))").alias("before"), F.expr(f"slice(wh, i + {WORDS} + 1, {EXTEND})").alias("behind"))
-    around = scratch(around, "word-ends-around")
-    there = around.withColumnsRenamed({c: f"{c}0" for c in around.columns})
-    both = ends.join(around, ["did", "th", "i"]).join(there, ["did0", "th0", "i0"])
-    alike = "zip_with({0}, {0}0, (x, y) -> coalesce(x = y, false))"
-    both = _once(both, left=f"if(open_left, {alike.format('before')}, array(false))", right=f"if(open_right, {alike.format('behind')}, array(false))")
-    steps = "if(array_position({0}, false) = 0, size({0}), cast(array_position({0}, false) - 1 as int))"
-    longer = both.select("did", "th", F.expr(f"i - {steps.format('left')}").alias("lo"), F.expr(f"i + {WORDS - 1} + {steps.format('right')}").alias("hi"))
-    runs = later.select("did", "th", F.col("i").alias("lo"), F.expr(f"i + {WORDS - 1}").alias("hi")).unionByName(longer)
-    # Shorter runs are found by luck only, and stay, whatever their hashes are.
-    cut = F.filter(F.expr(_merged()), lambda r: r["hi"] - r["lo"] + 1 >= WORDS + SPAN - 1)
-    return runs.groupBy("did", "th").agg(cut.alias("cut")).where("size(cut) > 0")
-
-
-def _merged() -> str:
-    """SQL: the runs lo to hi of a group; those that meet become one."""
-    last = "element_at(a, -1)"
-    join = f"concat(slice(a, 1, size(a) - 1), array(struct({last}.lo AS lo, greatest({last}.hi, r.hi) AS hi)))"
-    return f"aggregate(array_sort(collect_set(struct(lo, hi))), cast(array() AS array<struct<lo: int, hi: int>>), (a, r) -> if(size(a) > 0 AND {last}.hi >= r.lo - 1, {join}, concat(a, array(r))))"
-
-
-def _cut_lines():
-    """Array of (t, c) for a text's lines: what is left of each (null if it goes), and whether words of it were cut.
-
-    Words to go are flagged first, so that lines are cut where they are in the whole text. A line of flagged words
-    only goes whole; other lines keep their ends.
+    marks = scratch(fingerprints(docs), "marks")
+    again = scratch(marks.groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1").select("g"), "repeats")
+    marks = scratch(marks.join(again.hint("shuffle_hash"), "g", "left_semi"), "repeated")
+    first = scratch(_earliest(marks), "first")
+    later = marks.join(first.hint("shuffle_hash"), "g").where(F.struct("did", "th", "i") != F.col("first"))
+    return scratch(later.groupBy("did", "th").agg(F.array_sort(F.collect_set(F.struct("i", "g"))).alias("at")), "matches"), first
+
+
+def _extended(docs: DataFrame, matches: DataFrame, first: DataFrame) -> DataFrame:
+    """did, th and i: positions of k-grams around the open ends of runs of matches that stand earlier.
+
+    A match has an open end where its k-gram doesn't overlap the next match's. The k-grams at all words up to SPAN - 1 away
+    are looked up among those around the earliest places of the fingerprints there and around other open ends. That
+    holds for all matches less than SPAN words from an open end, as the last one may be none in the document that
+    shares the run. A place within a run isn't asked, as the k-grams that overlap there stand earlier themselves.
     """
-    bare = F.ltrim(F.col("text"), F.lit(" \t\r\n"))
-    tokens = F.split(bare, f"(?<={BLANK})(?!{BLANK})")  # words with the blanks behind them
-    flagged = F.transform(tokens, lambda t, j: F.when(F.exists("__lexweft_cut", lambda r: j.between(r["lo"], r["hi"])), F.concat(F.lit(FLAG), t)).otherwise(t))
-    ahead = F.left("text", F.char_length("text") - F.char_length(bare))
-    marked = F.when(F.col("__lexweft_cut").isNull(), F.col("text")).otherwise(F.concat(ahead, F.array_join(flagged, "")))
+    flags = f"struct(e.i, e.g, coalesce(get(at, j - 1).i + {GRAM} <= e.i, true) AS l, coalesce(get(at, j + 1).i >= e.i + {GRAM}, true) AS r)"
+    ends = _once(matches, open=f"transform(at, (e, j) -> {flags})").drop("at")
+    left = f"exists(slice(open, greatest(j - {SPAN - 2}, 0) + 1, least(j, {SPAN - 2}) + 1), m -> m.l AND e.i - m.i < {SPAN})"
+    right = f"exists(slice(open, j + 1, {SPAN - 1}), m -> m.r AND m.i - e.i < {SPAN})"
+    near = f"transform(open, (e, j) -> struct(e.i, e.g, {left} AS l, {right} AS r))"
+    ends = scratch(ends.select("did", "th", F.expr(f"inline(filter({near}, e -> e.l OR e.r))")), "ends")
+    sides = ends.groupBy("g").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    origin = first.join(sides, "g").select("first.did", "first.th", "first.i", "l", "r")
+    near = ends.select("did", "th", "i", "l", "r").union(origin).groupBy("did", "th").agg(F.collect_set(F.struct("i", "l", "r")).alias("near"))
+    texts = _pairs(_hashed(_met(docs.where("text is not null").select(*_keys(), "text"), scratch(near, "near"), "size(near)", "inner")))
+    spread = f"transform(near, e -> sequence(greatest(if(e.l, e.i - {SPAN - 1}, e.i), 0), least(if(e.r, e.i + {SPAN - 1}, e.i), size(p) + 1 - {GRAM})))"
+    texts = _once(texts, at=f"array_distinct(flatten({spread}))")
+    around = scratch(texts.select("did", "th", F.expr(f"inline(transform(at, i -> struct(i, {_gram('i')} AS g)))")), "around")
+    earliest = scratch(_earliest(around), "first-around")
+    return around.join(earliest.hint("shuffle_hash"), "g").where(F.struct("did", "th", "i") != F.col("first")).select("did", "th", "i")
 
-    def line(x, i):
-        gone = F.coalesce(F.exists("__lexweft_gone", lambda r: i.between(r["lo"], r["hi"])), F.lit(False))
-        part = F.contains(x, F.lit(FLAG)) & ~gone
-        rest = F.regexp_replace(x, f"{FLAG}[^ \\t\\r\\n]+[ \\t]*", "")
-        kept = F.when(gone, None).when(~part, x).when(F.trim(rest, F.lit(" \t\r\n")) != "", rest)
-        return F.struct(kept.alias("t"), part.alias("c"))
 
-    return F.transform(_lines(marked), line)
+def repeated(docs: DataFrame) -> DataFrame:
+    """did, th and at (sorted first words of later repeats of k-grams) of every document with some."""
+    matches, first = _matches(docs)
+    more = _extended(docs, matches, first).groupBy("did", "th").agg(F.collect_set("i").alias("more"))
+    both = matches.join(more, ["did", "th"], "left")
+    return both.select("did", "th", F.expr("array_sort(concat(at.i, coalesce(more, cast(array() AS array<int>))))").alias("at"))
+
+
+def _runs(at: str) -> str:
+    """SQL: runs (lo, hi) of words that the k-grams at sorted positions cover; those that meet are one."""
+    starts = f"filter({at}, (p, j) -> j = 0 OR get({at}, j - 1) + {GRAM} < p)"
+    stops = f"filter({at}, (p, j) -> coalesce(p + {GRAM} < get({at}, j + 1), true))"
+    runs = f"zip_with({starts}, {stops}, (p, q) -> struct(p AS lo, q + {GRAM - 1} AS hi))"
+    return f"filter({runs}, r -> r.hi - r.lo + 1 >= {GRAM + SPAN - 1})"
+
+
+def _whole() -> str:
+    """SQL: the runs, those under LONG words cut back to the whole lines in them."""
+    lo = "if(r.lo = 0 OR array_contains(ends, r.lo - 1), r.lo, array_min(filter(ends, e -> e >= r.lo)) + 1)"
+    hi = "coalesce(array_max(filter(ends, e -> e <= r.hi)), -1)"
+    cut = f"transform(runs, r -> if(r.hi - r.lo + 1 >= {LONG}, r, struct({lo} AS lo, {hi} AS hi)))"
+    text = "array_join(slice(tokens, r.lo + 1, greatest(r.hi - r.lo + 1, 0)), '')"
+    return f"filter({cut}, r -> r.hi - r.lo + 1 >= {LONG} OR octet_length(trim(BOTH ' \t\r\n' FROM {text})) >= {LEAST})"
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs``, all columns kept, with repeated runs cut from text, and n_lines, n_removed and share_left added.
 
-    Order: doc_id (nulls first), then a hash of the text, then the line; the earliest stays. Lines are compared
-    trimmed of blanks, tabs, line feeds and carriage returns; lines without words aren't compared, and go only within runs. Words of repeated
-    runs that share a line with others go without it. Where lines went, blanks at the end of the text go too. share_left: the share of bytes that is left. n_lines counts line feeds, n_removed the lines cut whole or in part. Null text stays null, with 0 lines. Rows equal in doc_id and text are one document and get the
-    same result. Existing columns of the added names are replaced. An empty table gives no rows.
+    Order: doc_id (nulls first), then a hash of the text, then the word; the earliest stays, overlapping repeats
+    within a document included. Words are separated by blanks, tabs, line feeds and carriage returns, and compared as
+    they are, whatever separates them. A line ends with a line feed or with a stop, ``!`` or ``?`` before a blank. Runs of
+    LONG words go whole; of runs of 29 words, lines that lie in them whole, if they hold LEAST bytes. Blanks behind
+    a word go with it, those before a line that goes too. Where words went, blanks at the end of the text go as well.
+
+    n_lines counts line feeds and one, n_removed the lines cut whole or in part, share_left is the share of bytes that is
+    left. Null text stays null, with 0 lines; empty texts stay. Rows equal in doc_id and text are one document and get
+    the same result. Any text that Spark can hold goes. Existing columns of the
+    added names are replaced. An empty table gives no rows.
     """
-    gone = scratch(repeated(docs), "gone").withColumnsRenamed({c: f"__lexweft_{c}" for c in ("gone", "n")})
-    cut = scratch(repeated_words(docs), "cut").withColumnRenamed("cut", "__lexweft_cut")
-    both = gone.join(cut, ["did", "th"], "full").withColumnsRenamed({c: f"__lexweft_{c}" for c in ("did", "th")})
-    did, th = _keys()
-    out = docs.drop("n_lines", "n_removed", "share_left").join(both, (did == F.col("__lexweft_did")) & (th == F.col("__lexweft_th")), "left")
-    hit = F.col("__lexweft_did").isNotNull()
-    # The generators keep the optimizer from computing lines and text again wherever they are used.
-    out = out.select("*", F.explode(F.array(F.struct(F.when(hit, _cut_lines()).alias("lines")))).alias("__lexweft_cut_lines"))
-    kept = F.expr("array_join(transform(__lexweft_cut_lines.lines, s -> s.t), '')")
-    kept = F.when(hit, F.rtrim(kept, F.lit(" \n\t\r"))).otherwise(F.col("text"))
-    out = out.select("*", F.explode(F.array(F.struct(kept.alias("text")))).alias("__lexweft_kept"))
+    runs = _once(repeated(docs), runs=_runs("at")).where("size(runs) > 0").select("did", "th", "runs")
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "share_left")]
+    # Documents' columns stand in a struct, so that none of them clashes with those made here.
+    rows = docs.select(*_keys(), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+    out = _met(rows, scratch(runs, "runs"), "size(runs)", "left").select("row", "row.text", "runs")
+    bare = "ltrim(' \t\r\n', text)"
+    # Each step is computed once, and only for documents with runs.
+    out = _once(out, tokens=f"if(runs IS NULL, null, split({bare}, '(?<=[{BLANK}])(?![{BLANK}])'))")  # words with the blanks behind them
+    short = f"exists(runs, r -> r.hi - r.lo + 1 < {LONG})"
+    out = _once(out, ends=f"if({short}, filter(sequence(0, size(tokens) - 1), j -> j = size(tokens) - 1 OR rlike(get(tokens, j), '\\n|[.!?] ')), null)")
+    out = _once(out, cut=_whole())
+    out = _once(out, parts="transform(sequence(0, size(cut)), c -> struct(coalesce(get(cut, c - 1).hi + 1, 0) AS lo, coalesce(get(cut, c).lo, size(tokens)) AS hi))")
+    # Blanks between a line end and a line that goes are that line's.
+    kept = "array_join(transform(parts, p -> regexp_replace(array_join(slice(tokens, p.lo + 1, p.hi - p.lo), ''), '(?<=\\n)[ \\t]+\\\\z', '')), '')"
+    ahead = f"if(get(cut, 0).lo = 0, '', left(text, char_length(text) - char_length({bare})))"
+    out = _once(out, kept=f"if(size(cut) > 0, rtrim(' \n\t\r', concat({ahead}, {kept})), text)")
+    lines = "aggregate(cut, 0, (n, r) -> n + size(split(trim(BOTH ' \t\r\n' FROM array_join(slice(tokens, r.lo + 1, r.hi - r.lo + 1), '')), '\\n[ \\t\\r\\n]*|[.!?] ')))"
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    n_removed = F.coalesce("__lexweft_n", F.lit(0)) + F.coalesce(F.expr("size(filter(__lexweft_cut_lines.lines, s -> s.c))"), F.lit(0))
-    left = F.when(hit, F.octet_length("__lexweft_kept.text") / F.octet_length("text")).otherwise(1.0)
-    out = out.withColumns({"n_lines": n_lines, "n_removed": F.when(hit, n_removed).otherwise(0), "share_left": left})
-    return out.withColumn("text", F.col("__lexweft_kept.text")).drop(*[f"__lexweft_{c}" for c in ("did", "th", "gone", "n", "cut", "cut_lines", "kept")])
+    n_removed = F.coalesce(F.expr(lines), F.lit(0))
+    share = F.when(F.expr("size(cut) > 0"), F.octet_length("kept") / F.octet_length("text")).otherwise(1.0)
+    own = [F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in keep]
+    return out.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"), share.alias("share_left"))
