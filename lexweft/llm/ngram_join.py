@@ -457,12 +457,12 @@ def groups(docs: DataFrame, join: Join, count: bool = False) -> DataFrame:
     rows = scratch(describe(docs, join), "sets")
     held = rows.where("sid is not null")
     sets = scratch(held.groupBy("sid").agg(F.min(F.struct(F.col("did") == NO_ID, "did", "th")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("sid", "n", "sketch", "rep.did", "rep.th"), "distinct-sets")
-    count = 2 * partitions(spark)
-    packed = scratch(_candidates(_signed(docs, join, count)), "candidates")
+    dealt = 2 * partitions(spark)
+    packed = scratch(_candidates(_signed(docs, join, dealt)), "candidates")
     slim = sets.select("sid", "n", "sketch")
 
     # One fetch of the texts that either round may need.
-    pairs = scratch(_possible(_pairs(packed, count), slim, join), "pairs")
+    pairs = scratch(_possible(_pairs(packed, dealt), slim, join), "pairs")
     needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).union(_members(packed)).distinct()
     where = sets.select("sid", "did", "th").join(needed, "sid", "left_semi")
     texts = scratch(_keyed(docs).join(where, ["did", "th"]).select("sid", "text").dropDuplicates(["sid"]), "texts")
