@@ -65,11 +65,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, partial
     items = items.withColumns({"n": F.size("wh"), "item": F.xxhash64("item_id", "wh")}).where(F.col("n") >= FEWEST)
     items = scratch(items, "items")
     index = scratch(_windows(items, MASKS, "item", "n").withColumnsRenamed({"at": "item_at", "n": "item_words"}), "seeds")
-    index = _bounded(index, index.count())
     whole = _bounded(items.select("item", "item_id", F.col("wh").alias("item_wh")), items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("wh")).withColumn("n", F.size("wh"))
-    hits = _windows(own, MASKS, "doc_id", "text_hash", "wh").join(index, "h").withColumn("offset", F.col("at") - F.col("item_at")).join(whole, "item")
+    offset = (F.col("at") - F.col("item_at")).alias("offset")
+    if index.count() <= BROADCAST_ROWS:
+        hits = _windows(own, MASKS, "doc_id", "text_hash", "wh").join(F.broadcast(index), "h").select("doc_id", "text_hash", "wh", "item", "item_words", offset)
+    else:  # windows are shuffled by seed without the words, which are fetched for hits only
+        met = _windows(own, MASKS, "doc_id", "text_hash").join(index, "h").select("doc_id", "text_hash", "item", "item_words", offset).distinct()
+        texts = own.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "wh")
+        hits = met.join(texts, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    hits = hits.join(whole, "item")
     # Each hit is compared where it is found: short seeds hit often by chance, and such hits aren't shuffled.
     same = "transform(item_wh, (w, p) -> if(coalesce(get(wh, offset + p), -1) = w, 1, 0))"
     hits = hits.select("doc_id", "text_hash", "item_id", "item_words", "offset", F.explode(F.expr(f"array({same})")).alias("same"))
