@@ -1,9 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words become classes (insult, threat, target, negation, reporting, clause end, other). Three Mealy machines
-(reported speech, negation, target) rewrite the class stream; their composition is one machine whose output
-symbols are clause patterns: an insult or threat, plain or aimed at someone, negated, reported. Each pattern
-has a weight, each lexicon entry its own; a document's score is the noisy-or of its matched clauses.
+Words become classes (insult, violent verb, intent, target, negation, reporting, parts of insulting phrases, clause end,
+other). Five Mealy machines rewrite the class stream: insults (single words and phrases), threats (an intent, a
+violent verb and its target, in any order that begins with the intent), reported speech, negation, target. Their
+composition is one machine whose output symbols are clause patterns: an insult or threat, plain or aimed at
+someone, negated, reported. Each pattern has a weight, each lexicon entry its own. A clause counts by its
+strongest pattern, however often words repeat in it; a document's score is the noisy-or of its matched clauses.
 Lexicon entries (words and word beginnings) and pattern weights are learnt from labels, with priors.
 """
 
@@ -26,15 +28,19 @@ from .common import add_columns, held_out, keep_rows, tidied, training_sample
 TARGETS = frozenset("you your yours yourself u ur they them he she him her du dich dir ihr euch sie er tu te toi vous il elle ils usted ustedes él ella ellos".split())
 NEGATIONS = frozenset("not no never isn't aren't wasn't don't doesn't didn't hardly nicht kein keine keinen nie niemals ne pas jamais aucun nunca tampoco jamás ni".split())
 REPORTING = frozenset("said says say wrote writes claimed claims quoted reported called told sagte sagt schrieb behauptet nannte dit écrit prétend affirme dijo dice escribió afirma llamó".split())
-THREATS = frozenset("kill killing murder strangle stab shoot hurt destroy beat burn umbringen töten erschießen tuer égorger frapper matar apuñalar disparar".split())
+VIOLENCE = frozenset("kill murder strangle stab shoot hurt destroy beat burn umbringen töten erschießen schlagen verletzen tuer égorger frapper matar apuñalar disparar golpear".split())
+INTENTS = frozenset("will i'll we'll gonna going shall should must want wanna werde werden wirst will'st soll sollte vais va allons veux dois voy vamos quiero debo".split())
+REFLEXIVES = frozenset("yourself urself yourselves".split())
+#: Phrases such as "piece of trash": an opener, a link, a thing.
+OPENERS = frozenset("piece waste sack bag pile heap stück haufen tas morceau pedazo montón".split())
+LINKS = frozenset("of de d'".split())
+THINGS = frozenset("trash garbage crap shit filth dirt dreck scheiße merde ordures mierda basura space oxygen".split())
 #: Seeds used beside what labels teach.
 INSULTS = frozenset("idiot idiots moron morons scum loser losers stupid worthless pathetic imbecile bastard vermin filth dumbass dummkopf arschloch abschaum connard crétin ordure imbécil basura escoria".split())
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;\n]|[\"“”«»]")
 LETTERS = re.compile(r"[^\W\d_]+")
 BREAK = re.compile(r"[.!?;\n]")
-#: Characters looked at on each side of a match within its clause; the machines remember fewer words than that.
-REACH = 400
 
 
 @dataclass
@@ -66,6 +72,48 @@ def compose(first: Mealy, second: Mealy) -> Mealy:
     return Mealy((first.start, second.start), step)
 
 
+def _insults() -> Mealy:
+    """Insulting words (I) stand for themselves; an opener, a link and a thing in a row (P F G) make one too."""
+
+    def step(state, s):
+        at = state[0]
+        if s == "P":
+            return (1,), "O"
+        if s == "F" and at == 1:
+            return (2,), "O"
+        if s == "G":
+            return (0,), "I" if at == 2 else "O"
+        if s == "T" and at == 2:  # piece of your trash
+            return state, s
+        return (0,), "O" if s == "F" else s
+
+    return Mealy((0,), step)
+
+
+def _threats(reach: int = 5) -> Mealy:
+    """An intent (M), then a violent verb (V) and a target (T) in either order, each within ``reach`` words of the one
+    before, make a threat (H) at the last of them; so does a verb with a reflexive target (Y) right behind it."""
+
+    def step(state, s):
+        intent, verb, target, bare = state
+        less = (max(0, intent - 1), max(0, verb - 1), max(0, target - 1), 0)
+        if s == "E":
+            return (0, 0, 0, 0), s
+        if s == "M":
+            return (reach, *less[1:]), "O"
+        if s == "V":
+            if target:
+                return (less[0], 0, 0, 1), "H"
+            return (less[0], reach if intent else 0, 0, 1), "O"
+        if s in ("T", "Y"):
+            if verb or (bare and s == "Y"):
+                return (0, 0, 0, 0), "H"
+            return (less[0], less[1], reach if intent else less[2], 0), "T"
+        return less, s
+
+    return Mealy((0, 0, 0, 0), step)
+
+
 def _reported() -> Mealy:
     """After a reporting verb, up to the clause's end, insults (I) and threats (H) are reported (R-)."""
 
@@ -110,20 +158,20 @@ def _aimed(reach: int = 4) -> Mealy:
 
 
 def grammar() -> Mealy:
-    return compose(compose(_reported(), _negated()), _aimed())
+    return compose(compose(compose(compose(_insults(), _threats()), _reported()), _negated()), _aimed())
 
 
 #: Prior probability that a document whose only match has this pattern is toxic; R reported, N negated, T aimed.
-PRIORS = {"I": 0.7, "TI": 0.85, "NI": 0.3, "RI": 0.35, "NRI": 0.2, "H": 0.3, "TH": 0.75, "NH": 0.15, "RH": 0.25, "NRH": 0.1}
+PRIORS = {"I": 0.7, "TI": 0.85, "NI": 0.3, "RI": 0.35, "NRI": 0.2, "H": 0.8, "NH": 0.15, "RH": 0.25, "NRH": 0.1}
 PRIOR_ROWS = 6.0
 #: A score of documents without any match.
 NOTHING = 0.02
 
 
 def pattern(symbol: str) -> str:
-    """The weight class of an output symbol: aim is kept only for plain matches."""
+    """The weight class of an output symbol: aim is kept only for plain insults, as threats have a target anyway."""
     core = symbol.replace("T", "")
-    return f"T{core}" if symbol[0] == "T" and len(core) == 1 else core
+    return "TI" if symbol[0] == "T" and core == "I" else core
 
 
 @dataclass(frozen=True)
@@ -143,7 +191,7 @@ class Matcher:
         self.lengths = sorted({len(k) for k in self.begins})
         self.machine = grammar()
         self.auto = ahocorasick.Automaton()
-        for key in {*self.words, *self.begins, *THREATS}:
+        for key in {*self.words, *self.begins, *VIOLENCE, *THINGS}:
             self.auto.add_word(key, len(key))
         self.auto.make_automaton()
 
@@ -159,48 +207,47 @@ class Matcher:
     def kind(self, token: str) -> str:
         if len(token) == 1 and token in ".!?;\n":
             return "E"
-        if token in THREATS:
-            return "H"
         if self.evidence(token):
             return "I"
-        if token in NEGATIONS:
-            return "N"
-        if token in TARGETS:
-            return "T"
-        return "S" if token in REPORTING or token in "\"“”«»" else "O"
-
-    def matches(self, text: str | None) -> list[tuple[str, float]]:
-        """(pattern, evidence) of every insult and threat in the text."""
+        return _CLASSES.get(token, "O")
+
+    def matches(self, text: str | None) -> list[list[tuple[str, float]]]:
+        """For each clause with insults or threats their (pattern, evidence)."""
         if not text:
             return []
-        low, found, done = text.lower(), [], -1
+        low, found, done = text.lower(), [], 0
         for end, n in self.auto.iter(low):
             start = end - n + 1
             if end < done or start and low[start - 1].isalpha():
                 continue
-            left = max((m.end() for m in BREAK.finditer(low, max(0, start - REACH), start)), default=max(0, start - REACH))
-            left = max(left, done)
-            stop = BREAK.search(low, end + 1, min(len(low), end + 1 + REACH))
-            right = stop.start() if stop else min(len(low), end + 1 + REACH)
-            while right < len(low) and low[right].isalpha():  # never cut a word
-                right += 1
-            tokens = WORD.findall(low, left, right)
+            left = done  # the clause is read whole, so that no machine forgets how it began
+            for m in BREAK.finditer(low, done, start):
+                left = m.end()
+            stop = BREAK.search(low, end + 1)
+            done = stop.start() if stop else len(low)
+            tokens = WORD.findall(low, left, done)
             out = self.machine.run([*map(self.kind, tokens)])
+            clause = []
             for k, (token, s) in enumerate(zip(tokens, out, strict=True)):
                 if s[-1] in "IH":
                     aimed = s if s[0] == "T" or "A" not in out[k + 1 : k + 5] else f"T{s}"
-                    found.append((pattern(aimed), self.evidence(token) if s[-1] == "I" else 1.0))
-            done = right
+                    clause.append((pattern(aimed), self.evidence(token) or 1.0))
+            if clause:
+                found.append(clause)
         return found
 
 
+#: Classes of words outside the lexicon; a word of several sets has the last one's.
+_CLASSES = {w: c for c, words in (("F", LINKS), ("P", OPENERS), ("G", THINGS), ("M", INTENTS), ("S", {*REPORTING, *'"“”«»'}), ("T", TARGETS), ("Y", REFLEXIVES), ("N", NEGATIONS), ("V", VIOLENCE)) for w in words}
+
+
 def _weight(p: float) -> float:
     return -math.log1p(-min(p, 0.999))
 
 
-def combine(matches: list[tuple[str, float]], patterns: dict[str, float]) -> float:
-    """Noisy-or over matches: 1 - exp(-sum of pattern weight * evidence), from NOTHING upwards."""
-    total = sum(_weight(patterns[p]) * e for p, e in matches)
+def combine(clauses: list[list[tuple[str, float]]], patterns: dict[str, float]) -> float:
+    """Noisy-or over clauses: 1 - exp(-sum of each clause's largest pattern weight * evidence), from NOTHING upwards."""
+    total = sum(max(_weight(patterns[p]) * e for p, e in own) for own in clauses)
     return 1 - (1 - NOTHING) * math.exp(-total)
 
 
@@ -285,7 +332,7 @@ def _pattern_counts(sample: DataFrame, entries: dict[str, float]) -> dict[str, t
         matcher, found = Matcher(entries), Counter()
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"], strict=True):
-                kinds = {p for p, _ in matcher.matches(text)}
+                kinds = {p for own in matcher.matches(text) for p, _ in own}
                 if len(kinds) == 1:
                     found[kinds.pop(), int(y)] += 1
         yield pd.DataFrame([(p, y, n) for (p, y), n in found.items()], columns=["pattern", "y", "n"])
@@ -298,9 +345,9 @@ def _pattern_counts(sample: DataFrame, entries: dict[str, float]) -> dict[str, t
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """doc_id, held_out, score, predicted and n_matches of every whole text.
+    """doc_id, held_out, score, predicted and n_matches (matched clauses) of every whole text.
 
-    Null and empty texts match nothing and get the lowest score. Repeated rows are scored alike; other columns
+    Clauses end at stops, semicolons and line feeds and are read whole, however long. Null and empty texts match nothing and get the lowest score. Repeated rows are scored alike; other columns
     are not read; an empty table gives no rows.
     """
 
@@ -320,7 +367,10 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> Data
 
 
 def reject(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose text scores below ``threshold``."""
+    """The rows of ``docs``, all columns kept, whose text scores below ``threshold``.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table gives no rows.
+    """
 
     def factory():
         matcher = Matcher(model.entries)
