@@ -397,25 +397,6 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.where("false")).isEmpty() and ann.search(df.where("vec_id < 4")).count() == 3
 
 
-def test_recall_with_many_lists():
-    """Recall against brute force where most of several hundred lists are pruned, on vectors without clusters."""
-    import numpy as np
-
-    x = np.random.default_rng(4).normal(size=(20_000, 64))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    settings = ann.Settings()
-    centres = ann.balanced_centroids(x, 800)
-    row, own = ann._postings(x, centres, settings)
-    graph, hit, searched = ann.CentroidGraph(centres, settings), 0, []
-    for q in range(60):
-        d = ((x - x[q]) ** 2).sum(axis=1)
-        d[q] = np.inf
-        lists = graph.lists(x[q])
-        searched.append(len(lists))
-        hit += np.isin(np.argsort(d)[:10], row[np.isin(own, lists)]).sum()
-    assert len(centres) == 800 and max(searched) <= 200 and hit >= 0.97 * 600
-
-
 def test_stages(spark, odd, none, small):
     for rows in (odd, none):
         out = rows
