@@ -25,7 +25,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--dim", type=int, default=256)
     p.add_argument("--scope", choices=SCOPES, default=SCOPES[0])
     p.add_argument("--stage2-metric", choices=METRICS, default=METRICS[0])
-    p.add_argument("--mode", choices=MODES[:2], default=MODES[0])
+    p.add_argument("--mode", choices=MODES, default=MODES[0])
+    p.add_argument("--index-dir", help="folder of a vector index for stage 2; without it the search is exact")
     p.add_argument("--clear-cache", action="store_true")
     return p
 
@@ -33,7 +34,7 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     logging.basicConfig(level=logging.INFO)
-    config = Config(a.reference_dir, a.query_dir, a.output_dir, a.cache_dir, a.threshold, a.apply_threshold, a.top_k, dim=a.dim, scope=a.scope, stage2_metric=a.stage2_metric, mode=a.mode)
+    config = Config(a.reference_dir, a.query_dir, a.output_dir, a.cache_dir, a.threshold, a.apply_threshold, a.top_k, dim=a.dim, scope=a.scope, stage2_metric=a.stage2_metric, mode=a.mode, index_dir=a.index_dir)
     engine = AlignmentEngine(SparkSession.builder.getOrCreate(), config, HttpProvider(a.endpoint) if a.endpoint else HashingProvider(a.dim))
     if a.clear_cache:
         engine.clear_cache()

@@ -36,6 +36,8 @@ class Config:
     mode: str = "composite"
     strip_suffix: bool = False
     digits: int = 9
+    index_dir: str | None = None
+    probe: int | None = None
 
     def __post_init__(self) -> None:
         if self.top_k < 1 or self.head < 1 or self.dim < 1 or self.oversample < 1:

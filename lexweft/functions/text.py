@@ -44,14 +44,20 @@ def word_similarity(a: Column, b: Column) -> Column:
 
 def set_jaccard(a: Column, b: Column) -> Column:
     """Intersection by union of two arrays of distinct values; 1 if both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    both = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def word_jaccard(a: Column, b: Column) -> Column:
     return set_jaccard(words(a), words(b))
 
 
+def leading_text(pos: Column, text: Column, n: int = 30) -> Column:
+    """Aggregate: the texts of a document's first ``n`` rows in order, joined by blanks."""
+    first = F.array_sort(F.collect_list(F.when(pos < n, F.struct(pos.alias("pos"), text.alias("text")))))
+    return F.array_join(F.transform(first, lambda x: x["text"]), " ")
+
+
 def normalize_filename(name: Column) -> Column:
     return F.translate(name, "-_", "  ")
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import http.client
 import json
 import re
 import urllib.error
 import urllib.request
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,13 +50,16 @@ class LookupProvider(EmbeddingProvider):
 
 def hashed(text: str, dim: int) -> np.ndarray:
     """Unit vector of counts of words by the first eight digits of their md5, modulo dim; zeros without words."""
-    out = np.zeros(dim)
-    for w in _WORDS.findall(text):
-        out[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim] += 1
+    out = np.bincount([_digits(w) % dim for w in _WORDS.findall(text)], minlength=dim).astype(np.float64)
     size = np.linalg.norm(out)
     return out / size if size else out
 
 
+@lru_cache(maxsize=1 << 18)
+def _digits(word: str) -> int:
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big")
+
+
 #: Unicode White_Space; Python's own \s also takes U+001C to U+001F.
 _WORDS = re.compile("[^\t-\r \x85\xa0  -     　]+")
 
@@ -85,13 +91,13 @@ def decode_response(body: str, dim: int) -> list[float]:
 
 
 class HttpProvider(EmbeddingProvider):
-    """POSTs {"content": prompt} to an endpoint, a text at a time within each partition, partitions in parallel."""
+    """POSTs {"content": prompt} to an endpoint, a text in each request, ``batch`` at once in each task."""
 
-    def __init__(self, url: str, dim: int = 768, timeout: float = 30.0, retries: int = 2):
-        self.url, self.dim, self.timeout, self.retries, self.model = url, dim, timeout, retries, url
+    def __init__(self, url: str, dim: int = 768, timeout: float = 30.0, retries: int = 2, batch: int = 10):
+        self.url, self.dim, self.timeout, self.retries, self.batch, self.model = url, dim, timeout, retries, batch, url
 
     def embed(self, df: DataFrame, role: str, text: str = "text") -> DataFrame:
-        url, dim, timeout, retries = self.url, self.dim, self.timeout, self.retries
+        url, dim, timeout, retries, batch_size = self.url, self.dim, self.timeout, self.retries, self.batch
         schema = T.StructType([*df.schema.fields, T.StructField("vec", T.ArrayType(T.DoubleType()))])
 
         def ask(prompt: str) -> list[float]:
@@ -99,25 +105,30 @@ class HttpProvider(EmbeddingProvider):
             for _ in range(retries + 1):
                 try:
                     with urllib.request.urlopen(request, timeout=timeout) as answer:
-                        return decode_response(answer.read().decode(), dim)
-                except (urllib.error.URLError, OSError):
+                        return decode_response(answer.read().decode("utf-8", "replace"), dim)
+                except (urllib.error.URLError, http.client.HTTPException, OSError):
                     continue
             return [0.0] * dim
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch.drop(columns="_prompt").assign(vec=[ask(p) for p in batch["_prompt"]])
+            with ThreadPoolExecutor(batch_size) as pool:
+                for batch in batches:
+                    yield batch.drop(columns="_prompt").assign(vec=[*pool.map(ask, batch["_prompt"])])
 
         return df.withColumn("_prompt", tx.prompt(F.col(text), role)).mapInPandas(run, schema)
 
 
 class CachedProvider(EmbeddingProvider):
-    """Keeps another provider's vectors as Parquet, keyed by role, model and a hash of the text."""
+    """Keeps another provider's vectors as Parquet, keyed by role, model and a hash of the text.
+
+    Failed (all-zero) vectors aren't kept, so their texts are asked again in the next run. Files that can't be read are
+    passed over, and what they held is embedded again.
+    """
 
     def __init__(self, inner: EmbeddingProvider, path: str):
         if not path:
             raise InvalidConfig("an embedding cache needs a path")
-        self.inner, self.path, self.model = inner, path, inner.model
+        self.inner, self.path, self.model, self.dim = inner, path, inner.model, inner.dim
 
     def embed(self, df: DataFrame, role: str, text: str = "text") -> DataFrame:
         spark = df.sparkSession
@@ -128,15 +139,15 @@ class CachedProvider(EmbeddingProvider):
         if own is not None:
             asked = asked.join(own.select(F.col("key").alias("_key")), "_key", "left_anti")
         new = self.inner.embed(asked, role, "_text").select(F.lit(role).alias("role"), F.lit(self.model).alias("model"), F.col("_key").alias("key"), "vec", F.unix_timestamp().alias("made"))
-        new.write.mode("append").parquet(self.path)
+        new.where(~vx.is_zero(F.col("vec"))).write.mode("append").parquet(self.path)
         vectors = self.read(spark).where((F.col("role") == role) & (F.col("model") == self.model))
         vectors = vectors.groupBy(F.col("key").alias("_key")).agg(F.first("vec").alias("vec"))
-        return keyed.join(vectors, "_key", "left").drop("_key")
+        return keyed.join(vectors, "_key", "left").drop("_key").withColumn("vec", vx.or_zeros(F.col("vec"), self.dim).cast("array<double>"))
 
     def read(self, spark) -> DataFrame | None:
-        """The cache, or None where there is none that can be read."""
+        """The cache, or None where there is none."""
         try:
-            return spark.read.schema("role string, model string, key string, vec array<double>, made bigint").parquet(self.path)
+            return spark.read.schema("role string, model string, key string, vec array<double>, made bigint").option("ignoreCorruptFiles", "true").parquet(self.path)
         except AnalysisException:
             return None
 

@@ -54,6 +54,18 @@ def similarities(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def best_of(x: dict, y: dict, k: int, metric: str, digits: int) -> pd.DataFrame:
+    """The k best rows of block y for each row of block x, ties at the cut by (ref_id, pos)."""
+    score = np.round(similarities(x["vec"], y["vec"], metric), digits)
+    if score.shape[1] > k:
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        row, col = np.nonzero(score >= least[:, None])  # with ties at the cut
+        row, col = _first(score, row, col, y, k)
+    else:
+        row, col = np.indices(score.shape).reshape(2, -1)
+    return pd.DataFrame({"query_id": x["query_id"][row], "pos": x["pos"][row], "ref_id": y["ref_id"][col], "element_pos": y["pos"][col], "semantic": score[row, col]})
+
+
 def knn(blocks: DataFrame, elements: DataFrame, k: int, n_elements: int, dim: int, metric: str = "dot", digits: int = 9) -> DataFrame:
     """query_id, pos, ref_id, element_pos, semantic: the k nearest elements of each block, over the whole corpus.
 
@@ -63,15 +75,7 @@ def knn(blocks: DataFrame, elements: DataFrame, k: int, n_elements: int, dim: in
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in zip(batch["left"], batch["right"], strict=True):
-                x, y = pickle.loads(a), pickle.loads(b)
-                score = np.round(similarities(x["vec"], y["vec"], metric), digits)
-                if score.shape[1] > k:
-                    least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
-                    row, col = np.nonzero(score >= least[:, None])  # with ties at the cut
-                    row, col = _first(score, row, col, y, k)
-                else:
-                    row, col = np.indices(score.shape).reshape(2, -1)
-                yield pd.DataFrame({"query_id": x["query_id"][row], "pos": x["pos"][row], "ref_id": y["ref_id"][col], "element_pos": y["pos"][col], "semantic": score[row, col]})
+                yield best_of(pickle.loads(a), pickle.loads(b), k, metric, digits)
 
     pairs = pair_up(pack(blocks, ["query_id", "pos", "vec"], "left"), pack(elements, ["ref_id", "pos", "vec"], "right"), n_elements, dim)
     near = pairs.mapInPandas(run, "query_id string, pos int, ref_id string, element_pos int, semantic double")

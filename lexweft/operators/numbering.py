@@ -10,13 +10,16 @@ from pyspark.sql.window import Window
 def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Adds ``name``: 0, 1, ... in the order of ``keys``, which must tell rows apart.
 
-    Rows are dealt by a hash of the keys' range: counts of range buckets are summed up (as many rows as
-    buckets), and rows are ranked inside their bucket only.
+    Rows are dealt by range and sorted there, and places within a range follow from the order; counts of ranges (as
+    many rows as ranges) are summed up. So rows are shuffled once.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *keys).withColumn("_bucket", F.spark_partition_id()).persist()
-    counts = ranged.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
-    return ranged.withColumn("_rank", rank).join(F.broadcast(starts), "_bucket").withColumn(name, F.col("_start") + F.col("_rank") - 1).drop("_bucket", "_rank", "_start")
+    place = F.monotonically_increasing_id()  # the partition above 33 bits of row number
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__lexweft_at", place).persist()
+    bucket = F.shiftrightunsigned("__lexweft_at", 33).alias("__lexweft_bucket")
+    counts = ranged.groupBy(bucket).agg(F.count("*").alias("n"))
+    before = Window.orderBy("__lexweft_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__lexweft_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__lexweft_start"))
+    out = ranged.withColumn("__lexweft_bucket", bucket).join(F.broadcast(starts), "__lexweft_bucket")
+    at = F.col("__lexweft_start") + F.col("__lexweft_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn(name, at).drop("__lexweft_bucket", "__lexweft_at", "__lexweft_start")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,14 @@ from ..config import Config
 from ..errors import InvalidConfig, NoQueryDocuments, NoReferenceDocuments
 from ..functions import vectors
 from ..operators import align, rank
-from ..operators.embed import CachedProvider, EmbeddingProvider, HashingProvider
+from ..operators.embed import CachedProvider, EmbeddingProvider, HashingProvider, embedding_counts
+from ..operators.index import VectorIndex
+from ..operators.numbering import numbered
 from ..sources import documents, reports
 from . import report
 
+log = logging.getLogger(__name__)
+
 
 class AlignmentEngine:
     """Aligns query documents with reference documents.
@@ -25,6 +31,46 @@ class AlignmentEngine:
         self.spark, self.config = spark, config
         provider = provider or HashingProvider(config.dim)
         self.provider = CachedProvider(provider, config.cache_dir) if config.cache_dir else provider
+        self._kept: list[DataFrame] = []
+        self._index: tuple[DataFrame, VectorIndex] | None = None
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        """Persists ``df`` until ``release``."""
+        self._kept.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        """Lets go of what ``align`` keeps for its reports; they are computed anew if they are read afterwards."""
+        while self._kept:
+            self._kept.pop().unpersist()
+
+    def _counted(self, df: DataFrame, what: str) -> None:
+        """Logs how many embeddings were made and how many failed."""
+        n = embedding_counts(df.where("pos is not null")).first()
+        log.info("%s: %d embedded, %d failed", what, n["n_ok"], n["n_failed"])
+        if n["all_failed"]:
+            log.warning("%s: all embeddings are zero", what)
+
+    def indexed(self, elements: DataFrame) -> VectorIndex:
+        """The index in config.index_dir with these elements as points 1, 2, ... by (ref_id, pos).
+
+        An index that is there stays, and points with the same numbers are replaced. The same elements are put in once.
+        """
+        if self._index and self._index[0].sameSemantics(elements):
+            return self._index[1]
+        index = VectorIndex(self.spark, self.config.index_dir, self.config.dim, self.config.stage2_metric)
+        points = numbered(elements.where("pos is not null").select("ref_id", "pos", "vec"), ["ref_id", "pos"], "n")
+        index.upsert(points.withColumn("point_id", F.col("n") + 1))
+        self._index = elements, index
+        return index
+
+    def _near(self, blocks: DataFrame, elements: DataFrame, best: DataFrame) -> DataFrame:
+        config = self.config
+        if config.scope != "corpus":
+            return align.neighbours_in_best(blocks, elements, best, config)
+        if not config.index_dir:
+            return align.neighbours(blocks, elements, config)
+        return self.indexed(elements).search(blocks, config.oversample * config.top_k, config.probe, config.digits)
 
     def embedded(self, df: DataFrame, role: str) -> DataFrame:
         """Adds vec, cut to dim; rows of empty documents keep a null one."""
@@ -36,18 +82,23 @@ class AlignmentEngine:
     def align(self, blocks: DataFrame, elements: DataFrame) -> DataFrame:
         """Reports for embedded ``blocks`` (query_id, pos, block_id, text, vec) and ``elements`` (ref_id, pos, element_id, text, vec)."""
         config = self.config
-        blocks, elements = blocks.persist(), elements.persist()
+        if elements.storageLevel.useMemory or elements.storageLevel.useDisk:
+            blocks = self._keep(blocks)
+        else:
+            blocks, elements = self._keep(blocks), self._keep(elements)
         if elements.isEmpty():
             raise NoReferenceDocuments("no reference documents")
         if blocks.isEmpty():
             raise NoQueryDocuments("no query documents")
+        self._counted(elements, "elements")
+        self._counted(blocks, "blocks")
         full_blocks, full_elements = blocks.where("pos is not null"), elements.where("pos is not null")
-        pooled = rank.max_pool(full_blocks, full_elements, config).persist()
-        scores = rank.document_scores(blocks, elements, config, pooled).persist()
+        pooled = self._keep(rank.max_pool(full_blocks, full_elements, config))
+        scores = self._keep(rank.document_scores(blocks, elements, config, pooled))
         best = rank.best_documents(scores)
-        near = align.neighbours(full_blocks, full_elements, config) if config.scope == "corpus" else align.neighbours_in_best(full_blocks, full_elements, best, config)
+        near = self._near(full_blocks, full_elements, best)
         found = align.hits(near, full_blocks, full_elements, best, config)
-        top = align.top_hits(found, full_elements, config).persist()
+        top = self._keep(align.top_hits(found, full_elements, config))
         matches = align.paragraph_matches(top, elements, best)
         stats = align.statistics(matches, blocks, elements, best, config)
         return report.build(scores, pooled, matches, align.top_phrases(top, config), stats, blocks, elements, config)
@@ -62,6 +113,7 @@ class AlignmentEngine:
         out = self.align(blocks, elements).persist()
         reports.write_files(out, config.output_dir)
         reports.log_statistics(out)
+        self.release()
         return out
 
     def clear_cache(self) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from ..functions import scoring, vectors
 from ..functions import text as tx
 from ..operators import align, rank
 from ..operators.embed import HashingProvider
+from ..operators.index import LISTS, VectorIndex
 from ..operators.numbering import numbered
 from ..operators.sizes import size_statistics
 from . import report, tables
@@ -112,13 +115,6 @@ def q_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", tx.char_length(t).alias("char_length"), tx.word_count(t).cast("int").alias("word_count"), tx.byte_length(t).alias("byte_length"))
 
 
-def _next_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the one of the next id."""
-    docs = read(spark, sf_dir, "documents")
-    a = docs.select("doc_id", F.col("text").alias("a"))
-    return a.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b")), "doc_id")
-
-
 @query(f"SELECT a.doc_id, {_r6(_ratio('length(a.text)', 'length(b.text)'))} AS length_similarity, {_r6(_ratio(_nw('a.text'), _nw('b.text')))} AS word_similarity {_NEXT}")
 def q_shape_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Statistics are taken before the join, so that texts aren't shuffled.
@@ -129,7 +125,10 @@ def q_shape_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT a.doc_id, {_r6(_jaccard('a.text', 'b.text'))} AS jaccard {_NEXT}")
 def q_text_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _next_pairs(spark, sf_dir).select("doc_id", r6(tx.word_jaccard(F.col("a"), F.col("b"))).alias("jaccard"))
+    # Each text becomes a set of word hashes before the join, so that texts aren't shuffled.
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.transform(tx.words(F.col("text")), lambda w: F.xxhash64(w)).alias("a"))
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    return docs.join(other, "doc_id").select("doc_id", r6(tx.set_jaccard(F.col("a"), F.col("b"))).alias("jaccard"))
 
 
 @query(f"SELECT a.p_partkey, {_r6(_jaccard(*(f'translate({t}.p_name, {chr(39)}-_{chr(39)}, {chr(39)}  {chr(39)})' for t in 'ab'))) } AS filename_similarity FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1")
@@ -222,7 +221,7 @@ def q_mean_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    b, e = blocks(spark, sf_dir), elements(spark, sf_dir)
+    b, e = blocks(spark, sf_dir).persist(), elements(spark, sf_dir).persist()
     return b, e, rank.document_scores(b, e, CONFIG)
 
 
@@ -236,6 +235,33 @@ def q_best_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.best_documents(_scores(spark, sf_dir)[2]).select("query_id", "ref_id", r6(F.col("score")).alias("score"))
 
 
+def _with_zeros(df: DataFrame, every: int) -> DataFrame:
+    """Zero vectors at every so manieth position."""
+    return df.withColumn("vec", F.when(F.col("pos") % every == 0, F.transform("vec", lambda x: F.lit(0.0))).otherwise(F.col("vec")))
+
+
+_ZEROS = _BASE.replace("blocks AS (", "b0 AS (").replace("elements AS (", "e0 AS (") + """,
+blocks AS (SELECT * REPLACE (CASE WHEN pos % 3 = 0 THEN list_transform(vec, lambda x: 0.0::DOUBLE) ELSE vec END AS vec) FROM b0),
+elements AS (SELECT * REPLACE (CASE WHEN pos % 4 = 0 THEN list_transform(vec, lambda x: 0.0::DOUBLE) ELSE vec END AS vec) FROM e0)"""
+
+
+@query(_ZEROS + _PAIRS.replace("x.pos < 10)", "x.pos < 10 AND b.pos % 3 != 0 AND x.pos % 4 != 0)") + _POOLED + f""", heads AS (SELECT query_id, count(*) AS n FROM blocks WHERE pos < 10 GROUP BY query_id)
+SELECT h.query_id, r.ref_id, {_r6('coalesce(sum(p.score), 0) / any_value(h.n)')} AS content FROM heads h CROSS JOIN (SELECT DISTINCT ref_id FROM elements) r LEFT JOIN pooled p ON p.query_id = h.query_id AND p.ref_id = r.ref_id GROUP BY h.query_id, r.ref_id""")
+def q_zero_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 1 with zero vectors: none makes a pair, and blocks without one count 0 in the mean."""
+    scores = rank.document_scores(_with_zeros(blocks(spark, sf_dir), 3).persist(), _with_zeros(elements(spark, sf_dir), 4).persist(), CONFIG)
+    return scores.select("query_id", "ref_id", r6(F.col("content")).alias("content"))
+
+
+@query(_STAGE1 + f""" SELECT query_id, p.ref_id, CAST(row_number() OVER (PARTITION BY query_id, p.ref_id ORDER BY p.pos) AS INTEGER) AS place, b.block_id, x.element_id, {_r6('CAST(CAST(p.score AS FLOAT) AS DOUBLE)')} AS similarity
+  FROM pooled p JOIN blocks b USING (query_id, pos) JOIN elements x ON x.ref_id = p.ref_id AND x.pos = p.element_pos""")
+def q_top_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of leading phrases of every document, in block order, as reports list them."""
+    out = _reports(spark, sf_dir).select("pdf_document_id", F.explode("all_document_scores").alias("d"))
+    out = out.select(F.col("pdf_document_id").alias("query_id"), F.col("d.xml_document_id").alias("ref_id"), F.posexplode("d.top_phrase_pairs").alias("place", "p"))
+    return out.select("query_id", "ref_id", (F.col("place") + 1).alias("place"), F.col("p.pdf_block_id").alias("block_id"), F.col("p.xml_element_id").alias("element_id"), r6(F.col("p.similarity").cast("double")).alias("similarity"))
+
+
 # --- stage 2 -------------------------------------------------------------------------------------------------
 
 
@@ -246,7 +272,7 @@ def q_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     b, e, scores = _scores(spark, sf_dir)
-    b, e, best = b.persist(), e.persist(), rank.best_documents(scores).persist()
+    best = rank.best_documents(scores).persist()
     top = align.top_hits(align.hits(align.neighbours(b, e, CONFIG), b, e, best, CONFIG), e, CONFIG)
     return b, e, scores, best, top
 
@@ -291,11 +317,69 @@ def q_point_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(e, ["ref_id", "pos"], "n").select((F.col("n") + 1).cast("long").alias("point_id"), "ref_id", "pos", "element_id")
 
 
+@query(_ZEROS + _KNN.replace("CROSS JOIN elements x))", "CROSS JOIN elements x WHERE b.pos % 3 != 0))") + f" SELECT query_id, pos, ref_id, element_pos, {_r6('semantic')} AS semantic FROM near")
+def q_zero_vectors_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 2 with zero vectors: such blocks are skipped, such elements can still be found."""
+    near = align.neighbours(_with_zeros(blocks(spark, sf_dir), 3), _with_zeros(elements(spark, sf_dir), 4).persist(), CONFIG)
+    return near.select("query_id", "pos", "ref_id", "element_pos", r6(F.col("semantic")).alias("semantic"))
+
+
+@query(_BASE + _KNN + f" SELECT query_id, pos, ref_id, element_pos, {_r6('semantic')} AS semantic FROM near")
+def q_knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours through a persisted index, put in by two upserts of which the later wins, all lists probed."""
+    e = elements(spark, sf_dir).persist()
+    points = numbered(e.select("ref_id", "pos", "vec"), ["ref_id", "pos"], "n").withColumn("point_id", F.col("n") + 1)
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    index = VectorIndex(spark, f"{root.rstrip('/')}/lexweft-index-{uuid.uuid4().hex}", DIM)
+    index.upsert(points.withColumn("vec", F.when(F.col("point_id") % 5 == 0, F.reverse("vec")).otherwise(F.col("vec"))))
+    index.upsert(points.where("point_id % 5 = 0"))
+    near = index.search(blocks(spark, sf_dir), CONFIG.oversample * CONFIG.top_k, probe=LISTS)
+    return near.select("query_id", "pos", "ref_id", "element_pos", r6(F.col("semantic")).alias("semantic"))
+
+
+@query(_STAGE2 + f" SELECT query_id, ref_id, element_pos, pos, {_r6('similarity')} AS similarity FROM hits WHERE similarity >= 0.5")
+def q_threshold_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the best document under an applied threshold."""
+    config = Config(dim=DIM, threshold=0.5, apply_threshold=True)
+    b, e, scores = _scores(spark, sf_dir)
+    found = align.hits(align.neighbours(b, e, config), b, e, rank.best_documents(scores), config)
+    return found.select("query_id", "ref_id", "element_pos", "pos", r6(F.col("similarity")).alias("similarity"))
+
+
+@query(_BASE + " SELECT query_id, md5(string_agg(text, ' ' ORDER BY pos)) AS text_md5 FROM blocks WHERE pos < 30 GROUP BY query_id")
+def q_leading_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An older representation: a document's first 30 blocks as one text."""
+    return plain_blocks(spark, sf_dir).groupBy("query_id").agg(F.md5(tx.leading_text(F.col("pos"), F.col("text")).cast("binary")).alias("text_md5"))
+
+
+_FLOAT = "round(CAST(CAST({0} AS FLOAT) AS DOUBLE), 6) + 0.0"
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, e, scores, best, top = _aligned(spark, sf_dir)
+    matches = align.paragraph_matches(top, e, best)
+    stats = align.statistics(matches, b, e, best, CONFIG)
+    return report.build(scores, rank.max_pool(b, e, CONFIG), matches, align.top_phrases(top, CONFIG), stats, b, e, CONFIG)
+
+
+@query(_STAGE1 + f" SELECT query_id, rank, ref_id, {_FLOAT.format('score')} AS similarity, (SELECT count(*) FROM pooled p WHERE p.query_id = s.query_id AND p.ref_id = s.ref_id) AS n_pairs FROM scores s")
+def q_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports' lists of documents, as rows."""
+    out = _reports(spark, sf_dir).select(F.col("pdf_document_id").alias("query_id"), F.posexplode("all_document_scores").alias("at", "d"))
+    return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("d.xml_document_id").alias("ref_id"), r6(F.col("d.similarity").cast("double")).alias("similarity"), F.size("d.top_phrase_pairs").cast("long").alias("n_pairs"))
+
+
+@query(_STAGE2 + f""" SELECT b.query_id, CAST(row_number() OVER (PARTITION BY b.query_id ORDER BY x.pos) AS INTEGER) AS place, x.element_id, md5(x.text) AS text_md5,
+  coalesce((SELECT string_agg(q.block_id || '|' || md5(q.text), ',' ORDER BY t.rank) FROM topk t JOIN blocks q ON q.query_id = t.query_id AND q.pos = t.pos WHERE t.query_id = b.query_id AND t.ref_id = b.ref_id AND t.element_pos = x.pos), '') AS hits
+  FROM best b JOIN elements x USING (ref_id)""")
+def q_report_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports' lists of paragraphs and their hits, as rows."""
+    out = _reports(spark, sf_dir).select(F.col("pdf_document_id").alias("query_id"), F.posexplode("paragraph_matches").alias("at", "p"))
+    hits = F.array_join(F.transform("p.top_matches", lambda m: F.concat_ws("|", m["pdf_block_id"], F.md5(m["pdf_text"].cast("binary")))), ",")
+    return out.select("query_id", (F.col("at") + 1).alias("place"), F.col("p.xml_element_id").alias("element_id"), F.md5(F.col("p.xml_text").cast("binary")).alias("text_md5"), hits.alias("hits"))
+
+
 @query()
 def q_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole nested reports as JSON text."""
-    b, e, scores, best, top = _aligned(spark, sf_dir)
-    pooled = rank.max_pool(b, e, CONFIG)
-    matches = align.paragraph_matches(top, e, best)
-    out = report.build(scores, pooled, matches, align.top_phrases(top, CONFIG), align.statistics(matches, b, e, best, CONFIG), b, e, CONFIG)
-    return out.select("pdf_document_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("report"))
+    return _reports(spark, sf_dir).select("pdf_document_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("report"))

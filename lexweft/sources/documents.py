@@ -45,19 +45,25 @@ def files(reader, folder: str, glob: str, key: str) -> DataFrame:
     return reader.options(**options).format("text").load(folder).select(_stem().alias(key), F.col("_metadata.file_path").alias("path"), "value")
 
 
+def _entries(fields: tuple[str, ...]) -> str:
+    return f"array<struct<{', '.join(f'{f}: string' for f in fields)}>>"
+
+
+def malformed(files: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """The files that are no arrays of objects with all fields as strings."""
+    typed = " AND ".join(rf"kind RLIKE '[<, ]{f}: STRING[,>]'" for f in fields)
+    missing = " OR ".join(f"exists(entries, e -> e.{f} IS NULL)" for f in fields)
+    parsed = files.withColumns({"kind": F.schema_of_variant(F.try_parse_json("value")), "entries": F.from_json("value", _entries(fields))})
+    return parsed.where(f"kind IS NULL OR entries IS NULL OR NOT (kind = 'ARRAY<VOID>' OR (kind LIKE 'ARRAY<OBJECT<%' AND {typed})) OR {missing}").select(*files.columns)
+
+
 def parse(files: DataFrame, fields: tuple[str, ...], key: str, strict: bool = True) -> DataFrame:
     """Documents of files read as text; see ``read_documents``."""
     latest = Window.partitionBy(key).orderBy(F.desc("path"))
     files = files.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
-    entry = ", ".join(f"{f}: string" for f in fields)
-    parsed = files.withColumns({"kind": F.schema_of_variant(F.try_parse_json("value")), "entries": F.from_json("value", f"array<struct<{entry}>>")})
-    if strict:
-        typed = " AND ".join(rf"kind RLIKE '[<, ]{f}: STRING[,>]'" for f in fields)
-        missing = " OR ".join(f"exists(entries, e -> e.{f} IS NULL)" for f in fields)
-        bad = parsed.where(f"kind IS NULL OR entries IS NULL OR NOT (kind = 'ARRAY<VOID>' OR (kind LIKE 'ARRAY<OBJECT<%' AND {typed})) OR {missing}").select("path").limit(5).collect()
-        if bad:
-            raise MalformedDocument("not arrays of the expected objects: " + ", ".join(r["path"] for r in bad))
-    rows = parsed.select(key, F.posexplode_outer("entries").alias("pos", "e"))
+    if strict and (bad := malformed(files, fields).select("path").limit(5).collect()):
+        raise MalformedDocument("not arrays of the expected objects: " + ", ".join(r["path"] for r in bad))
+    rows = files.select(key, F.posexplode_outer(F.from_json("value", _entries(fields))).alias("pos", "e"))
     return rows.select(key, F.col("pos").cast("int").alias("pos"), *[F.col(f"e.{f}").alias(f) for f in fields])
 
 

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import logging
-import os
-from collections.abc import Iterator
+import uuid
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
@@ -18,22 +17,28 @@ def write_dataset(reports: DataFrame, path: str, format: str = "parquet") -> Non
 
 
 def write_files(reports: DataFrame, folder: str) -> None:
-    """One pretty JSON file <query>_matches.json for each query document, written by the executors.
+    """One pretty JSON file <query>_matches.json for each query document, in any file system that Spark writes to.
 
-    ``folder`` must be a folder that all executors share; existing files are replaced by rename, so a task that
-    is run again leaves whole files.
+    Executors write through Spark's commit protocol to a folder beside, so that tasks that are run again leave whole
+    files; the driver then moves each file to its name, replacing one that is there. Only names pass the driver.
     """
-    rows = reports.select(F.col("pdf_document_id").alias("name"), F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("body"))
-
-    def write(part: Iterator[Row]) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for r in part:
-            target = os.path.join(folder, f"{r['name']}_matches.json")
-            with open(f"{target}.{os.getpid()}.tmp", "w", encoding="utf-8") as f:
-                f.write(r["body"])
-            os.replace(f.name, target)
-
-    rows.foreachPartition(write)
+    spark = reports.sparkSession
+    folder, jvm = folder.rstrip("/"), spark.sparkContext._jvm
+    staged = f"{folder}/_staged-{uuid.uuid4().hex}"
+    body = F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"})
+    reports.select(F.col("pdf_document_id").alias("name"), body.alias("body")).write.partitionBy("name").text(staged)
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    unescaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for each in files.listStatus(path(staged)):
+        own = each.getPath().getName()
+        if own.startswith("name="):
+            target = path(path(folder), f"{unescaped(own[5:])}_matches.json")
+            parts = [f.getPath() for f in files.listStatus(each.getPath()) if not f.getPath().getName().startswith((".", "_"))]
+            files.delete(path(each.getPath(), f".{parts[0].getName()}.crc"), False)  # a local file system's checksum stays behind
+            files.delete(target, False)
+            files.rename(parts[0], target)
+    files.delete(path(staged), True)
 
 
 def log_statistics(reports: DataFrame, most: int = 100) -> None:

@@ -17,15 +17,29 @@ def align_arriving(engine: AlignmentEngine, elements: DataFrame, output: str, ch
     """Starts aligning arriving *_processed.json files with ``elements`` (read_reference's frame).
 
     Each micro-batch's reports are written to ``output``/batch=<id>, so a batch that is run again replaces its
-    own. once: stop when all present files are done.
+    own. Files that aren't arrays of the expected objects go to ``output``_malformed/batch=<id> (name, path, text) and
+    don't hold up the others. What a batch keeps is released when it is written. once: stop when all present files are
+    done.
     """
     embedded = engine.embedded(elements, "document").persist()
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        blocks = documents.parse(batch, documents.QUERY_FIELDS, "query_id").withColumnRenamed("id", "block_id")
-        engine.align(engine.embedded(blocks, "query"), embedded).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        batch = batch.persist()
+        bad = documents.malformed(batch, documents.QUERY_FIELDS).persist()
+        try:
+            if not bad.isEmpty():
+                bad.write.mode("overwrite").parquet(f"{output}_malformed/batch={batch_id}")
+            good = batch.join(bad.select("path"), "path", "left_anti")
+            if good.isEmpty():
+                return
+            blocks = documents.parse(good, documents.QUERY_FIELDS, "query_id", strict=False).withColumnRenamed("id", "block_id")
+            engine.align(engine.embedded(blocks, "query"), embedded).write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+        finally:
+            engine.release()
+            bad.unpersist()
+            batch.unpersist()
 
     reader = engine.spark.readStream.option("maxFilesPerTrigger", files_per_batch)
     arriving = documents.files(reader, engine.config.query_dir, "*_processed.json", "query_id")

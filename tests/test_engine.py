@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from lexweft import AlignmentEngine, Config
 from lexweft.errors import InvalidConfig, MalformedDocument, NoReferenceDocuments
 from lexweft.operators import align, rank
-from lexweft.operators.embed import CachedProvider, HashingProvider, HttpProvider, decode_response, hashed
+from lexweft.operators.embed import CachedProvider, HashingProvider, HttpProvider, decode_response, embedding_counts, hashed
+from lexweft.operators.index import VectorIndex
 from lexweft.operators.numbering import numbered
-from lexweft.sources import documents
+from lexweft.sources import documents, reports
 
 
 def put(folder, name, rows):
@@ -86,6 +87,54 @@ def test_run(spark, folders, tmp_path, scope):
     assert written["best_match"]["xml_document_id"] == "red fox" and len(os.listdir(folders[2])) == 2
 
 
+def test_run_with_index(spark, folders, tmp_path):
+    """Stage 2 through a persisted index gives the exact search's reports, as all lists are probed; the index stays."""
+    exact = AlignmentEngine(spark, Config(*folders, dim=32)).run().collect()
+    config = Config(*folders, dim=32, index_dir=str(tmp_path / "index"))
+    for _ in range(2):
+        assert sorted(AlignmentEngine(spark, config).run().collect()) == sorted(exact)
+    assert VectorIndex(spark, config.index_dir, 32).points().count() == 6
+
+
+def test_index(spark, tmp_path):
+    """Opened as it is, last write wins by id, old versions go, one point suffices."""
+    index = VectorIndex(spark, str(tmp_path / "i"), 256)
+    assert index.versions() == []
+    with pytest.raises(InvalidConfig):
+        index.points()
+    point = lambda i, x: (i, "r", i, [x] * 256)
+    kinds = "point_id long, ref_id string, pos int, vec array<double>"
+    index.upsert(spark.createDataFrame([point(1, 0.1)], kinds))
+    query = spark.createDataFrame([("q", 0, [0.1] * 256), ("zero", 0, [0.0] * 256)], "query_id string, pos int, vec array<double>")
+    assert [(r.query_id, r.ref_id, r.element_pos, r.semantic) for r in index.search(query, 3).collect()] == [("q", "r", 1, 2.56)]
+    index.upsert(spark.createDataFrame([point(1, 0.2), point(2, 0.3)], kinds))
+    index.upsert(spark.createDataFrame([point(3, 0.0), point(2, -0.3)], kinds))
+    again = VectorIndex(spark, str(tmp_path / "i"), 256)
+    assert sorted((r.point_id, r.vec[0]) for r in again.points().collect()) == [(1, 0.2), (2, -0.3), (3, 0.0)] and again.versions() == [2, 3]
+    with pytest.raises(Exception, match="256 components"):
+        again.upsert(spark.createDataFrame([(4, "r", 4, [1.0])], kinds))
+    assert again.versions() == [2, 3]
+    again.clear()
+    assert again.versions() == []
+
+
+@pytest.mark.parametrize("metric", ["dot", "cosine"])
+def test_index_recall(spark, tmp_path, metric):
+    """A quarter of the lists finds nine in ten neighbours of vectors in clusters."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 24))
+    x = centres[rng.integers(0, 60, 6000)] + 0.5 * rng.normal(size=(6000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = VectorIndex(spark, str(tmp_path / "i"), 24, metric)
+    index.upsert(spark.createDataFrame([(i + 1, f"r{i % 7}", i, v.tolist()) for i, v in enumerate(x)], "point_id long, ref_id string, pos int, vec array<double>"))
+    queries = spark.createDataFrame([("q", i, x[i * 40].tolist()) for i in range(100)], "query_id string, pos int, vec array<double>")
+    got = {}
+    for r in index.search(queries, 6).collect():
+        got.setdefault(r.pos, set()).add(r.element_pos)
+    hit = sum(len(got[i] & set(np.argsort(-(x @ x[i * 40]))[:6].tolist())) for i in range(100))
+    assert len(index.centres()) == 77 and hit >= 0.9 * 600
+
+
 def test_no_reference_documents(spark, folders, tmp_path):
     os.makedirs(tmp_path / "none")
     with pytest.raises(NoReferenceDocuments):
@@ -109,6 +158,36 @@ def test_cache_is_by_content(spark, tmp_path):
     assert cached.read(spark) is None
 
 
+def test_cache_keeps_no_failures_and_passes_over_broken_files(spark, tmp_path):
+    class Failing(HashingProvider):
+        down, asked = True, 0
+
+        def embed(self, df, role, text="text"):
+            Failing.asked += df.count()
+            out = super().embed(df, role, text)
+            return out.withColumn("vec", F.transform("vec", lambda x: x * 0)) if Failing.down else out
+
+    cached, df = CachedProvider(Failing(4), str(tmp_path / "c")), spark.createDataFrame([("a b",), ("c",)], "text string")
+    counts = lambda: embedding_counts(cached.embed(df, "document")).first().asDict()
+    assert counts() == {"n_ok": 0, "n_failed": 2, "all_failed": True}
+    Failing.down = False
+    assert counts() == {"n_ok": 2, "n_failed": 0, "all_failed": False} and Failing.asked == 4
+    assert counts()["n_ok"] == 2 and Failing.asked == 4
+    for f in (tmp_path / "c").glob("part-*"):
+        f.write_bytes(b"broken")
+    for f in (tmp_path / "c").glob(".*.crc"):
+        f.unlink()
+    assert counts()["n_ok"] == 2 and Failing.asked == 6
+
+
+def test_report_files_are_replaced(spark, tmp_path):
+    out = str(tmp_path / "deep" / "out")
+    for n in (1, 2):
+        reports.write_files(spark.createDataFrame([("a b=c/d".replace("/", "%"), n), ("x", n)], "pdf_document_id string, n int"), out)
+    assert sorted(f for f in os.listdir(out) if not f.startswith(".")) == ["a b=c%d_matches.json", "x_matches.json"]
+    assert json.load(open(os.path.join(out, "a b=c%d_matches.json"))) == {"pdf_document_id": "a b=c%d", "n": 2}
+
+
 @pytest.mark.parametrize("body, want", [('[{"embedding": [[1, 2]]}]', [1.0, 2.0]), ("[]", [0.0] * 3), ("{", [0.0] * 3), ('[{"embedding": []}]', [0.0] * 3), ('[{"embedding": [["x"]]}]', [0.0] * 3), ("null", [0.0] * 3)])
 def test_decode_response(body, want):
     assert decode_response(body, 3) == want
@@ -196,6 +275,18 @@ def test_arriving_files(spark, folders, tmp_path):
     assert len([d for d in os.listdir(out) if d.startswith("batch=")]) == 2
 
 
+def test_malformed_arrivals_are_set_aside(spark, folders, tmp_path):
+    from lexweft.streaming.incremental import align_arriving
+
+    put(folders[1], "broken_processed.json", "[{")
+    out, elements = str(tmp_path / "reports"), documents.read_reference(spark, folders[0])
+    engine = AlignmentEngine(spark, Config(*folders, dim=16))
+    align_arriving(engine, elements, out, str(tmp_path / "check")).awaitTermination()
+    assert {r.pdf_document_id for r in spark.read.parquet(out).collect()} == {"red-fox_processed", "nothing_processed"}
+    assert [(r.query_id, r.value) for r in spark.read.parquet(f"{out}_malformed").collect()] == [("broken_processed", "[{")]
+    assert engine._kept == []
+
+
 @pytest.mark.parametrize("mode", ["mean_pairwise", "jaccard"])
 def test_modes_that_ranking_has_not_raise(mode):
     with pytest.raises(InvalidConfig):
