@@ -49,10 +49,10 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN le
 OP4 = r"""
 WITH d AS (SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x != '') AS w FROM documents),
 i AS (SELECT *, len(w) AS n FROM (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x != '') AS w FROM benchmark) WHERE len(w) >= 5),
-ds AS (SELECT doc_id, text, at, unnest([[w[at], w[at + 1], w[at + 2]], [w[at], w[at + 1], '*', w[at + 3], w[at + 4]]]) AS seed FROM (SELECT *, unnest(range(1, len(w) - 1)) AS at FROM d)),
-bs AS (SELECT item_id, w, at, unnest([[w[at], w[at + 1], w[at + 2]], [w[at], w[at + 1], '*', w[at + 3], w[at + 4]]]) AS seed FROM (SELECT *, unnest(range(1, n - 1)) AS at FROM i)),
-hits AS (SELECT DISTINCT ds.doc_id, ds.text, bs.item_id, bs.w AS item, ds.at - bs.at AS off FROM ds JOIN bs ON ds.seed = bs.seed AND NOT list_contains(list_transform(ds.seed, lambda x: x IS NULL), true)),
-pairs AS (SELECT h.doc_id, h.text, h.item_id, h.off, len(h.item) AS n, list_transform(range(1, len(h.item) + 1), lambda p: CASE WHEN h.off + p >= 1 AND d.w[h.off + p] = h.item[p] THEN 1 ELSE 0 END) AS same
+ds AS (SELECT doc_id, text, p, unnest([[w[p], w[p + 1], w[p + 2]], [w[p], w[p + 1], '*', w[p + 3], w[p + 4]]]) AS seed FROM (SELECT *, unnest(range(1, len(w) - 1)) AS p FROM d)),
+bs AS (SELECT item_id, w, p, unnest([[w[p], w[p + 1], w[p + 2]], [w[p], w[p + 1], '*', w[p + 3], w[p + 4]]]) AS seed FROM (SELECT *, unnest(range(1, n - 1)) AS p FROM i)),
+hits AS (SELECT DISTINCT ds.doc_id, ds.text, bs.item_id, bs.w AS item, ds.p - bs.p AS off FROM ds JOIN bs ON ds.seed = bs.seed AND NOT list_contains(list_transform(ds.seed, lambda x: x IS NULL), true)),
+pairs AS (SELECT h.doc_id, h.text, h.item_id, h.off, len(h.item) AS n, list_transform(range(1, len(h.item) + 1), lambda k: CASE WHEN h.off + k >= 1 AND d.w[h.off + k] = h.item[k] THEN 1 ELSE 0 END) AS same
   FROM hits h JOIN d ON d.doc_id IS NOT DISTINCT FROM h.doc_id AND d.text = h.text),
 counted AS (SELECT *, CAST(list_sum(same) AS INTEGER) AS matched, list_max(list_transform(range(0, greatest(n - 24, 0) + 1), lambda c: list_sum(same[c + 1:c + 24]))) AS best FROM pairs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY matched DESC, off, n DESC) AS r FROM counted WHERE matched >= 0.75 * n OR best >= 21)
