@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,8 +23,11 @@ SLICE = 1000
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by the cluster in spark.checkpoint.dir, else a local one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The shared folder named by the cluster in spark.checkpoint.dir; a local one only where all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("a cluster must name a shared folder in spark.checkpoint.dir")
+    return (found or LOCAL_CHECKPOINTS).rstrip("/")
 
 
 def scratch(df: DataFrame, tag: str) -> DataFrame:
@@ -36,8 +40,36 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     release(spark)
     path = f"{checkpoint_root(spark)}/lexweft/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _made:
+        atexit.register(_remove_all)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexweft_path = path
+    return out
+
+
+#: Scratch tables that are there, in the order in which they were made.
+_made: dict[str, SparkSession] = {}
+
+
+def made() -> list[str]:
+    """The scratch tables there are; what is made later can be told by it."""
+    return [*_made]
+
+
+def discard(before: list[str], *needed: DataFrame) -> None:
+    """Deletes scratch tables made since ``made()`` gave ``before``, but for those ``needed`` still.
+
+    Called when what was computed from them is written, so that a long job doesn't hold all its intermediate tables.
+    """
+    held = {*before, *(df._lexweft_path for df in needed)}
+    for path in [p for p in _made if p not in held]:
+        _remove(_made.pop(path), path)
+
+
+def _remove_all() -> None:
+    for path, spark in _made.items():
+        _remove(spark, path)
 
 
 def release(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch
+from .common import discard, made, scratch
 
 #: Words of a k-gram, and positions of a window. Repeated runs of GRAM + SPAN - 1 = 29 words are always found, and words that
 #: aren't in a repeated run of GRAM words never go.
@@ -178,11 +178,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     the same result. Any text that Spark can hold goes. Existing columns of the
     added names are replaced. An empty table gives no rows.
     """
-    runs = _once(repeated(docs), runs=_runs("at")).where("size(runs) > 0").select("did", "th", "runs")
+    before = made()
+    runs = scratch(_once(repeated(docs), runs=_runs("at")).where("size(runs) > 0").select("did", "th", "runs"), "runs")
+    discard(before, runs)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "share_left")]
     # Documents' columns stand in a struct, so that none of them clashes with those made here.
     rows = docs.select(*_keys(), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
-    out = _met(rows, scratch(runs, "runs"), "size(runs)", "left").select("row", "row.text", "runs")
+    out = _met(rows, runs, "size(runs)", "left").select("row", "row.text", "runs")
     bare = "ltrim(' \t\r\n', text)"
     # Each step is computed once, and only for documents with runs.
     out = _once(out, tokens=f"if(runs IS NULL, null, split({bare}, '(?<=[{BLANK}])(?![{BLANK}])'))")  # words with the blanks behind them
