@@ -26,12 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, scratch, sliced, tidied
+from .common import discard, made, partitions, scratch, sliced, tidied
 
 #: Signature groups up to this size are compared in all pairs; larger ones with their first member, then, by
 #: blocks of BLOCK members, only where members are not yet known to hang together.
 SMALL = 8
 BLOCK = 2048
+#: Shingles whose signatures one group holds on average at most, some 16 MB: groups follow the input, whatever the
+#: session's number of partitions.
+PER_GROUP = 4_000_000
 #: Rows that a Python stage works on at once.
 CHUNK = 2000
 NO_ID = -(2**63)
@@ -453,11 +456,11 @@ def groups(docs: DataFrame, join: Join, count: bool = False) -> DataFrame:
     part but don't name a component unless all in it are null. Repeated rows and equal texts are in one
     component. Other columns aren't read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, before = docs.sparkSession, made()
     rows = scratch(describe(docs, join), "sets")
     held = rows.where("sid is not null")
     sets = scratch(held.groupBy("sid").agg(F.min(F.struct(F.col("did") == NO_ID, "did", "th")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("sid", "n", "sketch", "rep.did", "rep.th"), "distinct-sets")
-    dealt = 2 * partitions(spark)
+    dealt = max(2 * partitions(spark), (sets.agg(F.sum("n")).first()[0] or 0) // PER_GROUP)
     packed = scratch(_candidates(_signed(docs, join, dealt)), "candidates")
     slim = sets.select("sid", "n", "sketch")
 
@@ -469,7 +472,7 @@ def groups(docs: DataFrame, join: Join, count: bool = False) -> DataFrame:
     links = scratch(_verified(pairs, texts, join), "links")
     comps = components(links)
     for nearest in (True, False):  # the likeliest pairs first, as they connect most of what is left
-        more = scratch(_across(packed, slim, comps, join, partitions(spark), nearest), "across")
+        more = scratch(_across(packed, slim, comps, join, dealt // 2, nearest), "across")
         if more.limit(1).isEmpty():
             break
         extra = scratch(_verified(more, texts, join), "more-links")
@@ -477,12 +480,13 @@ def groups(docs: DataFrame, join: Join, count: bool = False) -> DataFrame:
             links = scratch(links.union(extra).distinct(), "links")
             comps = components(links)
     if count:  # no set is connected with another, so that every pair is compared
-        more = scratch(_across(packed, slim, comps.where("false"), join, partitions(spark), False).join(links, ["a", "b"], "left_anti"), "across")
+        more = scratch(_across(packed, slim, comps.where("false"), join, dealt // 2, False).join(links, ["a", "b"], "left_anti"), "across")
         links = scratch(links.union(_verified(more, texts, join)).distinct(), "links")
     degree = links.select(F.col("a").alias("sid")).union(links.select("b")).groupBy("sid").agg(F.count("*").alias("n_linked"))
     named = sets.select("sid", F.when(F.col("did") != NO_ID, F.col("did")).alias("did")).join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     least = named.groupBy("comp").agg(F.min("did").alias("component_id"))
     named = scratch(named.join(least, "comp").join(degree, "sid", "left").select("sid", "component_id", F.coalesce("n_linked", F.lit(0)).alias("n_linked")), "named")
+    discard(before, rows, named)
     own = F.when(F.col("did") != NO_ID, F.col("did"))
     out = rows.join(named, "sid", "left")
     return out.select(own.alias("doc_id"), F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), own).otherwise(F.col("component_id")).alias("component_id"), (F.coalesce("n_linked", F.lit(0)) if count else F.lit(None).cast("long")).alias("n_linked"))
