@@ -58,8 +58,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = F.expr("cast(char_length(text) div 2 as int)")
     cut = F.struct(middle.alias("start"), (middle + 12).alias("stop"), F.lit(" - ").alias("new"))
     put = F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("Revised edition. ").alias("new"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(cut, put).alias("edits"))
-    return token_counts.count(docs, "edits")
+    kept = token_counts.trees(table(spark, sf_dir, "documents"))
+    kept = kept.withColumns({"edits": F.array(cut, put), "before": F.col("n_tokens"), "before_pre": F.col("n_pretokens")})
+    out = token_counts.update(kept, "edits")
+    return out.select("doc_id", F.col("before").alias("n_tokens"), F.col("before_pre").alias("n_pretokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_reencoded")
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_toxicity, op4_decontamination, op5_sharding, op6_line_dedup, op7_nearest_neighbours, op8_sentencepiece, op9_quality, op10_token_counts)}

@@ -3,6 +3,9 @@
 A leaf holds a block of pre-tokens (their lengths and token counts); inner nodes hold sums of characters,
 pre-tokens and tokens. An edit re-splits only from two pre-tokens before it to the point where the new
 boundaries meet the old ones again, re-encodes those, and updates the sums on the touched paths.
+
+Trees are kept as a column beside the texts (``trees``), and ``update`` takes such a table and further edits; neither reads
+nor encodes what edits don't touch.
 """
 
 from __future__ import annotations
@@ -63,6 +66,10 @@ class TokenTree:
         lengths = [len(p) for p in pieces]
         tokens = [*map(self.counts.__getitem__, pieces)]
         self.blocks = [(lengths[i : i + BLOCK], tokens[i : i + BLOCK]) for i in range(0, len(pieces), BLOCK)] or [([], [])]
+        self._lay()
+
+    def _lay(self) -> None:
+        """The tree's sums from the blocks; nothing is encoded."""
         size = 1
         while size < len(self.blocks):
             size *= 2
@@ -75,6 +82,27 @@ class TokenTree:
             self.sums[level // 2 : level] = self.sums[level : 2 * level : 2] + self.sums[level + 1 : 2 * level : 2]
             level //= 2
 
+    def dump(self) -> bytes:
+        """Blocks' sizes, and lengths and token counts of their pre-tokens, as little-endian 32-bit numbers."""
+        sizes = [len(b[0]) for b in self.blocks]
+        parts = [[len(sizes)], sizes, *[b[0] for b in self.blocks], *[b[1] for b in self.blocks]]
+        return np.concatenate([np.asarray(p, dtype="<i4") for p in parts]).tobytes()
+
+    @classmethod
+    def load(cls, text: str, data: bytes, counts: Counts) -> TokenTree:
+        """The tree of a text that ``dump`` gave."""
+        out = cls.__new__(cls)
+        out.text, out.counts, out.encoded = text, counts, 0
+        numbers = np.frombuffer(data, dtype="<i4")
+        sizes = numbers[1 : 1 + numbers[0]]
+        lengths, tokens = (part.tolist() for part in np.split(numbers[1 + numbers[0] :], 2))
+        if sum(lengths) != len(text):
+            raise ValueError("a kept tree doesn't belong to its text")
+        ends = np.cumsum(sizes).tolist()
+        out.blocks = [(lengths[a:b], tokens[a:b]) for a, b in zip([0, *ends], ends)]  # noqa: B905
+        out._lay()
+        return out
+
     @staticmethod
     def _of(block: tuple[list[int], list[int]]) -> tuple[int, int, int]:
         return sum(block[0]), len(block[0]), sum(block[1])
@@ -184,14 +212,64 @@ class TokenTree:
         """A block grown too large is cut; the tree is laid out anew from the blocks, nothing is encoded again."""
         lengths, tokens = self.blocks[k]
         self.blocks[k : k + 1] = [(lengths[i : i + BLOCK], tokens[i : i + BLOCK]) for i in range(0, len(lengths), BLOCK)]
-        size = 1
-        while size < len(self.blocks):
-            size *= 2
-        self.size, self.sums = size, np.zeros((2 * size, 3), dtype=np.int64)
-        for j, block in enumerate(self.blocks):
-            self.sums[size + j] = self._of(block)
-        for node in range(size - 1, 0, -1):
-            self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
+        self._lay()
+
+
+KIND = "array<struct<start:int,stop:int,new:string>>"
+
+
+def trees(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
+    """doc_id, text, tree (binary), n_tokens, n_pretokens of every whole text: a table to keep, and to ``update``.
+
+    Null text counts as empty and gets a tree of none; it stays null. Repeated rows get equal trees, other columns aren't
+    read, an empty table gives no rows.
+    """
+
+    def factory():
+        counts = Counts(encoding(folder))
+
+        def make(texts: list) -> dict[str, list]:
+            made = [TokenTree(t or "", counts) for t in texts]
+            return {"tree": [t.dump() for t in made], "n_tokens": [t.n_tokens for t in made], "n_pretokens": [t.n_pretokens for t in made]}
+
+        return make
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return add_columns(own, "text", "tree binary, n_tokens long, n_pretokens long", factory, keep=True)
+
+
+def update(kept: DataFrame, edits: str, folder: str = TOKENIZERS) -> DataFrame:
+    """``kept`` (a table of ``trees``, with a column of edits) after the edits, with n_reencoded added.
+
+    ``edits`` names a column array<struct<start:int, stop:int, new:string>> of replacements, applied in order, positions in
+    characters of the text as it then is; it goes. text, tree, n_tokens and n_pretokens are those after the edits;
+    n_reencoded counts pre-tokens encoded again. Positions outside the text are clamped; null edits are none, and leave a
+    null text null.
+    """
+    both = F.struct("text", "tree", F.col(edits).cast(KIND).alias("edits"))
+    left = kept.withColumn("__lexweft_both", both).drop("text", "tree", "n_tokens", "n_pretokens", "n_reencoded", edits)
+
+    def factory():
+        counts = Counts(encoding(folder))
+
+        def make(values: list) -> dict[str, list]:
+            out: dict[str, list] = {"text": [], "tree": [], "n_tokens": [], "n_pretokens": [], "n_reencoded": []}
+            for v in values:
+                tree = TokenTree.load(v["text"] or "", v["tree"], counts)
+                done = [e for e in v["edits"] or () if e is not None]
+                for e in done:
+                    start = min(max(0, e["start"] or 0), len(tree.text))
+                    tree.edit(start, min(max(start, e["stop"] or 0), len(tree.text)), e["new"] or "")
+                out["text"].append(tree.text if done else v["text"])
+                out["tree"].append(tree.dump() if done else v["tree"])
+                out["n_tokens"].append(tree.n_tokens)
+                out["n_pretokens"].append(tree.n_pretokens)
+                out["n_reencoded"].append(tree.encoded)
+            return out
+
+        return make
+
+    return add_columns(left, "__lexweft_both", "text string, tree binary, n_tokens long, n_pretokens long, n_reencoded long", factory)
 
 
 def count(docs: DataFrame, edits: str | None = None, folder: str = TOKENIZERS) -> DataFrame:
@@ -203,8 +281,7 @@ def count(docs: DataFrame, edits: str | None = None, folder: str = TOKENIZERS) -
     are none. Repeated rows are counted alike; an empty table gives no rows.
     """
 
-    kind = "array<struct<start:int,stop:int,new:string>>"
-    both = F.struct("text", (F.col(edits).cast(kind) if edits else F.lit(None).cast(kind)).alias("edits"))
+    both = F.struct("text", (F.col(edits).cast(KIND) if edits else F.lit(None).cast(KIND)).alias("edits"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), both.alias("both"))
 
     def factory():
