@@ -231,14 +231,32 @@ def _heap_merge(model: Model, word: str) -> list[str]:
     return [p for p in parts if p]
 
 
+def _long_path(model: Model, word: str) -> list[str]:
+    """The cheapest segmentation of one long word; the same path as ``_viterbi``'s."""
+    if "table" not in model.cache:
+        model.cache["table"] = {model.pieces[i]: float(c) for i, c in zip(model.ids, model.cost, strict=True)}
+    table, n = model.cache["table"], len(word)
+    best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
+    for stop in range(1, n + 1):
+        for start in range(max(0, stop - model.longest), stop):
+            cost = table.get(word[start:stop], model.worst if stop - start == 1 else float("inf")) + best[start]
+            if cost < best[stop]:
+                best[stop], back[stop] = cost, start
+    parts, stop = [], n
+    while stop:
+        parts.append(word[back[stop] : stop])
+        stop = back[stop]
+    return parts[::-1]
+
+
 def encode_words(model: Model, words: list[str]) -> dict[str, bytes]:
     """Ids of words, as little-endian 32-bit numbers."""
     groups: dict[int, list[str]] = {}
     out: dict[str, bytes] = {}
     spans: list[tuple[str, list[str]]] = []
     for w in words:
-        if len(w) > LONG and model.algorithm == BPE:
-            spans.append((w, _heap_merge(model, w)))
+        if len(w) > LONG:
+            spans.append((w, (_heap_merge if model.algorithm == BPE else _long_path)(model, w)))
         else:
             groups.setdefault(len(w), []).append(w)
     if "ids" not in model.cache:
@@ -247,8 +265,6 @@ def encode_words(model: Model, words: list[str]) -> dict[str, bytes]:
     step = _viterbi if model.algorithm == UNIGRAM else _bpe
     for length, group in groups.items():
         with np.errstate(over="ignore"):
-            if length > len(_powers()) - 1:
-                raise ValueError(f"a word of {length} characters is too long for a unigram model")
             cuts = step(model, _prefix_hashes(_codes(group, length)), length)
         for w, c in zip(group, cuts, strict=True):
             c = c.tolist()
@@ -318,7 +334,11 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "text", out: str =
 
 
 def decode(frame: DataFrame, path: str = MODEL, column: str = "ids", out: str = "text") -> DataFrame:
-    """Adds ``out``, the text of the ids in ``column``; null ids give null."""
+    """Adds ``out``, the text of the ids in ``column``; null ids give null, no ids an empty text.
+
+    An existing ``out`` is replaced, other columns pass through. Repeated rows are decoded alike; an empty table gives no
+    rows.
+    """
 
     def factory():
         model = load(path)
@@ -336,7 +356,8 @@ def digest(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian 32-bit numbers), decoded_crc32 and round_trip.
 
     Every whole text is encoded and decoded; round_trip: the decoded text is the text. Null text: null checksums
-    and round_trip, no tokens.
+    and round_trip, no tokens; empty text: no tokens, checksums of nothing. Repeated rows give equal rows, other columns
+    aren't read, an empty table gives no rows.
     """
 
     def factory():
