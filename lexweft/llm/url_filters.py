@@ -59,6 +59,9 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.001, min_count: int = 20, min_confidence: float = 0.7) -> DataFrame:
     """Mined rules: rule (text), needs (array of tokens), support, confidence, lift.
 
+    Null urls, and pages whose document has no label, take no part; repeated urls count once. Labels that urls don't
+    foretell give no rules.
+
     A rule says: a page with all its tokens is blocked. It needs at least ``min_support`` of the labelled pages
     and ``min_count`` of them, ``min_confidence``, and no shorter rule within it that is as confident; it may
     have any number of tokens. Without labelled pages there are no rules.
@@ -70,7 +73,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.001, min_co
     empty = "rule string, needs array<string>, support double, confidence double, lift double"
     if not n or not blocked:
         return pages.sparkSession.createDataFrame([], empty)
-    # Tokens that hold less often than a rule may, or in all pages, can be in no useful rule.
+    # FP-growth passes over tokens that hold less often than a rule may.
     support = max(min_support, min_count / n)
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
@@ -106,7 +109,10 @@ def match(pages: DataFrame, stated: list[tuple[str, str]], mined: DataFrame, def
     fired = met.groupBy("url", "rule", "verdict", "needed", "confidence").agg(F.count("*").alias("found")).where("found = needed")
     own = F.when(F.col("confidence").isNull(), F.struct(F.length("rule").alias("size"), "rule", "verdict"))
     learnt = F.when(F.col("confidence").isNotNull(), F.struct((-F.col("confidence")).alias("cost"), "rule"))
-    best = fired.groupBy("url").agg(F.max(own).alias("own"), F.min(learnt).alias("learnt"))
-    out = judged(pages.select("page_id", "url")).join(best, "url", "left")
+    # Written, so that the join meets plain exchanges and Spark can split a url that very many pages have.
+    best = scratch(fired.groupBy("url").agg(F.max(own).alias("own"), F.min(learnt).alias("learnt")), "judged")
+    named = judged(pages.select("page_id", "url"))
+    without = named.where("url is null").select("*", *[F.lit(None).cast(best.schema[c].dataType).alias(c) for c in ("own", "learnt")])
+    out = named.where("url is not null").join(best, "url", "left").unionByName(without)
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("learnt").isNotNull(), F.lit("block")), F.lit(default))
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), F.col("learnt.rule").alias("mined_rule"), (-F.col("learnt.cost")).alias("confidence"))
