@@ -5,8 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from lexweft.llm import ann, decontam, line_dedup, quality, toxicity
+from lexweft.llm import ann, common, decontam, line_dedup, quality, spm, token_counts, toxicity, url_filters
 from lexweft.llm.common import table
+from lexweft.llm.queries import URL_RULES
 
 from .test_cases import docs
 
@@ -206,3 +207,95 @@ def test_nearest_ranks_by_exact_differences():
     for i, own in enumerate(ann.nearest(x[:40], x, x.mean(axis=0), 5)):
         d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
         assert set(np.argsort(d, kind="stable")[:5].tolist()) <= {j for j, _ in own} and len(own) <= 8
+
+
+def test_kept_trees_take_further_edits(spark):
+    """Trees written, read and edited again against recounts of the edited texts."""
+    rnd = random.Random(12)
+    counts = token_counts.Counts(token_counts.encoding())
+    word = lambda: rnd.choice(["alpha", " beta", "12", "  ", "\n", "été", "!?", " don't", "x" * 300])
+    texts = {i: "".join(word() for _ in range(rnd.randrange(400))) for i in range(30)} | {30: None, 31: ""}
+    kept = common.scratch(token_counts.trees(spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, n_reencoded int")), "kept-trees")
+    for _ in range(3):
+        edits = {}
+        for i, t in texts.items():
+            edits[i] = None if rnd.random() < 0.2 else []
+            for _ in range(rnd.randrange(3) if edits[i] is not None else 0):
+                a = rnd.randrange(len(t or "") + 1)
+                b, new = min(len(t or ""), a + rnd.randrange(30)), "".join(word() for _ in range(rnd.randrange(4)))
+                edits[i].append((a, b, new))
+                t = (t or "")[:a] + new + (t or "")[b:]
+            texts[i] = t
+        rows = spark.createDataFrame([*edits.items()], "doc_id long, edits array<struct<start:int,stop:int,new:string>>")
+        kept = common.scratch(token_counts.update(kept.join(rows, "doc_id"), "edits"), "kept-trees")
+        for r in kept.collect():
+            whole = token_counts.TokenTree(texts[r.doc_id] or "", counts)
+            assert (r.text, r.n_tokens, r.n_pretokens) == (texts[r.doc_id], whole.n_tokens, whole.n_pretokens)
+            assert r.n_reencoded <= 60 and (r.n_reencoded == 0 or edits[r.doc_id])
+    assert kept.columns == ["doc_id", "text", "tree", "n_tokens", "n_pretokens", "n_reencoded"]
+    with pytest.raises(ValueError):
+        token_counts.TokenTree.load("other", token_counts.TokenTree("text here", counts).dump(), counts)
+
+
+def unigram():
+    rnd = random.Random(2)
+    pieces = ["<unk>", "▁", "a", "b", "c", "ab", "bc", "abc", "ca", "▁a", "▁ab", "cc"]
+    scores = [0.0] + [-rnd.uniform(1, 9) for _ in pieces[1:]]
+    return spm.Model(pieces, scores, [spm.UNKNOWN] + [spm.NORMAL] * 11, algorithm=spm.UNIGRAM, byte_fallback=False)
+
+
+def test_long_words_of_unigram_models():
+    """The path of one long word equals the batched one's."""
+    rnd = random.Random(6)
+    model = unigram()
+    for n in (1, 2, 7, 300):
+        word = "".join(rnd.choice("abc▁é") for _ in range(n))
+        with np.errstate(over="ignore"):
+            cuts = spm._viterbi(model, spm._prefix_hashes(spm._codes([word], n)), n)[0].tolist()
+        assert spm._long_path(model, word) == [word[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+    word = "ab" * 5000
+    assert len(spm.encode_words(model, [word])[word]) == 4 * len(spm._long_path(model, word))
+
+
+def test_stated_rules(spark):
+    """Each of the stated rules, at hosts and subdomains, the longest first; odd and null urls."""
+    want = {
+        "https://a.net/es/1": ("net/es/", "block"), "https://a.net/fr/1?x=/en/": ("net/fr/", "block"), "https://a.net/en/1": (None, "allow"), "https://net/fr/": ("net/fr/", "block"),
+        "https://example.com/en/1": ("example.com/en/", "block"), "https://m.example.com/en/": ("example.com/en/", "block"), "https://WWW.Example.com/en/x": ("www.example.com/en/", "allow"),
+        "https://example.com/de/": ("com/", "allow"), "https://anexample.com/en/": ("com/", "allow"), "https://com/": ("com/", "allow"), "https://com": (None, "allow"),
+        "example.net/fr/": (None, "allow"), "https://a.net/" + "fr/" * 50_000: ("net/fr/", "block"), "": (None, "allow"), None: (None, "allow"),
+    }
+    pages = spark.createDataFrame([(i, u, "x", 1.0) for i, u in enumerate(want)] * 2, "page_id long, url string, rule string, confidence double")
+    rules = url_filters.mine(pages, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    got = url_filters.match(pages, URL_RULES, rules).collect()
+    assert len(got) == 2 * len(want) and all((r.rule, r.verdict) == [*want.values()][r.page_id] for r in got)
+
+
+def test_discarded_tables_go(spark, tmp_path):
+    before = common.made()
+    a, b = (common.scratch(spark.range(3), t) for t in "ab")
+    common.discard(before, b)
+    assert b.count() == 3 and common.made() == [*before, b._lexweft_path]
+    common.discard(before)
+    assert common.made() == before and a._lexweft_path != b._lexweft_path
+
+
+def test_queries_equal_their_sql(spark, small):
+    """The registered queries with SQL, at the smallest scale."""
+    import duckdb
+
+    from lexweft.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in "documents embeddings pages benchmark labels conversations".split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
+    assert {*ORACLES} == {"op1_url_filters", "op2_ngram_join", "op4_decontamination", "op5_sharding", "op7_nearest_neighbours"}
+    for name, sql in ORACLES.items():
+        got = QUERIES[name](spark, small)
+        columns = sorted(got.columns)
+        result = con.execute(sql)
+        held = [d[0] for d in result.description]
+        assert sorted(held) == columns, name
+        plain = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
+        want = sorted(repr(plain(r[held.index(c)] for c in columns)) for r in result.fetchall())
+        assert sorted(repr(plain(r)) for r in got.select(columns).collect()) == want, name
