@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages of the training-data operators over documents, each on what the one before kept."""
+"""The corpus pipeline: five stages of the training-data operators over documents, each on what the one before kept.
+
+Stages pass all columns of documents through, whatever further ones there are. Rows with null or empty texts stay in all of
+them; rows equal in doc_id and text stay or go together, but for the n-gram stage, where they count as one document too. Of
+ties, the smallest doc_id stays. Texts are read whole, however long. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexweft.llm import decontam, line_dedup, ngram_join, spm, toxicity
-from lexweft.llm.common import scratch, table
+from lexweft.llm.common import discard, made, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds ids, the SentencePiece ids of the text, and n_tokens."""
+    """Adds ids, the SentencePiece ids of the text (null for a null one), and n_tokens (0 for it); columns of these names go."""
     return spm.encode(docs).withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0)))
 
 
@@ -50,7 +55,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. Each stage's table is written, and goes with all that led to it when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
         docs = scratch(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-').lower()}")
+        discard(before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
