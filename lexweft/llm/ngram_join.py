@@ -254,9 +254,11 @@ def _signed(docs: DataFrame, join: Join, n: int) -> DataFrame:
 def _candidates(signed: DataFrame) -> DataFrame:
     """From each group: pairs (a < b) of sets to compare, and lists of the sets that share a signature of many."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sign = np.frombuffer(b"".join(frame["sign"]), dtype=np.uint32)
-        sid = np.frombuffer(b"".join(frame["sid"]), dtype=np.int64)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [*batches]
+        sign = np.frombuffer(b"".join(x for f in frames for x in f["sign"]), dtype=np.uint32)
+        sid = np.frombuffer(b"".join(x for f in frames for x in f["sid"]), dtype=np.int64)
+        del frames
         order = np.lexsort((sid, sign))
         sign, sid = sign[order], sid[order]
         new = np.ones(len(sign), dtype=bool)
@@ -271,17 +273,28 @@ def _candidates(signed: DataFrame) -> DataFrame:
                 for j in range(i + 1, m):
                     left.append(sid[at + i])
                     right.append(sid[at + j])
-        lists: dict[bytes, None] = {}
-        for at, m in zip(first[size > SMALL], size[size > SMALL], strict=True):
-            own = sid[at : at + m]
-            left.append(np.full(m - 1, own[0]))
+        large = [sid[at : at + m] for at, m in zip(first[size > SMALL], size[size > SMALL], strict=True)]
+        for own in large:
+            left.append(np.full(len(own) - 1, own[0]))
             right.append(own[1:])
-            cuts = [own[i : i + BLOCK] for i in range(0, m, BLOCK)]
+        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0) if left else np.empty((0, 2), dtype=np.int64)
+        yield pd.DataFrame({"a": [pairs[:, 0].tobytes()], "b": [pairs[:, 1].tobytes()]})
+        # Lists go out a few at a time, so that a very large group's aren't held together.
+        seen: set[int] = set()
+        held: list[bytes] = []
+        for own in large:
+            cuts = [own[i : i + BLOCK] for i in range(0, len(own), BLOCK)]
             for i, x in enumerate(cuts):
                 for y in cuts[i + 1 :] or [None] * (len(cuts) == 1):
-                    lists[(x if y is None else np.concatenate([x, y])).tobytes()] = None
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0) if left else np.empty((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": [pairs[:, 0].tobytes(), *[b""] * len(lists)], "b": [pairs[:, 1].tobytes(), *lists]})
+                    both = (x if y is None else np.concatenate([x, y])).tobytes()
+                    if (name := xxhash.xxh3_64_intdigest(both)) not in seen:
+                        seen.add(name)
+                        held.append(both)
+                        if len(held) == CHUNK // 10:
+                            yield pd.DataFrame({"a": [b""] * len(held), "b": held})
+                            held = []
+        if held:
+            yield pd.DataFrame({"a": [b""] * len(held), "b": held})
 
     return signed.groupBy("p").applyInPandas(run, "a binary, b binary")
 
