@@ -85,17 +85,17 @@ def with_row_number(df: DataFrame, keys: list[str], name: str = "row_number", ta
     a tie-breaker, so a key shared by many rows doesn't fill one task; rows equal in all keys may swap numbers.
     """
     n = partitions(df.sparkSession)
-    own = df.withColumn("_tie", F.monotonically_increasing_id())
-    ranged = own.repartitionByRange(n, *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    own = df.withColumn("__lexweft_tie", F.monotonically_increasing_id())
+    ranged = own.repartitionByRange(n, *keys, "__lexweft_tie").sortWithinPartitions(*keys, "__lexweft_tie").drop("__lexweft_tie")
     place = F.monotonically_increasing_id()
-    numbered = scratch(ranged.withColumns({"_part": F.shiftright(place, 33), "_at": place.bitwiseAND((1 << 33) - 1)}), tag)
-    counts = {r["_part"]: r["n"] for r in numbered.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
+    numbered = scratch(ranged.withColumns({"__lexweft_part": F.shiftright(place, 33), "__lexweft_at": place.bitwiseAND((1 << 33) - 1)}), tag)
+    counts = {r["__lexweft_part"]: r["n"] for r in numbered.groupBy("__lexweft_part").agg(F.count("*").alias("n")).collect()}  # a row for each partition
     starts, total = [], 0
     for part in sorted(counts):
         starts.append((part, total))
         total += counts[part]
-    offsets = df.sparkSession.createDataFrame(starts, "_part long, _start long")
-    return numbered.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_at") + F.col("_start")).drop("_part", "_at", "_start"), total
+    offsets = df.sparkSession.createDataFrame(starts, "__lexweft_part long, __lexweft_start long")
+    return numbered.join(F.broadcast(offsets), "__lexweft_part").withColumn(name, F.col("__lexweft_at") + F.col("__lexweft_start")).drop("__lexweft_part", "__lexweft_at", "__lexweft_start"), total
 
 
 def shard(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame:
@@ -113,5 +113,5 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame:
     def place(x: pd.Series) -> pd.Series:
         return pd.Series(permute(x.to_numpy(), n, seed))
 
-    placed = rows.withColumn("_place", place("row_number"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("_place") % shards).cast("int").alias("shard"), F.expr(f"_place div {shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    placed = rows.withColumn("__lexweft_place", place("row_number"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("__lexweft_place") % shards).cast("int").alias("shard"), F.expr(f"__lexweft_place div {shards}").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
