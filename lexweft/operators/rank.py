@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,13 +64,25 @@ def best_documents(scores: DataFrame) -> DataFrame:
 def mean_pairwise(blocks: DataFrame, elements: DataFrame, config: Config) -> DataFrame:
     """An older scoring: the mean cosine of all pairs of head blocks and head elements.
 
-    The mean of all dot products of unit vectors is the dot product of their sums, so no pair is formed.
+    The mean of all dot products of unit vectors is the dot product of their sums, so no pair of rows is formed: sums of
+    documents, of ``head`` rows each, meet as matrix products.
     """
-    def unit_sum(df: DataFrame, key: str) -> DataFrame:
-        unit = head(df, config.head).withColumn("_n", vx.norm(F.col("vec"))).select(key, F.expr("if(_n = 0, transform(vec, x -> 0D), transform(vec, x -> x / _n))").alias("u"))
-        parts = unit.select(key, F.posexplode("u").alias("i", "x")).groupBy(key, "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-        return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("sum"), F.max("n").alias("n"))
-
-    left, right = unit_sum(blocks, "query_id"), unit_sum(elements, "ref_id").persist()
-    pairs = left.withColumnsRenamed({"sum": "a", "n": "na"}).crossJoin(F.broadcast(right) if right.count() <= 10_000 else right)
-    return pairs.select("query_id", "ref_id", F.round(vx.dot(F.col("a"), F.col("sum")) / (F.col("na") * F.col("n")), config.digits).alias("score"))
+
+    def sums(df: DataFrame, key: str) -> DataFrame:
+        size = vx.norm(F.col("vec"))
+        unit = head(df, config.head).select(key, F.col("vec"), size.alias("size"))
+        unit = unit.select(key, F.expr("transform(vec, x -> if(size = 0, 0D, x / size))").alias("u"))
+        each = unit.groupBy(key).agg(F.collect_list("u").alias("us"), F.count("*").alias("n"))
+        return each.select(key, "n", F.expr("aggregate(slice(us, 2, size(us)), us[0], (a, u) -> zip_with(a, u, (x, y) -> x + y))").alias("vec"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b in zip(batch["left"], batch["right"], strict=True):
+                x, y = pickle.loads(a), pickle.loads(b)
+                score = np.round(x["vec"] @ y["vec"].T / (x["n"][:, None] * y["n"][None, :]), config.digits)
+                row, col = np.indices(score.shape).reshape(2, -1)
+                yield pd.DataFrame({"query_id": x["query_id"][row], "ref_id": y["ref_id"][col], "score": score.ravel()})
+
+    left, right = sums(blocks, "query_id"), sums(elements, "ref_id").persist()
+    pairs = grid.pair_up(grid.pack(left, ["query_id", "n", "vec"], "left"), grid.pack(right, ["ref_id", "n", "vec"], "right"), right.count(), config.dim)
+    return pairs.mapInPandas(run, "query_id string, ref_id string, score double")
