@@ -29,8 +29,6 @@ LEAST = 100
 BLANK = " \\t\\r\\n"
 #: Hashes of pairs under this are a sixth of all, and nearly always one of them is in a window.
 SMALL = -(1 << 63) + (1 << 64) // 6
-#: Bytes of found places up to which they are broadcast to the texts; more are joined by shuffle.
-BROADCAST = 32 << 20
 #: Stands for a null doc_id in keys.
 NO_ID = -(2**63)
 
@@ -85,13 +83,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return own.select("did", "th", F.expr(f"inline(transform(marks, i -> struct(i, {_gram('i')} AS g)))"))
 
 
-def _met(docs: DataFrame, found: DataFrame, size: str, how: str) -> DataFrame:
-    """Rows of ``docs`` joined with ``found`` by did and th; texts are shuffled only if found is over BROADCAST bytes.
-
-    size: SQL for the elements in a row of found.
-    """
-    held = found.agg(F.sum(F.expr(f"40 + 24 * {size}"))).first()[0] or 0
-    return docs.join(F.broadcast(found) if held <= BROADCAST else found.hint("shuffle_hash"), ["did", "th"], how)
+def _met(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` joined with ``found`` (fewer and smaller rows) by did and th, at every size by the same plan."""
+    return docs.join(found.hint("shuffle_hash"), ["did", "th"], how)
 
 
 def _earliest(marks: DataFrame) -> DataFrame:
@@ -114,7 +108,7 @@ def _matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return scratch(later.groupBy("did", "th").agg(F.array_sort(F.collect_set(F.struct("i", "g"))).alias("at")), "matches"), first
 
 
-def _extended(docs: DataFrame, matches: DataFrame, first: DataFrame) -> DataFrame:
+def _extended(docs: DataFrame, matches: DataFrame, first: DataFrame, before: list[str]) -> DataFrame:
     """did, th and i: positions of k-grams around the open ends of runs of matches that stand earlier.
 
     A match has an open end where its k-gram doesn't overlap the next match's. The k-grams at all words up to SPAN - 1 away
@@ -131,7 +125,9 @@ def _extended(docs: DataFrame, matches: DataFrame, first: DataFrame) -> DataFram
     sides = ends.groupBy("g").agg(F.max("l").alias("l"), F.max("r").alias("r"))
     origin = first.join(sides, "g").select("first.did", "first.th", "first.i", "l", "r")
     near = ends.select("did", "th", "i", "l", "r").union(origin).groupBy("did", "th").agg(F.collect_set(F.struct("i", "l", "r")).alias("near"))
-    texts = _pairs(_hashed(_met(docs.where("text is not null").select(*_keys(), "text"), scratch(near, "near"), "size(near)", "inner")))
+    near = scratch(near, "near")
+    discard(before, matches, near)
+    texts = _pairs(_hashed(_met(docs.where("text is not null").select(*_keys(), "text"), near, "inner")))
     spread = f"transform(near, e -> sequence(greatest(if(e.l, e.i - {SPAN - 1}, e.i), 0), least(if(e.r, e.i + {SPAN - 1}, e.i), size(p) + 1 - {GRAM})))"
     texts = _once(texts, at=f"array_distinct(flatten({spread}))")
     around = scratch(texts.select("did", "th", F.expr(f"inline(transform(at, i -> struct(i, {_gram('i')} AS g)))")), "around")
@@ -141,8 +137,9 @@ def _extended(docs: DataFrame, matches: DataFrame, first: DataFrame) -> DataFram
 
 def repeated(docs: DataFrame) -> DataFrame:
     """did, th and at (sorted first words of later repeats of k-grams) of every document with some."""
+    before = made()
     matches, first = _matches(docs)
-    more = _extended(docs, matches, first).groupBy("did", "th").agg(F.collect_set("i").alias("more"))
+    more = _extended(docs, matches, first, before).groupBy("did", "th").agg(F.collect_set("i").alias("more"))
     both = matches.join(more, ["did", "th"], "left")
     return both.select("did", "th", F.expr("array_sort(concat(at.i, coalesce(more, cast(array() AS array<int>))))").alias("at"))
 
@@ -184,7 +181,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "share_left")]
     # Documents' columns stand in a struct, so that none of them clashes with those made here.
     rows = docs.select(*_keys(), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
-    out = _met(rows, runs, "size(runs)", "left").select("row", "row.text", "runs")
+    out = _met(rows, runs, "left").select("row", "row.text", "runs")
     bare = "ltrim(' \t\r\n', text)"
     # Each step is computed once, and only for documents with runs.
     out = _once(out, tokens=f"if(runs IS NULL, null, split({bare}, '(?<=[{BLANK}])(?![{BLANK}])'))")  # words with the blanks behind them

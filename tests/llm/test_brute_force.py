@@ -75,16 +75,6 @@ def test_line_dedup_keeps_control_characters(spark):
     assert got == {1: long, 2: "keep\x01this and\x02that"}
 
 
-def test_line_dedup_by_shuffle(spark, monkeypatch):
-    """The same results where found places are too many to broadcast."""
-    rnd = random.Random(5)
-    base = [f"b{rnd.randrange(10**6)}" for _ in range(400)]
-    rows = docs(spark, [(d, " ".join([f"d{d}"] + base[d * 7 : d * 7 + 90])) for d in range(40)] + [(None, " ".join(base[:60])), (90, None)])
-    want = sorted(map(str, line_dedup.dedup(rows).collect()))
-    monkeypatch.setattr(line_dedup, "BROADCAST", -1)
-    assert sorted(map(str, line_dedup.dedup(rows).collect())) == want
-
-
 def test_decontamination_by_shuffle(spark, monkeypatch):
     """The same overlaps where the benchmark's index is too large to broadcast; an item's don't depend on other items."""
     rnd = random.Random(8)
