@@ -109,10 +109,11 @@ def match(pages: DataFrame, stated: list[tuple[str, str]], mined: DataFrame, def
     fired = met.groupBy("url", "rule", "verdict", "needed", "confidence").agg(F.count("*").alias("found")).where("found = needed")
     own = F.when(F.col("confidence").isNull(), F.struct(F.length("rule").alias("size"), "rule", "verdict"))
     learnt = F.when(F.col("confidence").isNotNull(), F.struct((-F.col("confidence")).alias("cost"), "rule"))
-    # Written, so that the join meets plain exchanges and Spark can split a url that very many pages have.
+    # Written, so that the join meets plain exchanges and Spark can split a url that very many pages have. It packs so well
+    # that its size in files is no bound for a broadcast.
     best = scratch(fired.groupBy("url").agg(F.max(own).alias("own"), F.min(learnt).alias("learnt")), "judged")
     named = judged(pages.select("page_id", "url"))
     without = named.where("url is null").select("*", *[F.lit(None).cast(best.schema[c].dataType).alias(c) for c in ("own", "learnt")])
-    out = named.where("url is not null").join(best, "url", "left").unionByName(without)
+    out = named.where("url is not null").join(best.hint("merge"), "url", "left").unionByName(without)
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("learnt").isNotNull(), F.lit("block")), F.lit(default))
     return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), F.col("learnt.rule").alias("mined_rule"), (-F.col("learnt.cost")).alias("confidence"))
