@@ -246,7 +246,7 @@ elements AS (SELECT * REPLACE (CASE WHEN pos % 4 = 0 THEN list_transform(vec, la
 
 
 @query(_ZEROS + _PAIRS.replace("x.pos < 10)", "x.pos < 10 AND b.pos % 3 != 0 AND x.pos % 4 != 0)") + _POOLED + f""", heads AS (SELECT query_id, count(*) AS n FROM blocks WHERE pos < 10 GROUP BY query_id)
-SELECT h.query_id, r.ref_id, {_r6('coalesce(sum(p.score), 0) / any_value(h.n)')} AS content FROM heads h CROSS JOIN (SELECT DISTINCT ref_id FROM elements) r LEFT JOIN pooled p ON p.query_id = h.query_id AND p.ref_id = r.ref_id GROUP BY h.query_id, r.ref_id""")
+SELECT h.query_id, r.ref_id, {_r6('round(coalesce(sum(p.score), 0) / any_value(h.n), 9)')} AS content FROM heads h CROSS JOIN (SELECT DISTINCT ref_id FROM elements) r LEFT JOIN pooled p ON p.query_id = h.query_id AND p.ref_id = r.ref_id GROUP BY h.query_id, r.ref_id""")
 def q_zero_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage 1 with zero vectors: none makes a pair, and blocks without one count 0 in the mean."""
     scores = rank.document_scores(_with_zeros(blocks(spark, sf_dir), 3).persist(), _with_zeros(elements(spark, sf_dir), 4).persist(), CONFIG)
