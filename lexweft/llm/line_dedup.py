@@ -94,7 +94,7 @@ def _earliest(marks: DataFrame) -> DataFrame:
     return made.where("copies > 1").drop("copies")
 
 
-def _matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _matches(docs: DataFrame, before: list[str]) -> tuple[DataFrame, DataFrame]:
     """Fingerprints (i, g) of each document that stand earlier, sorted in ``at``, and the earliest place of each g.
 
     Most fingerprints stand once, and go by a count before places are compared. Both joins meet written tables, so that
@@ -103,6 +103,7 @@ def _matches(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = scratch(fingerprints(docs), "marks")
     again = scratch(marks.groupBy("g").agg(F.count("*").alias("copies")).where("copies > 1").select("g"), "repeats")
     marks = scratch(marks.join(again.hint("shuffle_hash"), "g", "left_semi"), "repeated")
+    discard(before, marks)
     first = scratch(_earliest(marks), "first")
     later = marks.join(first.hint("shuffle_hash"), "g").where(F.struct("did", "th", "i") != F.col("first"))
     return scratch(later.groupBy("did", "th").agg(F.array_sort(F.collect_set(F.struct("i", "g"))).alias("at")), "matches"), first
@@ -138,7 +139,7 @@ def _extended(docs: DataFrame, matches: DataFrame, first: DataFrame, before: lis
 def repeated(docs: DataFrame) -> DataFrame:
     """did, th and at (sorted first words of later repeats of k-grams) of every document with some."""
     before = made()
-    matches, first = _matches(docs)
+    matches, first = _matches(docs, before)
     more = _extended(docs, matches, first, before).groupBy("did", "th").agg(F.collect_set("i").alias("more"))
     both = matches.join(more, ["did", "th"], "left")
     return both.select("did", "th", F.expr("array_sort(concat(at.i, coalesce(more, cast(array() AS array<int>))))").alias("at"))
