@@ -30,8 +30,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     return (found or LOCAL_CHECKPOINTS).rstrip("/")
 
 
-def scratch(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as a Parquet table in the shared checkpoint folder and reads it back.
+def scratch(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Cuts lineage: writes ``df`` as a Parquet table (with the writer's ``options``) in the shared checkpoint folder and reads it back.
 
     A lost executor costs only the tasks it ran, as the table lies in shared storage. Unlike an RDD
     checkpoint it is columnar and carries its size, so that Spark can size joins by it.
@@ -39,7 +39,7 @@ def scratch(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     release(spark)
     path = f"{checkpoint_root(spark)}/lexweft/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if not _made:
         atexit.register(_remove_all)
     _made[path] = spark

@@ -89,4 +89,39 @@ d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(lis
   FROM v q JOIN v c ON c.vec_id != q.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM d) WHERE rank <= 10"""
 
-ORACLES = {"op1_url_filters": OP1, "op2_ngram_join": OP2, "op4_decontamination": OP4, "op5_sharding": op5(), "op7_nearest_neighbours": OP7}
+# Words, weights and the level at which sources are full: the level is the highest that any number of full sources gives.
+OP12 = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(concat_ws(':', '42', CAST(doc_id AS VARCHAR), text)) AS key FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+o AS (SELECT 3 * source_size AS cap, weight, sum(3 * source_size) OVER w AS capped, sum(weight) OVER () - sum(weight) OVER w AS rest FROM s WINDOW w AS (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+level AS (SELECT max(level) AS level FROM (SELECT sum(source_size)::DOUBLE / sum(weight) AS level FROM s UNION ALL SELECT ((SELECT sum(source_size) FROM s) - capped)::DOUBLE / rest FROM o WHERE rest > 0)),
+t AS (SELECT source, source_size, CASE WHEN level * weight > 3 * source_size THEN (3 * source_size)::DOUBLE ELSE level * weight END AS target FROM s, level),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target + 0.5) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
+p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before FROM d),
+c AS (SELECT doc_id, size, source_size, target, epochs, greatest(0, least(CAST(floor(target + 0.5) AS BIGINT) - epochs * source_size - before, size)) AS cut FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, epochs * size + cut AS taken, epochs, cut FROM c"""
+
+
+_GRAM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+# Checksums byte by byte over all runs of one to three words.
+OP13 = rf"""
+WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_GRAM_WORDS} AS w FROM documents),
+t AS (SELECT {_GRAM_WORDS} AS w FROM benchmark),
+g AS (SELECT row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM (SELECT row, w FROM d UNION ALL SELECT NULL, w FROM t)),
+n AS (SELECT row, g, count(*) AS n FROM g GROUP BY ALL),
+b AS (SELECT g, list_transform(regexp_extract_all(hex(encode(g)), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM (SELECT DISTINCT g FROM n)),
+k AS (SELECT g, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS k FROM b CROSS JOIN tab),
+f AS (SELECT row, k, sum(n) AS n FROM n JOIN k USING (g) GROUP BY ALL),
+sums AS (SELECT k, coalesce(sum(n) FILTER (row IS NOT NULL), 0) AS s, coalesce(sum(n) FILTER (row IS NULL), 0) AS t FROM f GROUP BY k),
+a AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM sums),
+gains AS (SELECT k, floor(1000 * ln((t::DOUBLE + 1) * (all_s + 10000) / ((s::DOUBLE + 1) * (all_t + 10000))))::BIGINT AS gain FROM sums, a),
+weights AS (SELECT row, sum(n * gain)::BIGINT AS weight FROM f JOIN gains USING (k) WHERE row IS NOT NULL GROUP BY row),
+scored AS (SELECT doc_id, len(w) AS words, len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN weights USING (row)),
+able AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS r, count(*) OVER () AS able FROM scored WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 5 * able // 100 THEN r END AS rank FROM able
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE words < 20"""
+
+ORACLES = {"op1_url_filters": OP1, "op2_ngram_join": OP2, "op4_decontamination": OP4, "op5_sharding": op5(), "op7_nearest_neighbours": OP7, "op12_source_mixing": OP12, "op13_importance_resampling": OP13}

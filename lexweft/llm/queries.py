@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, line_dedup, ngram_join, quality, sharding, spm, token_counts, toxicity, url_filters
+from . import ann, decontam, line_dedup, mixing, ngram_join, quality, resampling, sharding, spm, token_counts, toxicity, url_filters, whitening
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -64,4 +64,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("before").alias("n_tokens"), F.col("before_pre").alias("n_pretokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_reencoded")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_toxicity, op4_decontamination, op5_sharding, op6_line_dedup, op7_nearest_neighbours, op8_sentencepiece, op9_quality, op10_token_counts)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_toxicity, op4_decontamination, op5_sharding, op6_line_dedup, op7_nearest_neighbours, op8_sentencepiece, op9_quality, op10_token_counts, op11_embedding_whitening, op12_source_mixing, op13_importance_resampling)}
