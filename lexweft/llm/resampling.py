@@ -17,8 +17,8 @@ from .sharding import with_row_number
 BUCKETS = 10_000
 #: Documents of fewer words aren't drawn; percentage of the others that is.
 LEAST_WORDS, PERCENT = 20, 5
-#: Features and rows after which a block is closed.
-BLOCK, ROWS = 1 << 21, 8192
+#: Features and rows after which a block is closed; bytes of a file's row groups, which readers hold whole.
+BLOCK, ROWS, GROUP = 1 << 16, 4096, 8 << 20
 #: Features of a document from which its buckets are counted by a table instead of sorting.
 DENSE = 512
 
@@ -142,7 +142,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     features. Texts are counted whole. Without any target text the weights come from the source alone. An empty table
     gives no rows. Ranks are row numbers over range partitions, so no task holds all. Other columns are not read.
     """
-    blocks = scratch(matrix(docs, buckets=buckets), "resample-matrix", compression="zstd")
+    blocks = scratch(matrix(docs, buckets=buckets), "resample-matrix", **{"compression": "zstd", "parquet.block.size": str(GROUP)})
     gain = gains(column_sums(blocks, buckets), column_sums(matrix(target, None, buckets=buckets), buckets))
     scored = scratch(perturbed(weigh(blocks, gain), seed), "resample-scores")
     able = scored.where(F.col("words") >= least_words).withColumns({"__lexweft_back": -F.col("score"), "__lexweft_last": F.col("doc_id").isNull()})
