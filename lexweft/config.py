@@ -37,10 +37,12 @@ class Config:
     strip_suffix: bool = False
     digits: int = 9
     index_dir: str | None = None
-    probe: int | None = None
+    recall: float = 0.95
 
     def __post_init__(self) -> None:
         if self.top_k < 1 or self.head < 1 or self.dim < 1 or self.oversample < 1:
             raise InvalidConfig("top_k, head, dim and oversample must be positive")
         if self.scope not in SCOPES or self.stage2_metric not in METRICS or self.mode not in MODES:
             raise InvalidConfig("unknown scope, metric or mode")
+        if not 0 < self.recall <= 1:
+            raise InvalidConfig("recall must be above 0 and at most 1")

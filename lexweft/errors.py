@@ -19,3 +19,7 @@ class NoReferenceDocuments(AlignmentError):
 
 class NoQueryDocuments(AlignmentError):
     """There is nothing to align."""
+
+
+class ConcurrentWrite(AlignmentError):
+    """Other writers kept committing first."""

@@ -62,6 +62,11 @@ def normalize_filename(name: Column) -> Column:
     return F.translate(name, "-_", "  ")
 
 
+def filename_words(name: Column) -> Column:
+    """The set of words of a file name, with - and _ as blanks."""
+    return words(normalize_filename(name))
+
+
 def filename_similarity(a: Column, b: Column) -> Column:
     """Word-set Jaccard of file names with - and _ as blanks."""
     return word_jaccard(normalize_filename(a), normalize_filename(b))

@@ -1,29 +1,43 @@
-"""A persisted vector index: points in lists around centroids, as versioned Parquet tables in a shared folder.
+"""A persisted vector index: points in lists around centroids, kept as segments under a manifest.
 
-The first upsert fits centroids on a bounded sample; every point is posted to its nearest centroid. A search asks the
-``probe`` likeliest lists of each query and compares with their members as matrix products, so a query meets a share
-of the corpus instead of all of it. Probing all lists is exact.
+Each upsert or delete writes one segment with only its own points and commits a new manifest, which names the segments
+that count; the later segment wins. Compaction folds segments into one. A search first asks each query's likeliest
+lists, which gives a score that its results must reach, and then every list that can hold a better point: a list's
+points lie within its radius of its centroid, so none scores more than q·c + |q|·r. With the whole radius that is
+exact; with a share of it, fitted on a sample of the queries to a wanted recall, it prunes more.
 """
 
 from __future__ import annotations
 
+import json
 import pickle
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..errors import InvalidConfig
+from ..errors import ConcurrentWrite, InvalidConfig
 from ..functions import vectors as vx
 from . import grid
 
-#: Points at most that centroids are fitted on, and lists at most.
+#: Points at most that centroids are fitted on, and lists at most (the driver holds as many centroids).
 SAMPLE, LISTS = 20_000, 1024
-#: Points of a list that are packed into one block.
-BLOCK = 4096
+#: Points of a list that are packed into one block, and points of a list that meet queries in one task.
+BLOCK, SPREAD = 4096, 1 << 16
+#: Share of rows in later segments, and number of segments, at which an upsert compacts.
+DELTA_SHARE, SEGMENTS = 0.25, 16
+#: Queries at most that a search fits its recall on; points, as a multiple of k, that the first lists hold at least.
+PROBES, FIRST = 256, 10
+#: What rounding may take from a bound.
+SLACK = 1e-8
+_POINT = "point_id long, ref_id string, pos int, vec array<double>, list int"
+_NEAR = "query_id string, pos int, ref_id string, element_pos int, semantic double"
 
 
 def centroids(x: np.ndarray, n: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
@@ -31,7 +45,7 @@ def centroids(x: np.ndarray, n: int, rounds: int = 8, seed: int = 11) -> np.ndar
     rng = np.random.default_rng(seed)
     out = x[rng.choice(len(x), min(n, len(x)), replace=False)]
     for _ in range(rounds):
-        own = nearest(x, out, 1)[:, 0]
+        own = nearest(x, out)
         sums = np.zeros_like(out)
         np.add.at(sums, own, x)
         held = np.bincount(own, minlength=len(out))
@@ -39,123 +53,386 @@ def centroids(x: np.ndarray, n: int, rounds: int = 8, seed: int = 11) -> np.ndar
     return out
 
 
-def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-    """The n nearest centroids of each row."""
-    d = (centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T
-    return np.argsort(d, axis=1, kind="stable")[:, :n]
+def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each row."""
+    return ((centres * centres).sum(axis=1)[None, :] - 2 * x @ centres.T).argmin(axis=1)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def stacked(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+@dataclass(frozen=True)
+class Lists:
+    """What a search knows of the lists: centroids, numbers of points, radii; and the metric."""
+
+    centres: np.ndarray
+    held: np.ndarray
+    radius: np.ndarray
+    metric: str
+
+    def place(self, x: np.ndarray) -> np.ndarray:
+        """Vectors as lists see them: of length one if the metric is the cosine."""
+        return unit(x) if self.metric == "cosine" else x
+
+    def first(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of all centroids, and whether a list is among each row's likeliest that hold FIRST * k points together."""
+        like = self.place(x) @ self.centres.T
+        order = np.argsort(-like, axis=1, kind="stable")
+        upto = np.cumsum(self.held[order], axis=1) - self.held[order]
+        chosen = np.zeros(like.shape, dtype=bool)
+        np.put_along_axis(chosen, order, upto < FIRST * k, axis=1)
+        return like, chosen & (self.held > 0)[None, :]
+
+    def bound(self, x: np.ndarray, like: np.ndarray, share: float) -> np.ndarray:
+        """What no point of a list scores more than, by ``share`` of its radius."""
+        return like + share * np.linalg.norm(self.place(x), axis=1)[:, None] * self.radius[None, :] + SLACK
 
 
 class VectorIndex:
     """Points (point_id, ref_id, pos, vec) under ``path``.
 
-    An index that is there is opened as it is; else the first upsert makes it. Each upsert writes a new version and
-    then counts; of points with one id the last written stays, others are kept. Readers of the version before may
-    finish, as it goes with the next upsert only.
+    An index that is there is opened as it is; else the first upsert makes it. Versions are manifests committed by
+    creating a file that must not exist, so of two writers at once one commits first and the other on top of it.
+    Readers go on with the segments of their version; those that no recent version names go at the next compaction.
     """
 
     def __init__(self, spark: SparkSession, path: str, dim: int, metric: str = "dot"):
         if metric not in ("dot", "cosine"):
             raise InvalidConfig("unknown metric")
         self.spark, self.path, self.dim, self.metric = spark, path.rstrip("/"), dim, metric
+        self._kept: list[DataFrame] = []
+
+    # --- versions ------------------------------------------------------------------------------------------------
 
-    def _files(self):
+    def _files(self, path: str | None = None):
         jvm = self.spark.sparkContext._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), root
+        at = jvm.org.apache.hadoop.fs.Path(path or self.path)
+        return jvm, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _names(self) -> list[str]:
+        _, files, root = self._files()
+        return [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
 
     def versions(self) -> list[int]:
-        """Whole versions, oldest first."""
-        jvm, files, root = self._files()
-        if not files.exists(root):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(root)]
-        found = [int(n[2:]) for n in names if n.startswith("v-")]
-        return sorted(v for v in found if files.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v-{v}/points/_SUCCESS")))
-
-    def _read(self, kind: str) -> DataFrame:
+        """Committed versions, oldest first."""
+        return sorted(int(n[9:-5]) for n in self._names() if n.startswith("manifest-") and n.endswith(".json"))
+
+    def manifest(self, version: int | None = None) -> dict:
+        """The manifest of a version, by default the last one; version 0 without points where there is none."""
         held = self.versions()
         if not held:
+            return {"version": 0, "centres": None, "segments": []}
+        jvm, files, at = self._files(f"{self.path}/manifest-{version or held[-1]:08d}.json")
+        stream = files.open(at)
+        try:
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, manifest: dict) -> bool:
+        """Whether this manifest became its version; False if another writer's did.
+
+        The whole file is written under another name first. Its last step fails where the target is there: a hard link
+        in a local file system, elsewhere a rename that doesn't overwrite.
+        """
+        target = f"{self.path}/manifest-{manifest['version']:08d}.json"
+        jvm, files, at = self._files(f"{self.path}/_manifest-{uuid.uuid4().hex}")
+        stream = files.create(at, False)
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        final = jvm.org.apache.hadoop.fs.Path(target)
+        try:
+            if files.getUri().getScheme() == "file":
+                nio = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+                jvm.java.nio.file.Files.createLink(nio(final), nio(at))
+            else:
+                context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                context.rename(at, final, none)
+            return True
+        except Py4JJavaError as error:
+            if "AlreadyExists" in error.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
+            files.delete(at, False)
+
+    def _publish(self, change, tries: int = 20) -> dict:
+        """Commits ``change`` of the last manifest, again on top of what other writers commit meanwhile."""
+        for _ in range(tries):
+            last = self.manifest()
+            new = change(last) | {"version": last["version"] + 1}
+            if self._commit(new):
+                return new
+        raise ConcurrentWrite(f"{self.path}: {tries} other writers came first")
+
+    # --- points --------------------------------------------------------------------------------------------------
+
+    def _segment(self, name: str) -> DataFrame:
+        return self.spark.read.schema(_POINT).parquet(f"{self.path}/segments/{name}/points")
+
+    def points(self, manifest: dict | None = None) -> DataFrame:
+        """The points that count: of those with one id the last written, without deleted ones."""
+        manifest = manifest or self.manifest()
+        if not manifest["segments"]:
             raise InvalidConfig(f"no index in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v-{held[-1]}/{kind}")
+        base, *later = manifest["segments"]
+        own = self._segment(base["name"])
+        if later:
+            newer = None
+            for at, s in enumerate(later):
+                part = self._segment(s["name"]).withColumn("_at", F.lit(at))
+                newer = part if newer is None else newer.unionByName(part)
+            last = newer.select("point_id", "_at").groupBy("point_id").agg(F.max("_at").alias("_at"))
+            own = own.join(last.select("point_id"), "point_id", "left_anti").unionByName(newer.join(last, ["point_id", "_at"], "left_semi").drop("_at"))
+        return own.where("vec is not null").select("point_id", "ref_id", "pos", "vec", "list")
+
+    def centres(self, manifest: dict | None = None) -> np.ndarray:
+        manifest = manifest or self.manifest()
+        return np.array([r["c"] for r in self.spark.read.schema("list int, c array<double>").parquet(f"{self.path}/{manifest['centres']}").orderBy("list").collect()])
+
+    def _fit(self, points: DataFrame, n: int) -> tuple[str, np.ndarray]:
+        """Centroids of a sample of the points, and the folder that they are written to."""
+        x = np.array([r["vec"] for r in points.orderBy(F.xxhash64("point_id")).limit(SAMPLE).select("vec").collect()])
+        made = centroids(unit(x) if self.metric == "cosine" else x, self._wanted(n))
+        name = f"centres-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(made)], "list int, c array<double>").coalesce(1).write.parquet(f"{self.path}/{name}")
+        return name, made
+
+    @staticmethod
+    def _wanted(n: int) -> int:
+        return max(1, min(LISTS, int(np.sqrt(n))))
+
+    def _write(self, rows: DataFrame, centres: np.ndarray) -> dict:
+        """Writes rows (null vec: deleted) as a segment in the order of lists; returns what the manifest says of it."""
+        lists = Lists(centres, np.zeros(len(centres)), np.zeros(len(centres)), self.metric)
+        name, there = uuid.uuid4().hex, F.col("vec").isNotNull()
+
+        def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    x = lists.place(stacked(batch["vec"]))
+                    own = nearest(x, centres)
+                    yield batch.assign(list=own, off=np.linalg.norm(x - centres[own], axis=1))
 
-    def points(self) -> DataFrame:
-        return self._read("points").select("point_id", "ref_id", "pos", "vec", "list")
+        columns = ["point_id", "ref_id", "pos", "vec"]
+        posted = rows.where(there).select(columns).mapInPandas(post, f"{_POINT}, off double")
+        gone = rows.where(~there).select(*columns, F.lit(None).cast("int").alias("list"), F.lit(None).cast("double").alias("off"))
+        full = posted.unionByName(gone)
+        full.repartition("list", F.pmod(F.xxhash64("point_id"), F.lit(8))).sortWithinPartitions("list").write.parquet(f"{self.path}/segments/{name}/points")
+        written = self.spark.read.schema(f"{_POINT}, off double").parquet(f"{self.path}/segments/{name}/points")
+        each = written.groupBy("list").agg(F.count("*").alias("n"), F.max("off").alias("radius")).collect()  # a row for each list
+        held = [[r["list"], r["n"], r["radius"]] for r in each if r["list"] is not None]
+        return {"name": name, "n": sum(r["n"] for r in each), "lists": held}
 
-    def centres(self) -> np.ndarray:
-        return np.array([r["c"] for r in self._read("centres").orderBy("list").collect()])
+    def _checked(self, points: DataFrame) -> DataFrame:
+        new = points.select(F.col("point_id").cast("long").alias("point_id"), F.col("ref_id").cast("string").alias("ref_id"), F.col("pos").cast("int").alias("pos"), vx.truncate(F.col("vec"), self.dim).cast("array<double>").alias("vec")).where(F.col("vec").isNotNull())
+        fit = F.when(F.size("vec") == self.dim, F.col("vec")).otherwise(F.raise_error(F.lit(f"a vector hasn't {self.dim} components")))
+        last = F.max(F.struct("ref_id", "pos", "vec")).alias("p")
+        return new.withColumn("vec", fit).groupBy("point_id").agg(last).select("point_id", "p.ref_id", "p.pos", "p.vec")
 
     def upsert(self, points: DataFrame) -> None:
-        """Adds points, in place of those with the same ids."""
-        held = self.versions()
-        new = points.select(F.col("point_id").cast("long").alias("point_id"), "ref_id", F.col("pos").cast("int").alias("pos"), vx.truncate(F.col("vec"), self.dim).cast("array<double>").alias("vec"))
-        new = new.where(F.col("vec").isNotNull()).withColumn("_bad", F.size("vec") != self.dim)
-        new = new.withColumn("vec", F.when(F.col("_bad"), F.raise_error(F.lit(f"a vector hasn't {self.dim} components"))).otherwise(F.col("vec"))).drop("_bad").dropDuplicates(["point_id"])
-        target = f"{self.path}/v-{held[-1] + 1 if held else 1}"
-        if held:
-            centres = self.centres()
-        else:
+        """Adds points, in place of those with the same ids; of equal ids in one call the largest (ref_id, pos) counts."""
+        new, held = self._checked(points), self.manifest()
+        if held["segments"]:
+            self._append(new, held)
+            return
+        new = new.persist()
+        try:
             n = new.count()
             if not n:
                 return
-            sample = np.array([r["vec"] for r in new.orderBy(F.xxhash64("point_id")).limit(SAMPLE).select("vec").collect()])
-            centres = centroids(sample, max(1, min(LISTS, int(np.sqrt(n)))))
+            name, centres = self._fit(new, n)
+            segment = self._write(new, centres)
+        finally:
+            new.unpersist()
+        made = {"version": 1, "centres": name, "segments": [segment]}
+        if not self._commit(made):  # another writer made the index meanwhile: these points go to its lists
+            self._append(self._segment(segment["name"]).drop("list"), self.manifest())
+            self._drop(f"segments/{segment['name']}", name)
 
-        def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield batch.assign(list=nearest(np.stack(batch["vec"].to_numpy()), centres, 1)[:, 0])
+    def delete(self, ids: DataFrame) -> None:
+        """Takes the points of these point_ids out."""
+        gone = ids.select(F.col("point_id").cast("long").alias("point_id")).distinct()
+        self._append(gone.select("point_id", *[F.lit(None).cast(t).alias(c) for c, t in (("ref_id", "string"), ("pos", "int"), ("vec", "array<double>"))]), self.manifest())
+
+    def _append(self, rows: DataFrame, held: dict) -> None:
+        while True:
+            segment = self._write(rows, self.centres(held))
+            refit = []
+
+            def add(last: dict) -> dict:
+                if last["centres"] != held["centres"]:  # lists were fitted anew meanwhile
+                    refit.append(last)
+                    return last
+                return last | {"segments": last["segments"] + [segment] if segment["n"] else last["segments"]}
+
+            new = self._publish(add)
+            if not refit:
+                break
+            held = refit[-1]
+        later = new["segments"][1:]
+        if len(later) >= SEGMENTS or sum(s["n"] for s in later) > DELTA_SHARE * new["segments"][0]["n"]:
+            self.compact()
+
+    def compact(self) -> None:
+        """Folds all segments into one, and fits lists anew where there should be twice as many.
+
+        Segments that other writers add meanwhile stay behind it, unless the lists are new: then it is given up, for
+        the next one to do.
+        """
+        held = self.manifest()
+        if not held["segments"]:
+            return
+        own = self.points(held).drop("list")
+        total, name, centres = sum(s["n"] for s in held["segments"]), held["centres"], self.centres(held)
+        if self._wanted(total) >= 2 * len(centres):
+            name, centres = self._fit(own, total)
+        segment, folded, late = self._write(own, centres), {s["name"] for s in held["segments"]}, []
+
+        def fold(last: dict) -> dict:
+            rest = [s for s in last["segments"] if s["name"] not in folded]
+            late[:] = [last["centres"] != held["centres"] or (rest and name != held["centres"]) or len(rest) + len(folded) != len(last["segments"])]
+            return last if late[0] else {"centres": name, "segments": [segment, *rest]}
+
+        self._publish(fold)
+        if late[0]:
+            self._drop(f"segments/{segment['name']}")
+        else:
+            self._tidy()
 
-        posted = new.mapInPandas(post, "point_id long, ref_id string, pos int, vec array<double>, list int")
-        if held:
-            posted = self.points().join(new.select("point_id"), "point_id", "left_anti").unionByName(posted)
-        self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, c array<double>").write.mode("overwrite").parquet(f"{target}/centres")
-        posted.write.mode("overwrite").parquet(f"{target}/points")
-        self._drop(held[:-1])
+    def _tidy(self) -> None:
+        """Deletes manifests but the last two before a compaction, and what only they name."""
+        held = self.versions()
+        recent = [self.manifest(v) for v in held[-2:]]
+        named = {s["name"] for m in recent for s in m["segments"]} | {m["centres"] for m in recent}
+        old = [self.manifest(v) for v in held[:-2]]
+        for m in old:
+            self._drop(*[f"segments/{s['name']}" for s in m["segments"] if s["name"] not in named], *([m["centres"]] if m["centres"] not in named else []), f"manifest-{m['version']:08d}.json")
 
-    def _drop(self, versions: list[int]) -> None:
-        jvm, files, _ = self._files()
-        for v in versions:
-            files.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v-{v}"), True)
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            _, files, at = self._files(f"{self.path}/{name}")
+            files.delete(at, True)
 
     def clear(self) -> None:
-        self._drop(self.versions())
+        self._drop(*[n for n in self._names() if n.startswith(("manifest-", "_manifest-", "centres-"))], "segments")
 
-    def search(self, queries: DataFrame, k: int, probe: int | None = None, digits: int = 9) -> DataFrame:
-        """query_id, pos, ref_id, element_pos, semantic: the k best points found of each query (query_id, pos, vec).
+    def release(self) -> None:
+        """Lets go of what searches keep."""
+        while self._kept:
+            self._kept.pop().unpersist()
 
-        ``probe``: lists asked, by the metric with their centroids; null: a quarter of them, at least eight. Ties go to
-        the smaller (ref_id, element_pos). Queries without length are left out.
+    # --- search --------------------------------------------------------------------------------------------------
+
+    def lists(self, manifest: dict | None = None) -> Lists:
+        manifest = manifest or self.manifest()
+        if not manifest["segments"]:
+            raise InvalidConfig(f"no index in {self.path}")
+        centres = self.centres(manifest)
+        held, radius = np.zeros(len(centres), dtype=np.int64), np.zeros(len(centres))
+        for s in manifest["segments"]:
+            for at, n, r in s["lists"]:
+                held[at] += n
+                radius[at] = max(radius[at], r)
+        return Lists(centres, held, radius * (1 + 1e-9), self.metric)
+
+    def share(self, queries: DataFrame, k: int, recall: float, digits: int = 9, manifest: dict | None = None) -> float:
+        """The share of radii at which a sample of up to PROBES queries finds ``recall`` of its true k best.
+
+        One pass compares the sample with every point: it gives each query's best over all lists and over its first
+        ones, from which follows what share would have asked the list of each of the best.
         """
-        centres, metric = self.centres(), self.metric
-        probe = min(len(centres), probe or max(8, len(centres) // 4))
+        if recall >= 1:
+            return 1.0
+        manifest = manifest or self.manifest()
+        lists, metric = self.lists(manifest), self.metric
+        sample = [r["vec"] for r in queries.where(~vx.is_zero(F.col("vec"))).orderBy(F.xxhash64("query_id", "pos"), "query_id", "pos").limit(PROBES).select("vec").collect()]
+        if not sample:
+            return 1.0
+        x = np.array(sample)
+        like, chosen = lists.first(x, k)
 
-        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if len(batch):
-                    like = grid.similarities(np.stack(batch["vec"].to_numpy()), centres, metric)
-                    chosen = np.argsort(-like, axis=1, kind="stable")[:, :probe]
-                    row = np.repeat(np.arange(len(batch)), probe)
-                    yield batch.iloc[row].assign(list=chosen.ravel())
+                if not len(batch):
+                    continue
+                score, own = np.round(grid.similarities(x, stacked(batch["vec"]), metric), digits), batch["list"].to_numpy()
+                for only in (False, True):
+                    seen = np.where(chosen[:, own], score, -np.inf) if only else score
+                    top = np.argsort(-seen, axis=1, kind="stable")[:, :k]
+                    row, got = np.repeat(np.arange(len(x)), top.shape[1]), np.take_along_axis(seen, top, axis=1).ravel()
+                    yield pd.DataFrame({"row": row, "only": only, "list": own[top.ravel()], "score": got})[np.isfinite(got)]
 
-        def pack(keys: list[str], name: str):
+        found = self.points(manifest).select("vec", "list").mapInPandas(best, "row int, only boolean, list int, score double")
+        order = Window.partitionBy("row", "only").orderBy(F.desc("score"), "list")
+        top = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).toPandas()  # 2 k rows for each of the sample
+        reach = top[top["only"] & (top["r"] == k)].set_index("row")["score"].reindex(np.arange(len(x)), fill_value=-np.inf).to_numpy()
+        true = top[~top["only"]]
+        row, own = true["row"].to_numpy(), true["list"].to_numpy()
+        size = np.linalg.norm(lists.place(x), axis=1)[row] * lists.radius[own]
+        gap = reach[row] - like[row, own]
+        need = np.where(chosen[row, own] | ~np.isfinite(gap), -np.inf, np.divide(gap, size, out=np.full(len(row), np.inf), where=size > 0))
+        need = np.sort(need)
+        return float(np.clip(need[max(0, int(np.ceil(recall * len(need))) - 1)], -1, 1)) if len(need) else 1.0
+
+    def search(self, queries: DataFrame, k: int, recall: float = 0.95, digits: int = 9, share: float | None = None) -> DataFrame:
+        """query_id, pos, ref_id, element_pos, semantic: the k best points found of each query (query_id, pos, vec).
+
+        ``recall``: 1 finds exactly the best; less is fitted on a sample of the queries (``share``), whose true best are
+        sought among all points. Ties go to the smaller (ref_id, element_pos). Queries without length are left out.
+        What the first lists gave is kept until ``release``.
+        """
+        manifest = self.manifest()
+        lists, metric = self.lists(manifest), self.metric
+        share = self.share(queries, k, recall, digits, manifest) if share is None else share
+        parts = np.maximum(1, -(-lists.held // SPREAD)).astype(np.int64)
+        asking = queries.where(~vx.is_zero(F.col("vec"))).select("query_id", "pos", "vec")
+
+        def ask(reached: bool):
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for batch in batches:
-                    for own, part in batch.groupby("list"):
-                        for lo in range(0, len(part), BLOCK):
-                            piece = part.iloc[lo : lo + BLOCK]
-                            block = {c: piece[c].to_numpy() for c in keys} | {"vec": np.stack(piece["vec"].to_numpy())}
-                            yield pd.DataFrame({"list": [own], name: [pickle.dumps(block, protocol=5)]})
+                    if not len(batch):
+                        continue
+                    x = stacked(batch["vec"])
+                    like, wanted = lists.first(x, k)
+                    if reached:
+                        least = batch["least"].fillna(-np.inf).to_numpy(dtype=np.float64)
+                        wanted = ~wanted & (lists.held > 0)[None, :] & (lists.bound(x, like, share) >= least[:, None])
+                    for own in np.flatnonzero(wanted.any(axis=0)):
+                        rows = np.flatnonzero(wanted[:, own])
+                        block = pickle.dumps({"query_id": batch["query_id"].to_numpy()[rows], "pos": batch["pos"].to_numpy()[rows], "vec": x[rows]}, protocol=5)
+                        n = int(parts[own])
+                        yield pd.DataFrame({"list": [int(own)] * n, "part": range(n), "left": [block] * n})
 
             return run
 
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for own, group in batch.groupby("list"):
+                    for lo in range(0, len(group), BLOCK):
+                        piece = group.iloc[lo : lo + BLOCK]
+                        block = {"ref_id": piece["ref_id"].to_numpy(), "pos": piece["pos"].to_numpy(), "vec": stacked(piece["vec"])}
+                        yield pd.DataFrame({"list": [own], "part": [int(piece["point_id"].iloc[0]) % int(parts[own])], "right": [pickle.dumps(block, protocol=5)]})
+
         def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 for a, b in zip(batch["left"], batch["right"], strict=True):
                     yield grid.best_of(pickle.loads(a), pickle.loads(b), k, metric, digits)
 
-        asked = queries.where(~vx.is_zero(F.col("vec"))).select("query_id", "pos", "vec").mapInPandas(ask, "query_id string, pos int, vec array<double>, list int")
-        left = asked.repartition("list").mapInPandas(pack(["query_id", "pos"], "left"), "list int, left binary")
-        right = self.points().select("ref_id", "pos", "vec", "list").repartition("list").mapInPandas(pack(["ref_id", "pos"], "right"), "list int, right binary")
-        near = left.join(right, "list").select("left", "right").mapInPandas(compare, "query_id string, pos int, ref_id string, element_pos int, semantic double")
+        right = self.points(manifest).mapInPandas(pack, "list int, part int, right binary")
         order = Window.partitionBy("query_id", "pos").orderBy(F.desc("semantic"), "ref_id", "element_pos")
-        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+        best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        met = lambda asked: asked.join(right, ["list", "part"]).select("left", "right").mapInPandas(compare, _NEAR)
+        first = best(met(asking.mapInPandas(ask(False), "list int, part int, left binary"))).persist()
+        self._kept.append(first)
+        reach = first.where(F.col("rank") == k).select("query_id", "pos", F.col("semantic").alias("least"))
+        rest = asking.join(reach, ["query_id", "pos"], "left").select("query_id", "pos", "vec", "least")
+        second = met(rest.mapInPandas(ask(True), "list int, part int, left binary"))
+        return best(first.drop("rank").unionByName(second)).drop("rank")

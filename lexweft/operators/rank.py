@@ -32,29 +32,56 @@ def with_statistics(df: DataFrame) -> DataFrame:
 
 def max_pool(blocks: DataFrame, elements: DataFrame, config: Config) -> DataFrame:
     """query_id, pos, ref_id, score, element_pos: the best element of each document for each head block."""
-    left, right = with_statistics(head(blocks, config.head)), with_statistics(head(elements, config.head)).persist()
-    return grid.pooled(left, right, right.count(), config.dim, "cosine" if config.mode == "cosine" else "composite", config.digits)
+    left, right = with_statistics(head(blocks, config.head)), with_statistics(head(elements, config.head))
+    return grid.pooled(left, right, head(elements, config.head).count(), config.dim, "cosine" if config.mode == "cosine" else "composite", config.digits)
+
+
+def mean_scores(pooled: DataFrame, n: DataFrame, config: Config) -> DataFrame:
+    """query_id, ref_id, content_units: the mean of pooled scores over the ``n`` head blocks of (query_id, n).
+
+    Scores are added as whole numbers of their last digit, so a mean doesn't depend on the order of rows; halves of the
+    last digit go away from zero.
+    """
+    totals = pooled.groupBy("query_id", "ref_id").agg(F.sum(scoring.units(F.col("score"), config.digits)).alias("total"))
+    return totals.join(n.where("n > 0"), "query_id").select("query_id", "ref_id", scoring.divided(F.col("total"), F.col("n")).alias("content_units"))
+
+
+def shared_names(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """query_id, ref_id, shared: how many words the two names share, for pairs that share any.
+
+    ``queries`` and ``refs`` have their names' word sets in ``name_words``. Pairs come from an inverted index of words.
+    """
+    left = queries.select("query_id", F.explode("name_words").alias("word"))
+    right = refs.select("ref_id", F.explode("name_words").alias("word"))
+    return left.join(right, "word").groupBy("query_id", "ref_id").agg(F.count("*").alias("shared"))
 
 
 def document_scores(blocks: DataFrame, elements: DataFrame, config: Config, pooled: DataFrame | None = None) -> DataFrame:
     """query_id, ref_id, content, filename, score, rank for all pairs of documents.
 
     content: mean over the query's head blocks of their pooled scores; blocks without one (zero vectors) count 0.
-    score: content blended with file-name similarity; a reference document without elements scores 0.
+    score: content blended with file-name similarity; a reference document without elements scores 0. Both are exact to
+    the last of ``config.digits`` digits, whatever the partitions.
     Ranks go by score, ties to the smaller ref_id. ``blocks`` and ``elements`` may hold rows with null pos, which
     stand for empty documents.
     """
+    digits = config.digits
     pooled = max_pool(blocks, elements, config) if pooled is None else pooled
-    queries = blocks.groupBy("query_id").agg(F.count_if(F.col("pos") < config.head).alias("n"))
-    refs = elements.groupBy("ref_id").agg((F.count("pos") == 0).alias("empty")).persist()
-    pairs = queries.crossJoin(F.broadcast(refs) if refs.count() <= BROADCAST_NAMES else refs)
-    totals = pooled.groupBy("query_id", "ref_id").agg(F.sum("score").alias("total"))
-    name = F.regexp_replace("query_id", "_processed$", "") if config.strip_suffix else F.col("query_id")
-    content = F.when(F.col("n") > 0, F.round(F.coalesce("total", F.lit(0.0)) / F.col("n"), config.digits)).otherwise(0.0)
-    scored = pairs.join(totals, ["query_id", "ref_id"], "left").withColumns({"content": content, "filename": tx.filename_similarity(name, F.col("ref_id"))})
-    score = F.when(F.col("empty") | (F.col("n") == 0), 0.0).otherwise(F.round(scoring.blend(F.col("content"), F.col("filename")), config.digits))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "ref_id")
-    return scored.withColumn("score", score).withColumn("rank", F.row_number().over(order)).select("query_id", "ref_id", "content", "filename", "score", "rank")
+    own = F.regexp_replace("query_id", "_processed$", "") if config.strip_suffix else F.col("query_id")
+    queries = blocks.groupBy("query_id").agg(F.count_if(F.col("pos") < config.head).alias("n")).withColumn("name_words", tx.filename_words(own))
+    refs = elements.groupBy("ref_id").agg((F.count("pos") == 0).alias("empty")).withColumn("name_words", tx.filename_words(F.col("ref_id")))
+    few = elements.select("ref_id").distinct().count() <= BROADCAST_NAMES
+    sized = refs.select("ref_id", "empty", F.size("name_words").alias("ref_words"))
+    pairs = queries.select("query_id", "n", F.size("name_words").alias("query_words")).crossJoin(F.broadcast(sized) if few else sized)
+    scored = pairs.join(mean_scores(pooled, queries.select("query_id", "n"), config), ["query_id", "ref_id"], "left").join(shared_names(queries, refs), ["query_id", "ref_id"], "left")
+    nameless = (F.col("query_words") + F.col("ref_words") == 0).cast("long")  # two names without words are alike
+    shared = F.coalesce("shared", F.lit(0).cast("long")) + nameless
+    scored = scored.withColumns({"content_units": F.coalesce("content_units", F.lit(0).cast("long")), "shared": shared, "all_words": F.col("query_words") + F.col("ref_words") - shared + 2 * nameless})
+    blended = scoring.blend_units(F.col("content_units"), F.col("shared"), F.col("all_words"), digits)
+    scored = scored.withColumn("units", F.when(F.col("empty") | (F.col("n") == 0), F.lit(0).cast("long")).otherwise(blended))
+    order = Window.partitionBy("query_id").orderBy(F.desc("units"), "ref_id")
+    made = {"content": scoring.from_units(F.col("content_units"), digits), "filename": F.col("shared") / F.col("all_words"), "score": scoring.from_units(F.col("units"), digits), "rank": F.row_number().over(order)}
+    return scored.withColumns(made).select("query_id", "ref_id", "content", "filename", "score", "rank")
 
 
 def best_documents(scores: DataFrame) -> DataFrame:
@@ -83,6 +110,6 @@ def mean_pairwise(blocks: DataFrame, elements: DataFrame, config: Config) -> Dat
                 row, col = np.indices(score.shape).reshape(2, -1)
                 yield pd.DataFrame({"query_id": x["query_id"][row], "ref_id": y["ref_id"][col], "score": score.ravel()})
 
-    left, right = sums(blocks, "query_id"), sums(elements, "ref_id").persist()
-    pairs = grid.pair_up(grid.pack(left, ["query_id", "n", "vec"], "left"), grid.pack(right, ["ref_id", "n", "vec"], "right"), right.count(), config.dim)
+    left, right = sums(blocks, "query_id"), sums(elements, "ref_id")
+    pairs = grid.pair_up(grid.pack(left, ["query_id", "n", "vec"], "left"), grid.pack(right, ["ref_id", "n", "vec"], "right"), elements.select("ref_id").distinct().count(), config.dim)
     return pairs.mapInPandas(run, "query_id string, ref_id string, score double")

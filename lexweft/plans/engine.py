@@ -43,6 +43,8 @@ class AlignmentEngine:
         """Lets go of what ``align`` keeps for its reports; they are computed anew if they are read afterwards."""
         while self._kept:
             self._kept.pop().unpersist()
+        if self._index:
+            self._index[1].release()
 
     def _counted(self, df: DataFrame, what: str) -> None:
         """Logs how many embeddings were made and how many failed."""
@@ -70,7 +72,7 @@ class AlignmentEngine:
             return align.neighbours_in_best(blocks, elements, best, config)
         if not config.index_dir:
             return align.neighbours(blocks, elements, config)
-        return self.indexed(elements).search(blocks, config.oversample * config.top_k, config.probe, config.digits)
+        return self.indexed(elements).search(blocks, config.oversample * config.top_k, config.recall, config.digits)
 
     def embedded(self, df: DataFrame, role: str) -> DataFrame:
         """Adds vec, cut to dim; rows of empty documents keep a null one."""

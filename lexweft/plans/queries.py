@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +13,11 @@ from ..functions import scoring, vectors
 from ..functions import text as tx
 from ..operators import align, rank
 from ..operators.embed import HashingProvider
-from ..operators.index import LISTS, VectorIndex
+from ..operators.index import VectorIndex
 from ..operators.numbering import numbered
 from ..operators.sizes import size_statistics
 from . import report, tables
-from .tables import DIM, blocks, elements, plain_blocks, plain_elements, read
+from .tables import DIM, blocks, elements, plain_blocks, plain_elements, read, shared_folder
 
 CONFIG = Config(dim=DIM)
 QUERIES: dict = {}
@@ -82,13 +83,26 @@ _PAIRS = f""", pairs AS (
 _POOLED = """, pooled AS (
   SELECT query_id, pos, ref_id, score, element_pos FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, pos, ref_id ORDER BY score DESC, element_pos) AS r FROM pairs) WHERE r = 1)"""
+_E9 = "CAST(round({0} * 1e9) AS BIGINT)"
+
+
+def _divided(a: str, b: str) -> str:
+    """The nearest whole number, halves away from zero."""
+    return f"(CASE WHEN {a} < 0 THEN -((2 * abs({a}) + {b}) // (2 * {b})) ELSE (2 * abs({a}) + {b}) // (2 * {b}) END)"
+
+
+def _names(a: str, b: str) -> str:
+    """Shared and all words of two names, as a list; two names without words are alike."""
+    x, y = (f"list_distinct({_WORDS.format(c)})" for c in (f"translate({a}, '-_', '  ')", f"translate({b}, '-_', '  ')"))
+    return f"(CASE WHEN len({x}) + len({y}) = 0 THEN [1, 1] ELSE [len(list_intersect({x}, {y})), len(list_distinct(list_concat({x}, {y})))] END)"
+
+
 _SCORES = f""", heads AS (SELECT query_id, count(*) AS n FROM blocks WHERE pos < 10 GROUP BY query_id),
 scores AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref_id) AS INTEGER) AS rank FROM (
-    SELECT query_id, ref_id, content, filename, round(0.9 * content + 0.1 * filename, 9) AS score FROM (
-      SELECT p.query_id, p.ref_id, round(sum(p.score) / any_value(h.n), 9) AS content,
-             any_value({_jaccard("translate(p.query_id, '-_', '  ')", "translate(p.ref_id, '-_', '  ')")}) AS filename
-      FROM pooled p JOIN heads h USING (query_id) GROUP BY p.query_id, p.ref_id)))"""
+  SELECT query_id, ref_id, c / 1e9 AS content, names[1]::DOUBLE / names[2] AS filename, u / 1e9 AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY u DESC, ref_id) AS INTEGER) AS rank FROM (
+    SELECT *, {_divided('(9 * c * names[2] + 1000000000 * names[1])', '(10 * names[2])')} AS u FROM (
+      SELECT query_id, ref_id, {_divided('t', 'n')} AS c, {_names('query_id', 'ref_id')} AS names FROM (
+        SELECT p.query_id, p.ref_id, CAST(sum({_E9.format('p.score')}) AS BIGINT) AS t, any_value(h.n) AS n FROM pooled p JOIN heads h USING (query_id) GROUP BY p.query_id, p.ref_id))))"""
 _KNN = f""", near AS (
   SELECT query_id, pos, ref_id, element_pos, semantic FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY semantic DESC, ref_id, element_pos) AS r FROM (
@@ -208,11 +222,13 @@ def q_max_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.max_pool(blocks(spark, sf_dir), elements(spark, sf_dir), CONFIG).select("query_id", "pos", "ref_id", "element_pos", r6(F.col("score")).alias("score"))
 
 
-@query(_BASE + f""" SELECT query_id, ref_id, {_r6('avg(m)')} AS score FROM (SELECT b.query_id, b.pos, x.ref_id, round(max({_COS.format('b.vec', 'x.vec')}), 9) AS m
-  FROM blocks b CROSS JOIN elements x WHERE b.pos < 10 AND x.pos < 10 GROUP BY ALL) GROUP BY ALL""")
+@query(_BASE + f""" SELECT query_id, ref_id, {_divided('t', 'n')} / 1e9 AS score FROM (SELECT query_id, ref_id, CAST(sum({_E9.format('m')}) AS BIGINT) AS t, count(*) AS n FROM (SELECT b.query_id, b.pos, x.ref_id, max({_COS.format('b.vec', 'x.vec')}) AS m
+  FROM blocks b CROSS JOIN elements x WHERE b.pos < 10 AND x.pos < 10 GROUP BY ALL) GROUP BY ALL)""")
 def q_cosine_max_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pooled = rank.max_pool(blocks(spark, sf_dir), elements(spark, sf_dir), Config(dim=DIM, mode="cosine"))
-    return pooled.groupBy("query_id", "ref_id").agg(r6(F.avg("score")).alias("score"))
+    b, config = blocks(spark, sf_dir), Config(dim=DIM, mode="cosine")
+    heads = rank.head(b, config.head).groupBy("query_id").agg(F.count("*").alias("n"))
+    means = rank.mean_scores(rank.max_pool(b, elements(spark, sf_dir), config), heads, config)
+    return means.select("query_id", "ref_id", scoring.from_units(F.col("content_units"), config.digits).alias("score"))
 
 
 @query(_BASE + f""" SELECT query_id, ref_id, {_r6(f"avg({_COS.format('b.vec', 'x.vec')})")} AS score FROM blocks b CROSS JOIN elements x WHERE b.pos < 10 AND x.pos < 10 GROUP BY ALL""")
@@ -225,14 +241,14 @@ def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     return b, e, rank.document_scores(b, e, CONFIG)
 
 
-@query(_STAGE1 + f" SELECT query_id, ref_id, {_r6('content')} AS content, {_r6('filename')} AS filename, {_r6('score')} AS score, rank FROM scores")
+@query(_STAGE1 + " SELECT query_id, ref_id, content, filename, score, rank FROM scores")
 def q_document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir)[2].select("query_id", "ref_id", *[r6(F.col(c)).alias(c) for c in ("content", "filename", "score")], "rank")
+    return _scores(spark, sf_dir)[2]
 
 
-@query(_STAGE1 + f" SELECT query_id, ref_id, {_r6('score')} AS score FROM scores WHERE rank = 1")
+@query(_STAGE1 + " SELECT query_id, ref_id, score FROM scores WHERE rank = 1")
 def q_best_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.best_documents(_scores(spark, sf_dir)[2]).select("query_id", "ref_id", r6(F.col("score")).alias("score"))
+    return rank.best_documents(_scores(spark, sf_dir)[2]).select("query_id", "ref_id", "score")
 
 
 def _with_zeros(df: DataFrame, every: int) -> DataFrame:
@@ -246,11 +262,12 @@ elements AS (SELECT * REPLACE (CASE WHEN pos % 4 = 0 THEN list_transform(vec, la
 
 
 @query(_ZEROS + _PAIRS.replace("x.pos < 10)", "x.pos < 10 AND b.pos % 3 != 0 AND x.pos % 4 != 0)") + _POOLED + f""", heads AS (SELECT query_id, count(*) AS n FROM blocks WHERE pos < 10 GROUP BY query_id)
-SELECT h.query_id, r.ref_id, {_r6('round(coalesce(sum(p.score), 0) / any_value(h.n), 9)')} AS content FROM heads h CROSS JOIN (SELECT DISTINCT ref_id FROM elements) r LEFT JOIN pooled p ON p.query_id = h.query_id AND p.ref_id = r.ref_id GROUP BY h.query_id, r.ref_id""")
+SELECT query_id, ref_id, {_divided('t', 'n')} / 1e9 AS content FROM (
+  SELECT h.query_id, r.ref_id, CAST(coalesce(sum({_E9.format('p.score')}), 0) AS BIGINT) AS t, any_value(h.n) AS n FROM heads h CROSS JOIN (SELECT DISTINCT ref_id FROM elements) r LEFT JOIN pooled p ON p.query_id = h.query_id AND p.ref_id = r.ref_id GROUP BY h.query_id, r.ref_id)""")
 def q_zero_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage 1 with zero vectors: none makes a pair, and blocks without one count 0 in the mean."""
     scores = rank.document_scores(_with_zeros(blocks(spark, sf_dir), 3).persist(), _with_zeros(elements(spark, sf_dir), 4).persist(), CONFIG)
-    return scores.select("query_id", "ref_id", r6(F.col("content")).alias("content"))
+    return scores.select("query_id", "ref_id", "content")
 
 
 @query(_STAGE1 + f""" SELECT query_id, p.ref_id, CAST(row_number() OVER (PARTITION BY query_id, p.ref_id ORDER BY p.pos) AS INTEGER) AS place, b.block_id, x.element_id, {_r6('CAST(CAST(p.score AS FLOAT) AS DOUBLE)')} AS similarity
@@ -271,28 +288,31 @@ def q_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    b, e, scores = _scores(spark, sf_dir)
-    best = rank.best_documents(scores).persist()
-    top = align.top_hits(align.hits(align.neighbours(b, e, CONFIG), b, e, best, CONFIG), e, CONFIG)
-    return b, e, scores, best, top
+    """Blocks, elements, pooled pairs, scores, best documents and top hits; what several steps read is persisted once."""
+    b, e = blocks(spark, sf_dir).persist(), elements(spark, sf_dir).persist()
+    pooled = rank.max_pool(b, e, CONFIG).persist()
+    scores = rank.document_scores(b, e, CONFIG, pooled).persist()
+    best = rank.best_documents(scores)
+    top = align.top_hits(align.hits(align.neighbours(b, e, CONFIG), b, e, best, CONFIG), e, CONFIG).persist()
+    return b, e, pooled, scores, best, top
 
 
 @query(_STAGE2 + f" SELECT query_id, ref_id, element_pos, element_id, pos, {_r6('similarity')} AS similarity, rank FROM topk")
 def q_element_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _aligned(spark, sf_dir)[4].select("query_id", "ref_id", "element_pos", "element_id", "pos", r6(F.col("similarity")).alias("similarity"), "rank")
+    return _aligned(spark, sf_dir)[5].select("query_id", "ref_id", "element_pos", "element_id", "pos", r6(F.col("similarity")).alias("similarity"), "rank")
 
 
 @query(_STAGE2 + f""" SELECT b.query_id, b.ref_id, x.pos AS element_pos, x.element_id, t.rank, t.pos, {_r6('t.similarity')} AS similarity
   FROM best b JOIN elements x USING (ref_id) LEFT JOIN topk t ON t.query_id = b.query_id AND t.ref_id = b.ref_id AND t.element_pos = x.pos""")
 def q_paragraph_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, e, _, best, top = _aligned(spark, sf_dir)
+    _, e, _, _, best, top = _aligned(spark, sf_dir)
     return align.paragraph_matches(top, e, best).select("query_id", "ref_id", "element_pos", "element_id", "rank", "pos", r6(F.col("similarity")).alias("similarity"))
 
 
 @query(_STAGE2 + f""" SELECT query_id, ref_id, element_pos, pos, {_r6('similarity')} AS similarity, place FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, element_pos, rank) AS INTEGER) AS place FROM topk) WHERE place <= 10""")
 def q_top_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.top_phrases(_aligned(spark, sf_dir)[4], CONFIG).select("query_id", "ref_id", "element_pos", "pos", r6(F.col("similarity")).alias("similarity"), "place")
+    return align.top_phrases(_aligned(spark, sf_dir)[5], CONFIG).select("query_id", "ref_id", "element_pos", "pos", r6(F.col("similarity")).alias("similarity"), "place")
 
 
 @query(_STAGE2 + """, sizes AS (SELECT ref_id, count(*) AS n FROM elements GROUP BY ref_id),
@@ -301,7 +321,7 @@ SELECT b.query_id, (SELECT count(DISTINCT ref_id) FROM elements) AS total_xml_do
        s.n - coalesce(m.k, 0) AS unmatched_elements, coalesce(m.a1, 0) AS matches_above_01, coalesce(m.a3, 0) AS matches_above_03
 FROM best b JOIN sizes s USING (ref_id) JOIN (SELECT query_id, count(*) AS n FROM blocks GROUP BY query_id) q USING (query_id) LEFT JOIN m USING (query_id)""")
 def q_match_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, e, _, best, top = _aligned(spark, sf_dir)
+    b, e, _, _, best, top = _aligned(spark, sf_dir)
     stats = align.statistics(align.paragraph_matches(top, e, best), b, e, best, CONFIG)
     return stats.select("query_id", "total_xml_documents", "total_xml_elements", "total_pdf_blocks", "matched_elements", "unmatched_elements", "matches_above_01", "matches_above_03")
 
@@ -324,19 +344,47 @@ def q_zero_vectors_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("query_id", "pos", "ref_id", "element_pos", r6(F.col("semantic")).alias("semantic"))
 
 
-@query(_BASE + _KNN + f" SELECT query_id, pos, ref_id, element_pos, {_r6('semantic')} AS semantic FROM near")
-def q_knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours through a persisted index, put in by two upserts of which the later wins, all lists probed."""
-    e = elements(spark, sf_dir).persist()
+def _index_search(spark: SparkSession, b: DataFrame, e: DataFrame) -> DataFrame:
+    """Exact neighbours through a new index, put in by two upserts of which the later wins; the index goes with them."""
     points = numbered(e.select("ref_id", "pos", "vec"), ["ref_id", "pos"], "n").withColumn("point_id", F.col("n") + 1)
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    index = VectorIndex(spark, f"{root.rstrip('/')}/lexweft-index-{uuid.uuid4().hex}", DIM)
+    index = VectorIndex(spark, f"{shared_folder(spark)}/lexweft-index-{uuid.uuid4().hex}", DIM)
     index.upsert(points.withColumn("vec", F.when(F.col("point_id") % 5 == 0, F.reverse("vec")).otherwise(F.col("vec"))))
     index.upsert(points.where("point_id % 5 = 0"))
-    near = index.search(blocks(spark, sf_dir), CONFIG.oversample * CONFIG.top_k, probe=LISTS)
+    near = index.search(b, CONFIG.oversample * CONFIG.top_k, recall=1).persist()
+    near.count()  # filled, so that the index isn't read any more unless what is kept gets lost
+    atexit.register(_clear, index)
     return near.select("query_id", "pos", "ref_id", "element_pos", r6(F.col("semantic")).alias("semantic"))
 
 
+def _clear(index: VectorIndex) -> None:
+    try:
+        index.clear()
+    except Exception:  # noqa: BLE001 - the session may have gone before the interpreter ends
+        pass
+
+
+@query(_BASE + _KNN + f" SELECT query_id, pos, ref_id, element_pos, {_r6('semantic')} AS semantic FROM near")
+def q_knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours through a persisted index, exact by the lists' radii."""
+    return _index_search(spark, blocks(spark, sf_dir), elements(spark, sf_dir).persist())
+
+
+def _grouped(df: DataFrame) -> DataFrame:
+    """Vectors in eight groups far apart: 3 is added to the component after pos modulo 8."""
+    return df.withColumn("vec", F.transform("vec", lambda x, i: x + F.when(i == F.col("pos") % 8, 3.0).otherwise(0.0)))
+
+
+_GROUPS = _ZEROS.split(",\nblocks AS (")[0] + """,
+blocks AS (SELECT * REPLACE (list_transform(vec, lambda x, i: x + CASE WHEN i = pos % 8 + 1 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END) AS vec) FROM b0),
+elements AS (SELECT * REPLACE (list_transform(vec, lambda x, i: x + CASE WHEN i = pos % 8 + 1 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END) AS vec) FROM e0)"""
+
+
+@query(_GROUPS + _KNN + f" SELECT query_id, pos, ref_id, element_pos, {_r6('semantic')} AS semantic FROM near")
+def q_knn_index_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over vectors in groups, where most lists can't hold a better point and aren't asked."""
+    return _index_search(spark, _grouped(blocks(spark, sf_dir)), _grouped(elements(spark, sf_dir)).persist())
+
+
 @query(_STAGE2 + f" SELECT query_id, ref_id, element_pos, pos, {_r6('similarity')} AS similarity FROM hits WHERE similarity >= 0.5")
 def q_threshold_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of the best document under an applied threshold."""
@@ -356,10 +404,10 @@ _FLOAT = "round(CAST(CAST({0} AS FLOAT) AS DOUBLE), 6) + 0.0"
 
 
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, e, scores, best, top = _aligned(spark, sf_dir)
+    b, e, pooled, scores, best, top = _aligned(spark, sf_dir)
     matches = align.paragraph_matches(top, e, best)
     stats = align.statistics(matches, b, e, best, CONFIG)
-    return report.build(scores, rank.max_pool(b, e, CONFIG), matches, align.top_phrases(top, CONFIG), stats, b, e, CONFIG)
+    return report.build(scores, pooled, matches, align.top_phrases(top, CONFIG), stats, b, e, CONFIG)
 
 
 @query(_STAGE1 + f" SELECT query_id, rank, ref_id, {_FLOAT.format('score')} AS similarity, (SELECT count(*) FROM pooled p WHERE p.query_id = s.query_id AND p.ref_id = s.ref_id) AS n_pairs FROM scores s")
