@@ -134,7 +134,7 @@ def expand(mixed: DataFrame, text: str = "text") -> DataFrame:
 
         return run
 
-    whole = mixed.where("epochs > 0 AND size > 0").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("epochs").cast("int"))) - 1)
+    whole = mixed.where("epochs > 0 AND size > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.col("epochs").cast("int") - 1)))
     part = mixed.where("cut > 0").withColumn("repeat", F.col("epochs").cast("int"))
     part = part.withColumn("__lexweft_cut", F.struct(F.col(text).alias("text"), F.col("cut").alias("words"))).drop(text)
     return whole.unionByName(add_columns(part, "__lexweft_cut", f"`{text}` string", head).select(whole.columns))

@@ -68,7 +68,7 @@ def _summed(df: DataFrame, names: list[str], width: int, kind: str, run: Callabl
         if made is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(made), dtype=np.int32)), *[pa.array(np.ascontiguousarray(c)) for c in made.T]], names=["line", *names])
 
-    parts = df.select("x").mapInArrow(tidied(task), ", ".join(["line int", *(f"{c} {kind}" for c in names)]))
+    parts = df.where(F.size("x") == width).select("x").mapInArrow(tidied(task), ", ".join(["line int", *(f"{c} {kind}" for c in names)]))
     rows = parts.groupBy("line").agg(*[F.sum(c).alias(c) for c in names]).orderBy("line").collect()
     return np.array([r[1:] for r in rows])
 
@@ -77,9 +77,11 @@ def _moments(x: DataFrame, width: int) -> tuple[int, np.ndarray]:
     """Row count and exact sums by dimension."""
 
     def run(parts: Iterator[np.ndarray]) -> np.ndarray | None:
-        n, sums = 0, np.zeros(width, dtype=np.int64)
+        n, sums, most = 0, np.zeros(width, dtype=np.int64), 0.0
         for m in parts:
-            n, sums = n + len(m), sums + m.sum(axis=0)
+            n, sums, most = n + len(m), sums + m.sum(axis=0), most + float(np.abs(m.astype(np.float64)).sum())
+            if most >= 2.0**62:
+                raise ArithmeticError("a sum leaves 64 bits")
         return np.stack([sums, np.full(width, n)], axis=1) if n else None
 
     made = _summed(x, ["s", "n"], width, "long", run)
@@ -139,7 +141,6 @@ def fit(x: DataFrame, k: int = 32, more: int = 8, seed: int = 7, tolerance: floa
     if first is None:
         return None
     width = first["d"]
-    x = x.where(F.size("x") == width)
     n, sums = _moments(x, width)
     rng, k = np.random.default_rng(seed), min(k, width)
     p = min(width, k + more)

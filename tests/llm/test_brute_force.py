@@ -279,7 +279,7 @@ def test_queries_equal_their_sql(spark, small):
     con = duckdb.connect()
     for t in "documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
-    assert {*ORACLES} == {"op1_url_filters", "op2_ngram_join", "op4_decontamination", "op5_sharding", "op7_nearest_neighbours"}
+    assert {*ORACLES} == {"op1_url_filters", "op2_ngram_join", "op4_decontamination", "op5_sharding", "op7_nearest_neighbours", "op12_source_mixing", "op13_importance_resampling"}
     for name, sql in ORACLES.items():
         got = QUERIES[name](spark, small)
         columns = sorted(got.columns)
