@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..errors import InvalidConfig, NoQueryDocuments, NoReferenceDocuments
 from ..functions import vectors
 from ..operators import align, rank
-from ..operators.embed import CachedProvider, EmbeddingProvider, HashingProvider, embedding_counts
+from ..operators.embed import FAILURES, CachedProvider, EmbeddingProvider, HashingProvider, observed, outcome
 from ..operators.index import VectorIndex
 from ..operators.numbering import numbered
+from ..operators.sizes import size_statistics
 from ..sources import documents, reports
 from . import report
 
@@ -46,12 +47,22 @@ class AlignmentEngine:
         if self._index:
             self._index[1].release()
 
-    def _counted(self, df: DataFrame, what: str) -> None:
-        """Logs how many embeddings were made and how many failed."""
-        n = embedding_counts(df.where("pos is not null")).first()
-        log.info("%s: %d embedded, %d failed", what, n["n_ok"], n["n_failed"])
-        if n["all_failed"]:
+    def prepared(self, df: DataFrame, role: str, what: str) -> DataFrame:
+        """``embedded`` rows, kept until ``release``; logs outcomes by kind of failure and text sizes.
+
+        The counts come from the pass that embeds and keeps the rows, not from one of their own.
+        """
+        seen = Observation()
+        out = self._keep(self.embedded(df, role, seen))
+        out.count()
+        n = {k: v for k, v in observed(seen).items() if v}
+        log.info("%s: %d embedded, %d failed%s", what, n.get("n_ok", 0), n.get("n_failed", 0), "".join(f", {k} {n[k]}" for k in FAILURES if k in n))
+        if n.get("n_failed") and not n.get("n_ok"):
             log.warning("%s: all embeddings are zero", what)
+        sizes = size_statistics(out.where("pos is not null").withColumn("_all", F.lit(0)), "_all").first()
+        if sizes:
+            log.info("%s: text sizes from %d to %d bytes, median %d", what, sizes["min_size"] or 0, sizes["max_size"] or 0, sizes["median_size"] or 0)
+        return out
 
     def indexed(self, elements: DataFrame) -> VectorIndex:
         """The index in config.index_dir with these elements as points 1, 2, ... by (ref_id, pos).
@@ -74,26 +85,23 @@ class AlignmentEngine:
             return align.neighbours(blocks, elements, config)
         return self.indexed(elements).search(blocks, config.oversample * config.top_k, config.recall, config.digits)
 
-    def embedded(self, df: DataFrame, role: str) -> DataFrame:
-        """Adds vec, cut to dim; rows of empty documents keep a null one."""
+    def embedded(self, df: DataFrame, role: str, seen: Observation | None = None) -> DataFrame:
+        """Adds vec, cut to dim; rows of empty documents keep a null one. ``seen`` gets the outcomes."""
         full = df.where("pos is not null")
-        made = self.provider.embed(full, role)
+        made = self.provider.answer(full, role)
+        made = (made.observe(seen, *outcome()) if seen else made).drop("failure")
         made = made.withColumn("vec", F.when(F.size("vec") >= self.config.dim, vectors.truncate(F.col("vec"), self.config.dim)).otherwise(F.raise_error(F.lit(f"an embedding has under {self.config.dim} components"))))
         return made.unionByName(df.where("pos is null").withColumn("vec", F.lit(None).cast("array<double>")))
 
     def align(self, blocks: DataFrame, elements: DataFrame) -> DataFrame:
         """Reports for embedded ``blocks`` (query_id, pos, block_id, text, vec) and ``elements`` (ref_id, pos, element_id, text, vec)."""
         config = self.config
-        if elements.storageLevel.useMemory or elements.storageLevel.useDisk:
-            blocks = self._keep(blocks)
-        else:
-            blocks, elements = self._keep(blocks), self._keep(elements)
+        held = lambda df: df if df.storageLevel.useMemory or df.storageLevel.useDisk else self._keep(df)
+        blocks, elements = held(blocks), held(elements)
         if elements.isEmpty():
             raise NoReferenceDocuments("no reference documents")
         if blocks.isEmpty():
             raise NoQueryDocuments("no query documents")
-        self._counted(elements, "elements")
-        self._counted(blocks, "blocks")
         full_blocks, full_elements = blocks.where("pos is not null"), elements.where("pos is not null")
         pooled = self._keep(rank.max_pool(full_blocks, full_elements, config))
         scores = self._keep(rank.document_scores(blocks, elements, config, pooled))
@@ -110,8 +118,8 @@ class AlignmentEngine:
         config = self.config
         if not config.output_dir:
             raise InvalidConfig("no output folder")
-        elements = self.embedded(documents.read_reference(self.spark, config.reference_dir), "document")
-        blocks = self.embedded(documents.read_queries(self.spark, config.query_dir), "query")
+        elements = self.prepared(documents.read_reference(self.spark, config.reference_dir), "document", "elements")
+        blocks = self.prepared(documents.read_queries(self.spark, config.query_dir), "query", "blocks")
         out = self.align(blocks, elements).persist()
         reports.write_files(out, config.output_dir)
         reports.log_statistics(out)
@@ -119,5 +127,8 @@ class AlignmentEngine:
         return out
 
     def clear_cache(self) -> None:
+        """Deletes kept embeddings and the index."""
         if isinstance(self.provider, CachedProvider):
             self.provider.clear(self.spark)
+        if self.config.index_dir:
+            VectorIndex(self.spark, self.config.index_dir, self.config.dim, self.config.stage2_metric).clear()

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from lexweft import AlignmentEngine, Config
 from lexweft.errors import InvalidConfig, MalformedDocument, NoReferenceDocuments
 from lexweft.operators import align, rank
-from lexweft.operators.embed import CachedProvider, HashingProvider, HttpProvider, decode_response, embedding_counts, hashed
 from lexweft.operators.index import VectorIndex
 from lexweft.operators.numbering import numbered
 from lexweft.sources import documents, reports
@@ -102,45 +101,6 @@ def test_no_reference_documents(spark, folders, tmp_path):
         AlignmentEngine(spark, Config(str(tmp_path / "none"), folders[1], folders[2], dim=8)).run()
 
 
-def test_cache_is_by_content(spark, tmp_path):
-    class Once(HashingProvider):
-        asked = 0
-
-        def embed(self, df, role, text="text"):
-            Once.asked += df.count()
-            return super().embed(df, role, text)
-
-    cached = CachedProvider(Once(8), str(tmp_path / "c"))
-    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "i int, text string")
-    first = {r.i: list(r.vec) for r in cached.embed(df, "document").collect()}
-    again = {r.i: list(r.vec) for r in cached.embed(df.where("i > 1").union(spark.createDataFrame([(4, "d")], "i int, text string")), "document").collect()}
-    assert Once.asked == 3 and first[1] == first[2] == again[2] and again[4] == pytest.approx(list(hashed("d", 8)))
-    cached.clear(spark)
-    assert cached.read(spark) is None
-
-
-def test_cache_keeps_no_failures_and_passes_over_broken_files(spark, tmp_path):
-    class Failing(HashingProvider):
-        down, asked = True, 0
-
-        def embed(self, df, role, text="text"):
-            Failing.asked += df.count()
-            out = super().embed(df, role, text)
-            return out.withColumn("vec", F.transform("vec", lambda x: x * 0)) if Failing.down else out
-
-    cached, df = CachedProvider(Failing(4), str(tmp_path / "c")), spark.createDataFrame([("a b",), ("c",)], "text string")
-    counts = lambda: embedding_counts(cached.embed(df, "document")).first().asDict()
-    assert counts() == {"n_ok": 0, "n_failed": 2, "all_failed": True}
-    Failing.down = False
-    assert counts() == {"n_ok": 2, "n_failed": 0, "all_failed": False} and Failing.asked == 4
-    assert counts()["n_ok"] == 2 and Failing.asked == 4
-    for f in (tmp_path / "c").glob("part-*"):
-        f.write_bytes(b"broken")
-    for f in (tmp_path / "c").glob(".*.crc"):
-        f.unlink()
-    assert counts()["n_ok"] == 2 and Failing.asked == 6
-
-
 def test_report_files_are_replaced(spark, tmp_path):
     out = str(tmp_path / "deep" / "out")
     for n in (1, 2):
@@ -149,33 +109,6 @@ def test_report_files_are_replaced(spark, tmp_path):
     assert json.load(open(os.path.join(out, "a b=c%d_matches.json"))) == {"pdf_document_id": "a b=c%d", "n": 2}
 
 
-@pytest.mark.parametrize("body, want", [('[{"embedding": [[1, 2]]}]', [1.0, 2.0]), ("[]", [0.0] * 3), ("{", [0.0] * 3), ('[{"embedding": []}]', [0.0] * 3), ('[{"embedding": [["x"]]}]', [0.0] * 3), ("null", [0.0] * 3)])
-def test_decode_response(body, want):
-    assert decode_response(body, 3) == want
-
-
-def test_http_provider(spark):
-    import threading
-    from http.server import BaseHTTPRequestHandler, HTTPServer
-
-    class Handler(BaseHTTPRequestHandler):
-        def do_POST(self):
-            text = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["content"]
-            self.send_response(500 if "bad" in text else 200)
-            self.end_headers()
-            self.wfile.write(json.dumps([{"embedding": [[len(text), 1]]}]).encode())
-
-        def log_message(self, *a):
-            pass
-
-    server = HTTPServer(("127.0.0.1", 0), Handler)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    df = spark.createDataFrame([("abc",), ("bad",)], "text string")
-    out = {r.text: list(r.vec) for r in HttpProvider(f"http://127.0.0.1:{server.server_port}", dim=2, retries=0).embed(df, "query").collect()}
-    server.shutdown()
-    assert out == {"abc": [17.0, 1.0], "bad": [0.0, 0.0]}
-
-
 def frames(spark, blocks, elements):
     b = spark.createDataFrame(blocks, "query_id string, pos int, block_id string, text string, vec array<double>")
     e = spark.createDataFrame(elements, "ref_id string, pos int, element_id string, text string, vec array<double>")
