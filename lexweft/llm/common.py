@@ -108,14 +108,16 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """(text, y) of at most ``per_class`` labelled rows of each class outside the held-out fifth.
 
     The choice follows a hash of doc_id, so it is reproducible. Only rows of labels are ranked; the
-    documents meet a side of at most 2 * per_class ids. Texts above ``max_bytes`` bytes are not learnt from.
+    documents meet a side of at most 2 * per_class ids. Texts above ``max_bytes`` bytes are not learnt from. Of rows that
+    share a doc_id one text is taken, that of the smallest hash, however many they are.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).cast("int").alias("y"))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1])
     texts = docs.select("doc_id", "text").where(F.octet_length("text").between(1, max_bytes))
-    return texts.join(F.broadcast(ids), "doc_id").select("text", "y")
+    met = texts.join(F.broadcast(ids), "doc_id")
+    return met.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "y")
 
 
 def tidy() -> None:

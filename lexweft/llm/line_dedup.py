@@ -21,8 +21,8 @@ from .common import discard, made, scratch
 #: Words of a k-gram, and positions of a window. Repeated runs of GRAM + SPAN - 1 = 29 words are always found, and words that
 #: aren't in a repeated run of GRAM words never go.
 GRAM = SPAN = 15
-#: Words from which a run is cut wherever it starts and ends.
-LONG = 50
+#: Words from which a run is cut wherever it starts and ends: by default all that are always found.
+LONG = GRAM + SPAN - 1
 #: Bytes of whole lines from which a shorter run is cut.
 LEAST = 100
 #: What separates words, as members of a class of a regular expression.
@@ -153,22 +153,23 @@ def _runs(at: str) -> str:
     return f"filter({runs}, r -> r.hi - r.lo + 1 >= {GRAM + SPAN - 1})"
 
 
-def _whole() -> str:
-    """SQL: the runs, those under LONG words cut back to the whole lines in them."""
+def _whole(long: int) -> str:
+    """SQL: the runs, those under ``long`` words cut back to the whole lines in them."""
     lo = "if(r.lo = 0 OR array_contains(ends, r.lo - 1), r.lo, array_min(filter(ends, e -> e >= r.lo)) + 1)"
     hi = "coalesce(array_max(filter(ends, e -> e <= r.hi)), -1)"
-    cut = f"transform(runs, r -> if(r.hi - r.lo + 1 >= {LONG}, r, struct({lo} AS lo, {hi} AS hi)))"
+    cut = f"transform(runs, r -> if(r.hi - r.lo + 1 >= {long}, r, struct({lo} AS lo, {hi} AS hi)))"
     text = "array_join(slice(tokens, r.lo + 1, greatest(r.hi - r.lo + 1, 0)), '')"
-    return f"filter({cut}, r -> r.hi - r.lo + 1 >= {LONG} OR octet_length(trim(BOTH ' \t\r\n' FROM {text})) >= {LEAST})"
+    return f"filter({cut}, r -> r.hi - r.lo + 1 >= {long} OR octet_length(trim(BOTH ' \t\r\n' FROM {text})) >= {LEAST})"
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, long: int = LONG) -> DataFrame:
     """``docs``, all columns kept, with repeated runs cut from text, and n_lines, n_removed and share_left added.
 
     Order: doc_id (nulls first), then a hash of the text, then the word; the earliest stays, overlapping repeats
     within a document included. Words are separated by blanks, tabs, line feeds and carriage returns, and compared as
     they are, whatever separates them. A line ends with a line feed or with a stop, ``!`` or ``?`` before a blank. Runs of
-    LONG words go whole; of runs of 29 words, lines that lie in them whole, if they hold LEAST bytes. Blanks behind
+    ``long`` words go whole, by default all of 29 words and more; of shorter ones that are found, lines that lie in them
+    whole, if they hold LEAST bytes. Blanks behind
     a word go with it, those before a line that goes too. Where words went, blanks at the end of the text go as well.
 
     n_lines counts line feeds and one, n_removed the lines cut whole or in part, share_left is the share of bytes that is
@@ -186,9 +187,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     bare = "ltrim(' \t\r\n', text)"
     # Each step is computed once, and only for documents with runs.
     out = _once(out, tokens=f"if(runs IS NULL, null, split({bare}, '(?<=[{BLANK}])(?![{BLANK}])'))")  # words with the blanks behind them
-    short = f"exists(runs, r -> r.hi - r.lo + 1 < {LONG})"
+    short = f"exists(runs, r -> r.hi - r.lo + 1 < {long})"
     out = _once(out, ends=f"if({short}, filter(sequence(0, size(tokens) - 1), j -> j = size(tokens) - 1 OR rlike(get(tokens, j), '\\n|[.!?] ')), null)")
-    out = _once(out, cut=_whole())
+    out = _once(out, cut=_whole(long))
     out = _once(out, parts="transform(sequence(0, size(cut)), c -> struct(coalesce(get(cut, c - 1).hi + 1, 0) AS lo, coalesce(get(cut, c).lo, size(tokens)) AS hi))")
     # Blanks between a line end and a line that goes are that line's.
     kept = "array_join(transform(parts, p -> regexp_replace(array_join(slice(tokens, p.lo + 1, p.hi - p.lo), ''), '(?<=\\n)[ \\t]+\\\\z', '')), '')"

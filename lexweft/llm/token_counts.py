@@ -244,7 +244,8 @@ def update(kept: DataFrame, edits: str, folder: str = TOKENIZERS) -> DataFrame:
     ``edits`` names a column array<struct<start:int, stop:int, new:string>> of replacements, applied in order, positions in
     characters of the text as it then is; it goes. text, tree, n_tokens and n_pretokens are those after the edits;
     n_reencoded counts pre-tokens encoded again. Positions outside the text are clamped; null edits are none, and leave a
-    null text null.
+    null text null. A null tree, as of documents that are new to the table, is built from the text; what that encodes
+    counts as encoded again. Repeated rows are edited alike, texts are taken whole, an empty table gives no rows.
     """
     both = F.struct("text", "tree", F.col(edits).cast(KIND).alias("edits"))
     left = kept.withColumn("__lexweft_both", both).drop("text", "tree", "n_tokens", "n_pretokens", "n_reencoded", edits)
@@ -255,16 +256,18 @@ def update(kept: DataFrame, edits: str, folder: str = TOKENIZERS) -> DataFrame:
         def make(values: list) -> dict[str, list]:
             out: dict[str, list] = {"text": [], "tree": [], "n_tokens": [], "n_pretokens": [], "n_reencoded": []}
             for v in values:
-                tree = TokenTree.load(v["text"] or "", v["tree"], counts)
+                fresh = v["tree"] is None
+                tree = TokenTree(v["text"] or "", counts) if fresh else TokenTree.load(v["text"] or "", v["tree"], counts)
+                built = tree.n_pretokens if fresh else 0
                 done = [e for e in v["edits"] or () if e is not None]
                 for e in done:
                     start = min(max(0, e["start"] or 0), len(tree.text))
                     tree.edit(start, min(max(start, e["stop"] or 0), len(tree.text)), e["new"] or "")
                 out["text"].append(tree.text if done else v["text"])
-                out["tree"].append(tree.dump() if done else v["tree"])
+                out["tree"].append(tree.dump() if done or fresh else v["tree"])
                 out["n_tokens"].append(tree.n_tokens)
                 out["n_pretokens"].append(tree.n_pretokens)
-                out["n_reencoded"].append(tree.encoded)
+                out["n_reencoded"].append(tree.encoded + built)
             return out
 
         return make

@@ -6,7 +6,9 @@ violent verb and its target, in any order that begins with the intent), reported
 composition is one machine whose output symbols are clause patterns: an insult or threat, plain or aimed at
 someone, negated, reported. Each pattern has a weight, each lexicon entry its own. A clause counts by its
 strongest pattern, however often words repeat in it; a document's score is the noisy-or of its matched clauses.
-Lexicon entries (words and word beginnings) and pattern weights are learnt from labels, with priors.
+Lexicon entries (words and stems) and pattern weights are learnt from labels, with priors. A stem is a word beginning
+at which the toxic forms branch out, so the beginning of a single insult, which ordinary words share, is none; and a
+form that was never seen itself needs an aim or a second insult beside it.
 """
 
 from __future__ import annotations
@@ -164,6 +166,10 @@ def grammar() -> Mealy:
 #: Prior probability that a document whose only match has this pattern is toxic; R reported, N negated, T aimed.
 PRIORS = {"I": 0.7, "TI": 0.85, "NI": 0.3, "RI": 0.35, "NRI": 0.2, "H": 0.8, "NH": 0.15, "RH": 0.25, "NRH": 0.1}
 PRIOR_ROWS = 6.0
+#: Continuations that a word beginning must have in toxic documents to be a stem; what a plain match of a stem alone weighs.
+BRANCHES, UNSEEN = 4, 0.6
+#: Share of the sampled toxic documents that an entry must newly explain.
+EXPLAINS = 0.005
 #: A score of documents without any match.
 NOTHING = 0.02
 
@@ -176,7 +182,7 @@ def pattern(symbol: str) -> str:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """entries: lexicon key -> evidence (words, and word beginnings ending in *); patterns: probability by pattern."""
+    """entries: lexicon key -> evidence (words, and stems ending in *); patterns: probability by pattern."""
 
     entries: dict[str, float]
     patterns: dict[str, float]
@@ -211,8 +217,8 @@ class Matcher:
             return "I"
         return _CLASSES.get(token, "O")
 
-    def matches(self, text: str | None) -> list[list[tuple[str, float]]]:
-        """For each clause with insults or threats their (pattern, evidence)."""
+    def matches(self, text: str | None) -> list[list[tuple[str, float, str, bool]]]:
+        """For each clause with insults or threats their (pattern, evidence, word, whether that very word is known)."""
         if not text:
             return []
         low, found, done = text.lower(), [], 0
@@ -231,7 +237,7 @@ class Matcher:
             for k, (token, s) in enumerate(zip(tokens, out, strict=True)):
                 if s[-1] in "IH":
                     aimed = s if s[0] == "T" or "A" not in out[k + 1 : k + 5] else f"T{s}"
-                    clause.append((pattern(aimed), self.evidence(token) or 1.0))
+                    clause.append((pattern(aimed), self.evidence(token) or 1.0, token, s[-1] == "H" or token in self.words or token in THINGS))
             if clause:
                 found.append(clause)
         return found
@@ -245,18 +251,30 @@ def _weight(p: float) -> float:
     return -math.log1p(-min(p, 0.999))
 
 
-def combine(clauses: list[list[tuple[str, float]]], patterns: dict[str, float]) -> float:
-    """Noisy-or over clauses: 1 - exp(-sum of each clause's largest pattern weight * evidence), from NOTHING upwards."""
-    total = sum(max(_weight(patterns[p]) * e for p, e in own) for own in clauses)
-    return 1 - (1 - NOTHING) * math.exp(-total)
+def combine(clauses: list[list[tuple[str, float, str, bool]]], patterns: dict[str, float]) -> float:
+    """Noisy-or over clauses: 1 - exp(-sum of each clause's largest pattern weight * evidence), from NOTHING upwards.
+
+    Where a document's matches are all one word, known by its stem only, its plain clauses together weigh UNSEEN at most.
+    """
+    alone = len({w for own in clauses for _, _, w, _ in own}) < 2
+    total = doubtful = 0.0
+    for own in clauses:
+        weight, sure = max((_weight(patterns[p]) * e, known or p != "I" or not alone) for p, e, _, known in own)
+        total, doubtful = total + weight * sure, doubtful + weight * (not sure)
+    return 1 - (1 - NOTHING) * math.exp(-total - min(doubtful, UNSEEN))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, max_bytes: int = 40_000, least: float = 16.0, max_entries: int = 20_000) -> ToxicityModel:
     """Learns the lexicon and pattern weights from at most ``per_class`` labelled rows of each class.
 
-    A word, or the shortest word beginning of 4 to 8 letters, enters if nearly all sampled documents that hold
-    it are toxic, with odds against chance of e**least. The ``max_entries`` most telling ones are kept. Pattern
-    weights are the share of toxic ones among documents with that pattern only, drawn to their priors.
+    A word, or a stem of 4 to 8 letters, enters if nearly all sampled documents that hold it are toxic, with odds
+    against chance of e**least. A stem is a beginning that goes on in BRANCHES ways at least in toxic documents, and the
+    fewer they are, the less it tells of forms not seen. The ``max_entries`` most telling ones are kept, of which those
+    enter that newly explain a share EXPLAINS of the toxic documents. Pattern weights are the share of toxic ones among
+    documents with that pattern only, drawn to their priors.
+
+    Null labels, null ids, null and empty texts, and texts over ``max_bytes`` teach nothing. Equal texts count once, as
+    toxic if any of them is. Empty tables give the seeds and priors.
     """
     sample = training_sample(docs, labels, "toxic", per_class, max_bytes).groupBy("text").agg(F.max("y").alias("y"))
 
@@ -272,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, max_bytes: in
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"], strict=True):
                 words = set(LETTERS.findall(text.lower()))
-                seen[y].update(words | {f"{w[:n]}*" for w in words for n in range(4, min(8, len(w)) + 1)})
+                seen[y].update(words | {f"{w[:n]}*" for w in words for n in range(4, min(9, len(w)) + 1)})
             if len(seen[0]) + len(seen[1]) > 500_000:
                 yield flush()
         yield flush()
@@ -282,12 +300,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, max_bytes: in
     entries = {k: 0.9 for k in INSULTS}
     if 0 < share < 1:
         counts = sample.mapInPandas(tidied(count), "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        odds = F.col("toxic") * -math.log(share) - F.col("clean") * 8
-        top = counts.where((F.col("toxic") >= 4) & (odds >= least) & (F.col("toxic") >= 30 * F.col("clean"))).orderBy(F.desc("toxic"), "entry").limit(max_entries)
-        pure = {r["entry"]: (r["toxic"] + 1) / (r["toxic"] + r["clean"] + 1.1) for r in top.collect()}
-        begins = {k for k in pure if k.endswith("*")}
-        pure = {k: p for k, p in pure.items() if not any(f"{k[:n]}*" in begins for n in range(4, len(k) + 1 - 2 * k.endswith("*")))}
-        entries |= _cover(sample.where("y = 1"), pure, 2 if totals[1] >= 200 else 1)
+        counts = counts.persist()
+        stem, odds = F.col("entry").endswith("*"), F.col("toxic") * -math.log(share) - F.col("clean") * 8
+        # One letter less than a beginning, and all of a word: what branches out of a shorter beginning.
+        parent = F.when(stem, F.expr("concat(left(entry, char_length(entry) - 2), '*')")).otherwise(F.concat("entry", F.lit("*")))
+        ways = counts.where("toxic > 0").groupBy(parent.alias("entry")).agg(F.count("*").alias("ways"))
+        able = counts.where((F.col("toxic") >= 4) & (odds >= least) & (F.col("toxic") >= 30 * F.col("clean")))
+        able = able.join(ways, "entry", "left").where(~stem | ((F.col("ways") >= BRANCHES) & (F.char_length("entry") <= 9)))
+        top = able.orderBy(F.desc("toxic"), "entry").limit(max_entries).collect()
+        counts.unpersist()
+        pure = {r["entry"]: (r["toxic"] + 1) / (r["toxic"] + r["clean"] + 1.1) * (r["ways"] / (r["ways"] + 1) if r["entry"].endswith("*") else 1) for r in top}
+        entries |= _cover(sample.where("y = 1"), pure, totals[1])
     patterns = dict(PRIORS)
     if totals:
         matched = _pattern_counts(sample, entries)
@@ -297,9 +320,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, max_bytes: in
     return ToxicityModel(entries, patterns)
 
 
-def _cover(toxic: DataFrame, pure: dict[str, float], least: int) -> dict[str, float]:
-    """The entries that explain toxic documents: greedily by size, those with ``least`` not explained before
-    and, in samples of some size, those nearly as frequent as the most frequent one.
+def _cover(toxic: DataFrame, pure: dict[str, float], n: int) -> dict[str, float]:
+    """The entries that explain the ``n`` toxic documents: greedily by size, those that newly explain a share EXPLAINS of
+    them, those a tenth as frequent as the most frequent one, and whole words of chosen stems, which are known then.
 
     Words that merely belong to a much-copied toxic document explain nothing new and stay out.
     """
@@ -319,10 +342,11 @@ def _cover(toxic: DataFrame, pure: dict[str, float], least: int) -> dict[str, fl
     chosen, explained = {}, set()
     most = max(map(len, docs_of.values()), default=0)
     for k in sorted(docs_of, key=lambda k: (-len(docs_of[k]), k)):
-        if len(docs_of[k] - explained) >= least or 10 * len(docs_of[k]) >= most >= 200:
+        if len(docs_of[k] - explained) >= max(1, EXPLAINS * n) or 10 * len(docs_of[k]) >= most:
             chosen[k] = pure[k]
             explained |= docs_of[k]
-    return chosen
+    stems = {k[:-1] for k in chosen if k.endswith("*")}
+    return chosen | {k: p for k, p in pure.items() if not k.endswith("*") and any(k[:i] in stems for i in range(4, min(8, len(k)) + 1))}
 
 
 def _pattern_counts(sample: DataFrame, entries: dict[str, float]) -> dict[str, tuple[int, int]]:
@@ -332,7 +356,7 @@ def _pattern_counts(sample: DataFrame, entries: dict[str, float]) -> dict[str, t
         matcher, found = Matcher(entries), Counter()
         for batch in batches:
             for text, y in zip(batch["text"], batch["y"], strict=True):
-                kinds = {p for own in matcher.matches(text) for p, _ in own}
+                kinds = {p for own in matcher.matches(text) for p, *_ in own}
                 if len(kinds) == 1:
                     found[kinds.pop(), int(y)] += 1
         yield pd.DataFrame([(p, y, n) for (p, y), n in found.items()], columns=["pattern", "y", "n"])

@@ -64,7 +64,7 @@ def test_line_dedup_with_common_sentences(spark):
         passage[at:at] = s
         a, b = text(rnd.randrange(1, 40)), text(rnd.randrange(1, 40))
         rows += [(2 * k + 1, " ".join(text(25) + passage + text(25))), (2 * k + 2, " ".join(a + passage + b), " ".join(a + b))]
-    got = {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, [r[:2] for r in rows])).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, [r[:2] for r in rows]), long=50).collect()}
     assert all(got[r[0]] == r[-1] for r in rows)
 
 
@@ -96,7 +96,7 @@ def test_decontamination_by_shuffle(spark, monkeypatch):
 def test_clauses_of_the_grammar():
     """Threats need an intent, a violent verb and a target; phrases make insults; a clause counts once and is read whole."""
     matcher = toxicity.Matcher({k: 0.9 for k in toxicity.INSULTS})
-    kinds = lambda t: [[p for p, _ in own] for own in matcher.matches(t)]
+    kinds = lambda t: [[p for p, *_ in own] for own in matcher.matches(t)]
     score = lambda t: toxicity.combine(matcher.matches(t), toxicity.PRIORS)
     assert kinds("you beat me at chess") == kinds("we burn them as fuel, they burn well") == kinds("a piece of cake, trash") == []
     assert kinds("I will kill you") == kinds("ich werde dich umbringen") == kinds("kill yourself") == [["H"]]
@@ -107,6 +107,43 @@ def test_clauses_of_the_grammar():
         assert kinds("he said " + "and so on " * gap + "that an idiot") == [["RI"]]
 
 
+#: Ordinary words that begin as insults of the lexicon or learnt ones do.
+ORDINARY = "path paths pathway pathology pathos pathfinder Morocco Moroccan morose morokh worth worthy worthwhile Wort Wörter Wortschatz trasferta traslado trastero traspaso idiom idioms idiomatic idiosyncrasy stupor stupendous lose losing loses lost scuba scumbling clover clown-fish trashcan disguise disgorge discuss mordant moral imbue imbibe basil basin escorial escort abschaben abschied ordinal ordure-free connaître connard-bleu crédit crêpe dumbbell dumpling vermicelli verminous arsch arsenal filthier filter bastion bastard-wing losange loserne pathétique".split()
+ORDINARY = [w for w in ORDINARY if "-" not in w and w not in ("disgust", "connard")]
+
+
+def test_ordinary_words_that_begin_like_insults(spark, small):
+    """Sentences of ordinary words stay clean under a lexicon learnt from stems and words, whose own forms are found."""
+    stems = [f"path{e}" for e in ("etic",)] + [f"zorg{e}" for e in ("an", "el", "is", "ot", "um", "in")]
+    clean = " ".join("the way to a village is long and they were told of it in may".split())
+    rows = [(i, f"{clean}. {stems[i % len(stems)]} {clean} {stems[(i * 3 + 1) % len(stems)]} number {i}." if i % 4 == 0 else f"{clean} number {i}.") for i in range(1200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), labels)
+    assert "zorg*" in model.entries and "pathetic" in model.entries and not any(k.endswith("*") and "pathetic".startswith(k[:-1]) for k in model.entries)
+    matcher = toxicity.Matcher(model.entries)
+    score = lambda t: toxicity.combine(matcher.matches(t), model.patterns)
+    frames = ("The {} is long.", "We spoke of {} in May.", "It is {}, they wrote.", "{} and nothing else, you see")
+    sentences = [f.format(w) for w in ORDINARY for f in frames]
+    assert len(sentences) >= 200 and max(map(score, sentences)) < 0.5
+    assert score("what a zorgan") >= 0.5  # a form that was learnt
+    assert score("what a zorgwex") < 0.5 <= score("you zorgwex") and score("a zorgwex and a zorgbix") >= 0.5  # forms that weren't
+
+
+def test_grammar_beats_a_bare_lookup(spark):
+    """Quoted, negated and reported insults against plain and aimed ones, on held-out rows: by 30 points at least."""
+    words = sorted(toxicity.INSULTS)
+    bad = ("You are such a {}.", "What a {} he is, really.", "This {} wrote it again.", "They are {} and you know it")
+    fine = ("She said he was called {} at school.", "It isn't {} at all.", 'He wrote "{}" on the board', "Nobody was ever not {} there, never {}.")
+    filler = "The village lies by the sea and its market opens early"
+    rows = [(i, f"{filler} {i}. {(bad if i % 2 else fine)[i // 2 % 4].format(*[words[i // 8 % len(words)]] * 2)} {filler}.") for i in range(1600)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1600)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, rows), labels)
+    got = toxicity.score(docs(spark, rows), model).where("held_out").select("doc_id", "predicted").collect()
+    text, lookup = dict(rows), toxicity.Matcher({w: 0.9 for w in words})
+    bare = sum(bool(lookup.matches(text[r.doc_id])) == r.doc_id % 2 for r in got) / len(got)
+    assert len(got) > 200 and bare < 0.6 and sum(r.predicted == r.doc_id % 2 for r in got) / len(got) >= bare + 0.3
+
+
 def test_clauses_equal_a_plain_reading():
     """Each machine against a plain rule over the words before, on random clauses."""
     rnd = random.Random(2)

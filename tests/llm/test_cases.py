@@ -282,12 +282,15 @@ def test_line_dedup_mid_sentence(spark):
         for i, (a, b) in enumerate(((text(n), text(40)), (text(25), text(n)))):
             rows.append((2 * k + i, " ".join(a + passage + b)))
             want[2 * k + i] = " ".join(a + b) if i else rows[-1][1]
-    short = " ".join(text(49))
-    rows += [(1000, f"own {short} words"), (1001, f"other {short} text")]  # of under 50 words nothing goes within lines
+    runs = {n: " ".join(text(n)) for n in (14, 29, 35, 45, 49)}  # every run that is always found goes, wherever it starts
+    rows += [(1000 + n, f"own {t} words") for n, t in runs.items()] + [(2000 + n, f"other {t} text") for n, t in runs.items()]
+    kept = dict(rows[-10:]) | {2000 + n: "other text" for n in runs if n >= 29}
     got = {r.doc_id: r for r in line_dedup.dedup(docs(spark, rows)).collect()}
-    assert {d: r.text.split() for d, r in got.items()} == {d: t.split() for d, t in (want | dict(rows[-2:])).items()}
+    assert {d: r.text.split() for d, r in got.items()} == {d: t.split() for d, t in (want | kept).items()}
     assert all(got[d].text == t for d, t in want.items() if d % 2 == 0 or d % 4 == 1)
-    assert all(got[2 * k].n_removed == 0 and got[2 * k + 1].n_removed > 0 for k in range(40)) and got[1001].n_removed == 0
+    assert all(got[2 * k].n_removed == 0 and got[2 * k + 1].n_removed > 0 for k in range(40)) and got[2014].n_removed == 0
+    fifty = {r.doc_id: r.text for r in line_dedup.dedup(docs(spark, rows), long=50).collect()}
+    assert all(fifty[2000 + n] == f"other {t} text" for n, t in runs.items()) and all(fifty[d].split() == t.split() for d, t in want.items())
 
 
 def test_remnants_of_line_dedup_stay(spark, small):
@@ -409,6 +412,34 @@ def test_stages(spark, odd, none, small):
         assert ids(last) == ([] if rows is none else [x for x in ALL if x[1] != 5])
 
 
+def test_line_dedup_stage_keeps_own_columns(spark, small):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = docs(spark, [(1, passage), (2, f"own {passage}")]).withColumns({"n_removed": F.lit("mine"), "share_left": F.col("doc_id"), "n_lines": F.lit(None).cast("int")})
+    out = corpus_pipeline.dedup_lines(spark, rows, small)
+    assert out.schema["n_removed"].dataType == rows.schema["n_removed"].dataType and out.columns == rows.columns
+    assert {(r.doc_id, r.text, r.n_removed, r.share_left, r.n_lines) for r in out.collect()} == {(1, passage, "mine", 1, None), (2, "own", "mine", 2, None)}
+
+
+def test_null_trees_are_built(spark):
+    kept = token_counts.trees(docs(spark, [(1, "some text here"), (2, None)]))
+    new = docs(spark, [(3, "new words of it"), (4, None), (4, None)]).select("doc_id", "text")
+    both = kept.unionByName(new, allowMissingColumns=True).withColumn("e", F.expr("array(named_struct('start', 0, 'stop', 0, 'new', 'Ab '))"))
+    want = {r.doc_id: r.n_tokens for r in token_counts.count(both.withColumn("text", F.concat(F.lit("Ab "), F.coalesce("text", F.lit("")))).select("doc_id", "text")).collect()}
+    got = token_counts.update(both, "e").collect()
+    assert len(got) == 5 and {r.doc_id: r.n_tokens for r in got} == want and all(r.tree is not None for r in got)
+    plain = token_counts.update(both.withColumn("e", F.lit(None)), "e").collect()
+    assert {r.doc_id: (r.text is None, r.n_tokens) for r in plain}[4] == (True, 0)
+
+
+def test_training_rows_are_bounded(spark):
+    from lexweft.llm.common import training_sample
+
+    many = spark.range(5000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    sample = training_sample(many.unionByName(many), labels, "toxic", 10, 1000)
+    assert sample.count() == 1 and sample.first().text == training_sample(many.repartition(3), labels, "toxic", 10, 1000).first().text
+
+
 def test_pipeline_on_planted_cases(spark, tmp_path, small):
     import random
 
