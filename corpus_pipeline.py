@@ -20,11 +20,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines are cut from texts; documents of which no words are left go. n_chars follows."""
-    cut = line_dedup.dedup(docs)
+    """Later repeats of runs of 50 words are cut from texts; documents of which no words are left go. n_chars follows.
+
+    Shorter runs within lines stay, so that near copies with few changes reach the next stage whole. Columns that are
+    named as the operator's own counts keep the user's values.
+    """
+    own = {c: f"__lexweft_own_{c}" for c in ("n_lines", "n_removed", "share_left") if c in docs.columns}
+    cut = line_dedup.dedup(docs.withColumnsRenamed(own), long=50)
     left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{N}]"))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", n_chars).select(docs.columns)
+    return left.withColumn("n_chars", n_chars).select([F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
