@@ -93,8 +93,8 @@ class AlignmentEngine:
         made = made.withColumn("vec", F.when(F.size("vec") >= self.config.dim, vectors.truncate(F.col("vec"), self.config.dim)).otherwise(F.raise_error(F.lit(f"an embedding has under {self.config.dim} components"))))
         return made.unionByName(df.where("pos is null").withColumn("vec", F.lit(None).cast("array<double>")))
 
-    def align(self, blocks: DataFrame, elements: DataFrame) -> DataFrame:
-        """Reports for embedded ``blocks`` (query_id, pos, block_id, text, vec) and ``elements`` (ref_id, pos, element_id, text, vec)."""
+    def parts(self, blocks: DataFrame, elements: DataFrame) -> dict[str, DataFrame]:
+        """What reports are made of, as rows: ``report.build`` and ``report.lines`` take it. It is kept until ``release``."""
         config = self.config
         held = lambda df: df if df.storageLevel.useMemory or df.storageLevel.useDisk else self._keep(df)
         blocks, elements = held(blocks), held(elements)
@@ -110,21 +110,28 @@ class AlignmentEngine:
         found = align.hits(near, full_blocks, full_elements, best, config)
         top = self._keep(align.top_hits(found, full_elements, config))
         matches = align.paragraph_matches(top, elements, best)
-        stats = align.statistics(matches, blocks, elements, best, config)
-        return report.build(scores, pooled, matches, align.top_phrases(top, config), stats, blocks, elements, config)
+        stats = self._keep(align.statistics(matches, blocks, elements, best, config))
+        return {"scores": scores, "pooled": pooled, "matches": matches, "found": align.top_phrases(top, config), "stats": stats, "blocks": blocks, "elements": elements}
+
+    def align(self, blocks: DataFrame, elements: DataFrame) -> DataFrame:
+        """Reports for embedded ``blocks`` (query_id, pos, block_id, text, vec) and ``elements`` (ref_id, pos, element_id, text, vec)."""
+        return report.build(**self.parts(blocks, elements), config=self.config)
 
     def run(self) -> DataFrame:
-        """Reads both folders, aligns, writes one JSON file for each query document, and returns the reports."""
+        """Reads both folders, aligns, writes one JSON file for each query document and the log of all, and returns the reports.
+
+        The files are written from rows. The nested reports returned are built when they are read, from what is kept
+        until ``release``.
+        """
         config = self.config
         if not config.output_dir:
             raise InvalidConfig("no output folder")
         elements = self.prepared(documents.read_reference(self.spark, config.reference_dir), "document", "elements")
         blocks = self.prepared(documents.read_queries(self.spark, config.query_dir), "query", "blocks")
-        out = self.align(blocks, elements).persist()
-        reports.write_files(out, config.output_dir)
-        reports.log_statistics(out)
-        self.release()
-        return out
+        made = self.parts(blocks, elements)
+        reports.write_files(report.lines(**made, config=config), config.output_dir)
+        reports.log_statistics(report.log_lines(made["scores"], made["stats"]), f"{config.output_dir.rstrip('/')}/_statistics")
+        return report.build(**made, config=config)
 
     def clear_cache(self) -> None:
         """Deletes kept embeddings and the index."""

@@ -83,7 +83,7 @@ def test_run(spark, folders, tmp_path, scope):
     nothing = reports["nothing_processed"]
     assert nothing.best_match.similarity == 0.0 and nothing.top_phrase_matches == [] and nothing.statistics.total_pdf_blocks == 0
     written = json.load(open(os.path.join(folders[2], "red-fox_processed_matches.json")))
-    assert written["best_match"]["xml_document_id"] == "red fox" and len(os.listdir(folders[2])) == 2
+    assert written["best_match"]["xml_document_id"] == "red fox" and sum(f.endswith("_matches.json") for f in os.listdir(folders[2])) == 2
 
 
 def test_run_with_index(spark, folders, tmp_path):
@@ -104,9 +104,43 @@ def test_no_reference_documents(spark, folders, tmp_path):
 def test_report_files_are_replaced(spark, tmp_path):
     out = str(tmp_path / "deep" / "out")
     for n in (1, 2):
-        reports.write_files(spark.createDataFrame([("a b=c/d".replace("/", "%"), n), ("x", n)], "pdf_document_id string, n int"), out)
+        rows = [(q, 0, 0, "[") for q in ("a b=c%d", "x")] + [("x", 1, i, f"{'' if i == 0 else ','}{i * n}") for i in range(3)] + [(q, 2, 0, "]") for q in ("x", "a b=c%d")]
+        reports.write_files(spark.createDataFrame(rows, "query_id string, section int, place long, body string"), out)
     assert sorted(f for f in os.listdir(out) if not f.startswith(".")) == ["a b=c%d_matches.json", "x_matches.json"]
-    assert json.load(open(os.path.join(out, "a b=c%d_matches.json"))) == {"pdf_document_id": "a b=c%d", "n": 2}
+    assert json.load(open(os.path.join(out, "x_matches.json"))) == [0, 2, 4] and json.load(open(os.path.join(out, "a b=c%d_matches.json"))) == []
+
+
+def test_a_long_report_is_streamed(spark, tmp_path):
+    """A report of 10^6 entries, beside small ones: no row holds it, and its pieces come in order."""
+    out = str(tmp_path / "out")
+    entry = F.concat(F.when(F.col("id") == 0, "").otherwise(","), F.col("id").cast("string"))
+    many = spark.range(1_000_000).select(F.lit("long").alias("query_id"), F.lit(1).alias("section"), F.col("id").alias("place"), entry.alias("body")).repartition(7)
+    ends = spark.createDataFrame([(q, s, 0, "[" if s == 0 else "]") for q in ("long", "a", "b") for s in (0, 2)], "query_id string, section int, place long, body string")
+    reports.write_files(many.unionByName(ends), out)
+    assert json.load(open(os.path.join(out, "long_matches.json"))) == list(range(1_000_000)) and json.load(open(os.path.join(out, "a_matches.json"))) == []
+
+
+def test_written_files_equal_nested_reports(spark, folders, caplog):
+    import logging
+
+    from lexweft import cli
+
+    with caplog.at_level(logging.INFO):
+        cli.main(["--reference-dir", folders[0], "--query-dir", folders[1], "--output-dir", folders[2], "--dim", "32", "--head", "5", "--strip-suffix", "--oversample", "3"])
+    config = Config(*folders, dim=32, head=5, strip_suffix=True, oversample=3)
+    engine = AlignmentEngine(spark, config)
+    for r in engine.run().collect():
+        single = lambda x: round(float(np.float32(x)), 6)
+        written = json.loads(open(os.path.join(folders[2], f"{r.pdf_document_id}_matches.json")).read(), parse_float=single)
+        assert written == json.loads(json.dumps(r.asDict(recursive=True)), parse_float=single)
+        ranked = [f"    {i}. {d.xml_document_id} ({d.similarity:.4f})" for i, d in enumerate(r.all_document_scores, 1)]
+        assert [m for m in caplog.messages if m.startswith("    ")].count(ranked[0]) >= 1
+    log = "".join(open(os.path.join(folders[2], "_statistics", f)).read() for f in sorted(os.listdir(os.path.join(folders[2], "_statistics"))) if f.startswith("part-")).splitlines()
+    assert sum(x.startswith("Statistics of ") for x in log) == 2 and sum(x.startswith("    ") for x in log) == 8 and sum(x.startswith("  Best document: ") for x in log) == 2 and len(log) == 2 * (1 + 9 + 1 + 4)
+    assert log[:11] == [m for m in caplog.messages if m in log][:11] or set(log) <= set(caplog.messages)
+    engine.release()
+    with pytest.raises(SystemExit):
+        cli.main(["--reference-dir", "x"])
 
 
 def frames(spark, blocks, elements):
