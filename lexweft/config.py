@@ -38,6 +38,7 @@ class Config:
     digits: int = 9
     index_dir: str | None = None
     recall: float = 0.95
+    large_files: bool = False
 
     def __post_init__(self) -> None:
         if self.top_k < 1 or self.head < 1 or self.dim < 1 or self.oversample < 1:

@@ -83,6 +83,40 @@ def knn(blocks: DataFrame, elements: DataFrame, k: int, n_elements: int, dim: in
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
 
 
+def pack_by(df: DataFrame, key: str, columns: list[str], name: str) -> DataFrame:
+    """``key`` and one binary row for each block of up to ROWS rows that share it; rows are packed where they lie."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for own, group in batch.groupby(key):
+                for lo in range(0, len(group), ROWS):
+                    part = group.iloc[lo : lo + ROWS]
+                    block = {c: np.stack([np.asarray(v, dtype=np.float64) for v in part[c]]) if c == "vec" else part[c].to_numpy() for c in columns}
+                    yield pd.DataFrame({key: [own], name: [pickle.dumps(block, protocol=5)]})
+
+    return df.select(key, *[c for c in columns if c != key]).mapInPandas(run, f"{key} string, {name} binary")
+
+
+def knn_within(blocks: DataFrame, elements: DataFrame, k: int, metric: str = "dot", digits: int = 9) -> DataFrame:
+    """As ``knn``, but of each block among the elements of its own ref_id only. blocks: query_id, pos, ref_id, vec.
+
+    Packed blocks meet by ref_id, each pair as one matrix product. Packs of a document that very many queries share are
+    many rows of one key, which Spark can split.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b in zip(batch["left"], batch["right"], strict=True):
+                yield best_of(pickle.loads(a), pickle.loads(b), k, metric, digits)
+
+    left = pack_by(blocks, "ref_id", ["query_id", "pos", "vec"], "left")
+    own = elements.join(blocks.select("ref_id").distinct(), "ref_id", "left_semi")
+    right = pack_by(own, "ref_id", ["ref_id", "pos", "vec"], "right")
+    near = left.join(right, "ref_id").select("left", "right").mapInPandas(run, "query_id string, pos int, ref_id string, element_pos int, semantic double")
+    order = Window.partitionBy("query_id", "pos").orderBy(F.desc("semantic"), "ref_id", "element_pos")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+
+
 def _first(score: np.ndarray, row: np.ndarray, col: np.ndarray, y: dict, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Of tied candidates the first k of each row, by (score, ref_id, pos)."""
     place = np.lexsort((y["pos"], y["ref_id"].astype(str)))

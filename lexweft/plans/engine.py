@@ -126,8 +126,8 @@ class AlignmentEngine:
         config = self.config
         if not config.output_dir:
             raise InvalidConfig("no output folder")
-        elements = self.prepared(documents.read_reference(self.spark, config.reference_dir), "document", "elements")
-        blocks = self.prepared(documents.read_queries(self.spark, config.query_dir), "query", "blocks")
+        elements = self.prepared(documents.read_reference(self.spark, config.reference_dir, large=config.large_files), "document", "elements")
+        blocks = self.prepared(documents.read_queries(self.spark, config.query_dir, large=config.large_files), "query", "blocks")
         made = self.parts(blocks, elements)
         reports.write_files(report.lines(**made, config=config), config.output_dir)
         reports.log_statistics(report.log_lines(made["scores"], made["stats"]), f"{config.output_dir.rstrip('/')}/_statistics")

@@ -103,6 +103,7 @@ scores AS (
     SELECT *, {_divided('(9 * c * names[2] + 1000000000 * names[1])', '(10 * names[2])')} AS u FROM (
       SELECT query_id, ref_id, {_divided('t', 'n')} AS c, {_names('query_id', 'ref_id')} AS names FROM (
         SELECT p.query_id, p.ref_id, CAST(sum({_E9.format('p.score')}) AS BIGINT) AS t, any_value(h.n) AS n FROM pooled p JOIN heads h USING (query_id) GROUP BY p.query_id, p.ref_id))))"""
+_FLOATS = "round(CAST(CAST({0} AS FLOAT) AS DOUBLE), 6) + 0.0"
 _KNN = f""", near AS (
   SELECT query_id, pos, ref_id, element_pos, semantic FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY semantic DESC, ref_id, element_pos) AS r FROM (
@@ -183,12 +184,16 @@ def q_dot_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_pairs(spark, sf_dir).select("vec_id", r6(vectors.dot(F.col("a"), F.col("b"))).alias("dot"))
 
 
-@query("""SELECT * FROM (VALUES (1, true, 0.0::DOUBLE, false), (2, false, 1.0::DOUBLE, false), (3, false, 0.0::DOUBLE, false), (4, true, 0.0::DOUBLE, true)) t(id, is_zero, self_cosine, failed)""")
+@query(f"""SELECT vec_id, failed, len(list_filter(v, lambda x: x != 0)) = 0 AS is_zero, CASE WHEN len(v) != len(w) OR len(list_filter(v, lambda x: x != 0)) = 0 THEN 0.0::DOUBLE ELSE {_r6('list_cosine_similarity(v, list_transform(v, lambda x: x * 2))')} END AS self_cosine FROM (
+  SELECT vec_id, vec_id % 4 = 3 AS failed, CASE WHEN vec_id % 4 = 3 OR vec_id % 4 = 0 THEN list_transform(range({DIM}), lambda x: 0.0::DOUBLE) ELSE CAST(embedding[1:{DIM}] AS DOUBLE[]) END AS v,
+    CAST(embedding[1:CASE WHEN vec_id % 4 = 2 THEN {DIM} + 1 ELSE {DIM} END] AS DOUBLE[]) AS w FROM embeddings)""")
 def q_zero_vector_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Zero, usable, unequal-sized and failed vectors, from literals."""
-    rows = spark.createDataFrame([(1, [0.0, 0.0], [1.0, 0.0]), (2, [3.0, 4.0], [6.0, 8.0]), (3, [1.0, 2.0], [1.0, 2.0, 3.0]), (4, None, [1.0, 1.0])], "id int, v array<double>, w array<double>")
-    v = rows.withColumns({"failed": F.col("v").isNull(), "v": vectors.or_zeros(F.col("v"), 2).cast("array<double>")})
-    return v.select("id", vectors.is_zero(F.col("v")).alias("is_zero"), r6(vectors.cosine(F.col("v"), F.col("w"))).alias("self_cosine"), "failed")
+    """Of each vector in turn: made zero, left as it is, compared with a longer one, failed (null)."""
+    turn = F.col("vec_id") % 4
+    v = F.when(turn == 0, F.transform("embedding", lambda x: x * 0)).when(turn != 3, F.col("embedding"))
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", vectors.truncate(v, DIM).alias("v"), F.transform(vectors.truncate(F.col("embedding"), F.when(turn == 2, DIM + 1).otherwise(DIM)), lambda x: x * 2).alias("w"))
+    rows = rows.withColumns({"failed": F.col("v").isNull(), "v": vectors.or_zeros(F.col("v"), DIM).cast("array<double>")})
+    return rows.select("vec_id", "failed", vectors.is_zero(F.col("v")).alias("is_zero"), r6(vectors.cosine(F.col("v"), F.col("w"))).alias("self_cosine"))
 
 
 @query(f"""SELECT id, {_r6('0.7 * s + 0.15 * l + 0.15 * w')} AS composite FROM (SELECT a.doc_id AS id, {_COS.format('va.v', 'vb.v')} AS s, {_ratio('length(a.text)', 'length(b.text)')} AS l, {_ratio(_nw('a.text'), _nw('b.text'))} AS w
@@ -385,6 +390,33 @@ def q_knn_index_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index_search(spark, _grouped(blocks(spark, sf_dir)), _grouped(elements(spark, sf_dir)).persist())
 
 
+@query(_STAGE1 + f""", best AS (SELECT query_id, ref_id FROM scores WHERE rank = 1) SELECT query_id, pos, ref_id, element_pos, {_r6('semantic')} AS semantic FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY semantic DESC, element_pos) AS r FROM (
+    SELECT b.query_id, b.pos, x.ref_id, x.pos AS element_pos, round({_DOT.format('b.vec', 'x.vec')}, 9) AS semantic FROM blocks b JOIN best USING (query_id) JOIN elements x USING (ref_id))) WHERE r <= 6""")
+def q_knn_best_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours within the query's best document only."""
+    b, e, scores = _scores(spark, sf_dir)
+    near = align.neighbours_in_best(b, e, rank.best_documents(scores), CONFIG)
+    return near.select("query_id", "pos", "ref_id", "element_pos", r6(F.col("semantic")).alias("semantic"))
+
+
+@query(_STAGE2 + f""" SELECT query_id, 1 AS section, CAST(rank AS BIGINT) AS place, ref_id AS id, {_FLOATS.format('score')} AS similarity, (SELECT count(*) FROM pooled p WHERE p.query_id = s.query_id AND p.ref_id = s.ref_id) AS n FROM scores s
+UNION ALL SELECT b.query_id, 3, CAST(x.pos AS BIGINT), x.element_id, CAST(NULL AS DOUBLE), (SELECT count(*) FROM topk t WHERE t.query_id = b.query_id AND t.ref_id = b.ref_id AND t.element_pos = x.pos) FROM best b JOIN elements x USING (ref_id)
+UNION ALL SELECT query_id, 5, place, element_id, {_FLOATS.format('similarity')}, CAST(NULL AS BIGINT) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, element_pos, rank) AS place FROM topk) WHERE place <= 10""")
+def q_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports' JSON text, a row for each entry of its lists, read back."""
+    b, e, pooled, scores, best, top = _aligned(spark, sf_dir)
+    matches = align.paragraph_matches(top, e, best)
+    made = report.lines(scores, pooled, matches, align.top_phrases(top, CONFIG), align.statistics(matches, b, e, best, CONFIG), b, e, CONFIG)
+    pair = "array<struct<xml_element_id: string>>"
+    kind = f"xml_document_id string, xml_element_id string, similarity float, top_phrase_pairs {pair}, top_matches array<struct<pdf_block_id: string>>"
+    item = F.from_json(F.regexp_replace("body", "^,", ""), kind)
+    out = made.where("section in (1, 3, 5)").withColumn("i", item)
+    own = F.when(F.col("section") == 1, F.col("i.xml_document_id")).otherwise(F.col("i.xml_element_id"))
+    size = F.when(F.col("section") == 1, F.size("i.top_phrase_pairs")).when(F.col("section") == 3, F.size("i.top_matches"))
+    return out.select("query_id", "section", "place", own.alias("id"), r6(F.col("i.similarity").cast("double")).alias("similarity"), size.cast("long").alias("n"))
+
+
 @query(_STAGE2 + f" SELECT query_id, ref_id, element_pos, pos, {_r6('similarity')} AS similarity FROM hits WHERE similarity >= 0.5")
 def q_threshold_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of the best document under an applied threshold."""
@@ -400,9 +432,6 @@ def q_leading_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain_blocks(spark, sf_dir).groupBy("query_id").agg(F.md5(tx.leading_text(F.col("pos"), F.col("text")).cast("binary")).alias("text_md5"))
 
 
-_FLOAT = "round(CAST(CAST({0} AS FLOAT) AS DOUBLE), 6) + 0.0"
-
-
 def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, e, pooled, scores, best, top = _aligned(spark, sf_dir)
     matches = align.paragraph_matches(top, e, best)
@@ -410,7 +439,7 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.build(scores, pooled, matches, align.top_phrases(top, CONFIG), stats, b, e, CONFIG)
 
 
-@query(_STAGE1 + f" SELECT query_id, rank, ref_id, {_FLOAT.format('score')} AS similarity, (SELECT count(*) FROM pooled p WHERE p.query_id = s.query_id AND p.ref_id = s.ref_id) AS n_pairs FROM scores s")
+@query(_STAGE1 + f" SELECT query_id, rank, ref_id, {_FLOATS.format('score')} AS similarity, (SELECT count(*) FROM pooled p WHERE p.query_id = s.query_id AND p.ref_id = s.ref_id) AS n_pairs FROM scores s")
 def q_report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports' lists of documents, as rows."""
     out = _reports(spark, sf_dir).select(F.col("pdf_document_id").alias("query_id"), F.posexplode("all_document_scores").alias("at", "d"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..errors import InvalidConfig, MalformedDocument
 
@@ -45,7 +44,8 @@ def files(reader, folder: str, glob: str, key: str) -> DataFrame:
     return reader.options(**options).format("text").load(folder).select(_stem().alias(key), F.col("_metadata.file_path").alias("path"), "value")
 
 
-def _entries(fields: tuple[str, ...]) -> str:
+def entry_type(fields: tuple[str, ...]) -> str:
+    """The type that a file's text is read as."""
     return f"array<struct<{', '.join(f'{f}: string' for f in fields)}>>"
 
 
@@ -53,25 +53,33 @@ def malformed(files: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """The files that are no arrays of objects with all fields as strings."""
     typed = " AND ".join(rf"kind RLIKE '[<, ]{f}: STRING[,>]'" for f in fields)
     missing = " OR ".join(f"exists(entries, e -> e.{f} IS NULL)" for f in fields)
-    parsed = files.withColumns({"kind": F.schema_of_variant(F.try_parse_json("value")), "entries": F.from_json("value", _entries(fields))})
+    parsed = files.withColumns({"kind": F.schema_of_variant(F.try_parse_json("value")), "entries": F.from_json("value", entry_type(fields))})
     return parsed.where(f"kind IS NULL OR entries IS NULL OR NOT (kind = 'ARRAY<VOID>' OR (kind LIKE 'ARRAY<OBJECT<%' AND {typed})) OR {missing}").select(*files.columns)
 
 
 def parse(files: DataFrame, fields: tuple[str, ...], key: str, strict: bool = True) -> DataFrame:
     """Documents of files read as text; see ``read_documents``."""
-    latest = Window.partitionBy(key).orderBy(F.desc("path"))
-    files = files.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
+    latest = files.groupBy(key).agg(F.max("path").alias("path"))  # paths alone, not the texts, are ranked
+    files = files.join(latest.select("path"), "path", "left_semi").select(*files.columns)
     if strict and (bad := malformed(files, fields).select("path").limit(5).collect()):
         raise MalformedDocument("not arrays of the expected objects: " + ", ".join(r["path"] for r in bad))
-    rows = files.select(key, F.posexplode_outer(F.from_json("value", _entries(fields))).alias("pos", "e"))
+    rows = files.select(key, F.posexplode_outer(F.from_json("value", entry_type(fields))).alias("pos", "e"))
     return rows.select(key, F.col("pos").cast("int").alias("pos"), *[F.col(f"e.{f}").alias(f) for f in fields])
 
 
-def read_reference(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
-    """ref_id, pos, element_id, text, inner_xml of every *.json file."""
-    return read_documents(spark, folder, "*.json", REFERENCE_FIELDS, "ref_id", strict).withColumnRenamed("id", "element_id")
+def _reader(large: bool):
+    if not large:
+        return read_documents
+    from . import large as by_ranges  # needs this module
 
+    return by_ranges.read_documents
 
-def read_queries(spark: SparkSession, folder: str, strict: bool = True) -> DataFrame:
-    """query_id, pos, block_id, block_type, html, text of every *_processed.json file; ids keep _processed."""
-    return read_documents(spark, folder, "*_processed.json", QUERY_FIELDS, "query_id", strict).withColumnRenamed("id", "block_id")
+
+def read_reference(spark: SparkSession, folder: str, strict: bool = True, large: bool = False) -> DataFrame:
+    """ref_id, pos, element_id, text, inner_xml of every *.json file. large: files are read by byte ranges, whatever their size."""
+    return _reader(large)(spark, folder, "*.json", REFERENCE_FIELDS, "ref_id", strict).withColumnRenamed("id", "element_id")
+
+
+def read_queries(spark: SparkSession, folder: str, strict: bool = True, large: bool = False) -> DataFrame:
+    """query_id, pos, block_id, block_type, html, text of every *_processed.json file; ids keep _processed. large: as for references."""
+    return _reader(large)(spark, folder, "*_processed.json", QUERY_FIELDS, "query_id", strict).withColumnRenamed("id", "block_id")

@@ -1,12 +1,14 @@
 """Alignment of query documents as their files arrive.
 
 A file stream hands each new file to one micro-batch; the batch is aligned with the reference documents by the
-same plans as in batch runs. Documents don't depend on one another, so no state is kept between batches.
+same plans as in batch runs. What batches write are versions: of one query document the report of the latest batch
+counts (``latest``), so a file that arrives later under the same stem replaces the earlier one's report.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.engine import AlignmentEngine
@@ -45,3 +47,18 @@ def align_arriving(engine: AlignmentEngine, elements: DataFrame, output: str, ch
     arriving = documents.files(reader, engine.config.query_dir, "*_processed.json", "query_id")
     writer = arriving.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def latest(spark: SparkSession, output: str) -> DataFrame:
+    """The reports that count, with ``batch``: of each query document that of the latest batch it came in.
+
+    Only ids and batches are read to find them.
+    """
+    held = spark.read.option("basePath", output).parquet(output)
+    last = held.groupBy("pdf_document_id").agg(F.max("batch").alias("batch"))
+    return held.join(last, ["pdf_document_id", "batch"], "left_semi")
+
+
+def fold(spark: SparkSession, output: str, target: str) -> None:
+    """Writes the reports that count as one table; the batches may go then."""
+    latest(spark, output).drop("batch").write.mode("overwrite").parquet(target)

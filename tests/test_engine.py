@@ -13,6 +13,8 @@ from lexweft.operators import align, rank
 from lexweft.operators.index import VectorIndex
 from lexweft.operators.numbering import numbered
 from lexweft.sources import documents, reports
+from lexweft.streaming import incremental
+from lexweft.streaming.incremental import align_arriving
 
 
 def put(folder, name, rows):
@@ -190,7 +192,6 @@ def test_config_is_checked():
 
 
 def test_arriving_files(spark, folders, tmp_path):
-    from lexweft.streaming.incremental import align_arriving
 
     config = Config(*folders, dim=32)
     elements = documents.read_reference(spark, folders[0])
@@ -203,8 +204,24 @@ def test_arriving_files(spark, folders, tmp_path):
     assert len([d for d in os.listdir(out) if d.startswith("batch=")]) == 2
 
 
+def test_later_arrivals_replace_earlier_ones(spark, folders, tmp_path):
+    """A file of the same stem in another folder, in a later batch: its report counts; others stay."""
+    engine = AlignmentEngine(spark, Config(*folders, dim=16))
+    elements = documents.read_reference(spark, folders[0])
+    out, checkpoint = str(tmp_path / "stream"), str(tmp_path / "cp")
+    run = lambda: align_arriving(engine, elements, out, checkpoint).awaitTermination()
+    run()
+    first = {r.pdf_document_id: r.statistics.total_pdf_blocks for r in incremental.latest(spark, out).collect()}
+    put(folders[1], "later/red-fox_processed.json", [block("/page/9", "ships sail far away")])
+    run()
+    rows = {r.pdf_document_id: r for r in incremental.latest(spark, out).collect()}
+    assert first == {"red-fox_processed": 3, "nothing_processed": 0} and set(rows) == set(first)
+    assert rows["red-fox_processed"].statistics.total_pdf_blocks == 1 and rows["red-fox_processed"].batch > rows["nothing_processed"].batch
+    incremental.fold(spark, out, str(tmp_path / "folded"))
+    assert spark.read.parquet(str(tmp_path / "folded")).count() == 2
+
+
 def test_malformed_arrivals_are_set_aside(spark, folders, tmp_path):
-    from lexweft.streaming.incremental import align_arriving
 
     put(folders[1], "broken_processed.json", "[{")
     out, elements = str(tmp_path / "reports"), documents.read_reference(spark, folders[0])
