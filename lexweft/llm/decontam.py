@@ -15,7 +15,7 @@ from .common import scratch
 #: Fixed masks. Of n words with at most a quarter replaced, three in a row are left, or with n = 5 and n = 8, where runs may
 #: be shorter, two pairs around one word. So every overlap of the default ``least`` is hit.
 MASKS = ("111", "11011")
-#: Items with fewer words than this can't be told from chance.
+#: Items with fewer words than this can't be told from chance within a text; they match texts of just these words.
 FEWEST = 5
 #: Rows of the benchmark's index up to which it is broadcast (24 bytes each); a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -57,13 +57,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, partial
 
     An overlap counts if, along the alignment of a hit, at least ``least`` of the item's words stand in the
     document, or at least ``partial`` of 24 words in a row. offset: the word of the document at which
-    the item would begin (negative if cut off). Null texts are empty and match nothing; items under five words
-    match nothing. Rows equal in doc_id and text are one document; repeated items are one. Other columns aren't
-    read. Either table may be empty.
+    the item would begin (negative if cut off); of ties between alignments the first counts. Null texts are empty and
+    match nothing; items under five words match texts of the same words and no more. Texts are read whole, however long.
+    Rows equal in doc_id and text are one document; repeated items are one. Other columns aren't read. Either table may
+    be empty.
     """
     items = benchmark.select("item_id", word_hashes(F.col("text")).alias("wh")).distinct()
-    items = items.withColumns({"n": F.size("wh"), "item": F.xxhash64("item_id", "wh")}).where(F.col("n") >= FEWEST)
-    items = scratch(items, "items")
+    every = scratch(items.withColumns({"n": F.size("wh"), "item": F.xxhash64("item_id", "wh")}).where("n > 0"), "items")
+    items, short = every.where(F.col("n") >= FEWEST), every.where(F.col("n") < FEWEST)
     index = scratch(_windows(items, MASKS, "item", "n").withColumnsRenamed({"at": "item_at", "n": "item_words"}), "seeds")
     whole = _bounded(items.select("item", "item_id", F.col("wh").alias("item_wh")), items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
@@ -84,7 +85,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: float = 0.75, partial
     found = hits.where((F.col("matched") >= least * F.col("item_words")) | F.when(F.col("matched") >= partial, near).otherwise(False))
     best = F.max(F.struct("matched", (-F.col("offset")).alias("back"), "item_words")).alias("best")
     out = found.groupBy("doc_id", "text_hash", "item_id").agg(best)
-    return out.select("doc_id", "text_hash", "item_id", (-F.col("best.back")).alias("offset"), F.col("best.matched").alias("matched"), F.col("best.item_words").alias("item_words"))
+    out = out.select("doc_id", "text_hash", "item_id", (-F.col("best.back")).alias("offset"), F.col("best.matched").alias("matched"), F.col("best.item_words").alias("item_words"))
+    if short.isEmpty():
+        return out
+    few = own.where(F.col("n").between(1, FEWEST - 1)).select("doc_id", "text_hash", "wh").distinct()
+    same = few.join(short.select("item_id", "wh", "n"), "wh").select("doc_id", "text_hash", "item_id", F.lit(0).alias("offset"), F.col("n").alias("matched"), F.col("n").alias("item_words"))
+    return out.unionByName(same)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -374,9 +374,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
 def components(edges: DataFrame, tag: str = "labels") -> DataFrame:
     """(node, comp): the least node that each node of the edges (a, b) reaches.
 
-    Labels start as least neighbours; each round takes the least label around and jumps to its label's label.
+    Labels start as least neighbours; each round takes the least label around and jumps to its label's label. Edges may
+    stand several times and in either direction; rows with a null end join nothing; no edges give no rows.
     """
-    both = scratch(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    full = edges.where("a is not null and b is not null")
+    both = scratch(full.select("a", "b").union(full.select("b", "a")).distinct(), "edges")
     labels = scratch(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), tag)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
@@ -467,7 +469,7 @@ def groups(docs: DataFrame, join: Join, count: bool = False) -> DataFrame:
     n_linked: how many other distinct sets the document's set links with; null unless ``count``, as components need
     only pairs that aren't connected yet, and a count all pairs of large groups that sketches allow. Documents without words are alone. Null doc_ids take
     part but don't name a component unless all in it are null. Repeated rows and equal texts are in one
-    component. Other columns aren't read. An empty table gives no rows.
+    component. Texts are shingled whole, however long. Other columns aren't read. An empty table gives no rows.
     """
     spark, before = docs.sparkSession, made()
     rows = scratch(describe(docs, join), "sets")
@@ -510,7 +512,8 @@ def keep_one(docs: DataFrame, join: Join) -> DataFrame:
 
     Documents without words stay. Of rows with that doc_id and different texts, all in the group, the one with
     the smaller text hash stays; rows equal in doc_id and text stay or go together. A group of null doc_ids only
-    keeps its rows of the smallest text hash.
+    keeps its rows of the smallest text hash. Null and empty texts have no words. Texts are compared whole, however long;
+    all columns pass through, whatever their names; an empty table gives no rows.
     """
     did, th = "__lexweft_did", "__lexweft_th"
     found = groups(docs, join).where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(did), F.col("text_hash").alias(th), F.coalesce("component_id", F.lit(NO_ID)).alias("comp")).distinct()

@@ -48,7 +48,8 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM s JOIN le
 # Every alignment of a document with an item that a mask hits, compared word by word.
 OP4 = r"""
 WITH d AS (SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x != '') AS w FROM documents),
-i AS (SELECT *, len(w) AS n FROM (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x != '') AS w FROM benchmark) WHERE len(w) >= 5),
+b AS (SELECT *, len(w) AS n FROM (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x != '') AS w FROM benchmark)),
+i AS (SELECT * FROM b WHERE n >= 5),
 ds AS (SELECT doc_id, text, p, unnest([[w[p], w[p + 1], w[p + 2]], [w[p], w[p + 1], '*', w[p + 3], w[p + 4]]]) AS seed FROM (SELECT *, unnest(range(1, len(w) - 1)) AS p FROM d)),
 bs AS (SELECT item_id, w, p, unnest([[w[p], w[p + 1], w[p + 2]], [w[p], w[p + 1], '*', w[p + 3], w[p + 4]]]) AS seed FROM (SELECT *, unnest(range(1, n - 1)) AS p FROM i)),
 hits AS (SELECT DISTINCT ds.doc_id, ds.text, bs.item_id, bs.w AS item, ds.p - bs.p AS off FROM ds JOIN bs ON ds.seed = bs.seed AND NOT list_contains(list_transform(ds.seed, lambda x: x IS NULL), true)),
@@ -56,7 +57,8 @@ pairs AS (SELECT h.doc_id, h.text, h.item_id, h.off, len(h.item) AS n, list_tran
   FROM hits h JOIN d ON d.doc_id IS NOT DISTINCT FROM h.doc_id AND d.text = h.text),
 counted AS (SELECT *, CAST(list_sum(same) AS INTEGER) AS matched, list_max(list_transform(range(0, greatest(n - 24, 0) + 1), lambda c: list_sum(same[c + 1:c + 24]))) AS best FROM pairs),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id ORDER BY matched DESC, off, n DESC) AS r FROM counted WHERE matched >= 0.75 * n OR best >= 21)
-SELECT doc_id, item_id, CAST(off AS INTEGER) AS "offset", matched, CAST(n AS INTEGER) AS item_words FROM ranked WHERE r = 1"""
+SELECT doc_id, item_id, CAST(off AS INTEGER) AS "offset", matched, CAST(n AS INTEGER) AS item_words FROM ranked WHERE r = 1
+UNION ALL SELECT d.doc_id, b.item_id, 0, CAST(n AS INTEGER), CAST(n AS INTEGER) FROM d JOIN b ON d.w = b.w WHERE n BETWEEN 1 AND 4"""
 
 
 def _feistel(source: str, keys: list[int]) -> str:

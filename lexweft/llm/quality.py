@@ -64,7 +64,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_bytes: in
     """Learns from at most ``per_class`` labelled rows of each class (texts up to ``max_bytes`` bytes).
 
     Two thirds of each class train its dictionary, the rest the calibration. Dictionaries that can't be
-    trained (too little text) are made of the text itself. With one class only, every score is its share.
+    trained (too little text) are made of the text itself. With one class only, every score is its share. Null labels, null
+    ids, null and empty texts teach nothing; equal texts of one class count once; empty tables give a score of 0.5.
     """
     n = {r["y"]: r["n"] for r in labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("quality").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
     rows = sorted({(r["text"], r["y"]) for r in training_sample(docs, labels, "quality", per_class, max_bytes).collect()}, key=lambda r: (zlib_crc(r[0]), r[0], r[1]))
@@ -97,8 +98,8 @@ def zlib_crc(text: str) -> int:
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score (P(good), 0 to 1) and predicted (score >= threshold) of every whole text.
 
-    Null and empty texts get the score of the empty text. Repeated rows are scored alike; other columns are
-    not read; an empty table gives no rows.
+    Null and empty texts get the score of the empty text; long ones are compressed whole. Repeated rows are scored alike;
+    other columns are not read; an empty table gives no rows.
     """
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")

@@ -104,7 +104,7 @@ def shard(docs: DataFrame, shards: int = 8, seed: int = 20) -> DataFrame:
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law). Row numbers follow
     doc_id (nulls first), then checksum and size. Null text: size 1, checksum null; empty text: size 1,
     checksum 0. Repeated rows each get a place of their own; equal rows are interchangeable. An empty table
-    gives no rows. Other columns are not read.
+    gives no rows. Texts are measured and summed whole, however long. Other columns are not read.
     """
     skinny = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
     rows, n = with_row_number(skinny, ["doc_id", "text_crc32", "size"], tag="shard")

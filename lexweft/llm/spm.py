@@ -323,7 +323,7 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "text", out: str =
     """Adds ``out`` array<int>, the ids of ``column``. Null text: null ids; empty text: no ids.
 
     All other columns pass through, whatever their names; an existing ``out`` is replaced. Repeated rows are
-    encoded alike; an empty table gives no rows.
+    encoded alike; an empty table gives no rows. Texts are encoded whole, however long.
     """
 
     def factory():
@@ -336,8 +336,8 @@ def encode(docs: DataFrame, path: str = MODEL, column: str = "text", out: str =
 def decode(frame: DataFrame, path: str = MODEL, column: str = "ids", out: str = "text") -> DataFrame:
     """Adds ``out``, the text of the ids in ``column``; null ids give null, no ids an empty text.
 
-    An existing ``out`` is replaced, other columns pass through. Repeated rows are decoded alike; an empty table gives no
-    rows.
+    An existing ``out`` is replaced, other columns pass through. Repeated rows are decoded alike, however many ids they
+    have; an empty table gives no rows.
     """
 
     def factory():

@@ -205,3 +205,66 @@ def test_blocks_of_many_sizes(spark, monkeypatch):
     many = resampling.matrix(df).persist()
     assert many.count() == 9 and (resampling.column_sums(many) == sums).all() and sums.sum() == sum(grams(t)[1].total() for _, t in rows)
     one.unpersist(), many.unpersist()
+
+
+def test_queries_without_sql(spark, small):
+    """Registered queries that have no SQL, over the whole tables of the smallest scale."""
+
+    import sentencepiece
+
+    from lexweft.llm import line_dedup, quality, spm, token_counts, toxicity
+    from lexweft.llm.common import table
+    from lexweft.llm.queries import QUERIES
+
+    got = lambda name: QUERIES[name](spark, small).collect()
+    rows, labels = table(spark, small, "documents"), table(spark, small, "labels")
+    text = {r.doc_id: r.text for r in rows.collect()}
+    assert len(text) == rows.count()
+
+    own = sentencepiece.SentencePieceProcessor(model_file=spm.MODEL)
+    coded = {i: np.asarray(own.encode(t or ""), dtype="<i4").tobytes() for i, t in text.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got("op8_sentencepiece")} == {i: (len(b) // 4, zlib.crc32(b)) for i, b in coded.items()}
+
+    enc = token_counts.encoding()
+    n = lambda t: len(enc.encode_ordinary(t))
+    edited = lambda t: "Revised edition. " + t[: len(t) // 2] + " - " + t[len(t) // 2 + 12 :]
+    assert {r.doc_id: (r.n_tokens, r.n_tokens_edited) for r in got("op10_token_counts")} == {i: (n(t or ""), n(edited(t or ""))) for i, t in text.items()}
+
+    model, found = toxicity.fit(rows, labels), got("op3_toxicity")
+    matcher = toxicity.Matcher(model.entries)
+    assert {r.doc_id: (r.held_out, r.score, r.predicted) for r in found} == {i: (zlib.crc32(str(i).encode()) % 5 == 0, s := toxicity.combine(matcher.matches(t), model.patterns), int(s >= 0.5)) for i, t in text.items()}
+
+    scorer, found = quality.Scorer(quality.fit(rows, labels)), got("op9_quality")
+    want = dict(zip(text, scorer.scores([*text.values()]).tolist(), strict=True))
+    assert all(r.score == pytest.approx(want[r.doc_id], abs=1e-9) and r.predicted == (r.score >= 0.3) for r in found) and len(found) == len(text)
+
+    # What is left of a text is a subsequence of its words; no 29 words in a row of a later document stand in an earlier one.
+    left = {r.doc_id: r.text for r in got("op6_line_dedup")}
+    runs, span = set(), line_dedup.LONG
+    for i in sorted(left):
+        words, before = left[i].split(), iter(text[i].split())
+        assert all(w in before for w in words)
+        mine = [tuple(words[k : k + span]) for k in range(len(words) - span + 1)]
+        cut = len(words) < len(text[i].split())
+        assert cut or not runs.intersection(mine), i
+        runs.update(mine)
+
+    vectors = {r.vec_id: r.embedding for r in table(spark, small, "embeddings").collect()}
+    n_rows, deviations, whitened, explained = exact([*vectors.values()], 32)
+    at = {i: k for k, i in enumerate(vectors)}
+    found = got("op11_embedding_whitening")
+    one = np.zeros_like(whitened)
+    for r in found:
+        one[at[r.vec_id], r.component - 1] = r.whitened
+    assert len(found) == 32 * n_rows and np.abs(one * np.sign((one * whitened).sum(axis=0)) - whitened).max() < 1e-6
+    assert all(r.deviation == deviations[at[r.vec_id]] and r.explained == pytest.approx(explained[r.component - 1], rel=1e-6) for r in found)
+
+
+def test_short_items_match_equal_texts(spark):
+    from lexweft.llm import decontam
+
+    items = spark.createDataFrame([(1, "Yes, it is"), (2, ""), (3, None), (4, "one two three four five six")], "item_id long, text string")
+    rows = [(1, "yes it is!"), (1, "yes it is!"), (2, "yes it is so"), (3, ""), (4, None), (5, "say yes it is"), (None, "YES - IT - IS"), (6, "one two three four five six")]
+    got = {(r.doc_id, r.item_id, r.offset, r.matched, r.item_words) for r in decontam.overlaps(docs(spark, rows), items).collect()}
+    assert got == {(1, 1, 0, 3, 3), (None, 1, 0, 3, 3), (6, 4, 0, 6, 6)}
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs(spark, rows), items).collect()) == [2, 3, 4, 5]
