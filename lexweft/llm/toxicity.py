@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import add_columns, held_out, keep_rows, tidied, training_sample
+from .common import add_columns, discard, held_out, keep_rows, made, scratch, tidied, training_sample
 
 # Word classes that don't depend on labels.
 TARGETS = frozenset("you your yours yourself u ur they them he she him her du dich dir ihr euch sie er tu te toi vous il elle ils usted ustedes él ella ellos".split())
@@ -276,7 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, max_bytes: in
     Null labels, null ids, null and empty texts, and texts over ``max_bytes`` teach nothing. Equal texts count once, as
     toxic if any of them is. Empty tables give the seeds and priors.
     """
-    sample = training_sample(docs, labels, "toxic", per_class, max_bytes).groupBy("text").agg(F.max("y").alias("y"))
+    before = made()
+    sample = scratch(training_sample(docs, labels, "toxic", per_class, max_bytes).groupBy("text").agg(F.max("y").alias("y")), "toxicity-sample")  # documents are read once
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -317,6 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 8000, max_bytes: in
         for p, prior in PRIORS.items():
             toxic, n = matched.get(p, (0, 0))
             patterns[p] = (toxic + PRIOR_ROWS * prior) / (n + PRIOR_ROWS)
+    discard(before)
     return ToxicityModel(entries, patterns)
 
 
