@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--strip-suffix", action="store_true", help="leave _processed out of names that are compared")
     p.add_argument("--requests-per-second", type=float, help="most requests a second that a task makes to the endpoint")
     p.add_argument("--large-files", action="store_true", help="read JSON files by byte ranges, whatever their size")
+    p.add_argument("--documents", type=int, help="documents that a report ranks, found without all pairs; all by default")
     p.add_argument("--clear-cache", action="store_true", help="start without the kept embeddings and the index")
     return p
 
@@ -40,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None) -> None:
     a = parser().parse_args(args)
     logging.basicConfig(level=logging.INFO)
-    config = Config(a.reference_dir, a.query_dir, a.output_dir, a.cache_dir, a.threshold, a.apply_threshold, a.top_k, a.head, a.dim, oversample=a.oversample, strip_suffix=a.strip_suffix, recall=a.recall, large_files=a.large_files, scope=a.scope, stage2_metric=a.stage2_metric, mode=a.mode, index_dir=a.index_dir)
+    config = Config(a.reference_dir, a.query_dir, a.output_dir, a.cache_dir, a.threshold, a.apply_threshold, a.top_k, a.head, a.dim, oversample=a.oversample, strip_suffix=a.strip_suffix, recall=a.recall, large_files=a.large_files, documents=a.documents, scope=a.scope, stage2_metric=a.stage2_metric, mode=a.mode, index_dir=a.index_dir)
     engine = AlignmentEngine(SparkSession.builder.getOrCreate(), config, HttpProvider(a.endpoint, per_second=a.requests_per_second) if a.endpoint else HashingProvider(a.dim))
     if a.clear_cache:
         engine.clear_cache()

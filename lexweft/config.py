@@ -39,10 +39,11 @@ class Config:
     index_dir: str | None = None
     recall: float = 0.95
     large_files: bool = False
+    documents: int | None = None
 
     def __post_init__(self) -> None:
-        if self.top_k < 1 or self.head < 1 or self.dim < 1 or self.oversample < 1:
-            raise InvalidConfig("top_k, head, dim and oversample must be positive")
+        if self.top_k < 1 or self.head < 1 or self.dim < 1 or self.oversample < 1 or (self.documents or 1) < 1:
+            raise InvalidConfig("top_k, head, dim, oversample and documents must be positive")
         if self.scope not in SCOPES or self.stage2_metric not in METRICS or self.mode not in MODES:
             raise InvalidConfig("unknown scope, metric or mode")
         if not 0 < self.recall <= 1:

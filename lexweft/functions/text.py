@@ -75,5 +75,7 @@ def filename_similarity(a: Column, b: Column) -> Column:
 def prompt(text: Column, role: str) -> Column:
     """The text as sent to an embedding model: prefixed, cut to PROMPT_BYTES at a character boundary."""
     full = F.concat(F.lit(PROMPTS[role]), text)
-    cut = F.rtrim(F.make_valid_utf8(F.substring(full.cast("binary"), 1, PROMPT_BYTES).cast("string")), F.lit("�"))
-    return F.when(F.octet_length(full) > PROMPT_BYTES, cut).otherwise(full)
+    raw = full.cast("binary")
+    inner = lambda at: F.hex(F.substring(raw, at, 1)).rlike("^[89AB]")  # noqa: E731 - a byte within a character
+    end = F.when(~inner(PROMPT_BYTES + 1), PROMPT_BYTES).when(~inner(PROMPT_BYTES), PROMPT_BYTES - 1).when(~inner(PROMPT_BYTES - 1), PROMPT_BYTES - 2).otherwise(PROMPT_BYTES - 3)
+    return F.when(F.octet_length(full) > PROMPT_BYTES, F.substring(raw, F.lit(1), end).cast("string")).otherwise(full)

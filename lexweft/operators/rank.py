@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Iterator
 
@@ -16,6 +17,7 @@ from ..functions import scoring
 from ..functions import text as tx
 from ..functions import vectors as vx
 from . import grid
+from .shared import Tables
 
 #: Document names up to which the smaller set of them is broadcast.
 BROADCAST_NAMES = 500_000
@@ -46,18 +48,22 @@ def mean_scores(pooled: DataFrame, n: DataFrame, config: Config) -> DataFrame:
     return totals.join(n.where("n > 0"), "query_id").select("query_id", "ref_id", scoring.divided(F.col("total"), F.col("n")).alias("content_units"))
 
 
-def shared_names(queries: DataFrame, refs: DataFrame) -> DataFrame:
+def shared_names(queries: DataFrame, refs: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """query_id, ref_id, shared: how many words the two names share, for pairs that share any.
 
-    ``queries`` and ``refs`` have their names' word sets in ``name_words``. Pairs come from an inverted index of words.
+    ``queries`` and ``refs`` have their names' word sets in ``name_words``. Pairs come from an inverted index of words, or
+    are those in ``only``.
     """
+    if only is not None:
+        met = only.join(queries.select("query_id", F.col("name_words").alias("a")), "query_id").join(refs.select("ref_id", F.col("name_words").alias("b")), "ref_id")
+        return met.select("query_id", "ref_id", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"))
     left = queries.select("query_id", F.explode("name_words").alias("word"))
     right = refs.select("ref_id", F.explode("name_words").alias("word"))
     return left.join(right, "word").groupBy("query_id", "ref_id").agg(F.count("*").alias("shared"))
 
 
-def document_scores(blocks: DataFrame, elements: DataFrame, config: Config, pooled: DataFrame | None = None) -> DataFrame:
-    """query_id, ref_id, content, filename, score, rank for all pairs of documents.
+def document_scores(blocks: DataFrame, elements: DataFrame, config: Config, pooled: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+    """query_id, ref_id, content, filename, score, rank for all pairs of documents, or for those (query_id, ref_id) in ``only``.
 
     content: mean over the query's head blocks of their pooled scores; blocks without one (zero vectors) count 0.
     score: content blended with file-name similarity; a reference document without elements scores 0. Both are exact to
@@ -70,10 +76,13 @@ def document_scores(blocks: DataFrame, elements: DataFrame, config: Config, pool
     own = F.regexp_replace("query_id", "_processed$", "") if config.strip_suffix else F.col("query_id")
     queries = blocks.groupBy("query_id").agg(F.count_if(F.col("pos") < config.head).alias("n")).withColumn("name_words", tx.filename_words(own))
     refs = elements.groupBy("ref_id").agg((F.count("pos") == 0).alias("empty")).withColumn("name_words", tx.filename_words(F.col("ref_id")))
-    few = elements.select("ref_id").distinct().count() <= BROADCAST_NAMES
     sized = refs.select("ref_id", "empty", F.size("name_words").alias("ref_words"))
-    pairs = queries.select("query_id", "n", F.size("name_words").alias("query_words")).crossJoin(F.broadcast(sized) if few else sized)
-    scored = pairs.join(mean_scores(pooled, queries.select("query_id", "n"), config), ["query_id", "ref_id"], "left").join(shared_names(queries, refs), ["query_id", "ref_id"], "left")
+    asked = queries.select("query_id", "n", F.size("name_words").alias("query_words"))
+    if only is not None:
+        pairs = only.join(asked, "query_id").join(sized, "ref_id")
+    else:
+        pairs = asked.crossJoin(F.broadcast(sized) if elements.select("ref_id").distinct().count() <= BROADCAST_NAMES else sized)
+    scored = pairs.join(mean_scores(pooled, queries.select("query_id", "n"), config), ["query_id", "ref_id"], "left").join(shared_names(queries, refs, only), ["query_id", "ref_id"], "left")
     nameless = (F.col("query_words") + F.col("ref_words") == 0).cast("long")  # two names without words are alike
     shared = F.coalesce("shared", F.lit(0).cast("long")) + nameless
     scored = scored.withColumns({"content_units": F.coalesce("content_units", F.lit(0).cast("long")), "shared": shared, "all_words": F.col("query_words") + F.col("ref_words") - shared + 2 * nameless})
@@ -84,6 +93,73 @@ def document_scores(blocks: DataFrame, elements: DataFrame, config: Config, pool
     return scored.withColumns(made).select("query_id", "ref_id", "content", "filename", "score", "rank")
 
 
+def pooled_pairs(pairs: DataFrame, blocks: DataFrame, elements: DataFrame, config: Config) -> DataFrame:
+    """As ``max_pool``, for the documents of ``pairs`` (query_id, ref_id) only, whose heads meet as two arrays."""
+    row = F.struct("pos", "chars", "words", "vec")
+
+    def heads(df: DataFrame, key: str, name: str) -> DataFrame:
+        return with_statistics(head(df, config.head)).groupBy(key).agg(F.array_sort(F.collect_list(row)).alias(name))
+
+    def matrix(rows: list) -> tuple[np.ndarray, ...]:
+        return tuple(np.array([r[c] for r in rows]) for c in ("pos", "chars", "words")) + (np.stack([np.asarray(r["vec"], dtype=np.float64) for r in rows]),)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for q, r, a, b in zip(batch["query_id"], batch["ref_id"], batch["left"], batch["right"], strict=True):
+                (pos, *left, x), (at, *right, y) = matrix(a), matrix(b)
+                score = grid.similarities(x, y, "cosine")
+                if config.mode == "composite":
+                    score = scoring.SEMANTIC * score + scoring.LENGTH * grid.ratios(left[0], right[0]) + scoring.WORDS * grid.ratios(left[1], right[1])
+                score = np.where(y.any(axis=1)[None, :], np.round(score, config.digits), -np.inf)
+                best = score.argmax(axis=1)  # the first of equals
+                for i in np.flatnonzero(x.any(axis=1) & (score.max(axis=1) > -np.inf)):
+                    out.append((q, int(pos[i]), r, float(score[i, best[i]]), int(at[best[i]])))
+            yield pd.DataFrame(out, columns=["query_id", "pos", "ref_id", "score", "element_pos"])
+
+    met = pairs.join(heads(blocks, "query_id", "left"), "query_id").join(heads(elements, "ref_id", "right"), "ref_id")
+    return met.select("query_id", "ref_id", "left", "right").mapInPandas(run, "query_id string, pos int, ref_id string, score double, element_pos int")
+
+
+def top_documents(blocks: DataFrame, elements: DataFrame, config: Config, n: int, k: int = 32, rounds: int = 2, tables: Tables | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ``n`` best documents of each query as ``document_scores`` ranks them, and their pooled scores, without all pairs.
+
+    A threshold algorithm: the k nearest heads of each head block give candidate documents, which are scored. A
+    document that isn't among them has no head nearer than the k-th to any block, so its content is at most the mean of
+    what the k-th cosines allow with equal lengths, and its name at most the same. Queries whose n-th candidate scores more
+    than that are done; the others take eight times as many neighbours, and after ``rounds`` are scored with all
+    documents. What several steps read is written to ``tables``, so that plans stay short.
+    """
+    digits, cut = config.digits, (tables or Tables()).cut
+    found, elements_head = blocks.where("pos is not null"), head(elements.where("pos is not null"), config.head)
+    n_heads = elements_head.count()
+    left, scores, pooled = blocks.select("query_id").distinct(), [], []
+    for _ in range(rounds):
+        own = head(found, config.head).join(left, "query_id", "left_semi")
+        near = cut(grid.knn(own.where(~vx.is_zero(F.col("vec"))), elements_head.where(~vx.is_zero(F.col("vec"))), k, n_heads, config.dim, "cosine", digits))
+        each = near.groupBy("query_id", "pos").agg(F.min("semantic").alias("last"), F.count("*").alias("n"))
+        most = scoring.SEMANTIC * F.col("last") + (scoring.LENGTH + scoring.WORDS) if config.mode == "composite" else F.col("last")
+        over = each.groupBy("query_id").agg(F.sum(F.when(F.col("n") == k, F.greatest(most, F.lit(0.0))).otherwise(0.0)).alias("sum"))  # fewer than k: no other document has a vector
+        counts = head(found, config.head).groupBy("query_id").agg(F.count("*").alias("heads"))
+        bound = counts.join(over, "query_id", "left").select("query_id", (scoring.blend(F.coalesce("sum", F.lit(0.0)) / F.col("heads"), F.lit(1.0)) + 1e-6).alias("bound"))
+        pairs = cut(near.select("query_id", "ref_id").distinct())
+        got = cut(pooled_pairs(pairs, found, elements.where("pos is not null"), config))
+        ranked = cut(document_scores(blocks.join(left, "query_id", "left_semi"), elements, config, got, pairs).where(F.col("rank") <= n))
+        done = cut(ranked.where(F.col("rank") == n).join(bound, "query_id").where(F.col("score") > F.col("bound")).select("query_id"))
+        scores.append(ranked.join(done, "query_id", "left_semi"))
+        pooled.append(got.join(scores[-1].select("query_id", "ref_id"), ["query_id", "ref_id"], "left_semi"))
+        left, k = cut(left.join(done, "query_id", "left_anti")), 8 * k
+        if left.isEmpty():
+            break
+    else:
+        rest = blocks.join(left, "query_id", "left_semi")
+        full = cut(max_pool(rest.where("pos is not null"), elements.where("pos is not null"), config))
+        scores.append(cut(document_scores(rest, elements, config, full).where(F.col("rank") <= n)))
+        pooled.append(full.join(scores[-1].select("query_id", "ref_id"), ["query_id", "ref_id"], "left_semi"))
+    union = lambda dfs: functools.reduce(DataFrame.unionByName, dfs)
+    return union(scores), union(pooled)
+
+
 def best_documents(scores: DataFrame) -> DataFrame:
     return scores.where("rank = 1").drop("rank")
 

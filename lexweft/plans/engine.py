@@ -14,6 +14,7 @@ from ..operators import align, rank
 from ..operators.embed import FAILURES, CachedProvider, EmbeddingProvider, HashingProvider, observed, outcome
 from ..operators.index import VectorIndex
 from ..operators.numbering import numbered
+from ..operators.shared import Tables
 from ..operators.sizes import size_statistics
 from ..sources import documents, reports
 from . import report
@@ -32,18 +33,16 @@ class AlignmentEngine:
         self.spark, self.config = spark, config
         provider = provider or HashingProvider(config.dim)
         self.provider = CachedProvider(provider, config.cache_dir) if config.cache_dir else provider
-        self._kept: list[DataFrame] = []
+        self._tables = Tables()
         self._index: tuple[DataFrame, VectorIndex] | None = None
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        """Persists ``df`` until ``release``."""
-        self._kept.append(df.persist())
-        return df
+        """Writes ``df`` as a table until ``release``, unless it is held already."""
+        return df if Tables.holds(df) else self._tables.cut(df)
 
     def release(self) -> None:
-        """Lets go of what ``align`` keeps for its reports; they are computed anew if they are read afterwards."""
-        while self._kept:
-            self._kept.pop().unpersist()
+        """Deletes what ``parts`` keeps for reports, which can't be read any more then."""
+        self._tables.clear()
         if self._index:
             self._index[1].release()
 
@@ -54,7 +53,6 @@ class AlignmentEngine:
         """
         seen = Observation()
         out = self._keep(self.embedded(df, role, seen))
-        out.count()
         n = {k: v for k, v in observed(seen).items() if v}
         log.info("%s: %d embedded, %d failed%s", what, n.get("n_ok", 0), n.get("n_failed", 0), "".join(f", {k} {n[k]}" for k in FAILURES if k in n))
         if n.get("n_failed") and not n.get("n_ok"):
@@ -96,15 +94,17 @@ class AlignmentEngine:
     def parts(self, blocks: DataFrame, elements: DataFrame) -> dict[str, DataFrame]:
         """What reports are made of, as rows: ``report.build`` and ``report.lines`` take it. It is kept until ``release``."""
         config = self.config
-        held = lambda df: df if df.storageLevel.useMemory or df.storageLevel.useDisk else self._keep(df)
-        blocks, elements = held(blocks), held(elements)
+        blocks, elements = self._keep(blocks), self._keep(elements)
         if elements.isEmpty():
             raise NoReferenceDocuments("no reference documents")
         if blocks.isEmpty():
             raise NoQueryDocuments("no query documents")
         full_blocks, full_elements = blocks.where("pos is not null"), elements.where("pos is not null")
-        pooled = self._keep(rank.max_pool(full_blocks, full_elements, config))
-        scores = self._keep(rank.document_scores(blocks, elements, config, pooled))
+        if config.documents:
+            scores, pooled = map(self._keep, rank.top_documents(blocks, elements, config, config.documents, tables=self._tables))
+        else:
+            pooled = self._keep(rank.max_pool(full_blocks, full_elements, config))
+            scores = self._keep(rank.document_scores(blocks, elements, config, pooled))
         best = rank.best_documents(scores)
         near = self._near(full_blocks, full_elements, best)
         found = align.hits(near, full_blocks, full_elements, best, config)

@@ -15,9 +15,10 @@ from ..operators import align, rank
 from ..operators.embed import HashingProvider
 from ..operators.index import VectorIndex
 from ..operators.numbering import numbered
+from ..operators.shared import shared_folder
 from ..operators.sizes import size_statistics
 from . import report, tables
-from .tables import DIM, blocks, elements, plain_blocks, plain_elements, read, shared_folder
+from .tables import DIM, blocks, elements, plain_blocks, plain_elements, read
 
 CONFIG = Config(dim=DIM)
 QUERIES: dict = {}
@@ -256,6 +257,12 @@ def q_best_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.best_documents(_scores(spark, sf_dir)[2]).select("query_id", "ref_id", "score")
 
 
+@query(_STAGE1 + " SELECT query_id, ref_id, content, filename, score, rank FROM scores WHERE rank <= 3")
+def q_top_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best documents of each query, by bounds instead of all pairs."""
+    return rank.top_documents(blocks(spark, sf_dir).persist(), elements(spark, sf_dir).persist(), CONFIG, 3)[0]
+
+
 def _with_zeros(df: DataFrame, every: int) -> DataFrame:
     """Zero vectors at every so manieth position."""
     return df.withColumn("vec", F.when(F.col("pos") % every == 0, F.transform("vec", lambda x: F.lit(0.0))).otherwise(F.col("vec")))

@@ -5,13 +5,10 @@ Blocks are conversation turns, elements are documents grouped by source, vectors
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..errors import InvalidConfig
 from ..functions import vectors
 from ..operators.embed import LookupProvider
 
@@ -24,14 +21,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which a cluster must name; a local folder only where all runs in one process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise InvalidConfig("a cluster must name a shared folder in spark.checkpoint.dir")
-    return (found or "file:///tmp/checkpoints").rstrip("/")
-
-
 def _with_vectors(spark: SparkSession, sf_dir: str, df: DataFrame, role: str) -> DataFrame:
     known = read(spark, sf_dir, "embeddings")
     n = known.count()

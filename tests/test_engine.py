@@ -128,7 +128,7 @@ def test_written_files_equal_nested_reports(spark, folders, caplog):
     from lexweft import cli
 
     with caplog.at_level(logging.INFO):
-        cli.main(["--reference-dir", folders[0], "--query-dir", folders[1], "--output-dir", folders[2], "--dim", "32", "--head", "5", "--strip-suffix", "--oversample", "3"])
+        cli.main(["--reference-dir", folders[0], "--query-dir", folders[1], "--output-dir", folders[2], "--dim", "32", "--head", "5", "--strip-suffix", "--oversample", "3", "--cache-dir", f"{folders[2]}/_cache", "--index-dir", f"{folders[2]}/_index", "--recall", "1", "--large-files", "--clear-cache"])
     config = Config(*folders, dim=32, head=5, strip_suffix=True, oversample=3)
     engine = AlignmentEngine(spark, config)
     for r in engine.run().collect():
@@ -166,6 +166,31 @@ def test_head_only(spark):
     assert rank.max_pool(b, e, Config(dim=1)).agg(F.max("element_pos")).first()[0] == 0  # element 11 isn't seen
 
 
+@pytest.mark.parametrize("mode, k, rounds", [("composite", 4, 2), ("cosine", 2, 1), ("composite", 64, 1)])
+def test_top_documents_equal_all_pairs(spark, mode, k, rounds):
+    """By bounds alone, with more neighbours, or with all pairs in the end; zero vectors, empty documents and ties among them."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(5, 6)) * 3
+    vec = lambda g: (centres[g] + 0.05 * rng.normal(size=6)).tolist()
+    b, e = [], []
+    for q in range(8):
+        b += [(f"q-{q % 5}", i, f"b{i}", "word " * 3, vec(q % 5) if q else [0.0] * 6) for i in range(3)] if q < 5 else []
+    for r in range(40):
+        e += [(f"r-{r % 5}_{r}", i, f"e{i}", "word " * (3 + r // 20), vec(r % 5) if r % 11 else [0.0] * 6) for i in range(2)]
+    e += [(f"twin-{c}", 0, "e", "word " * 3, [1.0] * 6) for c in "ab"] + [("empty", None, None, None, None)]
+    b, e = frames(spark, b + [("nothing", None, None, None, None)], e)
+    config = Config(dim=6, mode=mode)
+    want = rank.document_scores(b, e, config).where("rank <= 3").collect()
+    scores, pooled = rank.top_documents(b, e, config, 3, k, rounds)
+    got = scores.select("query_id", "ref_id", "content", "filename", "score", "rank").collect()
+    assert sorted(got) == sorted(want) and len({r.query_id for r in got}) == 6
+    listed = {(r.query_id, r.ref_id) for r in got}
+    every = rank.max_pool(b.where("pos is not null"), e.where("pos is not null"), config).collect()
+    plain = lambda rows: sorted((r.query_id, r.pos, r.ref_id, r.score, r.element_pos) for r in rows if (r.query_id, r.ref_id) in listed)
+    assert plain(pooled.collect()) == plain(every)
+    spark.catalog.clearCache()
+
+
 def test_knn_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     x, y = rng.integers(-2, 3, (40, 4)).astype(float), rng.integers(-2, 3, (70, 4)).astype(float)  # many ties

@@ -57,6 +57,16 @@ def test_prompt_is_cut_at_a_character(spark):
     assert one(spark, p=tx.prompt(F.lit("x"), "query")).p == "search_query: x"
 
 
+def test_prompt_keeps_a_replacement_character(spark):
+    """A text's own U+FFFD before the cut stays; only a character that the cut would split goes."""
+    for end, left in (("\ufffd", 3 * 5), ("\ufffd\U0001f600", 3 * 5), ("é", 2 * 5)):
+        room = 4000 - len("search_document: ") - left + (1 if end[-1] == "\U0001f600" else 0)
+        text = "x" * room + end * 40
+        got = one(spark, p=tx.prompt(F.lit(text), "document")).p
+        full = ("search_document: " + text).encode()
+        assert got.encode() == full[: len(got.encode())] and 3997 <= len(got.encode()) <= 4000 and len(full) > 4000
+
+
 def test_leading_text(spark):
     df = spark.createDataFrame([("q", i, f"t{i}") for i in reversed(range(40))] + [("q", None, None)], "k string, pos int, text string")
     assert df.groupBy("k").agg(tx.leading_text(F.col("pos"), F.col("text")).alias("t")).first().t == " ".join(f"t{i}" for i in range(30))
