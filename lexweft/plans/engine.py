@@ -109,9 +109,8 @@ class AlignmentEngine:
         near = self._near(full_blocks, full_elements, best)
         found = align.hits(near, full_blocks, full_elements, best, config)
         top = self._keep(align.top_hits(found, full_elements, config))
-        matches = align.paragraph_matches(top, elements, best)
-        stats = self._keep(align.statistics(matches, blocks, elements, best, config))
-        return {"scores": scores, "pooled": pooled, "matches": matches, "found": align.top_phrases(top, config), "stats": stats, "blocks": blocks, "elements": elements}
+        stats = self._keep(align.statistics(top, blocks, elements, best, config))
+        return {"scores": scores, "pooled": pooled, "top": top, "found": align.top_phrases(top, config), "stats": stats, "blocks": blocks, "elements": elements}
 
     def align(self, blocks: DataFrame, elements: DataFrame) -> DataFrame:
         """Reports for embedded ``blocks`` (query_id, pos, block_id, text, vec) and ``elements`` (ref_id, pos, element_id, text, vec)."""
