@@ -10,7 +10,6 @@ exact; with a share of it, fitted on a sample of the queries to a wanted recall,
 from __future__ import annotations
 
 import json
-import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,10 +24,11 @@ from pyspark.sql.window import Window
 from ..errors import ConcurrentWrite, InvalidConfig
 from ..functions import vectors as vx
 from . import grid
+from .shared import Tables
 
 #: Points at most that centroids are fitted on, and lists at most (the driver holds as many centroids).
 SAMPLE, LISTS = 20_000, 1024
-#: Points of a list that are packed into one block, and points of a list that meet queries in one task.
+#: Queries whose lists are sought at once, and points of a group of lists, which meet queries in one task.
 BLOCK, SPREAD = 4096, 1 << 16
 #: Share of rows in later segments, and number of segments, at which an upsert compacts.
 DELTA_SHARE, SEGMENTS = 0.25, 16
@@ -37,7 +37,6 @@ PROBES, FIRST = 256, 10
 #: What rounding may take from a bound.
 SLACK = 1e-8
 _POINT = "point_id long, ref_id string, pos int, vec array<double>, list int"
-_NEAR = "query_id string, pos int, ref_id string, element_pos int, semantic double"
 
 
 def centroids(x: np.ndarray, n: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
@@ -63,6 +62,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
+def marked(lists: pd.Series, n: int) -> np.ndarray:
+    """A row for each entry, true at the numbers that it lists."""
+    out = np.zeros((len(lists), n), dtype=bool)
+    for i, own in enumerate(lists):
+        out[i, own] = True
+    return out
+
+
 def stacked(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -106,7 +113,7 @@ class VectorIndex:
         if metric not in ("dot", "cosine"):
             raise InvalidConfig("unknown metric")
         self.spark, self.path, self.dim, self.metric = spark, path.rstrip("/"), dim, metric
-        self._kept: list[DataFrame] = []
+        self._tables = Tables()
 
     # --- versions ------------------------------------------------------------------------------------------------
 
@@ -326,8 +333,7 @@ class VectorIndex:
 
     def release(self) -> None:
         """Lets go of what searches keep."""
-        while self._kept:
-            self._kept.pop().unpersist()
+        self._tables.clear()
 
     # --- search --------------------------------------------------------------------------------------------------
 
@@ -387,52 +393,99 @@ class VectorIndex:
 
         ``recall``: 1 finds exactly the best; less is fitted on a sample of the queries (``share``), whose true best are
         sought among all points. Ties go to the smaller (ref_id, element_pos). Queries without length are left out.
-        What the first lists gave is kept until ``release``.
+        Each distinct vector is asked and compared once. Queries meet groups of lists in cells: a query goes to a group once,
+        whatever number of its lists it asks. What the first lists gave is kept until ``release``.
         """
-        manifest = self.manifest()
+        manifest, cut = self.manifest(), self._tables.cut
         lists, metric = self.lists(manifest), self.metric
         share = self.share(queries, k, recall, digits, manifest) if share is None else share
-        parts = np.maximum(1, -(-lists.held // SPREAD)).astype(np.int64)
-        asking = queries.where(~vx.is_zero(F.col("vec"))).select("query_id", "pos", "vec")
+        asking = queries.where(~vx.is_zero(F.col("vec"))).select("query_id", "pos", "vec", F.lit("").alias("all"))
+        group, parts = self._dealt(lists.held)
+
+        def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield batch.assign(had=[np.flatnonzero(c).tolist() for c in lists.first(stacked(batch["vec"]), k)[1]])
+
+        each = asking.select("vec").distinct().withColumn("asked", F.monotonically_increasing_id())
+        asked = cut(each.mapInPandas(first, "vec array<double>, asked long, had array<int>"))
+        spots = cut(grid.distinct_points(self.points(manifest), k, "list"))
+        n_across = max(1, -(-asked.count() // grid.CELL))
 
         def ask(reached: bool):
+            """Each query with the groups of lists that it asks."""
+
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for batch in batches:
-                    if not len(batch):
-                        continue
-                    x = stacked(batch["vec"])
-                    like, wanted = lists.first(x, k)
-                    if reached:
-                        least = batch["least"].fillna(-np.inf).to_numpy(dtype=np.float64)
-                        wanted = ~wanted & (lists.held > 0)[None, :] & (lists.bound(x, like, share) >= least[:, None])
-                    for own in np.flatnonzero(wanted.any(axis=0)):
-                        rows = np.flatnonzero(wanted[:, own])
-                        block = pickle.dumps({"query_id": batch["query_id"].to_numpy()[rows], "pos": batch["pos"].to_numpy()[rows], "vec": x[rows]}, protocol=5)
-                        n = int(parts[own])
-                        yield pd.DataFrame({"list": [int(own)] * n, "part": range(n), "left": [block] * n})
+                    for lo in range(0, len(batch), BLOCK):
+                        piece = batch.iloc[lo : lo + BLOCK]
+                        x, least = stacked(piece["vec"]), piece["least"].fillna(-np.inf).to_numpy(dtype=np.float64)
+                        wanted = marked(piece["had"], len(lists.held))
+                        if reached:
+                            wanted = ~wanted & (lists.held > 0)[None, :] & (lists.bound(x, lists.place(x) @ lists.centres.T, share) >= least[:, None])
+                        row, own = np.nonzero(wanted)
+                        n = parts[own]
+                        row, down = np.repeat(row, n), np.repeat(group[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else own
+                        pairs = np.unique(np.stack([row, down], axis=1), axis=0)
+                        if len(pairs):
+                            yield piece.iloc[pairs[:, 0]].assign(down=pairs[:, 1])
 
             return run
 
-        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for own, group in batch.groupby("list"):
-                    for lo in range(0, len(group), BLOCK):
-                        piece = group.iloc[lo : lo + BLOCK]
-                        block = {"ref_id": piece["ref_id"].to_numpy(), "pos": piece["pos"].to_numpy(), "vec": stacked(piece["vec"])}
-                        yield pd.DataFrame({"list": [own], "part": [int(piece["point_id"].iloc[0]) % int(parts[own])], "right": [pickle.dumps(block, protocol=5)]})
+        def compare(reached: bool):
+            def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+                found = []
+                if len(a) and len(b):
+                    b = b.sort_values("list", kind="stable")
+                    x, own, ids = stacked(a["vec"]), b["list"].to_numpy(), a["asked"].to_numpy()
+                    here, start = np.unique(own, return_index=True)
+                    end = np.append(start[1:], len(own))
+
+                    def pieces(rows: slice, best: grid.Best) -> Iterator[tuple]:
+                        mine = lists.place(x[rows])
+                        had = marked(a["had"].iloc[rows], len(lists.held))[:, here]
+                        bound = lists.bound(x[rows], mine @ lists.centres.T, share)[:, here] if reached else None
+                        for at, (lo, hi) in enumerate(zip(start, end, strict=True)):
+                            # An exact search goes by what was found so far; a fitted share holds for what the first lists gave.
+                            asks = np.flatnonzero(~had[:, at] & (bound[:, at] >= (best.least if share >= 1 else best.given)) if reached else had[:, at])
+                            if len(asks):
+                                yield asks, lo, hi
+
+                    least = a["least"].fillna(-np.inf).to_numpy(dtype=np.float64)
+                    for row, ref, pos, score in grid.best_in_cell(x, stacked(b["vec"]), b["members"], k, metric, digits, least, pieces):
+                        found.append(pd.DataFrame({"asked": ids[row], "ref_id": ref, "element_pos": pos, "semantic": score}))
+                return pd.concat(found) if found else grid.nothing("asked", "ref_id", "element_pos", "semantic")
 
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for a, b in zip(batch["left"], batch["right"], strict=True):
-                    yield grid.best_of(pickle.loads(a), pickle.loads(b), k, metric, digits)
-
-        right = self.points(manifest).mapInPandas(pack, "list int, part int, right binary")
-        order = Window.partitionBy("query_id", "pos").orderBy(F.desc("semantic"), "ref_id", "element_pos")
-        best = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        met = lambda asked: asked.join(right, ["list", "part"]).select("left", "right").mapInPandas(compare, _NEAR)
-        first = best(met(asking.mapInPandas(ask(False), "list int, part int, left binary"))).persist()
-        self._kept.append(first)
-        reach = first.where(F.col("rank") == k).select("query_id", "pos", F.col("semantic").alias("least"))
-        rest = asking.join(reach, ["query_id", "pos"], "left").select("query_id", "pos", "vec", "least")
-        second = met(rest.mapInPandas(ask(True), "list int, part int, left binary"))
-        return best(first.drop("rank").unionByName(second)).drop("rank")
+            return run
+
+        places = self.spark.createDataFrame([(at, int(group[at]), int(parts[at])) for at in range(len(parts))], "list int, start int, parts int")
+        right = spots.join(F.broadcast(places), "list").withColumn("down", (F.col("start") + F.pmod(F.xxhash64("vec"), F.col("parts"))).cast("int"))
+        right = right.select("list", "vec", "members", "down", F.explode(F.sequence(F.lit(0), F.lit(n_across - 1))).alias("across"))
+
+        def met(rows: DataFrame, reached: bool) -> DataFrame:
+            left = rows.mapInPandas(ask(reached), "asked long, vec array<double>, had array<int>, least double, down int")
+            left = left.withColumn("across", F.pmod(F.xxhash64("vec"), F.lit(n_across)).cast("int"))
+            return left.groupBy("across", "down").cogroup(right.groupBy("across", "down")).applyInPandas(compare(reached), "asked long, ref_id string, element_pos int, semantic double")
+
+        columns = ["asked", "vec", "had", "least"]
+        order = Window.partitionBy("asked").orderBy(F.desc("semantic"), "ref_id", "element_pos")
+        found = met(asked.withColumn("least", F.lit(None).cast("double")).select(columns), False)
+        found = cut(found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k))
+        reach = found.where(F.col("r") == k).select("asked", F.col("semantic").alias("least"))
+        second = met(asked.join(reach, "asked", "left").select(columns), True)
+        return grid.joined(asking, asked.select(F.lit("").alias("all"), "vec", "asked"), found.drop("r").unionByName(second), "all", k)
+
+    @staticmethod
+    def _dealt(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First group and number of groups of each list: small lists share a group, large ones are cut in several."""
+        most = int(min(SPREAD, max(BLOCK, held.sum() // 12)))
+        group, parts, at, filled = np.zeros(len(held), np.int64), np.maximum(1, -(-held // most)).astype(np.int64), 0, 0
+        for i, n in enumerate(held):
+            if filled and (parts[i] > 1 or filled + n > most):
+                at, filled = at + 1, 0
+            group[i] = at
+            if parts[i] > 1:
+                at += parts[i]
+            else:
+                filled += n
+        return group, parts

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexweft.operators import grid
+from lexweft.operators.index import VectorIndex
 
 
 def frames(spark, x, y, ref):
@@ -41,3 +42,19 @@ def test_large_and_small_components():
         got = {(r, p) for rows, _, pos, _ in grid.best_in_cell(x, y, members, 6, "cosine", 9) for r, p in zip(rows, pos, strict=True)}
         score = np.round(grid.similarities(x, y, "cosine"), 9)
         assert got == {(i, j) for i in range(50) for j in np.lexsort((np.arange(9000), -score[i]))[:6]}
+
+
+def test_index_asks_copies_once(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x, y = np.repeat(rng.standard_normal((3, 8)), 40, axis=0), np.repeat(rng.standard_normal((150, 8)), 4, axis=0)
+    b, e = frames(spark, x, y, ["r"] * len(y))
+    index = VectorIndex(spark, str(tmp_path / "i"), 8)
+    index.upsert(e.withColumn("point_id", F.col("pos")))
+    got = index.search(b, 6, recall=1)
+    assert index._tables._made and spark.read.parquet(index._tables._made[0][1]).count() == 3  # a row for each distinct query
+    score = np.round(x @ y.T, 9)
+    want = {(i, j) for i in range(len(x)) for j in np.lexsort((np.arange(len(y)), -score[i]))[:6]}
+    assert {(r.pos, r.element_pos) for r in got.collect()} == want
+    index.release()
+    group, parts = VectorIndex._dealt(np.array([10, 5000, 200_000, 3, 3]))
+    assert parts.max() > 1 and len({(g + p) for g, n in zip(group, parts, strict=True) for p in range(n)}) >= parts.max()
