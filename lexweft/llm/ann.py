@@ -264,7 +264,8 @@ def search(embeddings: DataFrame, settings: Settings = Settings(), every: int =
     posted = vectors.select("h", "v", "ids").mapInPandas(post, kinds).repartition("list", "part").mapInPandas(pack, packed)
     queries = clean.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
     asked = queries.mapInPandas(ask, kinds).repartition("list", "part").mapInPandas(pack, packed).select("list", "part", F.col("v").alias("qv"), F.col("ids").alias("qid"))
-    near = posted.join(asked, ["list", "part"]).select("v", "ids", "sizes", "qv", "qid").mapInPandas(compare, "query_id long, vec_id long, score double")
+    # Spark can't tell into how many lists a query is copied, and would broadcast what it takes for few.
+    near = posted.join(asked.hint("merge"), ["list", "part"]).select("v", "ids", "sizes", "qv", "qid").mapInPandas(compare, "query_id long, vec_id long, score double")
     best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
     return best.select("query_id", "rank", "vec_id", "score")
