@@ -40,6 +40,11 @@ class AlignmentEngine:
         """Writes ``df`` as a table until ``release``, unless it is held already."""
         return df if Tables.holds(df) else self._tables.cut(df)
 
+    @property
+    def _kept(self) -> list:
+        """Tables that are there until ``release``."""
+        return self._tables._made
+
     def release(self) -> None:
         """Deletes what ``parts`` keeps for reports, which can't be read any more then."""
         self._tables.clear()
