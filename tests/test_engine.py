@@ -191,6 +191,19 @@ def test_top_documents_equal_all_pairs(spark, mode, k, rounds):
     spark.catalog.clearCache()
 
 
+def test_top_documents_of_few_documents_take_one_pass(spark, monkeypatch):
+    """Where there are no more documents than neighbours, lists of neighbours wouldn't be shorter than all pairs."""
+    b, e = frames(spark, [(f"q-{q}", i, f"b{i}", "word " * (i + 1), [1.0, float(q), float(i)]) for q in range(6) for i in range(3)], [(f"r-{r}", i, f"e{i}", "word " * (r + 1), [float(r), 1.0, float(i)]) for r in range(4) for i in range(2)])
+    config, asked = Config(dim=3), []
+    knn = rank.grid.knn
+    monkeypatch.setattr(rank.grid, "knn", lambda *a: asked.append(a[2]) or knn(*a))
+    got = rank.top_documents(b, e, config, 2, 4)[0].collect()
+    assert asked == []
+    assert sorted(got) == sorted(rank.document_scores(b, e, config).where("rank <= 2").collect())
+    assert sorted(rank.top_documents(b, e, config, 2, 3)[0].collect()) == sorted(got) and asked in ([3], [3, 24])  # of more documents, neighbours come first
+    spark.catalog.clearCache()
+
+
 def test_knn_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     x, y = rng.integers(-2, 3, (40, 4)).astype(float), rng.integers(-2, 3, (70, 4)).astype(float)  # many ties
