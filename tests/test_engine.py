@@ -204,6 +204,22 @@ def test_top_documents_of_few_documents_take_one_pass(spark, monkeypatch):
     spark.catalog.clearCache()
 
 
+def test_elements_of_best_documents_are_dealt_by_their_number(spark, monkeypatch):
+    """A few bytes of chunks give many rows: tasks go by these, and each element has its own hits."""
+    monkeypatch.setattr(align, "CHUNK", 4)
+    monkeypatch.setattr(align, "PAIRS", 8)
+    elements = spark.createDataFrame([(f"r{i % 2}", i // 2, f"e{i}") for i in range(80)] + [("empty", None, None)], "ref_id string, pos int, element_id string")
+    best = spark.createDataFrame([(f"q{i}", f"r{i % 2}") for i in range(20)] + [("none", "empty")], "query_id string, ref_id string")
+    hits = [(f"q{i}", f"r{i % 2}", p, rank + 1, 10 * i + rank, 0.5 + rank) for i in range(0, 20, 3) for p in (0, 7, 39) for rank in range(1 + p % 3)]
+    each = align.paragraph_matches(spark.createDataFrame(hits, "query_id string, ref_id string, element_pos int, rank int, pos int, similarity double"), elements, best)
+    assert each.select(F.spark_partition_id()).distinct().count() > 8  # 4 by the session's partitions, one by the bytes
+    own = {}
+    for q, r, p, *h in hits:
+        own.setdefault((q, r, p), []).append(tuple(h))
+    want = [(f"q{i}", f"r{i % 2}", p, f"e{2 * p + i % 2}", *h) for i in range(20) for p in range(40) for h in own.get((f"q{i}", f"r{i % 2}", p), [(None, None, None)])]
+    assert sorted(map(repr, map(tuple, each.select("query_id", "ref_id", "element_pos", "element_id", "rank", "pos", "similarity").collect()))) == sorted(map(repr, want))
+
+
 def test_knn_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     x, y = rng.integers(-2, 3, (40, 4)).astype(float), rng.integers(-2, 3, (70, 4)).astype(float)  # many ties
