@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -72,12 +73,14 @@ def _remove_all() -> None:
         _remove(spark, path)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, pause: float = 0) -> None:
     """Lets go of shuffle files behind tables written before.
 
     Spark's cleaner deletes a shuffle once its plan is garbage on the driver; a driver with a roomy heap seldom
-    collects, and files would pile up on the executors until then.
+    collects, and files would pile up on the executors until then. The plan of the last table is held until Spark's
+    listeners have been told of its end, for which ``pause`` seconds are waited.
     """
+    time.sleep(pause)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

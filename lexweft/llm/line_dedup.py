@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, made, scratch
+from .common import discard, made, release, scratch
 
 #: Words of a k-gram, and positions of a window. Repeated runs of GRAM + SPAN - 1 = 29 words are always found, and words that
 #: aren't in a repeated run of GRAM words never go.
@@ -29,6 +29,8 @@ LEAST = 100
 BLANK = " \\t\\r\\n"
 #: Hashes of pairs under this are a sixth of all, and nearly always one of them is in a window.
 SMALL = -(1 << 63) + (1 << 64) // 6
+#: Seconds after which the plan of a table that was written is let go of.
+SETTLE = 1.0
 #: Stands for a null doc_id in keys.
 NO_ID = -(2**63)
 
@@ -132,7 +134,9 @@ def _extended(docs: DataFrame, matches: DataFrame, first: DataFrame, before: lis
     spread = f"transform(near, e -> sequence(greatest(if(e.l, e.i - {SPAN - 1}, e.i), 0), least(if(e.r, e.i + {SPAN - 1}, e.i), size(p) + 1 - {GRAM})))"
     texts = _once(texts, at=f"array_distinct(flatten({spread}))")
     around = scratch(texts.select("did", "th", F.expr(f"inline(transform(at, i -> struct(i, {_gram('i')} AS g)))")), "around")
+    release(docs.sparkSession, SETTLE)  # the texts were shuffled whole; else these files stand beside those of the next step
     earliest = scratch(_earliest(around), "first-around")
+    release(docs.sparkSession, SETTLE)
     return around.join(earliest.hint("shuffle_hash"), "g").where(F.struct("did", "th", "i") != F.col("first")).select("did", "th", "i")
 
 
@@ -180,6 +184,7 @@ def dedup(docs: DataFrame, long: int = LONG) -> DataFrame:
     before = made()
     runs = scratch(_once(repeated(docs), runs=_runs("at")).where("size(runs) > 0").select("did", "th", "runs"), "runs")
     discard(before, runs)
+    release(docs.sparkSession, SETTLE)
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "share_left")]
     # Documents' columns stand in a struct, so that none of them clashes with those made here.
     rows = docs.select(*_keys(), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))

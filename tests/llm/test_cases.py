@@ -463,3 +463,14 @@ def test_sharding_places_follow_row_numbers(spark):
     df = spark.createDataFrame([(i, f"t{i}") for i in range(100)], "doc_id long, text string")
     got = {r.doc_id: (r.shard, r.slot, r.text_crc32) for r in sharding.shard(df).collect()}
     assert all(got[i] == (*sharding.locate(i, 100, 8, 20), zlib.crc32(f"t{i}".encode())) for i in range(100))
+
+
+def test_line_dedup_lets_go_of_shuffle_files_before_large_steps(spark, monkeypatch):
+    """The texts' shuffle and those of all words around open ends don't stand beside each other on disk."""
+    done, write, let_go = [], line_dedup.scratch, line_dedup.release
+    monkeypatch.setattr(line_dedup, "scratch", lambda df, tag, **o: (write(df, tag, **o), done.append(tag))[0])
+    monkeypatch.setattr(line_dedup, "release", lambda *a: (let_go(*a), done.append("let go")))
+    text = " ".join(f"w{i}" for i in range(60))
+    out = line_dedup.dedup(spark.createDataFrame([(1, text), (2, "x " + text)], "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in out.collect()} == {1: text, 2: "x"}
+    assert [done[done.index(tag) + 1] for tag in ("around", "first-around", "runs")] == ["let go"] * 3
