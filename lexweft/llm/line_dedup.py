@@ -12,7 +12,7 @@ more go whole; of shorter ones, lines that lie in them whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,8 +27,10 @@ LONG = GRAM + SPAN - 1
 LEAST = 100
 #: What separates words, as members of a class of a regular expression.
 BLANK = " \\t\\r\\n"
-#: Hashes of pairs under this are a sixth of all, and nearly always one of them is in a window.
-SMALL = -(1 << 63) + (1 << 64) // 6
+#: Hashes of pairs under this are a third of all, and nearly always one of them is in a window.
+SMALL = -(1 << 63) + (1 << 64) // 3
+#: Pairs under it that are looked at on either side of one, to tell whether it's the least of a window.
+NEAR = 6
 #: Seconds after which the plan of a table that was written is let go of.
 SETTLE = 1.0
 #: Stands for a null doc_id in keys.
@@ -50,21 +52,26 @@ def _once(df: DataFrame, **columns: str) -> DataFrame:
     return out.select(*df.columns, *[F.col(f"_made.{c}").alias(c) for c in columns])
 
 
-def _hashed(texts: DataFrame) -> DataFrame:
-    """Replaces text by wh, the hashes of its words."""
-    words = "split(trim(BOTH ' \\t\\r\\n' FROM text), '[ \\\\t\\\\r\\\\n]+')"
-    return _once(texts, wh=f"transform({words}, w -> xxhash64(w))").drop("text")
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body``, in which ``name`` is ``value``, computed once.
 
+    Unlike a column of its own it isn't copied into rows, and slices of an array take only what they hold: of a column,
+    Spark's interpreted ``slice`` unpacks the array whole each time.
+    """
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+#: SQL: words of a text, and of words w a hash of the pair at each position, at the last one of that word alone.
+WORDS = "split(trim(BOTH ' \\t\\r\\n' FROM text), '[ \\\\t\\\\r\\\\n]+')"
+PAIRS = "zip_with(w, slice(w, 2, size(w)), (x, y) -> xxhash64(x, y))"
 
-def _pairs(hashed: DataFrame) -> DataFrame:
-    """Replaces wh by p, a hash of the pair of words at each position but the last."""
-    return _once(hashed, p="zip_with(slice(wh, 1, size(wh) - 1), slice(wh, 2, size(wh) - 1), (x, y) -> x ^ shiftleft(y, 1))").drop("wh")
 
+def _grams() -> Column:
+    """The hash of the k-gram at i, from pairs that cover it.
 
-def _gram(at: str) -> str:
-    """SQL: the hash of the k-gram at a position, from pairs that cover it."""
-    steps = sorted({*range(0, GRAM - 1, 2), GRAM - 2})
-    return f"xxhash64({', '.join(f'get(p, {at} + {k})' for k in steps)})"
+    Outside of lambdas Spark compiles this, so positions are exploded first.
+    """
+    return F.xxhash64(*[F.get("p", F.col("i") + k) for k in sorted({*range(0, GRAM - 1, 2), GRAM - 2})])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -74,15 +81,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     that lie between two lesser ones less than a window apart are none. Windows without any such pair are
     searched one by one.
     """
-    own = _hashed(docs.where("text is not null").select(*_keys(), "text"))
-    own = _once(_pairs(own.where(f"size(wh) >= {GRAM + SPAN - 1}")), n=f"size(p) - {GRAM - 2}")
-    own = _once(own, low=f"filter(sequence(0, n - 1), i -> get(p, i) < {SMALL}L)")
-    inner = f"get(low, j + 1) - get(low, j - 1) <= {SPAN} AND get(p, get(low, j - 1)) <= get(p, i) AND get(p, get(low, j + 1)) < get(p, i)"
-    gaps = f"filter(transform(sequence(0, size(low)), j -> struct(coalesce(get(low, j - 1) + 1, 0) AS lo, coalesce(get(low, j), n) - {SPAN} AS hi)), s -> s.lo <= s.hi)"
+    low = f"filter(sequence(0, size(p) - {GRAM}), i -> get(p, i) < {SMALL}L)"
     window = f"slice(p, a + 1, {SPAN})"
-    rest = f"flatten(transform({gaps}, s -> array_distinct(transform(sequence(s.lo, s.hi), a -> a + cast(array_position({window}, array_min({window})) AS int) - 1))))"
-    own = _once(own, marks=f"concat(filter(low, (i, j) -> NOT coalesce({inner}, false)), {rest})").drop("low", "n")
-    return own.select("did", "th", F.expr(f"inline(transform(marks, i -> struct(i, {_gram('i')} AS g)))"))
+    least = f"array_distinct(transform(sequence(coalesce(get(low, j - 1), -1) + 1, i - {SPAN}), a -> a + cast(array_position({window}, array_min({window})) AS int) - 1))"
+    rest = f"flatten(transform(concat(low, array(size(p) - {GRAM - 1})), (i, j) -> if(i - coalesce(get(low, j - 1), -1) > {SPAN}, {least}, cast(array() AS array<int>))))"
+    found = _let("p", PAIRS, _let("low", low, f"struct(p, low, concat(low, {rest}) AS marks)"))
+    own = docs.where("text is not null").select(*_keys(), "text")
+    own = _once(own, found=_let("w", WORDS, f"if(size(w) < {GRAM + SPAN - 1}, null, {found})")).drop("text").where("found is not null")
+    own = own.select("did", "th", "found.p", "found.low", F.posexplode("found.marks").alias("j", "i"))
+    lesser = lambda step, sign: " ".join(f"WHEN get(p, get(low, j {step} {k})) {sign} get(p, i) THEN get(low, j {step} {k})" for k in range(1, NEAR + 1))
+    inner = f"CASE {lesser('+', '<')} END - CASE {lesser('-', '<=')} END <= {SPAN}"
+    return own.where(f"get(p, i) >= {SMALL}L OR NOT coalesce({inner}, false)").select("did", "th", "i", _grams().alias("g"))
 
 
 def _met(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
@@ -108,7 +117,13 @@ def _matches(docs: DataFrame, before: list[str]) -> tuple[DataFrame, DataFrame]:
     discard(before, marks)
     first = scratch(_earliest(marks), "first")
     later = marks.join(first.hint("shuffle_hash"), "g").where(F.struct("did", "th", "i") != F.col("first"))
-    return scratch(later.groupBy("did", "th").agg(F.array_sort(F.collect_set(F.struct("i", "g"))).alias("at")), "matches"), first
+    return scratch(later.groupBy("did", "th").agg(F.sort_array(F.collect_set(F.struct("i", "g"))).alias("at")), "matches"), first
+
+
+def _span(lo: str, hi: str, last: str) -> str:
+    """SQL: positions of k-grams from ``lo`` to ``hi`` that there are, the last one's being ``last``."""
+    lo, hi = f"greatest({lo}, 0)", f"least({hi}, {last})"
+    return f"if({lo} <= {hi}, sequence({lo}, {hi}), cast(array() AS array<int>))"
 
 
 def _extended(docs: DataFrame, matches: DataFrame, first: DataFrame, before: list[str]) -> DataFrame:
@@ -119,25 +134,35 @@ def _extended(docs: DataFrame, matches: DataFrame, first: DataFrame, before: lis
     holds for all matches less than SPAN words from an open end, as the last one may be none in the document that
     shares the run. A place within a run isn't asked, as the k-grams that overlap there stand earlier themselves.
     """
-    flags = f"struct(e.i, e.g, coalesce(get(at, j - 1).i + {GRAM} <= e.i, true) AS l, coalesce(get(at, j + 1).i >= e.i + {GRAM}, true) AS r)"
-    ends = _once(matches, open=f"transform(at, (e, j) -> {flags})").drop("at")
-    left = f"exists(slice(open, greatest(j - {SPAN - 2}, 0) + 1, least(j, {SPAN - 2}) + 1), m -> m.l AND e.i - m.i < {SPAN})"
-    right = f"exists(slice(open, j + 1, {SPAN - 1}), m -> m.r AND m.i - e.i < {SPAN})"
-    near = f"transform(open, (e, j) -> struct(e.i, e.g, {left} AS l, {right} AS r))"
-    ends = scratch(ends.select("did", "th", F.expr(f"inline(filter({near}, e -> e.l OR e.r))")), "ends")
+    ends = _once(matches, own="at.i")
+    ends = _once(
+        ends,
+        starts=f"filter(sequence(0, size(own) - 1), j -> coalesce(get(own, j - 1) + {GRAM} <= get(own, j), true))",
+        stops=f"filter(sequence(0, size(own) - 1), j -> coalesce(get(own, j + 1) >= get(own, j) + {GRAM}, true))",
+    )
+    left = f"filter(sequence(j, least(j + {SPAN - 2}, size(own) - 1)), m -> get(own, m) - get(own, j) < {SPAN})"
+    right = f"filter(sequence(greatest(j - {SPAN - 2}, 0), j), m -> get(own, j) - get(own, m) < {SPAN})"
+    row = "struct(get(at, m) AS e, {l} AS l, {r} AS r, m = j AS edge)"
+    open_ = [f"flatten(transform({js}, j -> transform({ms}, m -> {row.format(l=l, r=not l)})))" for js, ms, l in (("starts", left, True), ("stops", right, False))]
+    ends = scratch(ends.select("did", "th", F.expr(f"inline(concat({', '.join(open_)}))")).select("did", "th", "e.*", "l", "r", "edge"), "ends")
     sides = ends.groupBy("g").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    origin = first.join(sides, "g").select("first.did", "first.th", "first.i", "l", "r")
-    near = ends.select("did", "th", "i", "l", "r").union(origin).groupBy("did", "th").agg(F.collect_set(F.struct("i", "l", "r")).alias("near"))
+    origin = first.join(sides, "g").select("first.did", "first.th", "first.i", "l", "r", F.lit(False).alias("edge"))
+    near = ends.select("did", "th", "i", "l", "r", "edge").union(origin).groupBy("did", "th").agg(F.collect_set(F.struct("i", "l", "r", "edge")).alias("near"))
     near = scratch(near, "near")
     discard(before, matches, near)
-    texts = _pairs(_hashed(_met(docs.where("text is not null").select(*_keys(), "text"), near, "inner")))
-    spread = f"transform(near, e -> sequence(greatest(if(e.l, e.i - {SPAN - 1}, e.i), 0), least(if(e.r, e.i + {SPAN - 1}, e.i), size(p) + 1 - {GRAM})))"
-    texts = _once(texts, at=f"array_distinct(flatten({spread}))")
-    around = scratch(texts.select("did", "th", F.expr(f"inline(transform(at, i -> struct(i, {_gram('i')} AS g)))")), "around")
+    texts = _met(docs.where("text is not null").select(*_keys(), "text"), near, "inner")
+    texts = _once(texts, p=_let("w", WORDS, PAIRS)).drop("text")
+    last = f"size(p) - {GRAM}"
+    asked = f"transform(filter(near, e -> e.edge), e -> if(e.l, {_span(f'e.i - {SPAN - 1}', 'e.i - 1', last)}, {_span('e.i + 1', f'e.i + {SPAN - 1}', last)}))"
+    spread = f"transform(near, e -> {_span(f'if(e.l, e.i - {SPAN - 1}, e.i)', f'if(e.r, e.i + {SPAN - 1}, e.i)', last)})"
+    texts = _once(texts, asked=f"array_distinct(flatten({asked}))", spread=f"array_distinct(flatten({spread}))").drop("near")
+    texts = _once(texts, at="concat(asked, array_except(spread, asked))")
+    around = texts.select("did", "th", "p", "asked", F.posexplode("at").alias("j", "i")).select("did", "th", "i", _grams().alias("g"), F.expr("j < size(asked)").alias("asked"))
+    around = scratch(around, "around")
     release(docs.sparkSession, SETTLE)  # the texts were shuffled whole; else these files stand beside those of the next step
     earliest = scratch(_earliest(around), "first-around")
     release(docs.sparkSession, SETTLE)
-    return around.join(earliest.hint("shuffle_hash"), "g").where(F.struct("did", "th", "i") != F.col("first")).select("did", "th", "i")
+    return around.where("asked").join(earliest.hint("shuffle_hash"), "g").where(F.struct("did", "th", "i") != F.col("first")).select("did", "th", "i")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -146,7 +171,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     matches, first = _matches(docs, before)
     more = _extended(docs, matches, first, before).groupBy("did", "th").agg(F.collect_set("i").alias("more"))
     both = matches.join(more, ["did", "th"], "left")
-    return both.select("did", "th", F.expr("array_sort(concat(at.i, coalesce(more, cast(array() AS array<int>))))").alias("at"))
+    return both.select("did", "th", F.expr("sort_array(concat(at.i, coalesce(more, cast(array() AS array<int>))))").alias("at"))
 
 
 def _runs(at: str) -> str:
@@ -190,19 +215,19 @@ def dedup(docs: DataFrame, long: int = LONG) -> DataFrame:
     rows = docs.select(*_keys(), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
     out = _met(rows, runs, "left").select("row", "row.text", "runs")
     bare = "ltrim(' \t\r\n', text)"
-    # Each step is computed once, and only for documents with runs.
-    out = _once(out, tokens=f"if(runs IS NULL, null, split({bare}, '(?<=[{BLANK}])(?![{BLANK}])'))")  # words with the blanks behind them
+    tokens = f"split({bare}, '(?<=[{BLANK}])(?![{BLANK}])')"  # words with the blanks behind them
     short = f"exists(runs, r -> r.hi - r.lo + 1 < {long})"
-    out = _once(out, ends=f"if({short}, filter(sequence(0, size(tokens) - 1), j -> j = size(tokens) - 1 OR rlike(get(tokens, j), '\\n|[.!?] ')), null)")
-    out = _once(out, cut=_whole(long))
-    out = _once(out, parts="transform(sequence(0, size(cut)), c -> struct(coalesce(get(cut, c - 1).hi + 1, 0) AS lo, coalesce(get(cut, c).lo, size(tokens)) AS hi))")
+    ends = f"if({short}, filter(sequence(0, size(tokens) - 1), j -> j = size(tokens) - 1 OR rlike(get(tokens, j), '\\n|[.!?] ')), null)"
+    parts = "transform(sequence(0, size(cut)), c -> struct(coalesce(get(cut, c - 1).hi + 1, 0) AS lo, coalesce(get(cut, c).lo, size(tokens)) AS hi))"
     # Blanks between a line end and a line that goes are that line's.
-    kept = "array_join(transform(parts, p -> regexp_replace(array_join(slice(tokens, p.lo + 1, p.hi - p.lo), ''), '(?<=\\n)[ \\t]+\\\\z', '')), '')"
+    part = _let("s", "array_join(slice(tokens, p.lo + 1, p.hi - p.lo), '')", "if(endswith(rtrim(' \t', s), '\n'), rtrim(' \t', s), s)")
     ahead = f"if(get(cut, 0).lo = 0, '', left(text, char_length(text) - char_length({bare})))"
-    out = _once(out, kept=f"if(size(cut) > 0, rtrim(' \n\t\r', concat({ahead}, {kept})), text)")
+    kept = f"if(size(cut) > 0, rtrim(' \n\t\r', concat({ahead}, array_join(transform({parts}, p -> {part}), ''))), text)"
     lines = "aggregate(cut, 0, (n, r) -> n + size(split(trim(BOTH ' \t\r\n' FROM array_join(slice(tokens, r.lo + 1, r.hi - r.lo + 1), '')), '\\n[ \\t\\r\\n]*|[.!?] ')))"
+    outcome = _let("tokens", tokens, _let("ends", ends, _let("cut", _whole(long), f"struct({kept} AS kept, {lines} AS n, size(cut) > 0 AS any)")))
+    out = _once(out, made=f"if(runs IS NULL, null, {outcome})").drop("runs")  # only for documents with runs
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
-    n_removed = F.coalesce(F.expr(lines), F.lit(0))
-    share = F.when(F.expr("size(cut) > 0"), F.octet_length("kept") / F.octet_length("text")).otherwise(1.0)
-    own = [F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in keep]
+    n_removed = F.coalesce("made.n", F.lit(0))
+    share = F.when(F.col("made.any"), F.octet_length("made.kept") / F.octet_length("text")).otherwise(1.0)
+    own = [F.coalesce("made.kept", "text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in keep]
     return out.select(*own, n_lines.alias("n_lines"), n_removed.alias("n_removed"), share.alias("share_left"))

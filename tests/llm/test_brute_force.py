@@ -52,6 +52,16 @@ def test_line_dedup_finds_all_runs(spark, seed):
     assert all(must[d] <= got[d] <= may[d] for d, _ in rows) and sum(map(len, must.values())) > 3000
 
 
+def test_line_dedup_fingerprints_are_minima_only(spark):
+    """Every window has a fingerprint, and there are no more than minima of windows: two for SPAN + 1 words at random."""
+    rnd = random.Random(5)
+    n = 40000
+    rows = [(1, " ".join(f"w{rnd.randrange(10**9)}" for _ in range(n)))]
+    at = [-1, *sorted(r.i for r in line_dedup.fingerprints(docs(spark, rows)).collect()), n - line_dedup.GRAM + 1]
+    assert max(b - a for a, b in zip(at, at[1:])) <= line_dedup.SPAN
+    assert len(at) < 1.04 * n * 2 / (line_dedup.SPAN + 1)
+
+
 def test_line_dedup_with_common_sentences(spark):
     """A passage goes whole from the later copy, though a sentence in it stands in an earlier third document."""
     rnd = random.Random(11)
