@@ -206,12 +206,23 @@ class VectorIndex:
 
     def _fit(self, points: DataFrame, n: int) -> tuple[str, np.ndarray]:
         """Centroids of a sample of the points, and the folder that they are written to."""
-        x = np.array([r["vec"] for r in points.orderBy(F.xxhash64("point_id")).limit(SAMPLE).select("vec").collect()])
+        x = np.array([r["vec"] for r in self._sample(points, n).select("vec").collect()])
         made = centroids(unit(x) if self.metric == "cosine" else x, self._wanted(n))
         name = f"centres-{uuid.uuid4().hex}"
         self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(made)], "list int, c array<double>").coalesce(1).write.parquet(f"{self.path}/{name}")
         return name, made
 
+    @staticmethod
+    def _sample(points: DataFrame, n: int) -> DataFrame:
+        """Of n points the SAMPLE of smallest hash.
+
+        Only hashes that so many are sure to lie under are asked for: else each partition would send its own SAMPLE first
+        points to the driver, which is all there are.
+        """
+        at, share = F.xxhash64("point_id"), (SAMPLE + 8 * SAMPLE**0.5) / max(n, 1)
+        some = points.where(at < int((share - 0.5) * 2**64)) if share < 1 else points
+        return some.orderBy(at).limit(SAMPLE)
+
     @staticmethod
     def _wanted(n: int) -> int:
         return max(1, min(LISTS, int(np.sqrt(n))))

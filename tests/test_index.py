@@ -1,13 +1,16 @@
 """The persisted vector index: versions, segments, writers, recall and bounds."""
 
 import os
+import re
 import threading
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexweft.errors import InvalidConfig
+from lexweft.operators import index as module
 from lexweft.operators.index import LISTS, VectorIndex
 
 POINTS = "point_id long, ref_id string, pos int, vec array<double>"
@@ -186,3 +189,15 @@ def test_large_lists_are_dealt_in_parts(spark, tmp_path, monkeypatch):
     got = sorted((-r.semantic, r.ref_id, r.element_pos) for r in index.search(asked(spark, x[:1]), 5, recall=1).collect())
     want = sorted((-round(float(x[0] @ v), 9), f"r{i % 7}", i + 1) for i, v in enumerate(x))[:5]
     assert got == want
+
+
+def test_sample_sends_little_to_the_driver(spark, monkeypatch):
+    """The points of smallest hash, of which no partition holds many more than its share for Spark to send."""
+    monkeypatch.setattr(module, "SAMPLE", 400)
+    points = spark.range(40_000).select(F.col("id").alias("point_id"), F.array(F.col("id").cast("double")).alias("vec")).repartition(16)
+    got = VectorIndex._sample(points, 40_000)
+    want = points.orderBy(F.xxhash64("point_id")).limit(400)
+    assert [r["point_id"] for r in got.collect()] == [r["point_id"] for r in want.collect()]
+    asked = re.search(r"xxhash64\(.*?\) < (-?\d+)", got._jdf.queryExecution().optimizedPlan().toString())
+    assert asked and points.where(F.xxhash64("point_id") < int(asked[1])).count() <= 2 * 400
+    assert VectorIndex._sample(points, 300).count() == 400  # where n is said too small, nothing is left out first
