@@ -12,6 +12,7 @@ from lexweft.errors import InvalidConfig, MalformedDocument, NoReferenceDocument
 from lexweft.operators import align, rank
 from lexweft.operators.index import VectorIndex
 from lexweft.operators.numbering import numbered
+from lexweft.plans import report
 from lexweft.sources import documents, reports
 from lexweft.streaming import incremental
 from lexweft.streaming.incremental import align_arriving
@@ -290,3 +291,21 @@ def test_malformed_arrivals_are_set_aside(spark, folders, tmp_path):
 def test_modes_that_ranking_has_not_raise(mode):
     with pytest.raises(InvalidConfig):
         Config(mode=mode)
+
+
+def test_entries_without_hits_are_made_once(spark):
+    """However many queries list a document, each of its elements without hits is made once."""
+    elements = spark.createDataFrame([("r", i, str(i), f"text {i}") for i in range(50)], "ref_id string, pos int, element_id string, text string")
+    best = spark.createDataFrame([(f"q{i}", "r") for i in range(40)], "query_id string, ref_id string")
+    blocks = spark.createDataFrame([("q1", 0, "b", "block")], "query_id string, pos int, block_id string, text string")
+    top = spark.createDataFrame([("q1", "r", 7, 1, 0, 0.5)], "query_id string, ref_id string, element_pos int, rank int, pos int, similarity double")
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(name):
+        made.add(1)
+        return name
+
+    mark = F.udf(seen, "string")
+    rows = report.paragraphs(top, best, blocks, elements, lambda p, pos: F.struct(mark(p["xml_element_id"]).alias("id"), F.size(p["top_matches"]).alias("n"))).collect()
+    assert sorted((r.query_id, r.element_pos, r.item.id, r.item.n) for r in rows) == sorted((f"q{i}", j, str(j), int((i, j) == (1, 7))) for i in range(40) for j in range(50))
+    assert made.value <= 4 * (50 + 1)
